@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from codeloom.llm import exact_dedup, mixing, near_dedup, pieces, quality, token_counts
+from codeloom.llm import exact_dedup, mixing, near_dedup, personal_data, pieces, quality, token_counts
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,8 +38,12 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_components(_documents(spark, sf_dir), size=3, percent=85)
 
 
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.find(_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_source_mixing, op3_token_counts, op6_quality_rules, op7_exact_dedup, op8_sentencepiece, op9_near_dedup)
+    f.__name__: f for f in (op2_source_mixing, op3_token_counts, op6_quality_rules, op7_exact_dedup, op8_sentencepiece, op9_near_dedup, op10_personal_data)
 }
 
 _WORDS = r"'[^\x20\x09-\x0D]+'"
