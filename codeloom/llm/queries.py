@@ -6,14 +6,21 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from codeloom.llm import exact_dedup, language_model, mixing, near_dedup, personal_data, pieces, quality, token_counts
+from codeloom.llm import exact_dedup, language_model, licenses, mixing, near_dedup, personal_data, pieces, quality, revisits, token_counts
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = revisits.resolve(revisits.captures_of(spark.read.parquet(f"{sf_dir}/pages.parquet")))
+    lines = F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat_ws(": ", e["key"], e["value"]))
+    return found.withColumn("headers", F.array_join(lines, "\n"))
+
+
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_documents(spark, sf_dir))
 
@@ -22,6 +29,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_documents(spark, sf_dir))
+
+
 def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score(_documents(spark, sf_dir))
 
@@ -47,12 +58,27 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_source_mixing, op3_token_counts, op5_language_model, op6_quality_rules, op7_exact_dedup, op8_sentencepiece, op9_near_dedup, op10_personal_data)
+    f.__name__: f for f in (op1_revisits, op2_source_mixing, op3_token_counts, op4_license_scan, op5_language_model, op6_quality_rules, op7_exact_dedup, op8_sentencepiece, op9_near_dedup, op10_personal_data)
 }
 
 _WORDS = r"'[^\x20\x09-\x0D]+'"
 
 ORACLES: dict[str, str] = {
+    "op1_revisits": r"""
+    WITH u AS (SELECT page_id, html, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS bare FROM pages),
+    v AS (SELECT page_id, html,
+                 regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(bare, '^([^/?]*)', 1)), '^[^@]*@', ''), ':(80|443)$', ''), '^www\.', '') AS host,
+                 regexp_replace(regexp_replace(regexp_replace(bare, '^[^/?]*', ''), '\?.*$', ''), '/+$', '') AS path,
+                 list_sort(list_filter(string_split(regexp_extract(bare, '\?(.*)$', 1), '&'), lambda p: p <> '' AND NOT starts_with(lower(p), 'utm_'))) AS q FROM u),
+    k AS (SELECT page_id, html, host || path || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS url_key FROM v),
+    r AS (SELECT url_key, page_id AS at, page_id * 2 AS id, '"' || md5(html) || '"' AS tag, html FROM k),
+    x AS (SELECT page_id * 2 + 1 AS record_id, url_key, page_id + 1000 AS ts, '"' || md5(html) || '"' AS tag FROM k),
+    m AS (SELECT x.*, r.id, r.tag AS stored, r.html FROM x ASOF LEFT JOIN r ON x.url_key = r.url_key AND x.ts > r.at),
+    o AS (SELECT *, CASE WHEN id IS NULL THEN 'no_response' WHEN tag = stored THEN 'resolved' ELSE 'etag_differs' END AS outcome FROM m)
+    SELECT record_id, url_key, ts, CASE WHEN outcome = 'resolved' THEN id END AS referent_id, outcome,
+           CASE WHEN outcome = 'resolved' THEN 'content-type: text/html' || chr(10) || 'date: second ' || ts || chr(10) || 'etag: W/' || tag END AS headers,
+           CASE WHEN outcome = 'resolved' THEN sha1(html) END AS payload_digest FROM o
+    """,
     "op2_source_mixing": rf"""
     WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, {_WORDS})), 0)::BIGINT AS size FROM documents),
     s AS (SELECT source, sum(size)::BIGINT AS n FROM d GROUP BY source),
