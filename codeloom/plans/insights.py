@@ -1,37 +1,257 @@
-"""The structural-health queries over bound tables."""
+"""The twenty structural-health queries and their report."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.functions import paths, scalars
+from codeloom.operators import graphs, resolve
+from codeloom.plans.bindings import Bound
 from codeloom.plans.registry import query
-from codeloom.sources.tables import table
-
-
-@query(
-    "ins05_god_class",
-    """
-    SELECT c.c_custkey AS id, c.c_name AS name,
-           count(*) FILTER (o.o_orderstatus = 'O') AS methods,
-           count(*) FILTER (o.o_orderstatus <> 'O') AS properties,
-           CASE WHEN count(*) >= 20 THEN 'critical' ELSE 'warning' END AS severity
-    FROM customer c JOIN orders o ON o.o_custkey = c.c_custkey
-    GROUP BY ALL HAVING count(*) >= 15
-    """,
-)
-def god_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Classes with 15 members or more (20: critical); an open order is a method, any other a property."""
-    orders = table(spark, sf_dir, "orders")
-    members = (
-        orders.groupBy("o_custkey")
-        .agg(F.count_if(F.col("o_orderstatus") == "O").alias("methods"), F.count_if(F.col("o_orderstatus") != "O").alias("properties"))
-        .filter(F.col("methods") + F.col("properties") >= 15)
-    )
-    return members.join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(
-        F.col("c_custkey").alias("id"),
-        F.col("c_name").alias("name"),
-        "methods",
-        "properties",
-        F.when(F.col("methods") + F.col("properties") >= 20, "critical").otherwise("warning").alias("severity"),
-    )
+
+#: Thresholds of the queries.
+FAN, EXTERNAL, GOD, GOD_CRITICAL, PARAMETERS, PARAMETERS_CRITICAL = 10, 8, 15, 20, 4, 6
+LINES, LINES_CRITICAL, CHAIN, CHAIN_CRITICAL, CHAIN_GUARD = 300, 500, 3, 5, 10
+LEAKY_MEMBERS, LEAKY_RATIO, HUB, WIDE_INTERFACE, CLUSTER_NODES = 5, 0.8, 15, 7, 3
+
+#: The import graph in SQL, for the twins: internal sources made normal, one parent step resolved.
+IMPORT_GRAPH = r"""
+    keyed AS (SELECT arg_max(id, seq) AS dst, regexp_replace(regexp_replace(relative_path, '\.(tsx?|jsx?|mjs|cjs)$', ''), '/index$', '') AS key FROM modules GROUP BY 2),
+    wanted AS (
+      SELECT DISTINCT module_id AS src, regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+               CASE WHEN source LIKE '@/%' THEN 'src/' || substr(source, 3) WHEN source LIKE 'src/%' THEN source
+                    ELSE regexp_extract(from_path, '^(.+)/[^/]*$', 1) || '/' || source END,
+               '/\./', '/', 'g'), '[^/]+/\.\./', ''), '\.(tsx?|jsx?|mjs|cjs)$', ''), '/index$', '') AS key
+      FROM imports WHERE source LIKE '.%' OR source LIKE '/%' OR source LIKE '@/%' OR source LIKE 'src/%'),
+    graph AS (SELECT DISTINCT src, dst FROM wanted JOIN keyed USING (key) WHERE src <> dst)"""
+
+
+def import_graph(b: Bound) -> DataFrame:
+    return resolve.import_edges(b("imports"), b("modules"))
+
+
+@query("ins01_circular_imports", """
+    WITH RECURSIVE reach AS (SELECT src, dst FROM edges UNION SELECT r.src, e.dst FROM reach r JOIN edges e ON e.src = r.dst),
+    mutual AS (SELECT a.src AS id, least(a.src, min(a.dst)) AS component FROM reach a JOIN reach z ON z.src = a.dst AND z.dst = a.src WHERE a.src <> a.dst GROUP BY a.src)
+    SELECT component, count(*) AS value, 'critical' AS severity FROM mutual GROUP BY component""")
+def circular_imports(b: Bound) -> DataFrame:
+    """A strongly connected component of two modules or more is an insight of its own; its size is the value."""
+    scc = graphs.strongly_connected(b("nodes"), b("edges"))
+    return scc.groupBy("component").agg(F.count("*").alias("value"), F.lit("critical").alias("severity"))
+
+
+@query("ins02_import_fan_in", f"WITH {IMPORT_GRAPH} SELECT dst AS id, count(*) AS value, 'warning' AS severity FROM graph GROUP BY dst HAVING count(*) >= 10")
+def fan_in(b: Bound) -> DataFrame:
+    return import_graph(b).groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("value"), F.lit("warning").alias("severity")).filter(F.col("value") >= FAN)
+
+
+@query("ins03_import_fan_out", f"WITH {IMPORT_GRAPH} SELECT src AS id, count(*) AS value, 'warning' AS severity FROM graph GROUP BY src HAVING count(*) >= 10")
+def fan_out(b: Bound) -> DataFrame:
+    return import_graph(b).groupBy(F.col("src").alias("id")).agg(F.count("*").alias("value"), F.lit("warning").alias("severity")).filter(F.col("value") >= FAN)
+
+
+_EXTERNAL = """CASE WHEN source LIKE '.%' OR source LIKE '/%' OR source LIKE '@/%' OR source LIKE 'src/%' OR source = '' THEN NULL
+    WHEN source LIKE '@%' THEN CASE WHEN split_part(source, '/', 2) <> '' THEN split_part(source, '/', 1) || '/' || split_part(source, '/', 2) END
+    ELSE split_part(source, '/', 1) END"""
+
+
+@query("ins04_heavy_external_dependency", f"SELECT module_id AS id, count(DISTINCT {_EXTERNAL}) AS value, 'warning' AS severity FROM imports GROUP BY module_id HAVING value >= 8")
+def heavy_external(b: Bound) -> DataFrame:
+    found = b("imports").select("module_id", paths.external_package(F.col("source")).alias("package")).filter("package is not null").distinct()
+    return found.groupBy(F.col("module_id").alias("id")).agg(F.count("*").alias("value"), F.lit("warning").alias("severity")).filter(F.col("value") >= EXTERNAL)
+
+
+@query("ins05_god_class", """
+    WITH n AS (SELECT c.id, c.name, (SELECT count(*) FROM members m WHERE m.parent_id = c.id AND m.kind = 'method') AS methods,
+                      (SELECT count(*) FROM members m WHERE m.parent_id = c.id AND m.kind = 'property') AS properties FROM classes c)
+    SELECT *, CASE WHEN methods + properties >= 20 THEN 'critical' ELSE 'warning' END AS severity FROM n WHERE methods + properties >= 15""")
+def god_class(b: Bound) -> DataFrame:
+    """Members are counted before the join, so each class meets one row."""
+    counts = b("members").groupBy(F.col("parent_id").alias("id")).agg(F.count_if(F.col("kind") == "method").alias("methods"), F.count_if(F.col("kind") == "property").alias("properties"))
+    n = F.col("methods") + F.col("properties")
+    return counts.filter(n >= GOD).join(b("classes"), "id").select("id", "name", "methods", "properties", F.when(n >= GOD_CRITICAL, "critical").otherwise("warning").alias("severity"))
+
+
+@query("ins06_long_parameter_lists", "SELECT m.id, count(*) AS value, CASE WHEN count(*) >= 6 THEN 'critical' ELSE 'warning' END AS severity FROM members m JOIN parameters p ON p.method_id = m.id GROUP BY m.id HAVING count(*) >= 4")
+def long_parameter_lists(b: Bound) -> DataFrame:
+    counts = b("parameters").groupBy(F.col("method_id").alias("id")).agg(F.count("*").alias("value")).filter(F.col("value") >= PARAMETERS)
+    return counts.join(b("members"), "id").select("id", "value", F.when(F.col("value") >= PARAMETERS_CRITICAL, "critical").otherwise("warning").alias("severity"))
+
+
+@query("ins07_module_size", "SELECT id, line_count AS value, CASE WHEN line_count > 500 THEN 'critical' ELSE 'warning' END AS severity FROM modules WHERE line_count > 300")
+def module_size(b: Bound) -> DataFrame:
+    large = b("modules").filter(F.col("line_count") > LINES)
+    return large.select("id", F.col("line_count").alias("value"), F.when(F.col("line_count") > LINES_CRITICAL, "critical").otherwise("warning").alias("severity")).orderBy(F.desc("value"), "id")
+
+
+@query("ins08_deep_inheritance", """
+    WITH RECURSIVE chain AS (SELECT class_id, parent_id, 1 AS depth FROM extends
+      UNION ALL SELECT c.class_id, e.parent_id, c.depth + 1 FROM chain c JOIN extends e ON e.class_id = c.parent_id WHERE c.depth < 10)
+    SELECT class_id AS id, max(depth)::BIGINT AS value, CASE WHEN max(depth) >= 5 THEN 'critical' ELSE 'warning' END AS severity FROM chain GROUP BY class_id HAVING max(depth) >= 3""")
+def deep_inheritance(b: Bound) -> DataFrame:
+    """The chain is walked by a frontier that loses the classes whose chain has ended."""
+    extends = graphs.settled(b("extends"))
+    frontier, reached = extends, extends.select("class_id", F.lit(1).cast("long").alias("depth"))
+    up = extends.select(F.col("class_id").alias("parent_id"), F.col("parent_id").alias("next"))
+    for depth in range(2, CHAIN_GUARD + 1):
+        frontier = graphs.settled(frontier.join(up, "parent_id").select("class_id", F.col("next").alias("parent_id")))
+        if frontier.isEmpty():
+            break
+        reached = reached.union(frontier.select("class_id", F.lit(depth).cast("long").alias("depth")))
+    deepest = reached.groupBy(F.col("class_id").alias("id")).agg(F.max("depth").alias("value")).filter(F.col("value") >= CHAIN)
+    return deepest.withColumn("severity", F.when(F.col("value") >= CHAIN_CRITICAL, "critical").otherwise("warning"))
+
+
+@query("ins09_leaky_encapsulation", """
+    SELECT parent_id AS id, count(*) AS members, floor(100.0 * count(*) FILTER (visibility = 'public') / count(*) + 0.5)::BIGINT AS percent, 'warning' AS severity
+    FROM members GROUP BY parent_id HAVING count(*) >= 5 AND count(*) FILTER (visibility = 'public') * 1.0 / count(*) > 0.8""")
+def leaky_encapsulation(b: Bound) -> DataFrame:
+    public = F.count_if(F.col("visibility") == "public")
+    counts = b("members").groupBy(F.col("parent_id").alias("id")).agg(F.count("*").alias("members"), public.alias("public"))
+    leaky = counts.filter((F.col("members") >= LEAKY_MEMBERS) & (F.col("public") / F.col("members") > LEAKY_RATIO))
+    return leaky.select("id", "members", scalars.round_half_up(100.0 * F.col("public") / F.col("members")).alias("percent"), F.lit("warning").alias("severity"))
+
+
+@query("ins10_barrel_file_depth", f"""WITH {IMPORT_GRAPH} SELECT src AS id, count(*) AS value, 'info' AS severity FROM graph
+    WHERE src IN (SELECT id FROM modules WHERE is_barrel) AND dst IN (SELECT id FROM modules WHERE is_barrel) GROUP BY src""")
+def barrel_depth(b: Bound) -> DataFrame:
+    barrels = b("modules").filter("is_barrel").select("id")
+    chains = import_graph(b).join(barrels.withColumnRenamed("id", "src"), "src", "left_semi").join(barrels.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    return chains.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("value"), F.lit("info").alias("severity"))
+
+
+@query("ins11_unexported_entities", """
+    SELECT 'class' AS kind, seq AS id FROM modules m WHERE NOT EXISTS (SELECT 1 FROM exports e WHERE e.module_id = m.id AND e.name = 's' || (m.seq % 80))
+    UNION ALL SELECT 'class', id FROM members WHERE kind = 'method' AND is_async AND NOT EXISTS (SELECT 1 FROM exports e WHERE e.name = members.name)""")
+def unexported(b: Bound) -> DataFrame:
+    """Classes, and functions that aren't exported, without an export of their name; the kind reported is always class."""
+    classes = b("modules").select(F.col("seq").alias("id"), F.col("id").alias("module_id"), F.concat(F.lit("s"), F.col("seq") % 80).alias("name"))
+    functions = b("members").filter("kind = 'method' and is_async").select("id", "name")
+    found = classes.join(b("exports"), ["module_id", "name"], "left_anti").select("id").union(functions.join(b("exports"), "name", "left_anti").select("id"))
+    return found.select(F.lit("class").alias("kind"), "id")
+
+
+@query("ins12_type_only_dependencies", "SELECT module_id AS id, count(*) FILTER (is_type_only) AS type_only, count(*) AS total, 'info' AS severity FROM imports GROUP BY module_id HAVING count(*) FILTER (is_type_only) > 0")
+def type_only(b: Bound) -> DataFrame:
+    counts = b("imports").groupBy(F.col("module_id").alias("id")).agg(F.count_if("is_type_only").alias("type_only"), F.count("*").alias("total"))
+    return counts.filter("type_only > 0").withColumn("severity", F.lit("info"))
+
+
+@query("ins13_orphaned_modules", f"WITH {IMPORT_GRAPH} SELECT id, 'warning' AS severity FROM modules WHERE id NOT IN (SELECT src FROM graph) AND id NOT IN (SELECT dst FROM graph)")
+def orphans(b: Bound) -> DataFrame:
+    linked = import_graph(b).select(F.explode(F.array("src", "dst")).alias("id"))
+    return b("modules").select("id").join(linked, "id", "left_anti").withColumn("severity", F.lit("warning"))
+
+
+@query("ins14_hub_modules", f"""WITH {IMPORT_GRAPH}, ends AS (SELECT src AS id FROM graph UNION ALL SELECT dst FROM graph)
+    SELECT id, count(*) AS value, 'info' AS severity FROM ends GROUP BY id HAVING count(*) >= 15""")
+def hubs(b: Bound) -> DataFrame:
+    ends = import_graph(b).select(F.explode(F.array("src", "dst")).alias("id"))
+    return ends.groupBy("id").agg(F.count("*").alias("value"), F.lit("info").alias("severity")).filter(F.col("value") >= HUB)
+
+
+@query("ins15_bridge_modules", """
+    WITH RECURSIVE u AS (SELECT DISTINCT least(src, dst) AS x, greatest(src, dst) AS y FROM acyclic), b AS (SELECT x, y FROM u UNION ALL SELECT y, x FROM u),
+    v AS (SELECT DISTINCT x FROM b),
+    reach AS (SELECT v.x AS gone, b.x, b.y FROM v, b WHERE b.x <> v.x AND b.y <> v.x UNION SELECT r.gone, r.x, b.y FROM reach r JOIN b ON b.x = r.y WHERE b.y <> r.gone),
+    near AS (SELECT a.x AS gone, a.y AS p, z.y AS q FROM b a JOIN b z ON z.x = a.x AND a.y < z.y)
+    SELECT DISTINCT gone AS id, 'warning' AS severity FROM near n WHERE NOT EXISTS (SELECT 1 FROM reach r WHERE r.gone = n.gone AND r.x = n.p AND r.y = n.q)""")
+def bridges(b: Bound) -> DataFrame:
+    return graphs.articulation_points(b("nodes"), b("acyclic")).withColumn("severity", F.lit("warning"))
+
+
+@query("ins16_cluster_detection")
+def clusters(b: Bound) -> DataFrame:
+    """Groups of two or more that label propagation makes, in graphs of three nodes or more; the rule is pinned, so reruns agree."""
+    labels = graphs.label_propagation(b("nodes"), b("edges"))
+    enough = b("nodes").agg((F.count("*") >= CLUSTER_NODES).alias("enough"))
+    return labels.join(F.broadcast(enough)).filter("enough").groupBy("label").agg(F.count("*").alias("value")).filter("value > 1").withColumn("severity", F.lit("info"))
+
+
+@query("ins17_unused_exports", """
+    SELECT id, module_id, name, 'warning' AS severity FROM exports WHERE name NOT IN (SELECT imported FROM imports WHERE specifiers_json <> 'not json')""")
+def unused_exports(b: Bound) -> DataFrame:
+    """Exports whose name no import anywhere brings in; names come from the imports' JSON."""
+    used = b("imports").select(F.explode(scalars.specifiers(F.col("specifiers_json"))).alias("s")).select(F.col("s.imported").alias("name"))
+    return b("exports").join(used, "name", "left_anti").select("id", "module_id", "name", F.lit("warning").alias("severity"))
+
+
+@query("ins18_interface_segregation", """
+    SELECT c.id, count(*) AS value, 'warning' AS severity FROM classes c JOIN members m ON m.parent_id = c.id
+    WHERE (SELECT count(*) FROM symbol_references r WHERE r.target_id % 150 = c.id) > 0 GROUP BY c.id HAVING count(*) >= 7""")
+def interface_segregation(b: Bound) -> DataFrame:
+    """Interfaces with seven members or more that something implements."""
+    wide = b("members").groupBy(F.col("parent_id").alias("id")).agg(F.count("*").alias("value")).filter(F.col("value") >= WIDE_INTERFACE)
+    implemented = b("symbol_references").select((F.col("target_id") % 150).alias("id"))
+    return wide.join(b("classes"), "id", "left_semi").join(implemented, "id", "left_semi").withColumn("severity", F.lit("warning"))
+
+
+@query("ins19_missing_return_types", """
+    SELECT id, 'method' AS kind, 'info' AS severity FROM members WHERE NOT has_explicit_return_type AND kind = 'method'
+    UNION ALL SELECT id, 'function', 'info' FROM members WHERE NOT has_explicit_return_type AND kind = 'property'""")
+def missing_return_types(b: Bound) -> DataFrame:
+    missing = b("members").filter("not has_explicit_return_type")
+    return missing.select("id", F.when(F.col("kind") == "method", "method").otherwise("function").alias("kind"), F.lit("info").alias("severity"))
+
+
+@query("ins20_async_boundary_mismatches", """
+    SELECT DISTINCT s.id AS source_id, t.id AS target_id, 'info' AS severity FROM symbol_references r JOIN members s ON s.id = r.source_id JOIN members t ON t.id = r.target_id
+    WHERE s.kind = 'method' AND t.kind = 'method' AND NOT s.is_async AND t.is_async""")
+def async_mismatches(b: Bound) -> DataFrame:
+    methods = b("members").filter("kind = 'method'")
+    plain = methods.filter("not is_async").select(F.col("id").alias("source_id"))
+    asynchronous = methods.filter("is_async").select(F.col("id").alias("target_id"))
+    return b("symbol_references").join(plain, "source_id").join(asynchronous, "target_id").select("source_id", "target_id", F.lit("info").alias("severity")).distinct()
+
+
+#: Each insight's kind and category with the query that finds it; those that give one insight for each row are marked.
+REPORT = {
+    "circular-imports": (circular_imports, True), "import-fan-in": (fan_in, False), "import-fan-out": (fan_out, False), "heavy-external-dependency": (heavy_external, False),
+    "god-class": (god_class, False), "long-parameter-lists": (long_parameter_lists, False), "module-size": (module_size, False), "deep-inheritance": (deep_inheritance, False),
+    "leaky-encapsulation": (leaky_encapsulation, False), "type-only-dependencies": (type_only, False), "orphaned-modules": (orphans, False), "hub-modules": (hubs, False),
+    "unused-exports": (unused_exports, False), "missing-return-types": (missing_return_types, False), "async-boundary-mismatches": (async_mismatches, False),
+}
+
+
+def insights(b: Bound, kinds: list[str] | None = None) -> DataFrame:
+    """kind, severity and entities of every insight; one member that is critical makes its insight critical."""
+    rank = F.max(F.array_position(F.array(*map(F.lit, ("info", "warning", "critical"))), F.col("severity")))
+    name = F.element_at(F.array(*map(F.lit, ("info", "warning", "critical"))), rank.cast("int"))
+    parts = []
+    for kind in kinds or REPORT:
+        f, each = REPORT[kind]
+        rows = f(b)
+        group = [F.col("component")] if each else []
+        parts.append(rows.groupBy(*group).agg(name.alias("severity"), F.count("*").alias("entities")).filter("entities > 0").select(F.lit(kind).alias("kind"), "severity", "entities"))
+    return reduce(DataFrame.union, parts)
+
+
+def summary(found: DataFrame) -> DataFrame:
+    """Insights by severity, and the health score: 100 less 5 for each critical and 2 for each warning, 0 at least."""
+    count = lambda s: F.count_if(F.col("severity") == s)
+    return found.agg(count("critical").alias("critical"), count("warning").alias("warning"), count("info").alias("info")).withColumn("health", F.greatest(F.lit(0), 100 - 5 * F.col("critical") - 2 * F.col("warning")).cast("long"))
+
+
+_SQL_KINDS = ["god-class", "long-parameter-lists", "module-size", "leaky-encapsulation", "type-only-dependencies", "missing-return-types"]
+
+
+@query("insr_report_summary", """
+    WITH i AS (
+      SELECT CASE WHEN max(n) >= 20 THEN 'critical' ELSE 'warning' END AS severity FROM (SELECT count(*) AS n FROM members GROUP BY parent_id) WHERE n >= 15 HAVING count(*) > 0
+      UNION ALL SELECT CASE WHEN max(n) >= 6 THEN 'critical' ELSE 'warning' END FROM (SELECT count(*) AS n FROM parameters GROUP BY method_id) WHERE n >= 4 HAVING count(*) > 0
+      UNION ALL SELECT CASE WHEN max(line_count) > 500 THEN 'critical' ELSE 'warning' END FROM modules WHERE line_count > 300 HAVING count(*) > 0
+      UNION ALL SELECT 'warning' FROM (SELECT parent_id FROM members GROUP BY parent_id HAVING count(*) >= 5 AND count(*) FILTER (visibility = 'public') * 1.0 / count(*) > 0.8) HAVING count(*) > 0
+      UNION ALL SELECT 'info' FROM imports WHERE is_type_only HAVING count(*) > 0
+      UNION ALL SELECT 'info' FROM members WHERE NOT has_explicit_return_type HAVING count(*) > 0)
+    SELECT count(*) FILTER (severity = 'critical') AS critical, count(*) FILTER (severity = 'warning') AS warning, count(*) FILTER (severity = 'info') AS info,
+           greatest(0, 100 - 5 * count(*) FILTER (severity = 'critical') - 2 * count(*) FILTER (severity = 'warning'))::BIGINT AS health FROM i""")
+def report_summary(b: Bound) -> DataFrame:
+    return summary(insights(b, _SQL_KINDS))
+
+
+@query("insr_report")
+def report(b: Bound) -> DataFrame:
+    return insights(b)

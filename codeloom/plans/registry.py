@@ -3,29 +3,41 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
+from codeloom.plans.bindings import Bound, with_clause
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
+_MODULES = ("insights", "scalars", "filters", "joins")
+
 
+def query(name: str, sql: str | None = None) -> Callable[[Callable[[Bound], DataFrame]], Callable[[Bound], DataFrame]]:
+    """Registers a query over bound tables under name, with the SQL that must give the same rows.
 
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    """Registers a query under name, with the SQL that must give the same rows."""
+    The SQL may name bindings like tables; their definitions are put before it.
+    """
 
-    def put(f: Query) -> Query:
+    def put(f: Callable[[Bound], DataFrame]) -> Callable[[Bound], DataFrame]:
         if name in _QUERIES:
             raise ValueError(f"{name} is registered twice")
-        _QUERIES[name] = f
+        _QUERIES[name] = lambda spark, sf_dir: f(Bound(spark, sf_dir))
         if sql is not None:
-            _ORACLES[name] = sql
+            _ORACLES[name] = with_clause(sql)
         return f
 
     return put
 
 
+def _load() -> None:
+    for module in _MODULES:
+        import_module(f"codeloom.plans.{module}")
+
+
 def queries() -> dict[str, Query]:
     _load()
     return dict(_QUERIES)
@@ -34,7 +46,3 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     _load()
     return dict(_ORACLES)
-
-
-def _load() -> None:
-    from codeloom.plans import insights  # noqa: F401
