@@ -99,7 +99,7 @@ def signatures(offsets: np.ndarray, found: np.ndarray) -> np.ndarray:
 
 def _sign(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "n_shingles", "set_a", "set_b", "signature"]
-    for batch in shared.slices(batches, size=shared.SLICE_BYTES // 2):
+    for batch in shared.slices(batches, size=shared.SLICE_BYTES // 4):
         offsets, found = shingle_sets(batch.column("text"), size)
         n = np.diff(offsets)
         a, b = (shared.sums(shared.mixed(found ^ np.uint64(k)), offsets).astype(np.int64) for k in (0x243F6A8885A308D3, 0x13198A2E03707344))
@@ -166,6 +166,7 @@ def _whole_groups(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[pa.Ta
         held.append(batch.slice(last))
     if held:
         yield pa.Table.from_batches(held)
+    shared.give_back()
 
 
 class _Forest:
@@ -316,12 +317,9 @@ def near_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     )
     # Copies with equal sets are one node, named by the smallest doc_id.
     key = ["n_shingles", "set_a", "set_b"]
-    classes = shared.written(
-        rows.filter("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("node")), "classes"
-    )
-    nodes = classes.filter("node is not null")
-    owned = rows.select(F.col("doc_id").alias("node"), *key, "signature")
-    signed = shared.written(owned.join(nodes, ["node", *key], "left_semi").dropDuplicates(["node", *key]), "nodes")
+    classes = rows.filter("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("node"), F.first("signature").alias("signature"))
+    classes = shared.written(classes, "classes")
+    signed = classes.filter("node is not null")
 
     regions = _regions(signed)
     turned = regions.join(signed.select("node", "signature"), "node").select("node", "tree", "region", "signature")
@@ -336,11 +334,12 @@ def near_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     units = small.select("node", F.col("unit").cast("string").alias("unit"))
     if not large.isEmpty():
         units = units.union(regions.join(large, "node", "left_semi").select("node", F.format_string("%d-%d", "tree", "region").alias("unit")))
-    texts = docs.select(F.col("doc_id").alias("node"), "text").join(units, "node").repartition("unit").sortWithinPartitions("unit")
+    # Merged at every size: this side is small only in small corpora.
+    texts = docs.select(F.col("doc_id").alias("node"), "text").join(units.hint("merge"), "node").repartition("unit").sortWithinPartitions("unit")
     links = texts.select("unit", "node", "text").mapInArrow(partial(_true, size=size, percent=percent), f"a {kind}, b {kind}")
     reached = shared.components(links, "linked").select(F.col("id").alias("node"), "component")
 
-    named = classes.join(reached, "node", "left").select(*key, F.coalesce("component", "node").alias("component"))
+    named = classes.drop("signature").join(reached, "node", "left").select(*key, F.coalesce("component", "node").alias("component"))
     of = rows.drop("signature").join(named, key, "left")
     # Rows of one doc_id that have several texts meet in the component of the smallest.
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component"))

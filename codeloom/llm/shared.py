@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -68,10 +69,12 @@ def drop_written(df: DataFrame) -> None:
         _written.remove(entry)
 
 
-def bound_arrow_batches(spark: SparkSession, size: int = 64 << 20) -> None:
-    """Arrow batches are cut by bytes too, where this Spark can, so that long texts don't meet in one batch."""
+def bound_arrow_batches(spark: SparkSession, size: int = SLICE_BYTES) -> None:
+    """Arrow batches are cut by bytes too, so that long texts don't meet in one batch; a smaller bound stays."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(name, None) in (None, str(2**63 - 1), "-1"):
+    now = spark.conf.get(name, None)
+    digits = (now or "").rstrip("bB")
+    if not digits.isdigit() or int(digits) > size:
         spark.conf.set(name, str(size))
 
 
@@ -89,6 +92,15 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text", size: int =
             end = max(begin + 1, int(np.searchsorted(ends, done + size, side="right")))
             yield batch.slice(begin, end - begin)
             begin = end
+    give_back()
+
+
+def give_back() -> None:
+    """Returns memory that a worker has freed to the machine, as workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def words(text: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
