@@ -35,13 +35,13 @@ from pyspark.sql import functions as F
 from codeloom.llm import shared
 
 #: Words whose exact counts are broadcast, and the bytes of the longest.
-HEAD, HEAD_BYTES = 1 << 20, 64
+HEAD, HEAD_BYTES = 1 << 19, 64
 #: Bytes of filter that are broadcast at once.
 BROADCAST_BYTES = 96 << 20
 #: Pairs, at most, that are counted for one segment; pairs that a task gathers before it gives them out.
-SEGMENT, GATHERED = 1_000_000, 6_000_000
-#: Probes of an entry, and bits for each entry: 1 in 128 probes of a missing entry errs.
-PROBES, BITS = 7, 7 / np.log(2)
+SEGMENT, GATHERED = 1_000_000, 3_000_000
+#: Probes of an entry, and bits for each entry: 1 in 64 probes of a missing entry errs.
+PROBES, BITS = 6, 6 / np.log(2)
 #: Counts are told apart by factors of this.
 BASE = 2**0.5
 #: Low bits of a pair's key hold the magnitude of its first word's count.
@@ -133,7 +133,7 @@ def _places(keys: np.ndarray, level: int | np.ndarray, probe: int, bits: np.ndar
 
 
 def _count_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in shared.slices(batches):
+    for batch in shared.slices(batches, size=shared.SLICE_BYTES // 4):
         tokens = Tokens.of(batch.column("text"))
         yield pa.RecordBatch.from_arrays([tokens.distinct, pa.array(np.bincount(tokens.codes, minlength=len(tokens.distinct)).astype(np.int64))], ["word", "n"])
 
@@ -147,7 +147,7 @@ def _count_pairs(batches: Iterable[pa.RecordBatch], head, segments: int) -> Iter
         return pa.RecordBatch.from_arrays([pa.array(segment_of(keys, segments).astype(np.int32)), pa.array(keys.view(np.int64)), pa.array(n.astype(np.int32))], ["segment", "key", "n"])
 
     gathered = 0
-    for batch in shared.slices(batches, size=shared.SLICE_BYTES // 2):
+    for batch in shared.slices(batches, size=shared.SLICE_BYTES // 4):
         tokens = Tokens.of(batch.column("text"))
         held.append(pair_keys(tokens, _hashes(tokens.distinct), head.value.magnitudes(tokens.distinct)))
         gathered += len(tokens.codes)
@@ -192,15 +192,16 @@ def _build(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Filter:
     """The segments from one number to another, ready to be probed."""
 
-    def __init__(self, segments: int, begin: int, end: int, rows: list[tuple[int, int, bytes]]) -> None:
+    def __init__(self, segments: int, begin: int, end: int, rows: pa.Table) -> None:
+        rows = rows.sort_by("segment").combine_chunks()
         self.segments = segments
         self.here = (np.arange(segments) >= begin) & (np.arange(segments) < end)
         self.n_bits, self.begin = np.zeros(segments, np.uint64), np.zeros(segments, np.int64)
-        at = 0
-        for segment, n_bits, bits in rows:
-            self.n_bits[segment], self.begin[segment] = n_bits, at
-            at += len(bits)
-        self.bits = np.frombuffer(b"".join(bits for _, _, bits in rows), np.uint8)
+        at, sizes = np.asarray(rows["segment"]), np.asarray(pc.binary_length(rows["bits"])).astype(np.int64)
+        self.n_bits[at] = np.asarray(rows["n_bits"]).astype(np.uint64)
+        self.begin[at] = np.cumsum(sizes) - sizes
+        data = rows["bits"].chunk(0).buffers()[2] if len(at) else None
+        self.bits = np.frombuffer(data, np.uint8, int(sizes.sum())) if data is not None else np.zeros(1, np.uint8)
 
     def holds(self, keys: np.ndarray) -> np.ndarray:
         """Whether a key's segment is one of these."""
@@ -240,7 +241,7 @@ class Model:
 def _score(batches: Iterable[pa.RecordBatch], model: Model, head, counts, first: bool) -> Iterator[pa.RecordBatch]:
     """Each row's score from the pairs whose segments are here, and the words that are to be joined; from the first segments the rest, too."""
     found: Filter = counts.value
-    for batch in shared.slices(batches, size=shared.SLICE_BYTES // 2):
+    for batch in shared.slices(batches, size=shared.SLICE_BYTES // 4):
         tokens = Tokens.of(batch.column("text"))
         exact = head.value.counts_of(tokens.distinct)
         known = exact >= 0
@@ -349,9 +350,8 @@ def score(docs: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     schema = f"row long, doc_id {kind}, score double, n_tokens long, n_known long, base_score double, rest array<struct<word: string, open: boolean>>"
     for begin, end in zip(borders[:-1], borders[1:], strict=True):
         got = segments.filter((F.col("segment") >= begin) & (F.col("segment") < end)).select("segment", "n_bits", "bits").toArrow()
-        held_rows = sorted(zip(got["segment"].to_pylist(), got["n_bits"].to_pylist(), got["bits"].to_pylist(), strict=True))
-        counts = spark.sparkContext.broadcast(Filter(n_segments, begin, end, held_rows))
-        del got, held_rows
+        counts = spark.sparkContext.broadcast(Filter(n_segments, begin, end, got))
+        del got
         part = shared.written(rows.mapInArrow(partial(_score, model=model, head=head, counts=counts, first=begin == 0), schema), "parts")
         counts.destroy()
         parts = part if parts is None else parts.union(part)
