@@ -207,3 +207,15 @@ def test_pipeline_isolates_failures(spark):
 def test_yarn_lock_and_scripts(spark):
     html = "<script>a()</script><script src='x'>no</script><SCRIPT lang=\"ts\">b()</SCRIPT><script lang='py'>no</script>"
     assert spark.createDataFrame([(html,)], "html string").select(sources_text.scripts(F.col("html")).alias("s")).first().s == "a()\nb()"
+
+
+def test_source_files_are_walked(spark, tmp_path):
+    from codeloom.sources import files
+
+    for name in ("src/a.ts", "src/b.d.ts", "src/deep/c.vue", "node_modules/x/d.ts", ".git/e.js", "readme.md"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(f"// {name}")
+    found = {r.relative_path: r.text for r in files.source_files(spark, f"file://{tmp_path}").collect()}
+    assert found == {"src/a.ts": "// src/a.ts", "src/deep/c.vue": "// src/deep/c.vue"}
+    (tmp_path / "report.json").write_text('noise\n{"issues": [{"file": "a"}]}\nmore')
+    assert files.json_report(spark, f"file://{tmp_path}/report.json", "issues array<struct<file:string>>").first().issues[0].file == "a"
