@@ -10,18 +10,27 @@ import tempfile
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or in a local session without one a temporary folder, then set."""
+    context = spark.sparkContext
+    at = context._jsc.sc().getCheckpointDir()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or (at.get() if at.isDefined() else None)
+    if folder is None:
+        if not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = f"file://{tempfile.mkdtemp(prefix='codeloom-')}"
+    if not at.isDefined():
+        context.setCheckpointDir(folder)
+    return folder
+
+
 def settled(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the checkpoint folder."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None and not context.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        context.setCheckpointDir(folder or f"file://{tempfile.mkdtemp(prefix='codeloom-')}")
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 

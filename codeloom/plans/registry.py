@@ -13,7 +13,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
-_MODULES = ("insights", "scalars", "filters", "joins", "aggregates", "ordering", "text", "graphs", "sinks", "streams")
+_MODULES = ("insights", "scalars", "filters", "joins", "aggregates", "ordering", "text", "graphs", "sinks", "streams", "entities", "api")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Callable[[Bound], DataFrame]], Callable[[Bound], DataFrame]]:

@@ -105,22 +105,6 @@ def barrel(b: Bound) -> DataFrame:
     return b("modules").select(s.alias("id"), sources_text.is_barrel(s % 6, s % 4, s % 5 == 0).alias("barrel"))
 
 
-@query("ext04_entities", "SELECT 'm' || doc_id AS module_id, unnest(['class', 'const']) AS kind, unnest(['K' || doc_id, 'v']) AS name FROM documents")
-def entities(b: Bound) -> DataFrame:
-    """Declared entities by kind; read by pattern, so nested ones count as well."""
-    found = F.explode(F.regexp_extract_all("text", F.lit(sources_text.EXPORT), F.lit(0))).alias("found")
-    return _source(b).select(F.col("id").alias("module_id"), found).select("module_id", F.regexp_extract("found", sources_text.EXPORT, 1).alias("kind"), F.regexp_extract("found", sources_text.EXPORT, 2).alias("name"))
-
-
-@query("ext08_parameters", "SELECT n_nationkey AS id, unnest([0, 1]) AS place, unnest(['a' || n_nationkey, 'b']) AS name FROM nation")
-def parameters(b: Bound) -> DataFrame:
-    """Parameters that are plain names, in order; patterns are left out."""
-    text = F.concat(F.lit("(a"), F.col("n_nationkey").cast("string"), F.lit(": string, b?: T, { c, d }: U)"))
-    inner = F.regexp_replace(F.regexp_extract(text, r"\((.*)\)", 1), r"\{[^}]*\}", "{}")
-    names = F.filter(F.transform(F.split(inner, ","), lambda p: F.regexp_extract(F.trim(p), r"^([\w$]+)", 1)), lambda p: p != "")
-    return b("nation").select(F.col("n_nationkey").alias("id"), F.posexplode(names).alias("place", "name"))
-
-
 @query("ext12_variable_initializers", "SELECT doc_id, CASE WHEN length(text) > 500 THEN left(text, 500) || '...' ELSE text END AS initializer FROM documents")
 def initializers(b: Bound) -> DataFrame:
     return b("documents").select("doc_id", scalars.truncate(F.col("text"), 500, "...").alias("initializer"))
