@@ -19,7 +19,8 @@ from __future__ import annotations
 import codecs
 import hashlib
 import re
-from collections.abc import Iterable, Iterator
+from array import array
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache, partial
 
 import numpy as np
@@ -32,8 +33,8 @@ from codeloom.llm import shared
 SPACE_MARK = "▁"
 #: Bytes that are no character become one replacement each.
 codecs.register_error("codeloom-bytewise", lambda e: ("\ufffd", e.start + 1))
-#: Segments that a worker remembers, and the longest of them.
-REMEMBERED, REMEMBERED_CHARS = 300_000, 48
+#: Segments in each of the two generations that a worker remembers, the longest of them, and pairs of tokens.
+REMEMBERED, REMEMBERED_CHARS, PAIRS = 250_000, 48, 400_000
 
 
 class PieceTable:
@@ -71,8 +72,9 @@ class PieceTable:
             found.add_word(piece, (len(piece), k))
         found.make_automaton()
         self.found = found
-        self.fits: dict[tuple[int, int], bool] = {}
-        self.known: dict[str, bytes] = {}
+        self.fits: dict[int, bool] = {}
+        self.recent: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.foreign = re.compile("[^" + "".join(map(re.escape, self.single)) + "]")
         self.decimal = pa.array([f"{k},".encode() for k in range(n)], pa.binary())
         self.bytes_of = pa.array(
@@ -106,16 +108,6 @@ class PieceTable:
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether the merges leave the border between tokens a and b, which stand side by side."""
-        key = a, b
-        fits = self.fits.get(key)
-        if fits is None:
-            fits = self._compatible(a, b)
-            if len(self.fits) > 250_000:
-                self.fits.clear()
-            self.fits[key] = fits
-        return fits
-
-    def _compatible(self, a: int, b: int) -> bool:
         rank, text, merge_rank = self.rank, self.text, self.merge_rank
         until = 1 << 60
         while True:
@@ -128,49 +120,70 @@ class PieceTable:
             else:  # of equal merges the left one comes first
                 until, b = rank[b] + 1, self.left[b]
 
-    def _table(self, run: str) -> list[int]:
-        """Ids of a run of characters that are all pieces, without runs of spaces."""
+    def _table(self, run: str) -> list[int] | None:
+        """Ids of a run without runs of spaces; None if it has a character that is no piece."""
         n = len(run)
-        last, size, filled = [0] * n, [0] * n, -1
-        compatible = self.compatible
+        last, size, filled, fits = [0] * n, [0] * n, -1, self.fits
         for end, (length, k) in self.found.iter(run):
             if filled == end:
                 continue
             before = end - length
-            if before < 0 or compatible(last[before], k):
-                last[end], size[end], filled = k, length, end
+            if before >= 0:
+                if not size[before]:
+                    continue
+                key = last[before] << 20 | k
+                fit = fits.get(key)
+                if fit is None:
+                    fit = self.compatible(last[before], k)
+                    if len(fits) >= PAIRS:
+                        fits.clear()
+                    fits[key] = fit
+                if not fit:
+                    continue
+            last[end], size[end], filled = k, length, end
         ids, at = [], n - 1
         while at >= 0:
+            if not size[at]:
+                return None
             ids.append(last[at])
             at -= size[at]
-        return ids[::-1]
+        ids.reverse()
+        return ids
 
     def _word(self, segment: str) -> list[int]:
         """Ids of a segment with a space at most at its begin."""
+        ids = self._table(segment)
+        if ids is not None:
+            return ids
         out: list[int] = []
         at = 0
         for m in self.foreign.finditer(segment):
             if m.start() > at:
-                out += self._remembered(segment[at : m.start()])
+                out += self._run(segment[at : m.start()])
             out += [self.byte_id[x] for x in m[0].encode()]
             at = m.end()
         if at < len(segment):
-            out += self._remembered(segment[at:])
+            out += self._run(segment[at:])
         return out
 
-    def _remembered(self, run: str) -> list[int]:
-        got = self.known.get(run)
-        if got is not None:
-            return np.frombuffer(got, np.int32).tolist()
-        ids = self._table(run)
-        if len(run) <= REMEMBERED_CHARS:
-            self._remember(run, np.asarray(ids, np.int32).tobytes())
+    def _run(self, run: str) -> array:
+        """Ids of a run between characters that are no pieces."""
+        ids = array("i")
+        ids.frombytes(self._remembered(run, self._table))
         return ids
 
-    def _remember(self, segment: str, ids: bytes) -> None:
-        if len(self.known) >= REMEMBERED:
-            self.known.clear()
-        self.known[segment] = ids
+    def _remembered(self, segment: str, encode: Callable[[str], list[int]]) -> bytes:
+        """What encode gives for a segment, as int32; of two generations the older is dropped when the newer is full."""
+        got = self.recent.get(segment)
+        if got is None:
+            got = self.older.get(segment)
+            if got is None:
+                got = array("i", encode(segment)).tobytes()
+            if len(segment) <= REMEMBERED_CHARS:
+                if len(self.recent) >= REMEMBERED:
+                    self.older, self.recent = self.recent, {}
+                self.recent[segment] = got
+        return got
 
     def spaces(self, n: int) -> list[int]:
         """Ids of n spaces: from the left, each grows as long as longer runs are pieces."""
@@ -193,22 +206,18 @@ class PieceTable:
 
     def segment(self, segment: str) -> bytes:
         """Ids (int32) of some spaces followed by other characters."""
-        got = self.known.get(segment)
-        if got is None:
-            rest = segment.lstrip(SPACE_MARK)
-            n = len(segment) - len(rest)
-            if n < 2:
-                ids = self._word(segment) if rest else self.spaces(n)
-            elif not rest:
-                ids = self.spaces(n)
-            else:
-                ids = self._word(SPACE_MARK + rest)
-                alone = ids[0] == self.single[SPACE_MARK]
-                ids = self.spaces(n) + ids[1:] if alone else self.spaces(n - 1) + ids
-            got = np.asarray(ids, np.int32).tobytes()
-            if len(segment) <= REMEMBERED_CHARS:
-                self._remember(segment, got)
-        return got
+        return self._remembered(segment, self._segment)
+
+    def _segment(self, segment: str) -> list[int]:
+        rest = segment.lstrip(SPACE_MARK)
+        n = len(segment) - len(rest)
+        if not rest:
+            return self.spaces(n)
+        if n < 2:
+            return self._word(segment)
+        ids = self._word(SPACE_MARK + rest)
+        alone = ids[0] == self.single[SPACE_MARK]
+        return self.spaces(n) + ids[1:] if alone else self.spaces(n - 1) + ids
 
     def encode_all(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Offsets of each text's ids (one more than texts), and the ids."""
@@ -278,7 +287,7 @@ def piece_table(path: str) -> PieceTable:
 
 def _round_trip(batches: Iterable[pa.RecordBatch], path: str, keep: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
     table = piece_table(path)
-    for batch in shared.slices(batches, size=shared.SLICE_BYTES // 2):
+    for batch in shared.slices(batches):
         offsets, ids = table.encode_all(batch.column("text"))
         held = pa.array(ids)
         ends = np.concatenate([[0], np.cumsum(np.asarray(pc.binary_length(table.decimal)).astype(np.int64)[ids])])[offsets]
