@@ -21,6 +21,7 @@ word's factor can be added then.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import partial
@@ -69,8 +70,36 @@ def count_of(level: np.ndarray) -> np.ndarray:
     return np.asarray(table)[level]
 
 
+#: Bytes that are hashed at a time, and a number for each byte and place; made by rule.
+_BLOCK = 1 << 20
+_BYTE = shared.mixed(np.arange(1, 257, dtype=np.uint64))
+_POWER = np.multiply.accumulate(np.where(np.arange(_BLOCK + 1) == 0, np.uint64(1), np.uint64(0x9E3779B97F4A7C15)))
+
+
 def _hashes(distinct: pa.Array) -> np.ndarray:
-    return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in distinct.cast(pa.binary()).to_pylist()), np.uint64, len(distinct))
+    """64-bit hashes of words: polynomials in their bytes' numbers, from sums over all bytes of a block, then mixed.
+
+    A word's sum holds a power of its place; a second power makes the places
+    equal. Words too long for a block are hashed alone.
+    """
+    distinct = distinct.cast(pa.large_binary())
+    bounds = np.frombuffer(distinct.buffers()[1], np.int64, len(distinct) + 1, distinct.offset * 8)
+    data = np.frombuffer(distinct.buffers()[2], np.uint8) if distinct.buffers()[2] is not None else np.zeros(0, np.uint8)
+    out = np.zeros(len(distinct), np.uint64)
+    begin = 0
+    while begin < len(distinct):
+        end = int(np.searchsorted(bounds, bounds[begin] + _BLOCK, side="right")) - 1
+        if end <= begin:
+            word = data[bounds[begin] : bounds[begin + 1]]
+            out[begin] = xxhash.xxh3_64_intdigest(word.tobytes())
+            begin += 1
+            continue
+        first, at = bounds[begin], bounds[begin : end + 1] - bounds[begin]
+        with np.errstate(over="ignore"):
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[data[first : bounds[end]]] * _POWER[: at[-1]], dtype=np.uint64)])
+            out[begin:end] = (sums[at[1:]] - sums[at[:-1]]) * _POWER[_BLOCK - at[:-1]]
+        begin = end
+    return shared.mixed(out)
 
 
 @dataclass
@@ -126,14 +155,15 @@ def segment_of(keys: np.ndarray, segments: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(segments) >> np.uint64(32)).astype(np.int64)
 
 
-def _places(keys: np.ndarray, level: int | np.ndarray, probe: int, bits: np.ndarray | np.uint64) -> np.ndarray:
+def _probes(keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the probes of keys at a level begin, and by what they go on."""
     with np.errstate(over="ignore"):
-        a = shared.mixed(keys + np.asarray(level, np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-        return (a + np.uint64(probe) * (shared.mixed(a) | np.uint64(1))) % bits
+        begin = shared.mixed(keys + np.uint64(level) * np.uint64(0xD6E8FEB86659FD93))
+    return begin, shared.mixed(begin) | np.uint64(1)
 
 
 def _count_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in shared.slices(batches, size=shared.SLICE_BYTES // 4):
+    for batch in shared.slices(batches, size=shared.SLICE_BYTES // 2):
         tokens = Tokens.of(batch.column("text"))
         yield pa.RecordBatch.from_arrays([tokens.distinct, pa.array(np.bincount(tokens.codes, minlength=len(tokens.distinct)).astype(np.int64))], ["word", "n"])
 
@@ -147,7 +177,7 @@ def _count_pairs(batches: Iterable[pa.RecordBatch], head, segments: int) -> Iter
         return pa.RecordBatch.from_arrays([pa.array(segment_of(keys, segments).astype(np.int32)), pa.array(keys.view(np.int64)), pa.array(n.astype(np.int32))], ["segment", "key", "n"])
 
     gathered = 0
-    for batch in shared.slices(batches, size=shared.SLICE_BYTES // 4):
+    for batch in shared.slices(batches, size=shared.SLICE_BYTES // 2):
         tokens = Tokens.of(batch.column("text"))
         held.append(pair_keys(tokens, _hashes(tokens.distinct), head.value.magnitudes(tokens.distinct)))
         gathered += len(tokens.codes)
@@ -176,9 +206,10 @@ def _build(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n_bits = np.uint64(max(64, int(levels.sum() * BITS)))
             flags = np.zeros(int(n_bits), bool)
             for level in range(1, int(levels.max()) + 1):
-                entered = found[levels >= level]
-                for probe in range(PROBES):
-                    flags[_places(entered, level, probe, n_bits)] = True
+                place, step = _probes(found[levels >= level], level)
+                for _ in range(PROBES):
+                    flags[place % n_bits] = True
+                    place += step
             tags = (found & np.uint64((1 << TAG_BITS) - 1)).astype(np.int64)
             stats = [np.bincount(tags, weights=w, minlength=64).astype(np.int64) for w in (np.ones(len(tags)), counts == 1, counts == 2, counts)]
             some = np.flatnonzero(stats[0])
@@ -211,14 +242,16 @@ class Filter:
         """The level of each of the sorted keys; 0 where it was never entered."""
         out = np.zeros(len(keys), np.int64)
         segment = segment_of(keys, self.segments)
-        bits, begin = self.n_bits[segment], self.begin[segment]
-        left, level = np.flatnonzero(bits), 0
+        left, level = np.flatnonzero(self.n_bits[segment]), 0
         while len(left):
             level += 1
-            for probe in range(PROBES):
-                place = _places(keys[left], level, probe, bits[left])
-                hit = self.bits[begin[left] + (place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8) & 1
-                left = left[hit.astype(bool)]
+            bits, begin = self.n_bits[segment[left]], self.begin[segment[left]]
+            at, step = _probes(keys[left], level)
+            for _ in range(PROBES):
+                place = at % bits
+                hit = (self.bits[begin + (place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+                left, bits, begin, step = left[hit], bits[hit], begin[hit], step[hit]
+                at = at[hit] + step
             out[left] = level
         return out
 
@@ -241,7 +274,7 @@ class Model:
 def _score(batches: Iterable[pa.RecordBatch], model: Model, head, counts, first: bool) -> Iterator[pa.RecordBatch]:
     """Each row's score from the pairs whose segments are here, and the words that are to be joined; from the first segments the rest, too."""
     found: Filter = counts.value
-    for batch in shared.slices(batches, size=shared.SLICE_BYTES // 4):
+    for batch in shared.slices(batches, size=shared.SLICE_BYTES // 2):
         tokens = Tokens.of(batch.column("text"))
         exact = head.value.counts_of(tokens.distinct)
         known = exact >= 0
@@ -284,10 +317,13 @@ def _head(words: DataFrame) -> tuple[Head, bool, float]:
     """
     top = 1 << 20
     by = words.groupBy(F.least("n", F.lit(top)).alias("n"), (F.octet_length("word") <= HEAD_BYTES).alias("short")).agg(F.count("*").alias("words"), F.sum("n").alias("total"))
-    rows = sorted(by.collect(), key=lambda r: -r.n)  # one row for each count below 2**20
+    rows = by.collect()  # two rows for each count below 2**20, at most
+    fit = Counter()
+    for r in rows:
+        fit[r.n] += r.words if r.short else 0
     least, held = top, 0
-    for n in sorted({r.n for r in rows}, reverse=True):
-        held += sum(r.words for r in rows if r.n == n and r.short)
+    for n in sorted(fit, reverse=True):
+        held += fit[n]
         if held > HEAD:
             break
         least = n

@@ -280,6 +280,26 @@ def test_language_model_of_nothing(spark):
     assert (only[0].train_tokens, only[0].n_known, only[0].n_tokens) == (0, 0, 3)
 
 
+def test_word_hashes_are_distinct_and_agree(texts):
+    import numpy as np
+
+    every = sorted({w for t in texts.values() for w in helpers.words(t)} | {"a", "b", "ab", "ba", "", "aa", "a" * 3_000_000, "b" * 1_100_000, "é", "中"})
+    found = language_model._hashes(pa.array(every))
+    assert found.dtype == np.uint64 and len(np.unique(found)) == len(every)
+    assert (language_model._hashes(pa.array(every[7:90])) == found[7:90]).all()
+    assert (language_model._hashes(pa.array(every).slice(7, 83)) == found[7:90]).all()
+
+
+def test_pairs_are_told_apart(spark):
+    """A pair that was learned often is likelier than one of words as frequent that was not."""
+    train = [k for k in range(400) if not helpers.held_out(k)][:300]
+    test = [k for k in range(400, 500) if helpers.held_out(k)][:2]
+    texts = ["north star west wind" if k % 2 else "west wind north star" for k in train] + ["north star", "north wind"]
+    got = {r.doc_id: r for r in language_model.score(table(spark, texts, train + test)).collect()}
+    assert got[test[0]].base_score == pytest.approx(got[test[1]].base_score)
+    assert got[test[0]].score > got[test[1]].score + 1
+
+
 def test_quantised_counts():
     import numpy as np
 
