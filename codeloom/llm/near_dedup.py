@@ -99,7 +99,7 @@ def signatures(offsets: np.ndarray, found: np.ndarray) -> np.ndarray:
 
 def _sign(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "n_shingles", "set_a", "set_b", "signature"]
-    for batch in shared.slices(batches, size=shared.SLICE_BYTES // 4):
+    for batch in shared.slices(batches, size=shared.SLICE_BYTES // 2):
         offsets, found = shingle_sets(batch.column("text"), size)
         n = np.diff(offsets)
         a, b = (shared.sums(shared.mixed(found ^ np.uint64(k)), offsets).astype(np.int64) for k in (0x243F6A8885A308D3, 0x13198A2E03707344))
@@ -120,7 +120,7 @@ def _turn(tree: int) -> np.ndarray:
 def _keys(batches: Iterable[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
     """Each text's region at the depth, in every tree, or in the trees that the rows name."""
     for batch in batches:
-        for part in (batch.slice(k, 20_000) for k in range(0, batch.num_rows, 20_000)):
+        for part in (batch.slice(k, 4_000) for k in range(0, batch.num_rows, 4_000)):
             whole = _matrix(part)
             named = np.asarray(part.column("tree")) if "tree" in part.schema.names else None
             for tree in range(TREES):
@@ -140,7 +140,7 @@ def _turned(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The rows with a small form of the signature, a byte for each value, in the tree's order."""
     width = TREES * DEPTH
     for batch in batches:
-        for part in (batch.slice(k, 20_000) for k in range(0, batch.num_rows, 20_000)):
+        for part in (batch.slice(k, 4_000) for k in range(0, batch.num_rows, 4_000)):
             small = ((_matrix(part) * np.uint32(2654435761)) >> np.uint32(24)).astype(np.uint8)
             turns = np.stack([_turn(tree) for tree in range(TREES)])[np.asarray(part.column("tree"))]
             turned = np.ascontiguousarray(np.take_along_axis(small, turns, axis=1))

@@ -19,7 +19,7 @@ SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
 #: The same as a pattern for Java and RE2.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Text bytes that an Arrow function works on at once.
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 4 << 20
 
 _written: list[tuple[SparkSession, str]] = []
 
