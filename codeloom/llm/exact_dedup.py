@@ -80,15 +80,11 @@ def kept_documents(docs: DataFrame) -> DataFrame:
     """
     rows = shared.written(digests(docs.select("doc_id", "text")), "digests")
     none = F.lit(-(1 << 63)).cast("long")
-    stay = merge_runs(rows).select(F.coalesce("keep_id", none).alias("_id"), *(F.col(c).alias(f"_{c}") for c in KEY))
-    keys = ["_id", *(f"_{c}" for c in KEY)]
-    plain = docs.withColumn("_plain", without_space(docs["text"]))
-    keyed = plain.withColumns(
-        {
-            "_id": F.coalesce(docs["doc_id"], none),
-            "_text_sha256": F.sha2("_plain", 256),
-            "_n_bytes": F.octet_length("_plain"),
-            "_check": F.xxhash64("_plain"),
-        }
-    ).drop("_plain")
-    return keyed.dropDuplicates(keys).join(stay, keys, "left_semi").select(*(keyed[c] for c in docs.columns))
+    own = shared.unused_prefix(docs)
+    keys = [f"{own}id", *(f"{own}{c}" for c in KEY)]
+    stay = merge_runs(rows).select(F.coalesce("keep_id", none).alias(keys[0]), *(F.col(c).alias(f"{own}{c}") for c in KEY))
+    plain = docs.withColumn(f"{own}plain", without_space(docs["text"]))
+    text = F.col(f"{own}plain")
+    keyed = plain.withColumns(dict(zip(keys, (F.coalesce(docs["doc_id"], none), F.sha2(text, 256), F.octet_length(text), F.xxhash64(text)), strict=True)))
+    kept = keyed.drop(f"{own}plain").dropDuplicates(keys).join(stay, keys, "left_semi")
+    return kept.drop(*keys).select(*(f"`{c}`" for c in docs.columns))

@@ -90,9 +90,11 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     """The documents of the mix, with all columns of docs, each as often as it is taken."""
     sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"))
     plan = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
-    plan = plan.select(*(F.col(c).alias(f"_mix_{c}") for c in plan.columns))
-    rate = F.when(F.col("_mix_source_size") > 0, F.col("_mix_target") / F.col("_mix_source_size")).otherwise(F.lit(0.0))
+    own = shared.unused_prefix(docs)
+    plan = plan.select(*(F.col(c).alias(f"{own}{c}") for c in plan.columns))
+    size, target = F.col(f"{own}source_size"), F.col(f"{own}target")
+    rate = F.when(size > 0, target / size).otherwise(F.lit(0.0))
     draws = (draw(docs["doc_id"], seed) < rate - F.floor(rate)).cast("int")
-    joined = docs.join(plan, docs["source"].eqNullSafe(plan["_mix_source"]))
-    copies = F.explode(F.array_repeat(F.lit(1), F.floor(rate).cast("int") + draws)).alias("_mix_copy")
-    return joined.select(*(docs[c] for c in docs.columns), copies).drop("_mix_copy")
+    joined = docs.join(plan, docs["source"].eqNullSafe(plan[f"{own}source"]))
+    copies = F.explode(F.array_repeat(F.lit(1), F.floor(rate).cast("int") + draws)).alias(f"{own}copy")
+    return joined.select(*shared.columns_of(docs), copies).drop(f"{own}copy")

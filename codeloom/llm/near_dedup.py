@@ -351,5 +351,6 @@ def near_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 def distinct_documents(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs that stay, one document of each group, with all their columns, whatever their names."""
     found = shared.written(near_components(docs, size, percent).select("doc_id", "kept"), "near")
-    gone = found.filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    own = f"{shared.unused_prefix(docs)}gone"
+    gone = found.filter("not kept").select(F.col("doc_id").alias(own)).distinct()
+    return docs.join(gone, docs["doc_id"] == gone[own], "left_anti")

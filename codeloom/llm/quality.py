@@ -10,12 +10,14 @@ rejects, needs the ledger only and no text.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from codeloom.llm import shared
 
@@ -113,18 +115,16 @@ def _measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(found[m].astype(np.int64)) for m in MEASURES)], ["doc_id", *MEASURES])
 
 
-def _with_measures(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in shared.slices(batches):
-        found = measured(batch.column("text"))
-        yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(found[m].astype(np.int64)) for m in MEASURES)], [*batch.schema.names, *(f"_q_{m}" for m in MEASURES)])
+def _with_measures(batches: Iterable[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
+    for batch in shared.slices(batches, text):
+        found = measured(batch.column(text))
+        yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(found[m].astype(np.int64)) for m in MEASURES)], [*batch.schema.names, *MEASURES])
 
 
-def failed_bits(prefix: str = "") -> Column:
+def failed_bits() -> Column:
     """The bits of the rules that a document fails, from its measurements."""
     bits = F.lit(0).cast("long")
     for name, rule in RULES.items():
-        for m in MEASURES:
-            rule = rule.replace(m, f"`{prefix}{m}`") if prefix else rule
         bits = bits.bitwiseOR(F.when(F.expr(rule), F.lit(BIT[name]).cast("long")).otherwise(F.lit(0).cast("long")))
     return bits
 
@@ -168,8 +168,7 @@ def ablations(rows: DataFrame, policy: str = "v1") -> DataFrame:
 def good_documents(docs: DataFrame, policy: str = "v1") -> DataFrame:
     """The rows of docs that the policy keeps, with all their columns, whatever their names."""
     shared.bound_arrow_batches(docs.sparkSession)
-    from pyspark.sql.types import LongType, StructField, StructType
-
-    schema = StructType([*docs.schema.fields, *(StructField(f"_q_{m}", LongType()) for m in MEASURES)])
-    found = docs.mapInArrow(_with_measures, schema)
-    return found.filter(failed_bits("_q_").bitwiseAND(F.lit(POLICIES[policy] | BASE)) == 0).select(*(f"`{c}`" for c in docs.columns))
+    placed = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))
+    schema = StructType([*placed.schema.fields, *(StructField(m, LongType()) for m in MEASURES)])
+    found = placed.mapInArrow(partial(_with_measures, text=f"c{docs.columns.index('text')}"), schema)
+    return found.filter(failed_bits().bitwiseAND(F.lit(POLICIES[policy] | BASE)) == 0).drop(*MEASURES).toDF(*docs.columns)

@@ -11,7 +11,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a run of characters other than these.
@@ -69,6 +69,19 @@ def drop_written(df: DataFrame) -> None:
         _written.remove(entry)
 
 
+def unused_prefix(docs: DataFrame) -> str:
+    """A prefix that no column of docs begins with, for columns that stand beside them for a while."""
+    prefix = "_own_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    return prefix
+
+
+def columns_of(docs: DataFrame) -> list[Column]:
+    """The columns of docs as they are, whatever their names."""
+    return [docs[f"`{c.replace('`', '``')}`"] for c in docs.columns]
+
+
 def bound_arrow_batches(spark: SparkSession, size: int = SLICE_BYTES) -> None:
     """Arrow batches are cut by bytes too, so that long texts don't meet in one batch; a smaller bound stays."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"

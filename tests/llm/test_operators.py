@@ -42,6 +42,16 @@ def fuzz(n, alphabet, longest, seed):
     return ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, longest))) for _ in range(n)]
 
 
+def test_filters_keep_columns_of_any_name(spark):
+    """Names with dots, and names that operators use themselves."""
+    names = ["doc_id", "text", "lang", "source", "n_chars", "_own_id", "a.b", "_own_n_words", "keep_id", "size", "_own_source"]
+    given = [(k, f"{'word ' if k % 2 else 'other '} text of many words that number {k // 2} repeats here now", "en", "s", 1, "i", "d", 7, "k", "z", "o") for k in range(6)]
+    frame = spark.createDataFrame(given, names)
+    for kept in (quality.good_documents(frame), exact_dedup.kept_documents(frame), near_dedup.distinct_documents(frame), mixing.mixed_documents(frame)):
+        assert kept.columns == names
+        assert {tuple(r) for r in kept.collect()} <= set(given)
+
+
 # Token counts
 
 
