@@ -163,7 +163,7 @@ def _probes(keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _count_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in shared.slices(batches, size=shared.SLICE_BYTES // 2):
+    for batch in shared.slices(batches):
         tokens = Tokens.of(batch.column("text"))
         yield pa.RecordBatch.from_arrays([tokens.distinct, pa.array(np.bincount(tokens.codes, minlength=len(tokens.distinct)).astype(np.int64))], ["word", "n"])
 
@@ -171,21 +171,23 @@ def _count_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _count_pairs(batches: Iterable[pa.RecordBatch], head, segments: int) -> Iterator[pa.RecordBatch]:
     held: list[np.ndarray] = []
 
-    def out() -> pa.RecordBatch:
+    def out() -> Iterator[pa.RecordBatch]:
         keys, n = np.unique(np.concatenate(held), return_counts=True)
         held.clear()
-        return pa.RecordBatch.from_arrays([pa.array(segment_of(keys, segments).astype(np.int32)), pa.array(keys.view(np.int64)), pa.array(n.astype(np.int32))], ["segment", "key", "n"])
+        for k in range(0, len(keys), 1 << 16):  # small batches, as both sides of the worker's stream hold one
+            some = keys[k : k + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(segment_of(some, segments).astype(np.int32)), pa.array(some.view(np.int64)), pa.array(n[k : k + (1 << 16)].astype(np.int32))], ["segment", "key", "n"])
 
     gathered = 0
-    for batch in shared.slices(batches, size=shared.SLICE_BYTES // 2):
+    for batch in shared.slices(batches):
         tokens = Tokens.of(batch.column("text"))
         held.append(pair_keys(tokens, _hashes(tokens.distinct), head.value.magnitudes(tokens.distinct)))
         gathered += len(tokens.codes)
         if gathered >= GATHERED:
-            yield out()
+            yield from out()
             gathered = 0
     if held:
-        yield out()
+        yield from out()
 
 
 _STATS = "segment int, n_bits long, bits binary, tag array<int>, types array<long>, once array<long>, twice array<long>, tokens array<long>"
@@ -274,7 +276,7 @@ class Model:
 def _score(batches: Iterable[pa.RecordBatch], model: Model, head, counts, first: bool) -> Iterator[pa.RecordBatch]:
     """Each row's score from the pairs whose segments are here, and the words that are to be joined; from the first segments the rest, too."""
     found: Filter = counts.value
-    for batch in shared.slices(batches, size=shared.SLICE_BYTES // 2):
+    for batch in shared.slices(batches):
         tokens = Tokens.of(batch.column("text"))
         exact = head.value.counts_of(tokens.distinct)
         known = exact >= 0
@@ -389,8 +391,9 @@ def score(docs: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
         counts = spark.sparkContext.broadcast(Filter(n_segments, begin, end, got))
         del got
         part = shared.written(rows.mapInArrow(partial(_score, model=model, head=head, counts=counts, first=begin == 0), schema), "parts")
-        counts.destroy()
+        counts.destroy()  # workers would keep it else
         parts = part if parts is None else parts.union(part)
+    head.destroy()
     if len(borders) > 2:
         whole = parts.groupBy("row").agg(F.first("doc_id", ignorenulls=True).alias("doc_id"), *(F.sum(c).alias(c) for c in ("score", "n_tokens", "n_known", "base_score")))
     else:
