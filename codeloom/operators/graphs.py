@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from codeloom.workers import ship_code
+
 
 def checkpoint_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or in a local session without one a temporary folder, then set."""
@@ -142,6 +144,7 @@ def articulation_points(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     Bridges to single vertices are settled by counting; the rest of each
     connected component is walked in one task, so a component must fit there.
     """
+    ship_code(edges.sparkSession)
     one = settled(edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).filter("src <> dst").distinct())
     where = connected(vertices, one).withColumnRenamed("id", "src")
     kind = edges.schema["src"].dataType.simpleString()
@@ -298,6 +301,7 @@ def back_edges(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     A walk in order runs over one strongly connected component at a time, as no
     cycle leaves one; a component must fit in a task.
     """
+    ship_code(edges.sparkSession)
     where = settled(strongly_connected(vertices, edges))
     a = where.select(F.col("id").alias("src"), F.col("component").alias("a"))
     b = where.select(F.col("id").alias("dst"), F.col("component").alias("b"))
