@@ -358,7 +358,7 @@ def score(docs: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     names, are left out; an empty table gives an empty table.
     """
     spark = docs.sparkSession
-    shared.bound_arrow_batches(spark)
+    shared.ready_workers(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
     training = docs.filter(~held_out(F.col("doc_id"))).select("text")
     words = shared.written(training.mapInArrow(_count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")

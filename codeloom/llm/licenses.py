@@ -187,7 +187,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, containment:
     columns, whatever their names, are left out; an empty table gives an empty
     table.
     """
-    shared.bound_arrow_batches(docs.sparkSession)
+    shared.ready_workers(docs.sparkSession)
     chosen = tuple((templates or TEMPLATES).items())
     if sum(len(t) for _, t in chosen) > MOST_TEMPLATES:
         raise ValueError("the templates are too large to be sent to every worker")

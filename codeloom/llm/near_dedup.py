@@ -310,7 +310,7 @@ def near_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     it is kept. Other columns, whatever their names, are left out; an empty
     table gives an empty table.
     """
-    shared.bound_arrow_batches(docs.sparkSession)
+    shared.ready_workers(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = shared.written(
         docs.select("doc_id", "text").mapInArrow(partial(_sign, size=size), f"doc_id {kind}, n_shingles long, set_a long, set_b long, signature binary"), "signatures"

@@ -317,7 +317,7 @@ def encode_decode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("n_tokens
     to the empty text; a null doc_id stays null; other columns, whatever their
     names, are left out; an empty table gives an empty table.
     """
-    shared.bound_arrow_batches(docs.sparkSession)
+    shared.ready_workers(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = ", ".join([f"doc_id {kind}", *(f"{c} {_TYPES[c]}" for c in keep)])
     return docs.select("doc_id", "text").mapInArrow(partial(_round_trip, path=path, keep=tuple(keep)), schema)

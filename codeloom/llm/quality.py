@@ -136,7 +136,7 @@ def ledger(docs: DataFrame) -> DataFrame:
     stays null; other columns, whatever their names, are left out; an empty
     table gives an empty table.
     """
-    shared.bound_arrow_batches(docs.sparkSession)
+    shared.ready_workers(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     found = docs.select("doc_id", "text").mapInArrow(_measure, ", ".join([f"doc_id {kind}", *(f"{m} long" for m in MEASURES)]))
     return found.withColumn("failed", failed_bits())
@@ -167,7 +167,7 @@ def ablations(rows: DataFrame, policy: str = "v1") -> DataFrame:
 
 def good_documents(docs: DataFrame, policy: str = "v1") -> DataFrame:
     """The rows of docs that the policy keeps, with all their columns, whatever their names."""
-    shared.bound_arrow_batches(docs.sparkSession)
+    shared.ready_workers(docs.sparkSession)
     placed = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))
     schema = StructType([*placed.schema.fields, *(StructField(m, LongType()) for m in MEASURES)])
     found = placed.mapInArrow(partial(_with_measures, text=f"c{docs.columns.index('text')}"), schema)

@@ -14,6 +14,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codeloom.workers import ship_code
+
 #: A word is a run of characters other than these.
 SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
 #: The same as a pattern for Java and RE2.
@@ -82,8 +84,9 @@ def columns_of(docs: DataFrame) -> list[Column]:
     return [docs[f"`{c.replace('`', '``')}`"] for c in docs.columns]
 
 
-def bound_arrow_batches(spark: SparkSession, size: int = SLICE_BYTES) -> None:
-    """Arrow batches are cut by bytes too, so that long texts don't meet in one batch; a smaller bound stays."""
+def ready_workers(spark: SparkSession, size: int = SLICE_BYTES) -> None:
+    """Workers find this package, and Arrow batches are cut by bytes too, so that long texts don't meet in one; a smaller bound stays."""
+    ship_code(spark)
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     now = spark.conf.get(name, None)
     digits = (now or "").rstrip("bB")

@@ -83,7 +83,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
     text has 0 bytes and 0 tokens; a null doc_id stays null; other columns,
     whatever their names, are left out; an empty table gives an empty table.
     """
-    shared.bound_arrow_batches(docs.sparkSession)
+    shared.ready_workers(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     counted = docs.select("doc_id", "text").mapInArrow(partial(_count, path=path), f"doc_id {kind}, n_bytes long, n_tokens long")
     return counted.withColumn("over_limit", F.col("n_tokens") > F.lit(limit))
