@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -84,7 +86,7 @@ def transaction(b: Bound) -> DataFrame:
     from codeloom.operators.graphs import checkpoint_folder
 
     rows = b("nation").select(F.col("n_nationkey").alias("id"), F.col("n_regionkey").alias("region"))
-    path = f"{checkpoint_folder(b.spark)}/codeloom-nation"
+    path = f"{checkpoint_folder(b.spark)}/codeloom-nation-{uuid.uuid4().hex}"
     kept = tables.delete(tables.replace(rows, path), b.spark.createDataFrame([(2,)], "region int"), "region")
     return tables.replace(kept, path).select("id")
 
@@ -94,6 +96,6 @@ def json_export(b: Bound) -> DataFrame:
     """Insights written as JSON lines and read again."""
     from codeloom.operators.graphs import checkpoint_folder
 
-    path = f"{checkpoint_folder(b.spark)}/codeloom-insights-json"
+    path = f"{checkpoint_folder(b.spark)}/codeloom-insights-{uuid.uuid4().hex}"
     b("issues").groupBy(F.col("rule_code").alias("kind")).agg(F.count("*").alias("n")).write.mode("overwrite").json(path)
     return b.spark.read.schema("kind string, n long").json(path)

@@ -12,6 +12,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codeloom.operators.graphs import checkpoint_folder
+
 
 def counts(events: DataFrame, window: str = "1 day", late: str = "2 hours") -> DataFrame:
     """begin, event_type, n and total of each window; events: ts, event_type, value. Works on streams and tables alike."""
@@ -26,6 +28,7 @@ def run_once(spark: SparkSession, folder: str, name: str) -> DataFrame:
     schema = spark.read.parquet(f"{folder}/{name}").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
     out = f"codeloom_{uuid.uuid4().hex}"
-    query = counts(stream).writeStream.outputMode("complete").format("memory").queryName(out).trigger(availableNow=True).start()
+    place = f"{checkpoint_folder(spark)}/{out}"
+    query = counts(stream).writeStream.option("checkpointLocation", place).outputMode("complete").format("memory").queryName(out).trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.table(out)
