@@ -51,8 +51,9 @@ def maintainability(volume: Column, complexity: Column, lines: Column) -> Column
 
 def halstead_volume(tokens: Column) -> Column:
     """Tokens times the binary logarithm of distinct tokens; 0 with one or none."""
-    n = F.size(F.array_distinct(tokens))
-    return F.when(n > 1, F.size(tokens) * F.log2(n.cast("double"))).otherwise(0.0)
+    volume = lambda t, n: F.when(n > 1, F.size(t) * F.log2(n.cast("double"))).otherwise(0.0)
+    # A list of one binds the tokens, which are else found again for each use.
+    return F.get(F.transform(F.array(tokens), lambda t: volume(t, F.size(F.array_distinct(t)))), F.lit(0))
 
 
 def percent_delta(now: Column, before: Column) -> Column:

@@ -115,6 +115,10 @@ def doc_coverage(text: Column) -> dict[str, Column]:
     return {"exported": exported, "documented": documented, "coverage": scalars.ratio(documented, exported), "throws": F.regexp_count(text, F.lit(r"@throws\b")), "deprecated": F.regexp_count(text, F.lit(r"@deprecated\b"))}
 
 
+def _runs(size: int) -> str:
+    return "array<struct<" + ",".join(f"l{k}:struct<line:string,at:int>" for k in range(size)) + ">>"
+
+
 def clones(modules: DataFrame, size: int = 3, least: int = 20) -> DataFrame:
     """fragment, module_id, start_line of runs of `size` long lines that stand in two places or more.
 
@@ -122,9 +126,11 @@ def clones(modules: DataFrame, size: int = 3, least: int = 20) -> DataFrame:
     are counted, never paired.
     """
     kept = F.filter(F.transform(lines(F.col("text")), lambda x, k: F.struct(F.trim(x).alias("line"), (k + 1).alias("at"))), lambda x: F.length(x["line"]) > least)
-    n = F.size(kept)
-    shingled = F.when(n >= size, F.transform(F.sequence(F.lit(1), F.greatest(n - size + 1, F.lit(1))), lambda k: F.struct(
-        F.sha1(F.array_join(F.transform(F.slice(kept, k, F.lit(size)), lambda x: x["line"]), "\n")).alias("fragment"), F.element_at(kept, k)["at"].alias("start_line"))))
+    # The lists of first, second, ... lines of all runs lie side by side, so each line is touched once for each place.
+    beside = F.arrays_zip(*(F.slice("kept", F.lit(k + 1), F.greatest(F.size("kept") - size + 1, F.lit(0))).alias(f"l{k}") for k in range(size)))
+    text = lambda x: F.concat_ws("\n", *(x[f"l{k}"]["line"] for k in range(size)))
+    shingled = F.transform("runs", lambda x: F.struct(F.sha1(text(x)).alias("fragment"), x["l0"]["at"].alias("start_line")))
+    modules = modules.select("id", kept.alias("kept")).select("id", beside.cast(_runs(size)).alias("runs"))
     placed = modules.select(F.col("id").alias("module_id"), F.explode(shingled).alias("s")).select("s.fragment", "module_id", "s.start_line")
     several = placed.groupBy("fragment").agg(F.count("*").alias("places")).filter("places > 1")
     return placed.join(several, "fragment").select("fragment", "module_id", "start_line", "places")
