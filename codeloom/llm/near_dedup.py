@@ -3,11 +3,13 @@
 A text's set of word shingles gets one signature of TREES * DEPTH minimum
 hashes. Each tree is the order of all signatures read from another start, so
 texts with a long common prefix are neighbours in it. Neighbours with DEPTH
-equal values at least are candidates. Where a region of a tree holds more than
-REGION texts, its depth grows, by DEPTH at a time, until regions are small
-enough; what is still too large at the last depth is cut along the order, with
-overlap. For two texts of similarity 0.85 the chance that no tree brings them
-together is (1 - 0.85**5)**32, below 1e-8; for 0.8 it is 3e-6.
+equal values at least are candidates. A region of more than REGION texts is
+dealt to blocks, with its least text in each, and what the blocks and the other
+regions link is put together. Then the texts that are outside the region's
+largest group meet all of the region, block against block; two texts inside are
+joined already. So no candidates are left out at any size, and no task holds more
+than two blocks. For two texts of similarity 0.85 the chance that no tree brings
+them together is (1 - 0.85**5)**32, below 1e-8; for 0.8 it is 3e-6.
 
 Within a region the candidates' signatures are compared and a spanning forest
 of likely links is given out, never all pairs. Those forests' components hold
@@ -22,21 +24,21 @@ Copies with equal sets are one node throughout, so they cost nothing.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.llm import shared
 
 TREES, DEPTH = 32, 5
-#: Texts in a region before its depth grows; the last depth.
-REGION, DEEPEST = 2000, 20
+#: Texts of a region that are compared in one block.
+REGION = 2000
 #: Shingles that are compared in one task, all texts of a component together.
 UNIT_SHINGLES = 1_000_000
 #: Shingles that are hashed at a time, so that they stay in the processor's cache.
@@ -117,39 +119,31 @@ def _turn(tree: int) -> np.ndarray:
     return np.roll(np.arange(TREES * DEPTH), -tree * DEPTH)
 
 
-def _keys(batches: Iterable[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
-    """Each text's region at the depth, in every tree, or in the trees that the rows name."""
+def _keys(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text's region in every tree."""
     for batch in batches:
         for part in (batch.slice(k, 4_000) for k in range(0, batch.num_rows, 4_000)):
             whole = _matrix(part)
-            named = np.asarray(part.column("tree")) if "tree" in part.schema.names else None
             for tree in range(TREES):
-                rows = np.arange(part.num_rows) if named is None else np.flatnonzero(named == tree)
-                if not len(rows):
-                    continue
-                key = np.full(len(rows), tree + 1, np.uint64)
+                key = np.full(part.num_rows, tree + 1, np.uint64)
                 with np.errstate(over="ignore"):
-                    for k in _turn(tree)[:depth]:
-                        key = shared.mixed(key * np.uint64(0x9E3779B97F4A7C15) + whole[rows, k])
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("node").take(pa.array(rows)), pa.array(np.full(len(rows), tree, np.int32)), pa.array(key.astype(np.int64))], ["node", "tree", "region"]
-                )
+                    for k in _turn(tree)[:DEPTH]:
+                        key = shared.mixed(key * np.uint64(0x9E3779B97F4A7C15) + whole[:, k])
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(np.full(part.num_rows, tree, np.int32)), pa.array(key.astype(np.int64))], ["node", "tree", "group"])
 
 
-def _turned(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows with a small form of the signature, a byte for each value, in the tree's order."""
+def _small(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows with a small form of the signature, a byte for each value."""
     width = TREES * DEPTH
     for batch in batches:
         for part in (batch.slice(k, 4_000) for k in range(0, batch.num_rows, 4_000)):
-            small = ((_matrix(part) * np.uint32(2654435761)) >> np.uint32(24)).astype(np.uint8)
-            turns = np.stack([_turn(tree) for tree in range(TREES)])[np.asarray(part.column("tree"))]
-            turned = np.ascontiguousarray(np.take_along_axis(small, turns, axis=1))
-            made = pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), part.num_rows, [None, pa.py_buffer(turned)]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([part.column("node"), part.column("region"), made], ["node", "region", "turned"])
+            small = np.ascontiguousarray(((_matrix(part) * np.uint32(2654435761)) >> np.uint32(24)).astype(np.uint8))
+            made = pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), part.num_rows, [None, pa.py_buffer(small)]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("node", "unit", "asked", "closed")), made], ["node", "unit", "asked", "closed", "small"])
 
 
 def _whole_groups(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
-    """Tables of whole groups, from batches sorted by key; a group over REGION rows of a stream comes as it ends."""
+    """Tables of whole groups, from batches sorted by key."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
@@ -173,7 +167,7 @@ class _Forest:
     """Joins numbers into trees; tells which links join anything."""
 
     def __init__(self, n: int) -> None:
-        self.up = list(range(n))
+        self.up, self.size = list(range(n)), [1] * n
 
     def root(self, x: int) -> int:
         up = self.up
@@ -187,9 +181,37 @@ class _Forest:
         if a == b:
             return False
         self.up[max(a, b)] = min(a, b)
+        self.size[min(a, b)] += self.size[max(a, b)]
         return True
 
 
+def _spanning(n: int, near: Callable[[int, np.ndarray], np.ndarray], asked: np.ndarray | None = None, closed: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links of n rows; near(k, rows) tells which of the rows row k is linked with.
+
+    asked: rows whose links with all rows count; closed: rows known to be
+    joined. A row that has come into the main tree (that of the closed rows, or
+    the first that grows large) isn't asked: a link of its that leads out of the
+    tree is found when the other end is.
+    """
+    forest, out = _Forest(n), []
+    main = -1
+    for k in np.flatnonzero(closed).tolist() if closed is not None else []:
+        main = k if main < 0 else main
+        forest.join(main, k)
+    left = np.ones(n, bool)  # rows that have not been asked
+    for k in np.flatnonzero(asked).tolist() if asked is not None else range(n):
+        if main >= 0 and forest.root(k) == forest.root(main):
+            continue
+        left[k] = False
+        for other in near(k, np.flatnonzero(left)).tolist():
+            if forest.join(k, other):
+                out.append((k, other))
+        if main < 0 and 8 * forest.size[forest.root(k)] >= n:
+            main = k
+    found = np.array(out, np.int64).reshape(-1, 2)
+    return found[:, 0], found[:, 1]
+
+
 def _least_equal(threshold: float) -> int:
     """Equal values of a signature that a pair at the threshold has at least, but for a chance of about 1e-9."""
     n = TREES * DEPTH
@@ -197,47 +219,28 @@ def _least_equal(threshold: float) -> int:
 
 
 def _likely(batches: Iterable[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """Forests of the likely links within regions, from rows in order of region and signature."""
+    """Forests of the likely links within units, from rows in order of unit."""
     width = TREES * DEPTH
-    for table in _whole_groups(batches, "region"):
+    for table in _whole_groups(batches, "unit"):
         table = table.combine_chunks()
-        keys, nodes = np.asarray(table["region"]), np.asarray(table["node"])
-        signed = np.frombuffer(b"".join(table["turned"].to_pylist()), np.uint8).reshape(-1, width)
+        keys, nodes, asked, closed = (np.asarray(table[c]) for c in ("unit", "node", "asked", "closed"))
+        signed = np.frombuffer(b"".join(table["small"].to_pylist()), np.uint8).reshape(-1, width)
         starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         stops = np.append(starts[1:], len(keys))
         two = starts[stops - starts == 2]
         near = two[(signed[two] == signed[two + 1]).sum(axis=1) >= least]
         a, b = [nodes[near]], [nodes[near + 1]]
         for start, stop in zip(starts, stops, strict=True):
-            # A region that stays too large is cut along its order, with overlap.
-            for begin in range(start, stop, REGION) if stop - start > REGION else [start]:
-                end = min(stop, begin + REGION + REGION // 2)
-                if end - begin > 2:
-                    x, y = _forest_of(signed[begin:end], least)
-                    a.append(nodes[begin + x])
-                    b.append(nodes[begin + y])
+            if stop - start > 2:
+                x, y = _forest_of(signed[start:stop], least, asked[start:stop], closed[start:stop])
+                a.append(nodes[start + x])
+                b.append(nodes[start + y])
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
 
-def _forest_of(signed: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+def _forest_of(signed: np.ndarray, least: int, asked: np.ndarray | None = None, closed: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the pairs of rows with so many equal values."""
-    n = len(signed)
-    forest, out = _Forest(n), []
-    open_rows = np.ones(n, bool)  # rows that are not yet known to be in the first row's tree
-    for k in range(n - 1):
-        rest = k + 1 + np.flatnonzero(open_rows[k + 1 :] | open_rows[k])
-        if not len(rest):
-            continue
-        near = rest[(signed[rest] == signed[k]).sum(axis=1) >= least]
-        for other in near.tolist():
-            if forest.join(k, other):
-                out.append((k, other))
-        top = forest.root(0)
-        for other in [k, *near.tolist()]:
-            if forest.root(other) == top:
-                open_rows[other] = False
-    found = np.array(out, np.int64).reshape(-1, 2)
-    return found[:, 0], found[:, 1]
+    return _spanning(len(signed), lambda k, rows: rows[(signed[rows] == signed[k]).sum(axis=1) >= least], asked, closed)
 
 
 def _true(batches: Iterable[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
@@ -282,20 +285,67 @@ def linked(text: pa.Array, size: int, percent: int) -> tuple[np.ndarray, np.ndar
 
 
 def _regions(signed: DataFrame) -> DataFrame:
-    """node, tree and region of the texts that share a region, each region at the depth it needs."""
+    """group (the region), node, n, held and first of the texts that share a region of a tree."""
     kind = signed.schema["node"].dataType.simpleString()
-    depth, left, out = DEPTH, signed.select("node", "signature"), None
-    while True:
-        keyed = shared.written(left.mapInArrow(partial(_keys, depth=depth), f"node {kind}, tree int, region long"), "keys")
-        several = keyed.groupBy("region").agg(F.count("*").alias("held")).filter("held > 1")
-        held = shared.written(keyed.join(several, "region"), "regions")
-        fit = held if depth >= DEEPEST else held.filter(F.col("held") <= REGION)
-        out = fit.drop("held") if out is None else out.union(fit.select(out.columns))
-        crowded = held.filter(F.col("held") > REGION).select("node", "tree")
-        if depth >= DEEPEST or crowded.isEmpty():
-            return out.select("node", "tree", "region")
-        left = crowded.join(signed.select("node", "signature"), "node")
-        depth += DEPTH
+    keyed = shared.written(signed.select("node", "signature").mapInArrow(_keys, f"node {kind}, tree int, group long"), "keys")
+    several = keyed.groupBy("group").agg(F.count("*").alias("held"), F.min("node").alias("first")).filter("held > 1")
+    return shared.written(keyed.join(several, "group").select("group", "node", F.lit(1).cast("long").alias("n"), "held", "first"), "regions")
+
+
+def _block(blocks: Column) -> Column:
+    """The block of a group's so many to which a node is dealt."""
+    return F.pmod(F.xxhash64("group", "node"), blocks)
+
+
+def _blocks(held: str, most: int) -> Column:
+    return F.greatest(F.lit(1), F.ceil(F.col(held) / most)).cast("long")
+
+
+def _dealt(members: DataFrame, most: int) -> DataFrame:
+    """Units of a first pass: each group in blocks that hold about `most` of its n, its first node in each."""
+    blocks = _blocks("held", most)
+    own = F.when(F.col("node") == F.col("first"), F.sequence(F.lit(0).cast("long"), blocks - 1)).otherwise(F.array(_block(blocks)))
+    block = members.withColumn("blocks", blocks).withColumn("block", F.explode(own))
+    unit = F.when(F.col("blocks") == 1, F.col("group")).otherwise(F.xxhash64("group", "block"))
+    return block.select("node", unit.alias("unit"), F.lit(True).alias("asked"), F.lit(False).alias("closed"))
+
+
+def _against(members: DataFrame, reached: DataFrame, most: int) -> DataFrame:
+    """Units of a second pass: the nodes outside a group's largest component, in blocks, each with every block of the group.
+
+    reached: the components of the first pass's links.
+    """
+    label = F.coalesce("component", "node").alias("label")
+    told = shared.written(members.join(reached.withColumnRenamed("id", "node"), "node", "left").select("group", "node", "n", "held", label), "told")
+    by = told.groupBy("group", "label").agg(F.sum("n").alias("n"))
+    tops = by.groupBy("group").agg(F.max_by("label", F.struct("n", "label")).alias("top"), (F.sum("n") - F.max("n")).alias("outside")).filter("outside > 0")
+    each = told.join(tops, "group").withColumn("closed", F.col("label") == F.col("top"))
+    down, across = _blocks("outside", most), _blocks("held", most)
+    zero = F.lit(0).cast("long")
+    asking = each.filter("not closed").withColumn("across", F.explode(F.sequence(zero, across - 1))).withColumn("down", _block(down)).withColumn("asked", F.lit(True))
+    others = each.withColumn("down", F.explode(F.sequence(zero, down - 1))).withColumn("across", _block(across)).withColumn("asked", F.lit(False))
+    others = others.filter(F.col("closed") | (F.col("down") != _block(down)))
+    unit = F.concat_ws("-", F.col("group").cast("string"), F.col("down").cast("string"), F.col("across").cast("string"))
+    return asking.unionByName(others).select("node", unit.alias("unit"), "asked", "closed")
+
+
+def _groups(signed: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """node and unit of the texts with a likely link (the components of these links), and the regions."""
+    kind = signed.schema["node"].dataType.simpleString()
+
+    def links(units: DataFrame) -> DataFrame:
+        of = units.dtypes[units.columns.index("unit")][1]
+        small = units.join(signed.select("node", "signature"), "node").mapInArrow(_small, f"node {kind}, unit {of}, asked boolean, closed boolean, small binary")
+        ordered = small.repartition("unit").sortWithinPartitions("unit")
+        return ordered.mapInArrow(partial(_likely, least=_least_equal(percent / 100)), f"a {kind}, b {kind}")
+
+    regions = _regions(signed)
+    reached = shared.components(links(_dealt(regions, REGION)), "likely")
+    crowded = regions.filter(F.col("held") > REGION)
+    if not crowded.isEmpty():
+        more = shared.written(links(_against(crowded, reached, REGION)), "more")
+        reached = shared.components(reached.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more), "likely")
+    return shared.written(reached.select(F.col("id").alias("node"), F.col("component").alias("unit")), "groups"), regions
 
 
 def near_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -321,11 +371,7 @@ def near_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     classes = shared.written(classes, "classes")
     signed = classes.filter("node is not null")
 
-    regions = _regions(signed)
-    turned = regions.join(signed.select("node", "signature"), "node").select("node", "tree", "region", "signature")
-    ordered = turned.mapInArrow(_turned, f"node {kind}, region long, turned binary").repartition("region").sortWithinPartitions("region", "turned")
-    likely = ordered.mapInArrow(partial(_likely, least=_least_equal(percent / 100)), f"a {kind}, b {kind}")
-    groups = shared.written(shared.components(likely, "likely").withColumnRenamed("id", "node").withColumnRenamed("component", "unit"), "groups")
+    groups, regions = _groups(signed, percent)
 
     sized = groups.join(signed.groupBy("node").agg(F.sum("n_shingles").alias("n")), "node")
     weights = shared.written(sized.groupBy("unit").agg(F.sum("n").alias("weight")), "weights")
@@ -333,7 +379,7 @@ def near_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     small = groups.join(weights.filter(F.col("weight") <= UNIT_SHINGLES), "unit", "left_semi")
     units = small.select("node", F.col("unit").cast("string").alias("unit"))
     if not large.isEmpty():
-        units = units.union(regions.join(large, "node", "left_semi").select("node", F.format_string("%d-%d", "tree", "region").alias("unit")))
+        units = units.union(regions.join(large, "node", "left_semi").select("node", F.col("group").cast("string").alias("unit")))
     # Merged at every size: this side is small only in small corpora.
     texts = docs.select(F.col("doc_id").alias("node"), "text").join(units.hint("merge"), "node").repartition("unit").sortWithinPartitions("unit")
     links = texts.select("unit", "node", "text").mapInArrow(partial(_true, size=size, percent=percent), f"a {kind}, b {kind}")

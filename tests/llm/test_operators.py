@@ -200,6 +200,42 @@ def test_near_dedup_large_regions_and_components(spark, monkeypatch):
     assert got == helpers.near_groups(dict(enumerate(every)), 3, 85)
 
 
+def _hanging(rnd):
+    """100 near copies of a text, and 40 texts that one link each, near the threshold, joins to them."""
+    every = []
+    for _ in range(100):
+        own = [f"w{k}" for k in range(200)]
+        for at in rnd.sample(range(200), 2):
+            own[at] = f"x{rnd.random()}"
+        every.append(own)
+    for own in [list(x) for x in every[:40]]:
+        for at in rnd.sample([k for k in range(200) if own[k][0] == "w"], 5):
+            own[at] = f"y{rnd.random()}"
+        every.append(own)
+    return list(map(" ".join, every))
+
+
+def test_near_dedup_single_links_of_a_crowded_region(spark, monkeypatch):
+    every = _hanging(random.Random(12))
+    monkeypatch.setattr(near_dedup, "REGION", 10)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_components(table(spark, every), 3, 85).collect()}
+    assert got == helpers.near_groups(dict(enumerate(every)), 3, 85)
+
+
+def test_near_dedup_keeps_texts_that_share_only_a_short_prefix_with_a_crowd(spark, monkeypatch):
+    """Every second five values of the last signature are the crowd's, so no two trees' starts in a row are."""
+    import numpy as np
+
+    crowd = np.arange(160, dtype=np.uint32)
+    edge = np.where(np.arange(160) // 5 % 2 == 0, crowd, crowd + 1000).astype(np.uint32)
+    rows = [(k, crowd.tobytes()) for k in range(60)] + [(60, edge.tobytes()), (61, (crowd + 5000).astype(np.uint32).tobytes())]
+    signed = spark.createDataFrame(rows, "node long, signature binary")
+    monkeypatch.setattr(near_dedup, "REGION", 10)
+    assert {r.node for r in near_dedup._regions(signed).collect()} == set(range(61))
+    groups, _ = near_dedup._groups(signed, 50)
+    assert {r.node: r.unit for r in groups.collect()} == dict.fromkeys(range(61), 0)
+
+
 def test_near_dedup_null_ids_and_repeats(spark):
     text = "the same text of more than a few words in all"
     rows = near_dedup.near_components(table(spark, [text, text, text, "x y z"], [5, 5, None, None]), 3, 85).collect()
