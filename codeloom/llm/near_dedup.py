@@ -16,8 +16,9 @@ of likely links is given out, never all pairs. Those forests' components hold
 every true link (a likely link lies six deviations below the threshold), so it
 is enough to compare the full sets within each component: one task takes one
 component, and gives out a spanning forest of the true links. A component too
-large for a task is compared region by region instead. The components of the
-true links are the result.
+large for a task is dealt to blocks and compared block against block, as crowded
+regions are, so every pair of it is confirmed, refuted or joined already. The
+components of the true links are the result.
 
 Copies with equal sets are one node throughout, so they cost nothing.
 """
@@ -247,18 +248,18 @@ def _true(batches: Iterable[pa.RecordBatch], size: int, percent: int) -> Iterato
     """Forests of the true links within units, from rows in order of unit."""
     for table in _whole_groups(batches, "unit"):
         table = table.combine_chunks()
-        keys, nodes = np.asarray(table["unit"]), np.asarray(table["node"])
+        keys, nodes, asked, closed = (np.asarray(table[c]) for c in ("unit", "node", "asked", "closed"))
         starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for start, stop in zip(starts, np.append(starts[1:], len(keys)), strict=True):
             if stop - start > 1:
-                x, y = linked(table["text"].slice(start, stop - start).combine_chunks(), size, percent)
+                x, y = linked(table["text"].slice(start, stop - start).combine_chunks(), size, percent, asked[start:stop], closed[start:stop])
                 a.append(nodes[start + x])
                 b.append(nodes[start + y])
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
 
-def linked(text: pa.Array, size: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+def linked(text: pa.Array, size: int, percent: int, asked: np.ndarray | None = None, closed: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the pairs of texts with 100 * intersection >= percent * union, from their full sets."""
     text = text.combine_chunks() if isinstance(text, pa.ChunkedArray) else text
     offsets, found = shingle_sets(text, size)
@@ -267,21 +268,18 @@ def linked(text: pa.Array, size: int, percent: int) -> tuple[np.ndarray, np.ndar
     owner = np.repeat(np.arange(len(sizes)), sizes)
     order = np.argsort(number, kind="stable")
     holders, bounds = owner[order], np.concatenate([[0], np.cumsum(np.bincount(number, minlength=len(values)))])
-    forest, out = _Forest(len(sizes)), []
-    for k in range(len(sizes) - 1):
+
+    def near(k: int, rows: np.ndarray) -> np.ndarray:
         mine = number[offsets[k] : offsets[k + 1]]
         lengths = bounds[mine + 1] - bounds[mine]
         mine, lengths = mine[lengths > 1], lengths[lengths > 1]
         if not len(mine):
-            continue
+            return rows[:0]
         where = np.repeat(bounds[mine] - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(lengths.sum())
-        common = np.bincount(holders[where], minlength=len(sizes))[k + 1 :]
-        near = k + 1 + np.flatnonzero((common > 0) & (100 * common >= percent * (sizes[k] + sizes[k + 1 :] - common)))
-        for other in near.tolist():
-            if forest.join(k, other):
-                out.append((k, other))
-    pairs = np.array(out, np.int64).reshape(-1, 2)
-    return pairs[:, 0], pairs[:, 1]
+        common = np.bincount(holders[where], minlength=len(sizes))[rows]
+        return rows[(common > 0) & (100 * common >= percent * (sizes[k] + sizes[rows] - common))]
+
+    return _spanning(len(sizes), near, asked, closed)
 
 
 def _regions(signed: DataFrame) -> DataFrame:
@@ -306,7 +304,7 @@ def _dealt(members: DataFrame, most: int) -> DataFrame:
     blocks = _blocks("held", most)
     own = F.when(F.col("node") == F.col("first"), F.sequence(F.lit(0).cast("long"), blocks - 1)).otherwise(F.array(_block(blocks)))
     block = members.withColumn("blocks", blocks).withColumn("block", F.explode(own))
-    unit = F.when(F.col("blocks") == 1, F.col("group")).otherwise(F.xxhash64("group", "block"))
+    unit = F.when(F.col("blocks") == 1, F.col("group").cast("string")).otherwise(F.concat_ws("-", F.col("group").cast("string"), F.col("block").cast("string")))
     return block.select("node", unit.alias("unit"), F.lit(True).alias("asked"), F.lit(False).alias("closed"))
 
 
@@ -329,13 +327,12 @@ def _against(members: DataFrame, reached: DataFrame, most: int) -> DataFrame:
     return asking.unionByName(others).select("node", unit.alias("unit"), "asked", "closed")
 
 
-def _groups(signed: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """node and unit of the texts with a likely link (the components of these links), and the regions."""
+def _groups(signed: DataFrame, percent: int) -> DataFrame:
+    """node and group of the texts with a likely link: the components of these links."""
     kind = signed.schema["node"].dataType.simpleString()
 
     def links(units: DataFrame) -> DataFrame:
-        of = units.dtypes[units.columns.index("unit")][1]
-        small = units.join(signed.select("node", "signature"), "node").mapInArrow(_small, f"node {kind}, unit {of}, asked boolean, closed boolean, small binary")
+        small = units.join(signed.select("node", "signature"), "node").mapInArrow(_small, f"node {kind}, unit string, asked boolean, closed boolean, small binary")
         ordered = small.repartition("unit").sortWithinPartitions("unit")
         return ordered.mapInArrow(partial(_likely, least=_least_equal(percent / 100)), f"a {kind}, b {kind}")
 
@@ -345,7 +342,7 @@ def _groups(signed: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     if not crowded.isEmpty():
         more = shared.written(links(_against(crowded, reached, REGION)), "more")
         reached = shared.components(reached.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more), "likely")
-    return shared.written(reached.select(F.col("id").alias("node"), F.col("component").alias("unit")), "groups"), regions
+    return shared.written(reached.select(F.col("id").alias("node"), F.col("component").alias("group")), "groups")
 
 
 def near_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -371,19 +368,28 @@ def near_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     classes = shared.written(classes, "classes")
     signed = classes.filter("node is not null")
 
-    groups, regions = _groups(signed, percent)
-
+    groups = _groups(signed, percent)
     sized = groups.join(signed.groupBy("node").agg(F.sum("n_shingles").alias("n")), "node")
-    weights = shared.written(sized.groupBy("unit").agg(F.sum("n").alias("weight")), "weights")
-    large = groups.join(weights.filter(F.col("weight") > UNIT_SHINGLES), "unit", "left_semi")
-    small = groups.join(weights.filter(F.col("weight") <= UNIT_SHINGLES), "unit", "left_semi")
-    units = small.select("node", F.col("unit").cast("string").alias("unit"))
-    if not large.isEmpty():
-        units = units.union(regions.join(large, "node", "left_semi").select("node", F.col("group").cast("string").alias("unit")))
-    # Merged at every size: this side is small only in small corpora.
-    texts = docs.select(F.col("doc_id").alias("node"), "text").join(units.hint("merge"), "node").repartition("unit").sortWithinPartitions("unit")
-    links = texts.select("unit", "node", "text").mapInArrow(partial(_true, size=size, percent=percent), f"a {kind}, b {kind}")
-    reached = shared.components(links, "linked").select(F.col("id").alias("node"), "component")
+    weights = sized.groupBy("group").agg(F.sum("n").alias("held"), F.min("node").alias("first"))
+    members = shared.written(sized.join(weights, "group"), "members")
+    large = F.col("held") > UNIT_SHINGLES
+
+    def links(units: DataFrame) -> DataFrame:
+        # Merged at every size: this side is small only in small corpora.
+        texts = docs.select(F.col("doc_id").alias("node"), "text").join(units.hint("merge"), "node").repartition("unit").sortWithinPartitions("unit")
+        return texts.select("unit", "node", "asked", "closed", "text").mapInArrow(partial(_true, size=size, percent=percent), f"a {kind}, b {kind}")
+
+    # Half a unit to a block, as two meet in a task.
+    whole = members.filter(~large).select("node", F.col("group").cast("string").alias("unit"), F.lit(True).alias("asked"), F.lit(False).alias("closed"))
+    split = members.filter(large)
+    if split.isEmpty():
+        reached = shared.components(links(whole), "linked")
+    else:
+        parts = _dealt(split, UNIT_SHINGLES // 2)
+        reached = shared.components(links(whole.union(parts)), "linked")
+        more = shared.written(links(_against(split, reached, UNIT_SHINGLES // 2)), "more")
+        reached = shared.components(reached.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more), "linked")
+    reached = reached.select(F.col("id").alias("node"), "component")
 
     named = classes.drop("signature").join(reached, "node", "left").select(*key, F.coalesce("component", "node").alias("component"))
     of = rows.drop("signature").join(named, key, "left")

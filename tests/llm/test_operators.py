@@ -232,8 +232,22 @@ def test_near_dedup_keeps_texts_that_share_only_a_short_prefix_with_a_crowd(spar
     signed = spark.createDataFrame(rows, "node long, signature binary")
     monkeypatch.setattr(near_dedup, "REGION", 10)
     assert {r.node for r in near_dedup._regions(signed).collect()} == set(range(61))
-    groups, _ = near_dedup._groups(signed, 50)
-    assert {r.node: r.unit for r in groups.collect()} == dict.fromkeys(range(61), 0)
+    assert {r.node: r.group for r in near_dedup._groups(signed, 50).collect()} == dict.fromkeys(range(61), 0)
+
+
+def test_near_dedup_large_components_are_compared_whole(spark, monkeypatch):
+    """Texts whose only link is to one that the likely forest joins in another way, at a similarity that regions miss."""
+    rnd = random.Random(3)
+    every = [[f"w{k}" for k in range(100)] for _ in range(60)]
+    for own in every:
+        for at in rnd.sample(range(100), 21):
+            own[at] = f"x{rnd.random()}"
+    every = list(map(" ".join, every))
+    want = helpers.near_groups(dict(enumerate(every)), 1, 50)
+    assert 1 < len(set(want.values())) < 60
+    monkeypatch.setattr(near_dedup, "UNIT_SHINGLES", 700)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_components(table(spark, every), 1, 50).collect()}
+    assert got == want
 
 
 def test_near_dedup_null_ids_and_repeats(spark):
