@@ -20,11 +20,11 @@ from codeloom.llm import shared
 _SPACE = r"\x20\x09-\x0D"
 _LOCAL, _HOST = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
 #: Kinds in the order of results. The borders added in front only keep a failing start from being tried again at
-#: every character of one run; they change no match.
+#: every character of one run; they change no match. Nor do possessive groups, which Java matches without recursion.
 KINDS: dict[str, str] = {
     "email": rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++@{_HOST}++(?:\.{_HOST}++)++",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
-    "card": r"[0-9](?:[\x20-]?[0-9])+",
+    "card": r"[0-9](?:[\x20-]?+[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 #: Words that may be identifiers: those with a digit or an at sign.
@@ -60,8 +60,12 @@ def _matches(text: Column, kind: str, pattern: str) -> Column:
     """An array of each match with its kind, place in order, length of the text since the last match, and contexts."""
     found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
 
-    def one(match: Column, k: Column) -> Column:
-        before, after = F.get(between, k), F.get(between, k + 1)
+    # Zipped, as the split would be made anew for every match inside the function.
+    n = F.size(found)
+    each = F.arrays_zip(found.alias("match"), F.slice(between, 1, n).alias("before"), F.slice(between, 2, n).alias("after"))
+
+    def one(m: Column, k: Column) -> Column:
+        match, before, after = m["match"], m["before"], m["after"]
         left = F.regexp_extract_all(F.lower(F.substring(before, -100, 100)), F.lit(shared.WORD), F.lit(0))
         last = F.try_element_at(left, F.lit(-1))
         return F.struct(
@@ -73,7 +77,7 @@ def _matches(text: Column, kind: str, pattern: str) -> Column:
             F.concat(last, F.lit(" _ "), F.nullif(F.regexp_extract(F.lower(F.substring(after, 1, 100)), shared.WORD, 0), F.lit(""))).alias("around"),
         )
 
-    return F.transform(found, one)
+    return F.transform(each, one)
 
 
 def _spans(rows: DataFrame) -> DataFrame:
@@ -92,7 +96,8 @@ def _uncovered(spans: DataFrame) -> DataFrame:
     seed = F.col("kind").isNotNull()
     by = Window.partitionBy("row").orderBy("start")
     reached = F.max(F.when(seed, F.col("stop"))).over(by.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    ahead = F.min(F.when(seed, F.col("start"))).over(by.rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    back = Window.partitionBy("row").orderBy(F.desc("start"))  # a frame that grows takes linear time
+    ahead = F.min(F.when(seed, F.col("start"))).over(back.rangeBetween(Window.unboundedPreceding, Window.currentRow))
     marked = spans.withColumn("reached", reached).withColumn("ahead", ahead)
     clear = (F.coalesce("reached", F.lit(0)) <= F.col("start")) & (F.col("ahead").isNull() | (F.col("ahead") >= F.col("stop")))
     return marked.filter(seed | clear).drop("reached", "ahead")

@@ -422,6 +422,17 @@ def test_personal_data(spark, texts):
     assert personal_data.find(table(spark, [])).count() == 0
 
 
+def test_personal_data_in_long_runs_of_digits(spark):
+    """Runs that a recursive pattern would overflow the stack on; the first is of 100,000 digits."""
+    every = ["1-" * 100_000, "1 " * 5_000, "7" * 50_000, "1 " * 5_000 + ", 4111 1111 1111 1111"]
+    got = {r.doc_id: r for r in personal_data.find(table(spark, every)).collect()}
+    for k, text in enumerate(every):
+        want = helpers.private(text)
+        told = ",".join(f"{a}:{b}:{c}" for a, b, c in want)
+        assert got[k].n_card == len(want) and got[k].base_sha256 == hashlib.sha256(told.encode()).hexdigest()
+    assert got[3].n_card == 1
+
+
 def test_contexts_discover_identifiers(spark):
     every = [f"some words reachable via mobile +1 555 {k:03d} 45{k:02d} during the day" for k in range(10, 40)]
     every += ["some words reachable via mobile 0171-23456 during the day", "a clean text with 12 apples via 3 shops", "the number 0171-23456 elsewhere"]
