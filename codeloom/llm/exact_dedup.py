@@ -1,12 +1,14 @@
 """Exact dedup by a tree of merged digest runs, in DataFrame operations alone.
 
-Every partition holds a run: its rows' digests, each with the best row so far.
-In a round, `fan_in` neighbouring runs meet and are merged: rows of one digest
-become one, with the better row and the sum of the counts. After
-log(runs) / log(fan_in) rounds one run is left, spread over the cluster by
-digest. Map-side combination keeps a digest that a third of all rows share to a
-row for each task. The aggregates sort by digest (their state is a struct), so
-each round is a merge of sorted runs.
+Every input partition is a run of digests. In a round, `fan_in` neighbouring
+runs are merged into one: they are cut into as many ranges of digests, and each
+of the partitions that held them takes one range of all of them, sorted, so the
+rows of one digest stand side by side and become one, with the better row and
+the sum of the counts. After log(runs) / log(fan_in) rounds one run is left,
+cut into as many ranges as there were runs. A round moves a row for each digest
+of a run, and a digest that a third of all rows share comes once from each run
+after the first round; in that round a range holds `fan_in` input partitions at
+most, whatever the size of the corpus.
 
 A digest alone is not taken as proof: rows meet only if the length of the
 normalised text and an independent 64-bit hash of it agree with the digest at
@@ -32,27 +34,34 @@ def without_space(text: Column) -> Column:
 
 
 def digests(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """id, n_chars (of the original text) and the key of the normalised text, for every row."""
+    """id, n_chars (of the original text), the key of the normalised text and the run (input partition) of every row."""
     plain = docs.select(F.col(id_column).alias("id"), F.length(F.coalesce("text", F.lit(""))).alias("n_chars"), without_space(F.col("text")).alias("plain"))
-    return plain.select("id", "n_chars", F.sha2("plain", 256).alias("text_sha256"), F.octet_length("plain").alias("n_bytes"), F.xxhash64("plain").alias("check"))
+    key = F.sha2("plain", 256).alias("text_sha256"), F.octet_length("plain").alias("n_bytes"), F.xxhash64("plain").alias("check")
+    return plain.select("id", "n_chars", *key, F.spark_partition_id().alias("run"))
 
 
-def merge_runs(rows: DataFrame, runs: int = 64, fan_in: int = 8) -> DataFrame:
-    """KEY, keep_id and group_size of every digest of rows (id, n_chars, KEY).
+def _slice(ranges: int) -> Column:
+    """Which of so many ranges of digests a row's lies in."""
+    return F.floor(F.conv(F.substring("text_sha256", 1, 8), 16, 10).cast("long") * ranges / F.lit(1 << 32)).cast("int")
+
+
+def merge_runs(rows: DataFrame, fan_in: int = 8) -> DataFrame:
+    """KEY, keep_id, n_chars (of the row that stays) and group_size of every digest of rows (id, n_chars, KEY, run).
 
     keep_id is that of the most characters, then the smallest; a null id comes
-    after all others.
+    after all others. Ids may be of any type that has an order.
     """
-    best = F.struct(F.col("n_chars"), F.col("id").isNotNull().alias("known"), (-F.col("id")).alias("first"))
-    level = rows.select(*KEY, best.alias("best"), F.lit(1).cast("long").alias("size"), F.pmod(F.spark_partition_id(), F.lit(runs)).alias("run"))
-    left = runs
+    runs = (rows.agg(F.max("run")).first()[0] or 0) + 1
+    best = F.struct((-F.col("n_chars")).alias("shorter"), F.col("id").isNull().alias("unknown"), "id")
+    level, left = rows.select(*KEY, best.alias("best"), F.lit(1).cast("long").alias("size"), "run"), runs
     while True:
-        level = level.groupBy("run", *KEY).agg(F.max("best").alias("best"), F.sum("size").alias("size"))
-        if left == 1:
-            break
         left = -(-left // fan_in)
-        level = level.withColumn("run", F.floor(F.col("run") / fan_in).cast("int"))
-    return level.select(*KEY, (-F.col("best.first")).alias("keep_id"), F.col("size").alias("group_size"))
+        met = level.withColumn("run", F.floor(F.col("run") / fan_in).cast("int")).withColumn("slice", _slice(-(-runs // left)))
+        # The aggregate finds its rows dealt and sorted by what it groups by, and so neither deals nor sorts again.
+        dealt = met.repartition("run", "slice").sortWithinPartitions("run", "slice", *KEY)
+        level = dealt.groupBy("run", "slice", *KEY).agg(F.min("best").alias("best"), F.sum("size").alias("size")).drop("slice")
+        if left == 1:
+            return level.select(*KEY, F.col("best.id").alias("keep_id"), (-F.col("best.shorter")).alias("n_chars"), F.col("size").alias("group_size"))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
@@ -62,29 +71,36 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     code points stays, then the smallest doc_id. Null and white-space texts are
     equal to the empty text. Rows that repeat a doc_id count one by one in
     group_size, and each with keep_id's id is marked kept. A null doc_id stays
-    only where its whole group has none; keep_id is null then. Other columns,
-    whatever their names, are left out; an empty table gives an empty table.
+    only where the longest texts of its group have none; keep_id is null then.
+    Other columns, whatever their names, are left out; an empty table gives an
+    empty table.
     """
     rows = shared.written(digests(docs.select("doc_id", "text")), "digests")
-    return rows.join(merge_runs(rows), KEY).select(
+    return rows.join(merge_runs(rows).drop("n_chars"), KEY).select(
         F.col("id").alias("doc_id"), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
     )
 
 
+def _known(doc_id: Column) -> Column:
+    """An id as text that tells null from all others."""
+    return F.coalesce(F.concat(F.lit("="), doc_id.cast("string")), F.lit(""))
+
+
 def kept_documents(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all their columns, whatever their names.
 
-    Of rows that repeat both a doc_id and a text one stays. The texts are moved
-    once: rows are first reduced by doc_id and digest, then met by the ids that
-    stay under the same keys.
+    Of rows that repeat a doc_id and, but for white space, a text one of the
+    longest stays, whichever comes first. The texts are moved once: rows are
+    first reduced by doc_id, length and digest, then met by those that stay
+    under the same keys.
     """
     rows = shared.written(digests(docs.select("doc_id", "text")), "digests")
-    none = F.lit(-(1 << 63)).cast("long")
     own = shared.unused_prefix(docs)
-    keys = [f"{own}id", *(f"{own}{c}" for c in KEY)]
-    stay = merge_runs(rows).select(F.coalesce("keep_id", none).alias(keys[0]), *(F.col(c).alias(f"{own}{c}") for c in KEY))
+    keys = [f"{own}id", f"{own}n_chars", *(f"{own}{c}" for c in KEY)]
+    stay = merge_runs(rows).select(_known(F.col("keep_id")).alias(keys[0]), F.col("n_chars").alias(keys[1]), *(F.col(c).alias(f"{own}{c}") for c in KEY))
     plain = docs.withColumn(f"{own}plain", without_space(docs["text"]))
     text = F.col(f"{own}plain")
-    keyed = plain.withColumns(dict(zip(keys, (F.coalesce(docs["doc_id"], none), F.sha2(text, 256), F.octet_length(text), F.xxhash64(text)), strict=True)))
+    made = _known(docs["doc_id"]), F.length(F.coalesce(docs["text"], F.lit(""))), F.sha2(text, 256), F.octet_length(text), F.xxhash64(text)
+    keyed = plain.withColumns(dict(zip(keys, made, strict=True)))
     kept = keyed.drop(f"{own}plain").dropDuplicates(keys).join(stay, keys, "left_semi")
-    return kept.drop(*keys).select(*(f"`{c}`" for c in docs.columns))
+    return kept.drop(*keys).select(*(f"`{c.replace('`', '``')}`" for c in docs.columns))

@@ -160,6 +160,30 @@ def test_exact_dedup(spark, texts):
     assert exact_dedup.deduplicate(table(spark, [])).count() == 0
 
 
+def test_exact_dedup_with_ids_of_any_type_and_many_runs(spark):
+    rnd = random.Random(3)
+    given = [(rnd.choice(["x", "y", "é", "", None, "10", "9"]), " " * rnd.randint(0, 3) + rnd.choice("abcdefgh") * rnd.randint(0, 2)) for _ in range(400)]
+    want = {}
+    for i, t in given:
+        plain, now = t.strip(" "), (-len(t), i is None, (i or "").encode(), i)
+        best, n = want.get(plain, (now, 0))
+        want[plain] = (min(best, now, key=lambda x: x[:3]), n + 1)
+    for parts in (1, 7, 70):
+        frame = spark.createDataFrame(given, "doc_id string, text string").repartition(parts)
+        got = exact_dedup.deduplicate(frame).collect()
+        by = {hashlib.sha256(k.encode()).hexdigest(): (b[3], n) for k, (b, n) in want.items()}
+        assert len(got) == 400 and all((r.keep_id, r.group_size) == by[r.text_sha256] for r in got)
+        kept = Counter((r.doc_id, r.text.strip(" "), len(r.text)) for r in exact_dedup.kept_documents(frame).collect())
+        assert kept == Counter((b[3], k, -b[0]) for k, (b, _) in want.items())
+
+
+def test_a_digest_is_no_proof(spark):
+    """Rows whose digests agree meet only if the length and the second hash do, too."""
+    rows = spark.createDataFrame([(k, 1, "ab" * 32, 1 + k % 2, k // 2 % 2, k % 5) for k in range(20)], "id long, n_chars int, text_sha256 string, n_bytes int, check long, run int")
+    got = {(r.n_bytes, r.check): (r.keep_id, r.group_size) for r in exact_dedup.merge_runs(rows, 2).collect()}
+    assert got == {(1, 0): (0, 5), (2, 0): (1, 5), (1, 1): (2, 5), (2, 1): (3, 5)}
+
+
 # Near-dedup
 
 
