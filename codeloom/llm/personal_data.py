@@ -1,13 +1,14 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame operations alone.
 
-Seeds are the spans that the fixed patterns of each kind find. The words around
-a seed make its lexical contexts: the two words before it, and the word before
-with the word after it. Contexts and surfaces form a bipartite graph that is
-scored in rounds: a context's confidence for a kind is the share of the kind
-among the distinct identifier-like surfaces that it surrounds, and a surface's
-score is the chance that one of its confident contexts is right. Only contexts
-with enough distinct surfaces of the kind and a high share count. Surfaces
-that only such contexts support are added where they stand and no seed does.
+Seeds are the spans that the fixed patterns of each kind find, and the values
+that a text assigns to a token, key or password. The words around a seed make
+its lexical contexts: the two words before it, and the word before with the word
+after it. Contexts and surfaces form a bipartite graph that is scored in rounds:
+a context's confidence for a kind is the share of the kind among the distinct
+identifier-like surfaces that it surrounds, and a surface's score is the chance
+that one of its confident contexts is right. Only contexts with enough distinct
+surfaces of the kind and a high share count. Surfaces that only such contexts
+support are added where they stand and no seed does.
 """
 
 from __future__ import annotations
@@ -27,6 +28,13 @@ KINDS: dict[str, str] = {
     "card": r"[0-9](?:[\x20-]?+[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+#: Names of what is kept secret. A value is 16 or more characters with a digit, assigned to such a name.
+SECRETS = ("token", "secret", "password", "passwd", "key")
+_VALUE = "[A-Za-z0-9_/+.-]"
+#: Kinds that the base results leave out, with patterns of their seeds.
+FURTHER: dict[str, str] = {
+    "secret": rf"(?<!{_VALUE})(?={_VALUE}{{16}})(?<=(?i:{'|'.join(SECRETS)})[\"']?\x20{{0,3}}[=:]\x20{{0,3}}[\"']?)(?=[A-Za-z_/+.-]*+[0-9]){_VALUE}++={{0,2}}",
+}
 #: Words that may be identifiers: those with a digit or an at sign.
 CANDIDATE = rf"(?<![^{_SPACE}])[^{_SPACE}0-9@]*+[0-9@][^{_SPACE}]*+"
 _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
@@ -52,32 +60,43 @@ def _holds(kind: Column, match: Column) -> Column:
         .when(kind == "ip", match.rlike(rf"^{_BYTE}(?:\.{_BYTE}){{3}}$"))
         .when(kind == "card", F.when(n.between(13, 19), _luhn(digits)).otherwise(False))
         .when(kind == "phone", n.between(9, 15))
-        .otherwise(False)
+        .otherwise(kind.isin(*FURTHER))
     )
 
 
 def _matches(text: Column, kind: str, pattern: str) -> Column:
-    """An array of each match with its kind, place in order, length of the text since the last match, and contexts."""
-    found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    """An array of each match with its kind, place in order, length of the text since the last match, and contexts.
+
+    Contexts are read from the text between the matches and from the matches
+    themselves, three before and one behind, so each part of a text is read a few
+    times, however many matches it has.
+    """
+    after, word = rf"^[{_SPACE}]*+([^{_SPACE}]++)", rf"(?<![^{_SPACE}])([^{_SPACE}]++)[{_SPACE}]*+\z"
+    two_words = rf"(?<![^{_SPACE}])([^{_SPACE}]++)[{_SPACE}]++([^{_SPACE}]++)[{_SPACE}]*+\z"
 
-    # Zipped, as the split would be made anew for every match inside the function.
-    n = F.size(found)
-    each = F.arrays_zip(found.alias("match"), F.slice(between, 1, n).alias("before"), F.slice(between, 2, n).alias("after"))
+    def shifted(part: Column, by: int, n: Column) -> Column:
+        """n elements of part from number `by`; empty texts stand for those before the first."""
+        return F.slice(F.concat(F.array_repeat(F.lit(""), -by), part) if by < 0 else part, 1 + max(by, 0), n)
+
+    def each(s: Column) -> Column:
+        found, between, n = s["found"], s["between"], F.size(s["found"])
+        back = [shifted(x, -k, n) for k in (3, 2, 1) for x in (between, found)]
+        ahead = [shifted(between, 1, n), shifted(F.concat(found, F.array(F.lit(""))), 1, n), shifted(F.concat(between, F.array(F.lit(""))), 2, n)]
+        names = ["match", "gap", *(f"b{k}" for k in range(len(back))), *(f"a{k}" for k in range(len(ahead)))]
+        zipped = F.arrays_zip(*(x.alias(name) for x, name in zip([found, shifted(between, 0, n), *back, *ahead], names, strict=True)))
+        return F.transform(zipped, one)
 
     def one(m: Column, k: Column) -> Column:
-        match, before, after = m["match"], m["before"], m["after"]
-        left = F.regexp_extract_all(F.lower(F.substring(before, -100, 100)), F.lit(shared.WORD), F.lit(0))
-        last = F.try_element_at(left, F.lit(-1))
+        before, behind = F.lower(F.concat(*(m[f"b{k}"] for k in range(6)), m["gap"])), F.lower(F.concat(*(m[f"a{k}"] for k in range(3))))
+        last, following = F.nullif(F.regexp_extract(before, word, 1), F.lit("")), F.nullif(F.regexp_extract(behind, after, 1), F.lit(""))
+        pair = F.concat(F.nullif(F.regexp_extract(before, two_words, 1), F.lit("")), F.lit(" "), last)
         return F.struct(
-            F.lit(kind).alias("kind"),
-            k.alias("place"),
-            match.alias("match"),
-            F.length(before).alias("gap"),
-            F.concat(F.try_element_at(left, F.lit(-2)), F.lit(" "), last).alias("two_before"),
-            F.concat(last, F.lit(" _ "), F.nullif(F.regexp_extract(F.lower(F.substring(after, 1, 100)), shared.WORD, 0), F.lit(""))).alias("around"),
+            F.lit(kind).alias("kind"), k.alias("place"), m["match"].alias("match"), F.length(m["gap"]).alias("gap"), pair.alias("two_before"), F.concat(last, F.lit(" _ "), following).alias("around")
         )
 
-    return F.transform(each, one)
+    # A list of one binds matches and gaps, which are else made anew for every use.
+    held = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("between"))
+    return F.get(F.transform(F.array(held), each), F.lit(0))
 
 
 def _spans(rows: DataFrame) -> DataFrame:
@@ -144,23 +163,25 @@ def discovered(spans: DataFrame, support: int = 5, confidence: float = 0.8, acce
 
 
 def find(docs: DataFrame, support: int = 5, confidence: float = 0.8, accept: float = 0.9, rounds: int = 3) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256 and spans of every row, repeated rows too.
-
-    The counts and base_sha256 are of the seeds; spans also has what contexts
-    discovered. Spans are kind:start:end in code points, end exclusive, by kind
-    in the order of KINDS, then by start, with commas. A null or empty text has
-    none; a null doc_id stays null; other columns, whatever their names, are
-    left out; an empty table gives an empty table.
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_secret, n_discovered and n_spans of every row, repeated rows too.
+
+    The counts by kind and base_sha256 are of the seeds; spans also has secrets
+    and what contexts discovered, and n_spans counts all. Spans are
+    kind:start:end in code points, end exclusive, by kind in the order of KINDS
+    and FURTHER, then by start, with commas. A null or empty text has none; a
+    null doc_id stays null; other columns, whatever their names, are left out;
+    an empty table gives an empty table.
     """
     text = F.coalesce("text", F.lit(""))
-    every = F.concat(*(_matches(text, kind, pattern) for kind, pattern in [*KINDS.items(), ("candidate", CANDIDATE)]))
+    seeds = KINDS | FURTHER
+    every = F.concat(*(_matches(text, kind, pattern) for kind, pattern in [*seeds.items(), ("candidate", CANDIDATE)]))
     rows = shared.written(
         docs.select("doc_id", "text").select(F.monotonically_increasing_id().alias("row"), "doc_id", F.when(text.rlike("[0-9@]"), every).alias("found")), "found"
     )
     spans = shared.written(_uncovered(_spans(rows)), "spans")
     new = discovered(spans, support, confidence, accept, rounds)
     base = spans.filter("kind is not null").select("row", "kind", "start", "stop", F.lit(True).alias("seed"))
-    order = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
+    order = F.array_position(F.array(*map(F.lit, seeds)), F.col("kind"))
     told = F.concat_ws(":", "kind", F.col("start").cast("string"), F.col("stop").cast("string"))
     listed = base.union(new.withColumn("seed", F.lit(False))).select("row", "kind", "seed", F.struct(order.alias("order"), "start", "stop", told.alias("told")).alias("span"))
 
@@ -168,17 +189,23 @@ def find(docs: DataFrame, support: int = 5, confidence: float = 0.8, accept: flo
         return F.array_join(F.transform(F.array_sort(spans), lambda s: s["told"]), ",")
 
     by_row = listed.groupBy("row").agg(
-        *(F.count_if(F.col("seed") & (F.col("kind") == k)).alias(f"n_{k}") for k in KINDS),
-        joined(F.collect_list(F.when(F.col("seed"), F.col("span")))).alias("base"),
+        *(F.count_if(F.col("seed") & (F.col("kind") == k)).alias(f"n_{k}") for k in seeds),
+        F.count_if(~F.col("seed")).alias("n_discovered"),
+        F.count("*").alias("n_spans"),
+        joined(F.collect_list(F.when(F.col("seed") & F.col("kind").isin(*KINDS), F.col("span")))).alias("base"),
         joined(F.collect_list("span")).alias("all"),
     )
+    count = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     return (
         rows.select("row", "doc_id")
         .join(by_row, "row", "left")
         .select(
             "doc_id",
-            *(F.coalesce(f"n_{k}", F.lit(0)).cast("long").alias(f"n_{k}") for k in KINDS),
+            *(count(f"n_{k}") for k in KINDS),
             F.sha2(F.coalesce("base", F.lit("")), 256).alias("base_sha256"),
             F.coalesce("all", F.lit("")).alias("spans"),
+            *(count(f"n_{k}") for k in FURTHER),
+            count("n_discovered"),
+            count("n_spans"),
         )
     )

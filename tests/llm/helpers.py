@@ -110,3 +110,47 @@ def _holds(kind, match):
 
 def private(text):
     return [(k, m.start(), m.end()) for k, p in KINDS for m in re.finditer(p, text or "") if _holds(k, m[0])]
+
+
+_SECRET = re.compile(r"""(token|secret|password|passwd|key)["']? {0,3}[=:] {0,3}["']?(?![A-Za-z_/+.-]+(?![A-Za-z0-9_/+.-]))([A-Za-z0-9_/+.-]{16,}={0,2})""", re.I)
+
+
+def _contexts(text, start, stop):
+    before, after = words(text[:start].lower())[-2:], words(text[stop:].lower())[:1]
+    return ([" ".join(before)] if len(before) == 2 else []) + ([f"{before[-1]} _ {after[0]}"] if before and after else [])
+
+
+def all_private(texts, support=5, confidence=0.8, accept=0.9, rounds=3):
+    """For each text its sorted spans: seeds, and what contexts discover."""
+    order = [k for k, _ in KINDS] + ["secret"]
+    seeds = [private(t) + [("secret", *m.span(2)) for m in _SECRET.finditer(t or "")] for t in texts]
+    open_ = [[m.span() for m in re.finditer(r"\S*[0-9@]\S*", t or "") if all(m.end() <= a or m.start() >= b for _, a, b in s)] for t, s in zip(texts, seeds, strict=True)]
+    around, known = defaultdict(set), defaultdict(set)  # surfaces of a context, kinds of a surface
+    for t, s, o in zip(texts, seeds, open_, strict=True):
+        for a, b in [(a, b) for _, a, b in s] + o:
+            for c in _contexts(t, a, b):
+                around[c].add(t[a:b].lower())
+        for k, a, b in s:
+            known[t[a:b].lower()].add(k)
+    scores = {(x, k): 1.0 for x, ks in known.items() for k in ks}
+    for _ in range(rounds):
+        trusted = {}
+        for c, surfaces in around.items():
+            for k in order:
+                own = sum(scores.get((x, k), 0) for x in surfaces)
+                if own >= support and own / len(surfaces) >= confidence:
+                    trusted[c, k] = min(own / len(surfaces), 0.999)
+        wrong = defaultdict(lambda: 1.0)
+        for (c, k), share in trusted.items():
+            for x in around[c]:
+                wrong[x, k] *= 1 - share
+        scores = {(x, k): 1.0 for x, ks in known.items() for k in ks} | {xk: max(1 - w, 1.0 if xk[1] in known.get(xk[0], ()) else 0) for xk, w in wrong.items() if 1 - w >= accept}
+    best = {}
+    for (x, k), s in scores.items():
+        if x not in known:
+            best[x] = max(best.get(x, (0, "")), (s, k))
+    out = []
+    for t, s, o in zip(texts, seeds, open_, strict=True):
+        new = [(best[x][1], a, b) for a, b in o if (x := t[a:b].lower()) in best and any((c, best[x][1]) in trusted for c in _contexts(t, a, b))]
+        out.append(sorted(s + new, key=lambda v: (order.index(v[0]), v[1], v[2])))
+    return out

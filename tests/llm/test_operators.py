@@ -442,7 +442,7 @@ def test_personal_data(spark, texts):
         told = ",".join(f"{a}:{b}:{c}" for a, b, c in want)
         assert [got[k][f"n_{a}"] for a, _ in helpers.KINDS] == [sum(x[0] == a for x in want) for a, _ in helpers.KINDS]
         assert got[k].base_sha256 == hashlib.sha256(told.encode()).hexdigest()
-        assert set(told.split(",")) - {""} <= set(got[k].spans.split(","))
+        assert set(told.split(",")) - {""} <= set(got[k].spans.split(",")) and got[k].n_spans == len(got[k].spans.split(",")) - (got[k].spans == "")
     assert personal_data.find(table(spark, [])).count() == 0
 
 
@@ -457,11 +457,41 @@ def test_personal_data_in_long_runs_of_digits(spark):
     assert got[3].n_card == 1
 
 
+def test_personal_data_in_texts_of_a_million_characters(spark):
+    """Each text with the number of emails, addresses, cards and phones in it."""
+    m = 1_000_000
+    every = {"7" * m: (0, 0, 0, 0), "a" * m: (0, 0, 0, 0), "@" * m: (0, 0, 0, 0), "a." * m: (0, 0, 0, 0), "1." * m: (0, m // 4, 0, 0), "+1" * m: (0, 0, 0, 0), "+1 (" * (m // 4): (0, 0, 0, 0)}
+    every |= {"token=" * m: (0, 0, 0, 0), "a" * m + "@b.c": (1, 0, 0, 0), " " * m + "1.2.3.4": (0, 1, 0, 0)}
+    got = {r.doc_id: r for r in personal_data.find(table(spark, list(every))).collect()}
+    for k, (text, want) in enumerate(every.items()):
+        assert (got[k].n_email, got[k].n_ip, got[k].n_card, got[k].n_phone) == want, text[:20]
+
+
 def test_contexts_discover_identifiers(spark):
     every = [f"some words reachable via mobile +1 555 {k:03d} 45{k:02d} during the day" for k in range(10, 40)]
     every += ["some words reachable via mobile 0171-23456 during the day", "a clean text with 12 apples via 3 shops", "the number 0171-23456 elsewhere"]
-    got = {r.doc_id: r.spans for r in personal_data.find(table(spark, every)).collect()}
-    assert got[30] == "phone:32:42" and got[31] == "" and got[32] == ""
+    got = {r.doc_id: r for r in personal_data.find(table(spark, every)).collect()}
+    assert got[30].spans == "phone:32:42" and got[31].spans == "" and got[32].spans == ""
+    assert [got[k].n_discovered for k in (0, 30, 31)] == [0, 1, 0] and got[0].n_spans == 1
+
+
+def test_what_contexts_add_equals_brute_force(spark):
+    """Contexts in the middle of long words, lists of numbers, digits in contexts, several kinds and rounds."""
+    rnd = random.Random(11)
+    noise = lambda n: [rnd.choice(["red", "blue", "x" * 300, "room 12", "9", "the", "call:"]) for _ in range(n)]
+    values = {"ip": lambda: f"{rnd.randint(1, 9)}.2.{rnd.randint(1, 99)}.4", "email": lambda: f"u{rnd.randint(1, 99)}@a.b", "odd": lambda: f"q{rnd.randint(0, 30)}z"}
+    every = ['token = "0123456789abcdef0123" and key: abcdefghijklmnop']
+    for k in range(240):
+        lead = ["host address", "mail " + "y" * 150, "room 12 call", "tel 030 1234567"][k % 4]
+        kind = "odd" if k % 5 == 4 else ["ip", "email", "ip", "ip"][k % 4]
+        own = " ".join([*noise(2), lead, values[kind](), "ends", *noise(3)])
+        every.append(own + (" host address " + values["odd"]() + " ends" if k % 7 == 0 else ""))
+    got = {r.doc_id: r for r in personal_data.find(table(spark, every)).collect()}
+    want = helpers.all_private(every)
+    for k in range(len(every)):
+        assert got[k].spans == ",".join(f"{a}:{b}:{c}" for a, b, c in want[k]), every[k]
+    assert got[0].spans == "secret:9:29" and got[0].n_secret == 1
+    assert sum(r.n_discovered for r in got.values()) > 20
 
 
 # Revisits
