@@ -2,9 +2,10 @@
 
 A revisit is met with the latest response of the same canonical URL that was
 captured before it. The as-of join has two levels, so that a URL that a third
-of all captures share is spread over the cluster: time is cut into stretches;
-within a URL's stretch a window finds the latest response so far, and of each
-stretch only its last response goes to the stretches after it.
+of all captures share is spread over the cluster: the moments of all URLs, in
+one order, are cut into partitions of about equal rows; within a URL's part of a
+partition a window finds the latest response so far, and of each part only its
+last response goes to the parts after it.
 
 The response found stands if the validators agree: entity tags where both have
 one (weak ones compare by their opaque part), else dates of last modification
@@ -25,8 +26,6 @@ KEPT_HEADERS = (
     "connection", "content-encoding", "content-language", "content-length", "content-range", "content-type", "keep-alive",
     "proxy-authenticate", "proxy-authorization", "te", "trailer", "transfer-encoding", "upgrade",
 )
-#: Stretches of time that a URL's captures are dealt to.
-STRETCHES = 256
 
 
 def canonical_url(url: Column) -> Column:
@@ -69,7 +68,25 @@ def _outcome(stored: Column, fresh: Column, stored_digest: Column, digest: Colum
     )
 
 
-def resolve(records: DataFrame, stretches: int = STRETCHES) -> DataFrame:
+def _latest(moments: DataFrame, parts: int | None) -> DataFrame:
+    """url_key, ts and met: the last full response (ts, record_id) of the URL before that moment.
+
+    moments: url_key, ts (each pair once) and full, the response at that moment
+    if there is one. parts: partitions of the order; as many as a shuffle has if
+    not given.
+    """
+    ranged = moments.repartitionByRange(*([parts] if parts else []), "url_key", "ts").withColumn("part", F.spark_partition_id())
+    placed = shared.written(ranged, "moments")
+    before = Window.partitionBy("url_key", "part").orderBy("ts").rowsBetween(Window.unboundedPreceding, -1)
+    near = placed.withColumn("found", F.last("full", ignorenulls=True).over(before))
+    # One row for each URL and partition that has it, so a URL has no more than there are partitions.
+    last = placed.groupBy("url_key", "part").agg(F.max("full").alias("last"))
+    earlier = Window.partitionBy("url_key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = last.select("url_key", "part", F.max("last").over(earlier).alias("carried"))
+    return near.join(carried, ["url_key", "part"]).select("url_key", "ts", F.coalesce("found", "carried").alias("met"))
+
+
+def resolve(records: DataFrame, parts: int | None = None) -> DataFrame:
     """A row for each revisit: record_id, url_key, ts, referent_id, outcome, headers and payload_digest.
 
     records: record_id, url, ts (a whole number), kind ('response' or
@@ -79,28 +96,20 @@ def resolve(records: DataFrame, stretches: int = STRETCHES) -> DataFrame:
     last_modified_differs, digest_differs, no_validator or no_response; only a
     resolved revisit gets referent_id, merged headers and the response's digest.
     A null url or ts has no response; null headers are empty; repeated rows give
-    repeated results, and of repeated responses one counts; other columns,
-    whatever their names, are left out; an empty table gives an empty table.
+    repeated results, and of responses that repeat record_id and ts the one with
+    the largest digest counts; other columns, whatever their names, are left
+    out; an empty table gives an empty table.
     """
     wanted = records.select("record_id", canonical_url(F.col("url")).alias("url_key"), "ts", "kind", "status", named_headers(F.col("headers")).alias("headers"), "payload_digest")
     every = shared.written(wanted, "captures")
-    low, high = every.agg(F.min("ts"), F.max("ts")).first()
-    width = (0 if low is None else high - low) // stretches + 1
-    slim = every.filter("url_key is not null and ts is not null").select(
-        "record_id", "url_key", "ts", "kind", F.floor((F.col("ts") - F.lit(low or 0)) / F.lit(width)).alias("stretch"),
-        F.when((F.col("kind") == "response") & (F.col("status") == 200), F.struct("ts", "record_id")).alias("full"),
-    )
-    before = Window.partitionBy("url_key", "stretch").orderBy("ts").rangeBetween(Window.unboundedPreceding, -1)
-    near = slim.withColumn("found", F.max("full").over(before)).filter(F.col("kind") == "revisit").select("record_id", "url_key", "ts", "stretch", "found")
-    # One row for each URL and stretch, so never more than `stretches` for a URL.
-    last = slim.groupBy("url_key", "stretch").agg(F.max("full").alias("last"))
-    earlier = Window.partitionBy("url_key").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
-    carried = last.select("url_key", "stretch", F.max("last").over(earlier).alias("carried"))
-    met = near.join(carried, ["url_key", "stretch"]).select("record_id", "ts", F.coalesce("found", "carried")["record_id"].alias("met_id")).distinct()
-    stored = every.filter("kind = 'response' and status = 200").groupBy("record_id").agg(F.max_by(F.struct("headers", "payload_digest"), "ts").alias("stored"))
-    fits = met.join(stored.withColumnRenamed("record_id", "met_id"), "met_id", "left").withColumnRenamed("record_id", "of").withColumnRenamed("ts", "of_ts")
-    own = every.filter("kind = 'revisit'")
-    told = own.join(fits, (own["record_id"] == fits["of"]) & (own["ts"] == fits["of_ts"]), "left")
+    is_full = (F.col("kind") == "response") & (F.col("status") == 200)
+    slim = every.filter("url_key is not null and ts is not null").filter(is_full | (F.col("kind") == "revisit"))
+    # Captures of one URL and moment share one answer, so they are one row before they are dealt.
+    moments = slim.groupBy("url_key", "ts").agg(F.max(F.when(is_full, F.struct("ts", "record_id"))).alias("full"))
+    met = _latest(moments, parts).filter("met is not null").select("url_key", "ts", F.col("met.record_id").alias("met_id"), F.col("met.ts").alias("met_ts"))
+    stored = every.filter(is_full).groupBy(F.col("record_id").alias("met_id"), F.col("ts").alias("met_ts"))
+    stored = stored.agg(F.max_by(F.struct("headers", "payload_digest"), F.coalesce("payload_digest", F.lit(""))).alias("stored"))
+    told = every.filter("kind = 'revisit'").join(met, ["url_key", "ts"], "left").join(stored, ["met_id", "met_ts"], "left")
     outcome = F.when(F.col("met_id").isNull(), "no_response").otherwise(_outcome(F.col("stored.headers"), F.col("headers"), F.col("stored.payload_digest"), F.col("payload_digest")))
     good = outcome == "resolved"
     return told.select(
