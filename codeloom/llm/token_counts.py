@@ -4,13 +4,18 @@ White space never joins two tokens of the tokenizer read here (its
 pre-tokenizer drops it and its special tokens hold none), so the ends of words
 are safe boundaries: a text's count is the sum of its words' counts. Long texts
 are thus split without a change of the result, and a word that comes again in
-a slice or was just seen is not encoded again. Words go to the tokenizer in
-batches of about equal bytes. Only lengths leave the function.
+a slice or was just seen is not encoded again. A long word is split further:
+after a Latin letter before a digit or one of some marks, and after a digit
+before a Latin letter, as the pre-tokenizer always parts those, no special token
+holds such a pair, and no normal form or case depends on what stands across.
+Words go to the tokenizer in batches of about equal bytes. Only lengths leave
+the function.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache, partial
 
@@ -26,6 +31,9 @@ from codeloom.llm import shared
 BATCH_BYTES = 256 << 10
 #: Words that a worker remembers, and the longest of them.
 REMEMBERED, REMEMBERED_CHARS = 400_000, 48
+#: Characters from which a word is split.
+LONG_WORD = 1 << 14
+_SAFE = re.compile(r"(?<=[A-Za-z])(?=[0-9,.;:()\[\]{}\"!?])|(?<=[0-9])(?=[A-Za-z])")
 
 
 @lru_cache(maxsize=2)
@@ -39,26 +47,42 @@ def _tokenizer(path: str):
     return loaded, {}
 
 
+def pieces_of(word: str, size: int = LONG_WORD) -> list[str]:
+    """Parts of a word whose tokens are the word's: at least size characters each, but for the last, and longer without a safe boundary."""
+    out, begin = [], 0
+    while len(word) - begin > size:
+        cut = _SAFE.search(word, begin + size)
+        if cut is None:
+            break
+        out.append(word[begin : cut.start()])
+        begin = cut.start()
+    return [*out, word[begin:]]
+
+
 def _by_bytes(texts: list[str], size: int) -> Iterator[list[str]]:
-    """Lists of texts with about size bytes each."""
-    begin = held = 0
-    for k, text in enumerate(texts):
-        held += len(text)
-        if held >= size:
-            yield texts[begin : k + 1]
-            begin, held = k + 1, 0
-    if begin < len(texts):
-        yield texts[begin:]
-
-
-def word_lengths(path: str, distinct: list[str]) -> np.ndarray:
+    """Lists of texts with about size bytes (UTF-8) each."""
+    lengths = np.asarray(pc.binary_length(pa.array(texts, pa.large_string()))).astype(np.int64)
+    ends, begin = np.cumsum(lengths), 0
+    while begin < len(texts):
+        done = ends[begin - 1] if begin else 0
+        end = min(len(texts), int(np.searchsorted(ends, done + size)) + 1)
+        yield texts[begin:end]
+        begin = end
+
+
+def word_lengths(path: str, distinct: pa.Array) -> np.ndarray:
     """Tokens of each word, from what the worker remembers or in byte-balanced batches."""
     tokenizer, known = _tokenizer(path)
-    missing = [w for w in distinct if w not in known]
+    long = np.flatnonzero(np.asarray(pc.greater(pc.binary_length(distinct), LONG_WORD))).tolist()
+    words = distinct.to_pylist()
+    split = {k: pieces_of(words[k]) for k in long}
+    wanted = [w for w in words if w not in known] if not split else [w for k, w in enumerate(words) if k not in split and w not in known]
+    wanted += sorted({p for parts in split.values() for p in parts if p not in known} - set(wanted) if split else ())
     fresh: dict[str, int] = {}
-    for batch in _by_bytes(missing, BATCH_BYTES):
+    for batch in _by_bytes(wanted, BATCH_BYTES):
         fresh.update(zip(batch, map(len, tokenizer.encode_batch(batch, add_special_tokens=False)), strict=True))
-    out = np.fromiter((known[w] if w in known else fresh[w] for w in distinct), np.int64, len(distinct))
+    length = lambda w: known[w] if w in known else fresh[w]
+    out = np.fromiter((sum(map(length, split[k])) if k in split else length(w) for k, w in enumerate(words)), np.int64, len(words))
     if len(known) + len(fresh) > REMEMBERED:
         known.clear()
     known.update((w, n) for w, n in fresh.items() if len(w) <= REMEMBERED_CHARS)
@@ -69,7 +93,7 @@ def _count(batches: Iterable[pa.RecordBatch], path: str) -> Iterator[pa.RecordBa
     for batch in shared.slices(batches):
         text = pc.fill_null(batch.column("text"), "")
         offsets, codes, distinct = shared.words(text)
-        each = word_lengths(path, distinct.to_pylist())
+        each = word_lengths(path, distinct)
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), pa.array(np.asarray(pc.binary_length(text)).astype(np.int64)), pa.array(shared.sums(each[codes], offsets))],
             ["doc_id", "n_bytes", "n_tokens"],
