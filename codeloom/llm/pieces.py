@@ -186,23 +186,21 @@ class PieceTable:
         return got
 
     def spaces(self, n: int) -> list[int]:
-        """Ids of n spaces: from the left, each grows as long as longer runs are pieces."""
-        out: list[int] = []
-        parts = [1] * min(n, 64)
-        left = n - len(parts)
-        while parts:
-            at = next((i for i in range(len(parts) - 1) if parts[i] + parts[i + 1] in self.runs), None)
-            if at is None:
-                if not left:
-                    break
-                # What stands first can't grow any more; the rest goes on behind it.
-                out.append(parts.pop(0))
-                add = min(left, 64)
-                parts += [1] * add
-                left -= add
-                continue
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [self.runs[x] for x in out + parts]
+        """Ids of n spaces: of the parts that can be joined the first are, so a part grows until longer runs are no pieces."""
+        top = max(self.runs, default=1)
+        if n > top and self._grown(top) == [top]:  # a part of this length never grows again
+            return [self.runs[top]] * (n // top) + self.spaces(n % top)
+        return [self.runs[x] for x in self._grown(n)]
+
+    def _grown(self, n: int) -> list[int]:
+        """Lengths of the parts of n spaces. All parts but the last are settled, so each space meets the last one only."""
+        parts: list[int] = []
+        for _ in range(n):
+            parts.append(1)
+            while len(parts) > 1 and parts[-2] + parts[-1] in self.runs:
+                last = parts.pop()
+                parts[-1] += last
+        return parts
 
     def segment(self, segment: str) -> bytes:
         """Ids (int32) of some spaces followed by other characters."""
