@@ -1,7 +1,7 @@
 """License scans: MinHash bands over overlapping windows, then exact containment.
 
 A text's five-word shingles are cut into windows of 2 * B shingles that begin
-every B shingles, for B in powers of two. A template of m shingles is looked for
+every B shingles from its first word, for B in powers of two. A template of m shingles is looked for
 in the windows with the smallest B >= 1.25 * m, so that a copy, even with a
 quarter of its length put in between, lies whole in one of them. Such a window
 has a Jaccard similarity of at least 0.15 with the template. Bands of one hash
@@ -36,28 +36,91 @@ TEMPLATES: dict[str, str] = {
     "Apache-2.0 (short)": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0": (
         'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. '
-        "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in "
-        'writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, '
-        "either express or implied. See the License for the specific language governing permissions and limitations under the License."
+        "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to "
+        'in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY '
+        "KIND, either express or implied. See the License for the specific language governing permissions and limitations under the "
+        "License."
     ),
     "MIT (short)": "Released under the MIT License.",
     "MIT": (
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files "
-        '(the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, '
-        "publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, "
-        "subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or "
-        "substantial portions of the Software."
+        '(the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, '
+        "merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is "
+        "furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included "
+        "in all copies or substantial portions of the Software."
+    ),
+    "ISC": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided "
+        "that the above copyright notice and this permission notice appear in all copies."
+    ),
+    "BSD-2-Clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following "
+        "conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the "
+        "following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the "
+        "following disclaimer in the documentation and/or other materials provided with the distribution."
+    ),
+    "BSD-3-Clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following "
+        "conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the "
+        "following disclaimer."
+    ),
+    "BSD-3-Clause (endorsement)": (
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from "
+        "this software without specific prior written permission."
+    ),
+    "Zlib": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any "
+        "damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including "
+        "commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"
+    ),
+    "BSL-1.0": (
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying "
+        'documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, '
+        "and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all "
+        "subject to the following:"
+    ),
+    "Unlicense": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, "
+        "sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non- "
+        "commercial, and by any means."
+    ),
+    "MPL-2.0": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with "
+        "this file, You can obtain one at https://mozilla.org/MPL/2.0/."
+    ),
+    "EPL-2.0": (
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is "
+        "available at"
     ),
     "GPL-3.0 (short)": "This work is licensed under the GNU General Public License, version 3.",
+    "GPL-2.0": (
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as "
+        "published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."
+    ),
     "GPL-3.0": (
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published "
-        "by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as "
+        "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
     ),
-    "BSD-3-Clause": (
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions "
-        "are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."
+    "LGPL-2.1": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License "
+        "as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."
+    ),
+    "LGPL-3.0": (
+        "it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the "
+        "License, or (at your option) any later version."
     ),
+    "AGPL-3.0": (
+        "it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the "
+        "License, or (at your option) any later version."
+    ),
+    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "CC-BY-NC-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
     "CC-BY-NC-4.0 (short)": "Licensed under CC BY-NC 4.0.",
+    "CC0-1.0": (
+        "To the extent possible under law, the author has dedicated all copyright and related and neighboring rights to this work to the "
+        "public domain worldwide."
+    ),
 }
 
 
@@ -103,31 +166,54 @@ class Index:
             least = np.stack([((self.sets[k] >> np.uint64(32)).astype(np.uint32)[:, None] * _factors()).min(axis=0) for k in numbers])
             self.bands[size] = np.array(numbers), least
 
-    def candidates(self, found: np.ndarray, valid: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """B, template and first shingle of each window that collides."""
-        top = max(self.bands)
-        n = -(-len(found) // (2 * top)) * 2 * top
-        x = np.zeros(n, np.uint32)
-        x[: len(found)] = (found >> np.uint64(32)).astype(np.uint32)
-        out = np.ones(n, bool)
-        out[: len(found)] = ~valid
-        hits: set[tuple[int, int, int]] = set()
+    def candidates(self, offsets: np.ndarray, found: np.ndarray, valid: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """B, template, text and first shingle (in all) of each window that collides; a text's windows don't depend on others."""
+        nothing = np.uint32(0xFFFFFFFF)
+        x = (found >> np.uint64(32)).astype(np.uint32)
+        out = np.append(~valid, True)
+        levels = _levels(offsets, max(self.bands))
+        hits: set[tuple[int, int, int, int]] = set()
         for band, factor in enumerate(_factors()):
-            least = x * factor
-            least[out] = np.uint32(0xFFFFFFFF)
-            size = 1
-            while size <= top:
+            least = np.append(x * factor, nothing)  # the last one stands where a text has no more
+            least[out] = nothing
+            for size, left, right, following, text_of, place in levels:
+                if size > 1:
+                    least = np.append(np.minimum(least[left], least[right]), nothing)
                 if size in self.bands:
                     numbers, values = self.bands[size]
-                    window = least.copy()
-                    window[:-1] = np.minimum(least[:-1], least[1:])
+                    window = np.minimum(least[:-1], least[following])
+                    # One pass finds the few windows whose value is any template's.
+                    some = np.flatnonzero(np.isin(window, values[:, band]))
                     for number, value in zip(numbers, values[:, band], strict=True):
-                        hits.update((size, int(number), int(w) * size) for w in np.flatnonzero(window == value))
-                least = np.minimum(least[0::2], least[1::2])
-                size *= 2
+                        hits.update((size, int(number), int(text_of[w]), int(offsets[text_of[w]] + place[w] * size)) for w in some[window[some] == value])
         return iter(sorted(hits))
 
 
+def _levels(offsets: np.ndarray, top: int) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each block size B in powers of two up to top: where the two halves of each text's blocks stand among the blocks
+    of the size before, the block that follows each in its text, its text, and its number in the text.
+
+    A place past the last block stands for what a text doesn't have.
+    """
+    counts = np.diff(offsets)
+    out, size, before = [], 1, None
+    while size <= top:
+        begin = np.concatenate([[0], np.cumsum(counts)])
+        text_of = np.repeat(np.arange(len(counts)), counts)
+        place = np.arange(begin[-1]) - begin[:-1][text_of]
+        more = place + 1 < counts[text_of]
+        following = np.where(more, np.arange(begin[-1]) + 1, begin[-1])
+        if before is None:
+            left = right = following
+        else:
+            old_counts, old_begin = before
+            left = old_begin[:-1][text_of] + 2 * place
+            right = np.where(2 * place + 1 < old_counts[text_of], left + 1, old_begin[-1])
+        out.append((size, left, right, following, text_of, place))
+        before, counts, size = (counts, begin), -(-counts // 2), size * 2
+    return out
+
+
 @lru_cache(maxsize=4)
 def _index(templates: tuple[tuple[str, str], ...]) -> Index:
     return Index(dict(templates))
@@ -139,22 +225,18 @@ def matches(text: pa.Array, index: Index, containment: float) -> Iterator[tuple[
     if not len(found):
         return
     best: dict[tuple[int, int], list] = {}
-    for size, number, first in index.candidates(found, valid):
+    for size, number, doc, first in index.candidates(offsets, found, valid):
         wanted = index.sets[number]
-        begin, end = max(0, first - size), min(len(found), first + 3 * size)
-        for doc in range(int(np.searchsorted(offsets, begin, "right")) - 1, int(np.searchsorted(offsets, end - 1, "right"))):
-            a, b = max(begin, offsets[doc]), min(end, offsets[doc + 1])
-            if a >= b:
-                continue
-            part = found[a:b]
-            at = np.flatnonzero(np.isin(part, wanted) & valid[a:b])
-            share = len(np.unique(part[at])) / len(wanted)
-            if share < containment:
-                continue
-            entry = best.setdefault((doc, number), [0.0, 0, 0, 0])
-            entry[3] += 1
-            if share > entry[0]:
-                entry[:3] = share, int(a + at[0] - offsets[doc]), int(a + at[-1] - offsets[doc]) + SHINGLE - 1
+        a, b = max(int(offsets[doc]), first - size), min(int(offsets[doc + 1]), first + 3 * size)
+        part = found[a:b]
+        at = np.flatnonzero(np.isin(part, wanted) & valid[a:b])
+        share = len(np.unique(part[at])) / len(wanted)
+        if share < containment:
+            continue
+        entry = best.setdefault((doc, number), [0.0, 0, 0, 0])
+        entry[3] += 1
+        if share > entry[0]:
+            entry[:3] = share, int(a + at[0] - offsets[doc]), int(a + at[-1] - offsets[doc]) + SHINGLE - 1
     for (doc, number), (share, first, last, windows) in sorted(best.items()):
         yield doc, index.names[number], share, first, last, windows
 

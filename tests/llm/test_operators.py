@@ -69,9 +69,33 @@ def test_token_counts(spark, texts):
     assert token_counts.count_tokens(table(spark, ["a b"] * 2, [None, None]), path).count() == 2
 
 
+def test_token_counts_of_long_words():
+    """Texts without white space are split only where no token reaches over."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    own = Tokenizer.from_file(path)
+    rnd = random.Random(13)
+    every = ["".join(rnd.choice("abcXYZ0123.,;:()[]{}!?'sdtm<|>\u0338\u0301éΣσ中") for _ in range(n)) for n in (10, 300, 70_000, 200_000)]
+    every += ["abc1<|endoftext|>def'll.<|startoftext|>" * 3000, "7" * 1_000_000, "a" * 1_000_000, "<|endoftext|>" * 9000]
+    got = token_counts.word_lengths(path, pa.array(every))
+    assert got.tolist() == [len(own.encode(t, add_special_tokens=False)) for t in every]
+    assert token_counts.pieces_of("a" * 200 + "1" + "b" * 200, 100) == ["a" * 200, "1" + "b" * 200] or token_counts.pieces_of("a" * 200 + "1" + "b" * 200, 100) == ["a" * 200, "1", "b" * 200]
+
+
 # SentencePiece
 
 
+def test_pieces_of_very_long_texts():
+    """Each in linear time: a million spaces, letters, digits, characters that are no piece."""
+    from sentencepiece import SentencePieceProcessor
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    own, model = pieces.piece_table(path), SentencePieceProcessor(model_file=path)
+    for text in (" " * 1_000_000, "x" + " " * 1_000_001 + "y", "a" * 300_000, "7" * 300_000, "\U0001f600" * 100_000, "word " * 200_000):
+        assert own.encode(text) == model.encode(text), text[:3]
+
+
 def test_pieces_equal_the_library():
     from sentencepiece import SentencePieceProcessor
 
@@ -409,6 +433,51 @@ def _shares(text):
     return out
 
 
+def _windows_of(text, templates):
+    """(license, containment, first_word, last_word, n_windows) of one text, by plain loops over its windows."""
+    import numpy as np
+
+    _, found, valid = licenses.shingles(pa.array([text]))
+    own = [int(x) if ok else None for x, ok in zip(found, valid, strict=True)]
+    least = lambda xs: [min(((x >> 32) * int(f)) % (1 << 32) for x in xs) if xs else None for f in licenses._factors()]
+    for name, template in templates.items():
+        _, t, ok = licenses.shingles(pa.array([template]))
+        wanted = {int(x) for x in t[ok]}
+        size = 1
+        while size < 1.25 * len(wanted):
+            size *= 2
+        bands, best, n = least(wanted), None, 0
+        for at in range(0, len(own), size):
+            inside = [x for x in own[at : at + 2 * size] if x is not None]
+            if not any(a == b for a, b in zip(least(inside), bands, strict=True)):
+                continue
+            begin = max(0, at - size)
+            places = [k for k in range(begin, min(len(own), at + 3 * size)) if own[k] in wanted]
+            share = len({own[k] for k in places}) / len(wanted)
+            if share >= 0.8:
+                n += 1
+                if best is None or share > best[0]:
+                    best = share, places[0], places[-1] + 4
+        if best:
+            yield name, *best, n
+
+
+def test_license_scan_columns_do_not_depend_on_neighbours(spark):
+    """All columns, ties too, of a text that stands among others of any number and length."""
+    rnd = random.Random(2)
+    templates = {k: licenses.TEMPLATES[k] for k in ("MIT (short)", "MIT", "GPL-3.0")} | {"twice": "a b c d e f a b c d e f"}
+    texts = ["a b c d e f a b c d e f " * 9, "", None, "x " * 700 + licenses.TEMPLATES["MIT"], (licenses.TEMPLATES["MIT"] + " y ") * 3]
+    for _ in range(12):
+        texts.append("n " * rnd.randint(0, 90) + licenses.TEMPLATES[rnd.choice(["MIT (short)", "GPL-3.0"])] + " m" * rnd.randint(0, 90))
+    want = {t: sorted(_windows_of(t, templates)) for t in texts if t}
+    for _ in range(3):
+        rnd.shuffle(texts)
+        got = defaultdict(list)
+        for r in licenses.scan(table(spark, texts).coalesce(1), templates).collect():
+            got[texts[r.doc_id]].append((r.license, r.containment, r.first_word, r.last_word, r.n_windows))
+        assert {t: sorted(v) for t, v in got.items()} == {t: v for t, v in want.items() if v}
+
+
 def test_license_scan(spark, texts):
     rnd = random.Random(9)
     every = [*helpers.AWKWARD, *texts.values(), *licenses.TEMPLATES.values()]
@@ -513,8 +582,8 @@ def test_revisits(spark):
         (11, "ex.com/a?a=1&b=2", 5, "revisit", 304, {"ETag": '"x"'}, None, 0),
         (12, "ex.com/a?a=1&b=2", None, "revisit", 304, {"ETag": '"x"'}, None, 0),
     ]
-    for stretches in (1, 3, 256):
-        got = {r.record_id: r for r in revisits.resolve(spark.createDataFrame(rows, capture), stretches).collect()}
+    for parts in (1, 3, 64):
+        got = {r.record_id: r for r in revisits.resolve(spark.createDataFrame(rows, capture), parts).collect()}
         assert {k: (r.outcome, r.referent_id) for k, r in got.items()} == {
             2: ("resolved", 1), 5: ("resolved", 1), 6: ("last_modified_differs", None), 7: ("resolved", 4), 8: ("no_validator", None),
             9: ("no_response", None), 10: ("no_response", None), 11: ("no_response", None), 12: ("no_response", None),
@@ -524,6 +593,46 @@ def test_revisits(spark):
     assert revisits.resolve(spark.createDataFrame([], capture)).count() == 0
 
 
+def test_revisits_equal_brute_force_on_skewed_time(spark):
+    """A hot URL, most of whose captures lie in a few seconds far from the first, with ties, repeats and nulls."""
+    rnd = random.Random(5)
+    rows = []
+    for k in range(1500):
+        ts = rnd.choice([None, 0, *([1_700_000_000 + rnd.randint(0, 300)] * 30)])
+        url = rnd.choice(["hot.org/x"] * 9 + ["b.org", None])
+        headers = rnd.choice([None, {"ETag": rnd.choice("ab")}, {"etag": 'W/' + rnd.choice("ab"), "Last-Modified": rnd.choice("mn")}, {"last-modified": "m"}])
+        rows.append((k // 2 if k % 50 == 1 else k, url, ts, rnd.choice(["response", "revisit"]), rnd.choice([200, 200, 304, None]), headers, rnd.choice([None, "d1", "d2"])))
+    rows += rows[:40]
+    full = defaultdict(dict)
+    for i, url, ts, kind, status, headers, digest in rows:
+        if kind == "response" and status == 200 and url and ts is not None:
+            at = full[url].setdefault((ts, i), (headers, digest))
+            full[url][ts, i] = max(at, (headers, digest), key=lambda x: x[1] or "")
+    want = Counter()
+    for i, url, ts, kind, _, headers, digest in rows:
+        if kind != "revisit":
+            continue
+        earlier = [x for x in full.get(url, ()) if ts is not None and x[0] < ts]
+        if not earlier:
+            want[i, ts, None, "no_response"] += 1
+            continue
+        stored, held = full[url][max(earlier)]
+        low = lambda h: {k.lower(): v for k, v in (h or {}).items()}
+        ours, theirs = low(stored), low(headers)
+        for tag in ("etag", "last-modified"):
+            a, b = (h[tag].removeprefix("W/") if tag in h else None for h in (ours, theirs))
+            if a is not None and b is not None:
+                outcome = "resolved" if a == b else tag.replace("-", "_") + "_differs"
+                break
+        else:
+            outcome = "no_validator" if held is None or digest is None else "resolved" if held == digest else "digest_differs"
+        want[i, ts, max(earlier)[1] if outcome == "resolved" else None, outcome] += 1
+    frame = spark.createDataFrame(rows, "record_id long, url string, ts long, kind string, status int, headers map<string,string>, payload_digest string")
+    for parts in (None, 17):
+        got = Counter((r.record_id, r.ts, r.referent_id, r.outcome) for r in revisits.resolve(frame, parts).collect())
+        assert got == want
+
+
 # Queries
 
 
