@@ -1,28 +1,31 @@
-"""Scores of a bigram model whose counts lie in a log-frequency Bloom filter.
+"""Scores of a trigram model whose counts lie in a log-frequency Bloom filter.
 
-The filter holds quantised counts of all word pairs: a pair counted c times is
-entered at levels 1 to 1 + floor(log_b c). To read a count, its levels are
-probed upwards until one is missing. Entries are dealt to segments by their
-hash; a segment's bits are sized by what it holds, so the rate of false
-positives does not grow with the corpus.
+The filter holds quantised counts of all word pairs, of the triples that were
+seen twice or more, and of the words whose exact counts are not broadcast: what
+is counted c times is entered at levels 1 to 1 + floor(log_b c). To read a
+count, its levels are probed upwards until one is missing. Entries are dealt to
+segments by their hash; a segment's bits are sized by what it holds, so the rate
+of false positives does not grow with the corpus.
 
 The probability of a word after another interpolates by absolute discounting:
 what the discount takes from the pairs goes to the word's own smoothed
 probability. Discounts and shares are estimated from all pairs, by the
-magnitude of the first word's count.
-
-Segments are broadcast together while they stay below BROADCAST_BYTES; beyond
-it, groups of segments are broadcast one after another, each scores the pairs
-that it holds, and the parts add up. Exact word counts are broadcast for at most
-HEAD words of at most HEAD_BYTES bytes, the most frequent ones; the counts of
-the others are joined. As an unseen pair's probability is a product, the joined
-word's factor can be added then.
+magnitude of the first word's count. After two words that were seen together c
+times, twice or more, the triple's count n gives (n + PRIOR * p) / (c + PRIOR)
+with p that of the last word alone; triples seen once count as unseen.
+
+The filter is broadcast while it stays below BROADCAST_BYTES. Beyond it, it stays
+where it is: slices of the texts ask its segments for the counts they need, the
+answers go back to the slices, and so each text is moved once, whatever the
+filter's size. Exact word counts are broadcast for at most HEAD words of at most
+HEAD_BYTES bytes, the most frequent ones; base_score joins the counts of the
+others.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import partial
 
@@ -37,16 +40,22 @@ from codeloom.llm import shared
 
 #: Words whose exact counts are broadcast, and the bytes of the longest.
 HEAD, HEAD_BYTES = 1 << 19, 64
-#: Bytes of filter that are broadcast at once.
-BROADCAST_BYTES = 96 << 20
-#: Pairs, at most, that are counted for one segment; pairs that a task gathers before it gives them out.
+#: Bytes of filter that are broadcast.
+BROADCAST_BYTES = 128 << 20
+#: Tokens, at most, that are counted for one segment; tokens that a task gathers before it gives their counts out.
 SEGMENT, GATHERED = 1_000_000, 3_000_000
-#: Probes of an entry, and bits for each entry: 1 in 64 probes of a missing entry errs.
-PROBES, BITS = 6, 6 / np.log(2)
+#: Tasks, at most, that segments are dealt to; a task takes one segment after another.
+MOST_TASKS = 20_000
+#: Probes of an entry, with as many bits / ln 2 for each entry: 1 in 64 questions for a missing entry errs.
+PROBES = 6
 #: Counts are told apart by factors of this.
 BASE = 2**0.5
-#: Low bits of a pair's key hold the magnitude of its first word's count.
-TAG_BITS = 6
+#: Weight, in occurrences, of what the last word alone predicts.
+PRIOR = 2.0
+#: Low bits of a key: for a pair the magnitude of its first word's count (0 for a word that isn't in the head), else these.
+TAG_BITS, TRIPLE, SINGLE = 6, 62, 63
+#: Bits of a key that tell entries of a segment apart; with a count beside it a key takes a number of 64 bits.
+KEY_BITS = 48
 #: The token at each text's end, and the history at its begin; no word is empty.
 END = ""
 
@@ -124,6 +133,12 @@ class Tokens:
         out[self.offsets[:-1]] = len(self.distinct) - 1
         return out
 
+    def first(self) -> np.ndarray:
+        """Whether a token is its text's first."""
+        out = np.zeros(len(self.codes), bool)
+        out[self.offsets[:-1]] = True
+        return out
+
 
 class Head:
     """Exact counts of the frequent words."""
@@ -143,11 +158,20 @@ class Head:
         return np.where(n > 0, 1 + np.floor(np.log2(np.maximum(n, 1))), 0).astype(np.uint64)
 
 
-def pair_keys(tokens: Tokens, hashes: np.ndarray, magnitudes: np.ndarray) -> np.ndarray:
+def pair_keys(tokens: Tokens, hashes: np.ndarray, magnitudes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of each token with the one before it, and with the two before it (a text's first token has no such triple)."""
     with np.errstate(over="ignore"):
-        first = tokens.before()
-        pair = shared.mixed(hashes[first] * np.uint64(0x9E3779B97F4A7C15) + hashes[tokens.codes])
-    return (pair << np.uint64(TAG_BITS)) | magnitudes[first]
+        before = tokens.before()
+        own = hashes[tokens.codes]
+        pair = shared.mixed(hashes[before] * np.uint64(0x9E3779B97F4A7C15) + own)
+        earlier = np.empty_like(pair)
+        earlier[1:] = pair[:-1]
+        triple = shared.mixed(earlier * np.uint64(0xD6E8FEB86659FD93) + own)[~tokens.first()]
+    return (pair << np.uint64(TAG_BITS)) | magnitudes[before], (triple << np.uint64(TAG_BITS)) | np.uint64(TRIPLE)
+
+
+def word_keys(hashes: np.ndarray) -> np.ndarray:
+    return (shared.mixed(hashes) << np.uint64(TAG_BITS)) | np.uint64(SINGLE)
 
 
 def segment_of(keys: np.ndarray, segments: int) -> np.ndarray:
@@ -156,9 +180,9 @@ def segment_of(keys: np.ndarray, segments: int) -> np.ndarray:
 
 
 def _probes(keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
-    """Where the probes of keys at a level begin, and by what they go on."""
+    """Where the probes of keys at a level begin, and by what they go on; a segment knows a key's low KEY_BITS only."""
     with np.errstate(over="ignore"):
-        begin = shared.mixed(keys + np.uint64(level) * np.uint64(0xD6E8FEB86659FD93))
+        begin = shared.mixed((keys & np.uint64((1 << KEY_BITS) - 1)) + np.uint64(level) * np.uint64(0xD6E8FEB86659FD93))
     return begin, shared.mixed(begin) | np.uint64(1)
 
 
@@ -168,20 +192,58 @@ def _count_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([tokens.distinct, pa.array(np.bincount(tokens.codes, minlength=len(tokens.distinct)).astype(np.int64))], ["word", "n"])
 
 
+def _dealt(keys: np.ndarray, segments: int) -> Iterator[tuple[int, slice]]:
+    """Each segment that some of the sorted keys belong to, and which ones."""
+    segment = segment_of(keys, segments)
+    starts = np.flatnonzero(np.concatenate([[len(keys) > 0], segment[1:] != segment[:-1]]))
+    for start, stop in zip(starts.tolist(), np.append(starts[1:], len(keys)).tolist(), strict=True):
+        yield int(segment[start]), slice(start, stop)
+
+
+def _packed(keys: np.ndarray, n: np.ndarray) -> tuple[bytes, bytes]:
+    """The low KEY_BITS of keys counted once, six bytes each; the others with their counts, which take 16 bits of 64."""
+    low = keys << np.uint64(64 - KEY_BITS)
+    once = n == 1
+    low_once = np.ascontiguousarray((low[once] >> np.uint64(64 - KEY_BITS)).view(np.uint8).reshape(-1, 8)[:, :6])
+    times, left = low[~once], n[~once]
+    most = (1 << 16) - 1
+    repeats = -(-left // most)  # a larger count is several entries
+    each = np.repeat(times, repeats)
+    counts = np.full(len(each), most, np.uint64)
+    counts[np.cumsum(repeats) - 1] = left - (repeats - 1) * most
+    return low_once.tobytes(), (each | counts).tobytes()
+
+
+def _unpacked(once: list[bytes], more: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct low keys in order, and their counts."""
+    whole = np.frombuffer(b"".join(once), np.uint8).reshape(-1, 6)
+    low = np.zeros((len(whole), 8), np.uint8)
+    low[:, 2:] = whole
+    low[:, 0] = 1
+    packed = np.concatenate([low.view(np.uint64).ravel(), np.frombuffer(b"".join(more), np.uint64)])
+    packed.sort()
+    keys = packed >> np.uint64(64 - KEY_BITS)
+    starts = np.flatnonzero(np.concatenate([[len(keys) > 0], keys[1:] != keys[:-1]]))
+    counts = np.add.reduceat(packed & np.uint64(0xFFFF), starts) if len(starts) else np.zeros(0, np.uint64)
+    return keys[starts], counts.astype(np.int64)
+
+
+_COUNTED = "segment int, once binary, more binary"
+
+
 def _count_pairs(batches: Iterable[pa.RecordBatch], head, segments: int) -> Iterator[pa.RecordBatch]:
+    """Counts of pairs and triples, a row for each segment and some millions of tokens."""
     held: list[np.ndarray] = []
 
     def out() -> Iterator[pa.RecordBatch]:
         keys, n = np.unique(np.concatenate(held), return_counts=True)
         held.clear()
-        for k in range(0, len(keys), 1 << 16):  # small batches, as both sides of the worker's stream hold one
-            some = keys[k : k + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(segment_of(some, segments).astype(np.int32)), pa.array(some.view(np.int64)), pa.array(n[k : k + (1 << 16)].astype(np.int32))], ["segment", "key", "n"])
+        yield from _given_out(keys, n, segments)
 
     gathered = 0
     for batch in shared.slices(batches):
         tokens = Tokens.of(batch.column("text"))
-        held.append(pair_keys(tokens, _hashes(tokens.distinct), head.value.magnitudes(tokens.distinct)))
+        held += pair_keys(tokens, _hashes(tokens.distinct), head.value.magnitudes(tokens.distinct))
         gathered += len(tokens.codes)
         if gathered >= GATHERED:
             yield from out()
@@ -190,30 +252,56 @@ def _count_pairs(batches: Iterable[pa.RecordBatch], head, segments: int) -> Iter
         yield from out()
 
 
+def _given_out(keys: np.ndarray, n: np.ndarray, segments: int) -> Iterator[pa.RecordBatch]:
+    rows: list[tuple[int, bytes, bytes]] = []
+    size = 0
+    for segment, part in _dealt(keys, segments):
+        rows.append((segment, *_packed(keys[part], n[part])))
+        size += part.stop - part.start
+        if size > 1 << 17 or len(rows) >= 1 << 13:  # small batches, as both sides of the worker's stream hold one
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2))], ["segment", "once", "more"])
+            rows, size = [], 0
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2))], ["segment", "once", "more"])
+
+
+def _rest_words(batches: Iterable[pa.RecordBatch], segments: int) -> Iterator[pa.RecordBatch]:
+    """Counts of the words that the head has not, as entries of their own kind."""
+    for batch in batches:
+        if batch.num_rows:
+            keys, n = word_keys(_hashes(batch.column("word").cast(pa.string()))), np.asarray(batch.column("n"))
+            order = np.argsort(keys)
+            yield from _given_out(keys[order], n[order], segments)
+
+
 _STATS = "segment int, n_bits long, bits binary, tag array<int>, types array<long>, once array<long>, twice array<long>, tokens array<long>"
 
 
-def _build(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each segment, from rows in order of segment: its bits and, for each tag, counts of counts."""
+def _build(batches: Iterable[pa.RecordBatch], probes: int) -> Iterator[pa.RecordBatch]:
+    """A row for each segment, from rows in order of segment: its bits and, for each tag of pairs, counts of counts."""
     from codeloom.llm.near_dedup import _whole_groups
 
     for table in _whole_groups(batches, "segment"):
         table = table.combine_chunks()
-        segments, keys, n = (np.asarray(table[c]) for c in ("segment", "key", "n"))
-        starts = np.flatnonzero(np.concatenate([[True], segments[1:] != segments[:-1]]))
-        for start, stop in zip(starts, np.append(starts[1:], len(keys)), strict=True):
-            found, at = np.unique(keys[start:stop].view(np.uint64), return_inverse=True)
-            counts = np.bincount(at, weights=n[start:stop]).astype(np.int64)
-            levels = level_of(counts)
-            n_bits = np.uint64(max(64, int(levels.sum() * BITS)))
+        segments = np.asarray(table["segment"])
+        starts = np.flatnonzero(np.concatenate([[True], segments[1:] != segments[:-1]])).tolist()
+        for start, stop in zip(starts, [*starts[1:], len(segments)], strict=True):
+            part = table.slice(start, stop - start)
+            found, counts = _unpacked(part["once"].to_pylist(), part["more"].to_pylist())
+            tags = (found & np.uint64((1 << TAG_BITS) - 1)).astype(np.int64)
+            pairs = tags < TRIPLE
+            stats = [np.bincount(tags[pairs], weights=w[pairs], minlength=64).astype(np.int64) for w in (np.ones(len(tags)), counts == 1, counts == 2, counts)]
+            # A triple is entered by how often it came again.
+            entered = np.where(tags == TRIPLE, counts - 1, counts)
+            found, entered = found[entered > 0], entered[entered > 0]
+            levels = level_of(entered)
+            n_bits = np.uint64(max(64, int(levels.sum() * probes / np.log(2))))
             flags = np.zeros(int(n_bits), bool)
-            for level in range(1, int(levels.max()) + 1):
+            for level in range(1, int(levels.max(initial=0)) + 1):
                 place, step = _probes(found[levels >= level], level)
-                for _ in range(PROBES):
+                for _ in range(probes):
                     flags[place % n_bits] = True
                     place += step
-            tags = (found & np.uint64((1 << TAG_BITS) - 1)).astype(np.int64)
-            stats = [np.bincount(tags, weights=w, minlength=64).astype(np.int64) for w in (np.ones(len(tags)), counts == 1, counts == 2, counts)]
             some = np.flatnonzero(stats[0])
             lists = [pa.array([some.astype(np.int32)])] + [pa.array([s[some]]) for s in stats]
             yield pa.RecordBatch.from_arrays(
@@ -223,33 +311,30 @@ def _build(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Filter:
-    """The segments from one number to another, ready to be probed."""
+    """Some segments, ready to be probed."""
 
-    def __init__(self, segments: int, begin: int, end: int, rows: pa.Table) -> None:
+    def __init__(self, segments: int, rows: pa.Table, probes: int, first: int = 0, last: int | None = None) -> None:
+        """rows: segment, n_bits and bits; first, last: the segments that are asked for, all unless given."""
         rows = rows.sort_by("segment").combine_chunks()
-        self.segments = segments
-        self.here = (np.arange(segments) >= begin) & (np.arange(segments) < end)
-        self.n_bits, self.begin = np.zeros(segments, np.uint64), np.zeros(segments, np.int64)
-        at, sizes = np.asarray(rows["segment"]), np.asarray(pc.binary_length(rows["bits"])).astype(np.int64)
+        here = (segments if last is None else last + 1) - first
+        self.segments, self.first, self.probes = segments, first, probes
+        self.n_bits, self.begin = np.zeros(here, np.uint64), np.zeros(here, np.int64)
+        at, sizes = np.asarray(rows["segment"]) - first, np.asarray(pc.binary_length(rows["bits"])).astype(np.int64)
         self.n_bits[at] = np.asarray(rows["n_bits"]).astype(np.uint64)
         self.begin[at] = np.cumsum(sizes) - sizes
-        data = rows["bits"].chunk(0).buffers()[2] if len(at) else None
-        self.bits = np.frombuffer(data, np.uint8, int(sizes.sum())) if data is not None else np.zeros(1, np.uint8)
-
-    def holds(self, keys: np.ndarray) -> np.ndarray:
-        """Whether a key's segment is one of these."""
-        return self.here[segment_of(keys, self.segments)]
+        bits = pa.chunked_array(rows["bits"].chunks).combine_chunks().cast(pa.large_binary()) if len(at) else None
+        self.bits = np.frombuffer(bits.buffers()[2], np.uint8, int(sizes.sum())) if bits is not None else np.zeros(1, np.uint8)
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
-        """The level of each of the sorted keys; 0 where it was never entered."""
+        """The level of each key; 0 where it was never entered."""
         out = np.zeros(len(keys), np.int64)
-        segment = segment_of(keys, self.segments)
+        segment = segment_of(keys, self.segments) - self.first
         left, level = np.flatnonzero(self.n_bits[segment]), 0
         while len(left):
             level += 1
             bits, begin = self.n_bits[segment[left]], self.begin[segment[left]]
             at, step = _probes(keys[left], level)
-            for _ in range(PROBES):
+            for _ in range(self.probes):
                 place = at % bits
                 hit = (self.bits[begin + (place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
                 left, bits, begin, step = left[hit], bits[hit], begin[hit], step[hit]
@@ -265,7 +350,6 @@ class Model:
     tokens: int
     words: int
     complete: bool  # whether the head has every training word
-    tail_count: float  # mean count of the words that the head has not
     discount: np.ndarray
     share: np.ndarray
 
@@ -273,46 +357,134 @@ class Model:
         return np.log10((n + 0.5) / (self.tokens + 0.5 * (self.words + 1)))
 
 
-def _score(batches: Iterable[pa.RecordBatch], model: Model, head, counts, first: bool) -> Iterator[pa.RecordBatch]:
-    """Each row's score from the pairs whose segments are here, and the words that are to be joined; from the first segments the rest, too."""
-    found: Filter = counts.value
+_SCORED = "score double, n_tokens long, n_known long, base_score double, rest array<string>"
+
+
+def _scored(text: pa.Array, model: Model, head: Head, levels: Callable[[np.ndarray], np.ndarray]) -> list[pa.Array]:
+    """The columns of _SCORED for each text; levels gives the filter's level of each of some sorted keys."""
+    tokens = Tokens.of(text)
+    exact = head.counts_of(tokens.distinct)
+    known = exact >= 0
+    hashes, magnitudes = _hashes(tokens.distinct), head.magnitudes(tokens.distinct)
+
+    def counts(keys: np.ndarray) -> np.ndarray:
+        distinct, at = np.unique(keys, return_inverse=True)
+        return count_of(levels(distinct))[at]
+
+    one = exact.astype(float)
+    one[~known] = 0 if model.complete else counts(word_keys(hashes[~known]))
+    pairs, triples = pair_keys(tokens, hashes, magnitudes)
+    history, word = tokens.before(), tokens.codes
+    tag, size, two = magnitudes[history].astype(np.int64), one[history], counts(pairs)
+    lower = 10.0 ** model.base(one)[word]
+    p = np.maximum(two - model.discount[tag], 0) / np.maximum(np.maximum(size, two), 1) + np.where(size > 0, model.share[tag], 1.0) * lower
+    p = np.minimum(p, 1.0)
+    # The pair that ends at the token before is the triple's history.
+    inner = np.flatnonzero(~tokens.first())
+    times = two[inner - 1]
+    often = np.flatnonzero(times >= 2)
+    again = counts(triples[often])
+    three = np.minimum(np.where(again > 0, again + 1, 0), times[often])
+    at = inner[often]
+    p[at] = (three + PRIOR * p[at]) / (times[often] + PRIOR)
+
+    later = (~known & (not model.complete))[word]
+    ends = np.concatenate([[0], np.cumsum(later)])[tokens.offsets]
+    return [
+        pa.array(shared.sums(np.log10(p), tokens.offsets)),
+        pa.array(np.diff(tokens.offsets)),
+        pa.array(shared.sums((exact > 0)[word].astype(np.int64), tokens.offsets)),
+        pa.array(shared.sums(np.where(later, 0.0, model.base(np.where(known, exact, 0))[word]), tokens.offsets)),
+        pa.ListArray.from_arrays(pa.array(ends, pa.int32()), tokens.distinct.take(pa.array(word[later]))),
+    ]
+
+
+def _score(batches: Iterable[pa.RecordBatch], model: Model, head, counts) -> Iterator[pa.RecordBatch]:
     for batch in shared.slices(batches):
-        tokens = Tokens.of(batch.column("text"))
-        exact = head.value.counts_of(tokens.distinct)
-        known = exact >= 0
-        magnitudes = head.value.magnitudes(tokens.distinct)
-        keys, at = np.unique(pair_keys(tokens, _hashes(tokens.distinct), magnitudes), return_inverse=True)
-        mine, pairs = found.holds(keys)[at], count_of(found.levels(keys))[at]
-        history, word = tokens.before(), tokens.codes
-        tag = magnitudes[history].astype(np.int64)
-        size = np.where(known, exact, model.tail_count)[history]
-        later = (~known & (not model.complete))[word]
-        lower = 10.0 ** model.base(np.where(known, exact, 0 if model.complete else model.tail_count))[word]
-        seen = pairs > 0
-        # An unseen pair of a word that is joined later gets that word's factor then.
-        p = np.where(seen, np.maximum(pairs - model.discount[tag], 0) / np.maximum(size, 1), 0) + model.share[tag] * np.where(later & ~seen, 1.0, lower)
-        part = np.where(mine, np.log10(np.minimum(p, 1.0)), 0.0)
-        chosen = later & mine
-        ends = np.concatenate([[0], np.cumsum(chosen)])[tokens.offsets]
-        rest = pa.StructArray.from_arrays([tokens.distinct.take(pa.array(word[chosen])), pa.array(~seen[chosen])], ["word", "open"])
-        n = len(tokens.offsets) - 1
-        plain = np.where(later, 0.0, model.base(np.where(known, exact, 0))[word])
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column("row"),
-                batch.column("doc_id"),
-                pa.array(shared.sums(part, tokens.offsets)),
-                pa.array(np.diff(tokens.offsets) if first else np.zeros(n, np.int64)),
-                pa.array(shared.sums((exact > 0)[word].astype(np.int64), tokens.offsets) if first else np.zeros(n, np.int64)),
-                pa.array(shared.sums(plain, tokens.offsets) if first else np.zeros(n)),
-                pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rest),
-            ],
-            ["row", "doc_id", "score", "n_tokens", "n_known", "base_score", "rest"],
-        )
-
-
-def _head(words: DataFrame) -> tuple[Head, bool, float]:
-    """The frequent words, whether they are all, and the mean count of the others.
+        scored = _scored(batch.column("text"), model, head.value, counts.value.levels)
+        yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), *scored], ["row", "doc_id", "score", "n_tokens", "n_known", "base_score", "rest"])
+
+
+# Where the filter is larger than what may be broadcast
+
+
+def _cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows with the number of their slice, which is that of its first row."""
+    for batch in shared.slices(batches):
+        first = np.full(batch.num_rows, batch.column("row")[0].as_py())
+        yield pa.RecordBatch.from_arrays([pa.array(first), *(batch.column(c) for c in ("row", "doc_id", "text"))], ["slice", "row", "doc_id", "text"])
+
+
+def _ask(batches: Iterable[pa.RecordBatch], head, segments: int) -> Iterator[pa.RecordBatch]:
+    """The keys that each slice needs, a row for each segment."""
+    for batch in batches:
+        of = np.asarray(batch.column("slice"))
+        starts = np.flatnonzero(np.concatenate([[len(of) > 0], of[1:] != of[:-1]])).tolist()
+        for start, stop in zip(starts, [*starts[1:], len(of)], strict=True):
+            tokens = Tokens.of(batch.column("text").slice(start, stop - start))
+            hashes = _hashes(tokens.distinct)
+            rest = word_keys(hashes[head.value.counts_of(tokens.distinct) < 0])
+            keys = np.unique(np.concatenate([rest, *pair_keys(tokens, hashes, head.value.magnitudes(tokens.distinct))]))
+            dealt = list(_dealt(keys, segments))
+            for k in range(0, len(dealt), 1 << 13):
+                some = dealt[k : k + (1 << 13)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([s for s, _ in some], pa.int32()), pa.array([int(of[start])] * len(some)), pa.array([keys[part].tobytes() for _, part in some], pa.binary())], ["segment", "slice", "keys"]
+                )
+
+
+def _answer(batches: Iterable[pa.RecordBatch], segments: int, probes: int) -> Iterator[pa.RecordBatch]:
+    """Levels of the keys that slices ask for, from rows in order of segment, each segment's bits first."""
+    counts: Filter | None = None
+    for batch in batches:
+        slices, keys_of, levels = [], [], []
+        for k, (segment, n_bits) in enumerate(zip(batch.column("segment").to_pylist(), batch.column("n_bits").to_pylist(), strict=True)):
+            if n_bits is not None:
+                own = pa.table({"segment": pa.array([segment]), "n_bits": pa.array([n_bits]), "bits": batch.column("bits").slice(k, 1)})
+                counts = Filter(segments, own, probes, segment, segment)
+                continue
+            raw = batch.column("keys")[k].as_py()
+            keys = np.frombuffer(raw, np.uint64)
+            held = counts is not None and counts.first == segment
+            slices.append(batch.column("slice")[k].as_py())
+            keys_of.append(raw)
+            levels.append((counts.levels(keys) if held else np.zeros(len(keys), np.int64)).astype(np.uint8).tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(slices, pa.int64()), pa.array(keys_of, pa.binary()), pa.array(levels, pa.binary())], ["slice", "keys", "levels"])
+
+
+def _score_answered(batches: Iterable[pa.RecordBatch], model: Model, head) -> Iterator[pa.RecordBatch]:
+    """Scores of the texts of each slice, from rows in order of slice: texts and answers."""
+    from codeloom.llm.near_dedup import _whole_groups
+
+    for table in _whole_groups(batches, "slice"):
+        table = table.combine_chunks()
+        of = np.asarray(table["slice"])
+        starts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])).tolist()
+        for start, stop in zip(starts, [*starts[1:], len(of)], strict=True):
+            part = table.slice(start, stop - start)
+            rows, told = part.filter(pc.is_null(part["keys"])), part.filter(pc.is_valid(part["keys"]))
+            keys, levels = (np.frombuffer(b"".join(told[c].to_pylist()), t) for c, t in (("keys", np.uint64), ("levels", np.uint8)))
+            order = np.argsort(keys)
+            keys, levels = keys[order], levels[order].astype(np.int64)
+            found = lambda asked, keys=keys, levels=levels: levels[np.searchsorted(keys, asked)]
+            scored = _scored(rows["text"].combine_chunks(), model, head.value, found)
+            yield pa.RecordBatch.from_arrays([rows["row"].combine_chunks(), rows["doc_id"].combine_chunks(), *scored], ["row", "doc_id", "score", "n_tokens", "n_known", "base_score", "rest"])
+
+
+def _asked(rows: DataFrame, segments: DataFrame, n_segments: int, model: Model, head, probes: int, schema: str) -> DataFrame:
+    """Scores of rows (row, doc_id, text) by questions to the segments and answers to the slices."""
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    sliced = shared.written(rows.mapInArrow(_cut, f"slice long, row long, doc_id {kind}, text string"), "slices")
+    asked = sliced.mapInArrow(partial(_ask, head=head, segments=n_segments), "segment int, slice long, keys binary")
+    both = asked.unionByName(segments.select("segment", "n_bits", "bits"), allowMissingColumns=True)
+    ordered = both.repartition(min(n_segments, MOST_TASKS), "segment").sortWithinPartitions("segment", F.col("n_bits").isNull())
+    answers = ordered.mapInArrow(partial(_answer, segments=n_segments, probes=probes), "slice long, keys binary, levels binary")
+    met = sliced.unionByName(answers, allowMissingColumns=True).repartition("slice").sortWithinPartitions("slice")
+    return met.mapInArrow(partial(_score_answered, model=model, head=head), schema)
+
+
+def _head(words: DataFrame) -> tuple[Head, bool, Column]:
+    """The frequent words, whether they are all, and which words of a table are among them.
 
     The least count that is broadcast follows from how many words have each
     count, so that at most HEAD words do.
@@ -329,12 +501,11 @@ def _head(words: DataFrame) -> tuple[Head, bool, float]:
         if held > HEAD:
             break
         least = n
-    rest = [r for r in rows if r.n < least or not r.short]
-    got = words.filter((F.col("n") >= least) & (F.octet_length("word") <= HEAD_BYTES)).toArrow()
-    got = got.combine_chunks()
+    complete = all(r.n >= least and r.short for r in rows)
+    among = (F.col("n") >= least) & (F.octet_length("word") <= HEAD_BYTES)
+    got = words.filter(among).toArrow().combine_chunks()
     held_words = pa.concat_arrays([c.cast(pa.string()) for c in got["word"].chunks] or [pa.array([], pa.string())])
-    head = Head(held_words, np.asarray(got["n"]).astype(np.int64))
-    return head, not rest, sum(r.total for r in rest) / max(1, sum(r.words for r in rest)) or 1.0
+    return Head(held_words, np.asarray(got["n"]).astype(np.int64)), complete, among
 
 
 def _shares(segments: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -348,14 +519,15 @@ def _shares(segments: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return discount, share
 
 
-def score(docs: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row, repeated rows too.
+def score(docs: DataFrame, broadcast_bytes: int = BROADCAST_BYTES, probes: int = PROBES) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and score_per_token of every row, repeated rows too.
 
     The model learns from the documents that are not held out. A null or empty
     text has its end as its one token; a null doc_id stays null and is dealt as
     an empty one; with no training documents nothing is known and both scores
     are those of a uniform guess among one word. Other columns, whatever their
-    names, are left out; an empty table gives an empty table.
+    names, are left out; an empty table gives an empty table. score does not
+    depend on broadcast_bytes; probes: of each entry of the filter.
     """
     spark = docs.sparkSession
     shared.ready_workers(spark)
@@ -363,60 +535,46 @@ def score(docs: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     training = docs.filter(~held_out(F.col("doc_id"))).select("text")
     words = shared.written(training.mapInArrow(_count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
     n_tokens, n_words = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    exact, complete, tail_count = _head(words)
+    exact, complete, among = _head(words)
     head = spark.sparkContext.broadcast(exact)
 
     n_segments = 1 + int(n_tokens) // SEGMENT
-    pairs = training.mapInArrow(partial(_count_pairs, head=head, segments=n_segments), "segment int, key long, n int")
-    dealt = pairs.repartition(n_segments, "segment").sortWithinPartitions("segment")
-    segments = shared.written(dealt.mapInArrow(_build, _STATS), "segments")
-    model = Model(int(n_tokens), int(n_words), complete, float(tail_count), *_shares(segments))
-
-    # Segments in groups of a bounded size; one group unless the filter is larger than that.
-    sizes = sorted((r.segment, r.n_bits // 8 + 1) for r in segments.select("segment", "n_bits").collect())
-    borders, held = [0], 0
-    for segment, size in sizes:
-        if held and held + size > broadcast_bytes:
-            borders.append(segment)
-            held = 0
-        held += size
-    borders.append(n_segments)
+    counted = training.mapInArrow(partial(_count_pairs, head=head, segments=n_segments), _COUNTED)
+    if not complete:
+        counted = counted.union(words.filter(~among).mapInArrow(partial(_rest_words, segments=n_segments), _COUNTED))
+    dealt = counted.repartition(min(n_segments, MOST_TASKS), "segment").sortWithinPartitions("segment")
+    segments = shared.written(dealt.mapInArrow(partial(_build, probes=probes), _STATS), "segments")
+    model = Model(int(n_tokens), int(n_words), complete, *_shares(segments))
+
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    if len(borders) > 2:  # numbers of rows must be the same for every group
-        rows = shared.written(rows, "rows")
-    parts = None
-    schema = f"row long, doc_id {kind}, score double, n_tokens long, n_known long, base_score double, rest array<struct<word: string, open: boolean>>"
-    for begin, end in zip(borders[:-1], borders[1:], strict=True):
-        got = segments.filter((F.col("segment") >= begin) & (F.col("segment") < end)).select("segment", "n_bits", "bits").toArrow()
-        counts = spark.sparkContext.broadcast(Filter(n_segments, begin, end, got))
-        del got
-        part = shared.written(rows.mapInArrow(partial(_score, model=model, head=head, counts=counts, first=begin == 0), schema), "parts")
+    schema = f"row long, doc_id {kind}, {_SCORED}"
+    held = segments.agg(F.coalesce(F.sum(F.octet_length("bits")), F.lit(0))).first()[0]
+    if held <= broadcast_bytes:
+        counts = spark.sparkContext.broadcast(Filter(n_segments, segments.select("segment", "n_bits", "bits").toArrow(), probes))
+        parts = shared.written(rows.mapInArrow(partial(_score, model=model, head=head, counts=counts), schema), "parts")
         counts.destroy()  # workers would keep it else
-        parts = part if parts is None else parts.union(part)
-    head.destroy()
-    if len(borders) > 2:
-        whole = parts.groupBy("row").agg(F.first("doc_id", ignorenulls=True).alias("doc_id"), *(F.sum(c).alias(c) for c in ("score", "n_tokens", "n_known", "base_score")))
     else:
-        whole = parts.drop("rest")
-    if not complete:
-        whole = _with_rest(whole, parts, words, model)
-    return whole.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+        parts = shared.written(_asked(rows, segments, n_segments, model, head, probes, schema), "parts")
+    head.destroy()
+    whole = parts.drop("rest") if complete else _with_rest(parts, words, model)
+    return whole.select(
+        "doc_id",
+        held_out(F.col("doc_id")).alias("held_out"),
+        "n_tokens",
+        "n_known",
+        F.lit(model.tokens).cast("long").alias("train_tokens"),
+        "base_score",
+        "score",
+        (F.col("score") / F.col("n_tokens")).alias("score_per_token"),
+    )
 
 
-def _with_rest(whole: DataFrame, parts: DataFrame, words: DataFrame, model: Model) -> DataFrame:
-    """Adds what the joined words contribute; a word that many rows have is joined in split partitions."""
-    rest = parts.select("row", F.explode("rest").alias("w")).groupBy("row", F.col("w.word").alias("word")).agg(F.count("*").alias("times"), F.count_if("w.open").alias("open"))
+def _with_rest(parts: DataFrame, words: DataFrame, model: Model) -> DataFrame:
+    """Adds what the joined words contribute to base_score; a word that many rows have is joined in split partitions."""
+    rest = parts.select("row", F.explode("rest").alias("word")).groupBy("row", "word").agg(F.count("*").alias("times"))
     c = F.coalesce(F.col("n"), F.lit(0))
     log = F.log10((c + 0.5) / F.lit(model.tokens + 0.5 * (model.words + 1)))
-    added = (
-        rest.join(words, "word", "left")
-        .groupBy("row")
-        .agg(F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("_known"), F.sum(F.col("times") * log).alias("_base"), F.sum(F.col("open") * log).alias("_score"))
-    )
-    return whole.join(added, "row", "left").select(
-        "doc_id",
-        "n_tokens",
-        (F.col("n_known") + F.coalesce("_known", F.lit(0))).alias("n_known"),
-        (F.col("base_score") + F.coalesce("_base", F.lit(0.0))).alias("base_score"),
-        (F.col("score") + F.coalesce("_score", F.lit(0.0))).alias("score"),
+    added = rest.join(words, "word", "left").groupBy("row").agg(F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("_known"), F.sum(F.col("times") * log).alias("_base"))
+    return parts.drop("rest").join(added, "row", "left").select(
+        "doc_id", "n_tokens", (F.col("n_known") + F.coalesce("_known", F.lit(0))).alias("n_known"), (F.col("base_score") + F.coalesce("_base", F.lit(0.0))).alias("base_score"), "score"
     )

@@ -362,26 +362,89 @@ def test_mix_comes_near_its_targets(spark):
 # Language model
 
 
-@pytest.mark.parametrize(("head", "group"), [(1 << 20, 96 << 20), (40, 2000)])
-def test_language_model(spark, texts, monkeypatch, head, group):
+def _quantised(n):
+    level = 1 + math.floor(math.log(n) / math.log(language_model.BASE) + 1e-9) if n else 0
+    inside = [x for x in range(1, 3 * n + 3) if 1 + math.floor(math.log(x) / math.log(language_model.BASE) + 1e-9) == level]
+    return sum(inside) / len(inside) if n else 0
+
+
+def _trigram_scores(tokens, training, head):
+    """Each text's log10 probability by counts in plain dictionaries; head: words whose counts are exact."""
+    one, two, three = Counter(), Counter(), Counter()
+    for k in training:
+        ws = ["", *tokens[k]]
+        one.update(tokens[k])
+        two.update(zip(ws, ws[1:]))  # noqa: B905
+        three.update(zip(ws, ws[1:], ws[2:]))  # noqa: B905
+    n, v = sum(one.values()), len(one)
+    magnitude = lambda w: 1 + int(math.log2(one[w])) if w in head else 0
+    stats = defaultdict(lambda: [0, 0, 0, 0])
+    for (h, _), c in two.items():
+        s = stats[magnitude(h)]
+        s[0], s[1], s[2], s[3] = s[0] + 1, s[1] + (c == 1), s[2] + (c == 2), s[3] + c
+    discount = {m: min(0.999, s[1] / (s[1] + 2 * s[2])) if s[1] else 0.5 for m, s in stats.items()}
+    share = {m: discount[m] * s[0] / s[3] for m, s in stats.items()}
+    exact = lambda w: one[w] if w in head or not one[w] else _quantised(one[w])
+    out = []
+    for own in tokens:
+        ws, total = ["", *own], 0.0
+        for k in range(1, len(ws)):
+            h, w = ws[k - 1], ws[k]
+            c, size, m = _quantised(two[h, w]), exact(h), magnitude(h)
+            p = max(c - discount.get(m, 0.0), 0) / max(size, c, 1) + (share.get(m, 1.0) if size else 1) * (exact(w) + 0.5) / (n + 0.5 * (v + 1))
+            p = min(p, 1)
+            times = _quantised(two[ws[k - 2], h]) if k > 1 else 0
+            if times >= 2:
+                t = three[ws[k - 2], h, w]
+                p = ((min(1 + _quantised(t - 1), times) if t > 1 else 0) + language_model.PRIOR * p) / (times + language_model.PRIOR)
+            total += math.log10(p)
+        out.append(total)
+    return out
+
+
+@pytest.mark.parametrize(("head", "broadcast"), [(1 << 20, 96 << 20), (1 << 20, 0), (40, 96 << 20), (40, 0)])
+def test_language_model(spark, texts, monkeypatch, head, broadcast):
+    """All columns by brute force, with counts exact or in the filter, and the filter broadcast or asked."""
     monkeypatch.setattr(language_model, "HEAD", head)
-    if head == 40:
-        monkeypatch.setattr(language_model, "SEGMENT", 5000)
+    monkeypatch.setattr(language_model, "SEGMENT", 5000)
     every = [*helpers.AWKWARD, *texts.values()]
-    got = {r.doc_id: r for r in language_model.score(table(spark, every), group).collect()}
+    got = {r.doc_id: r for r in language_model.score(table(spark, every), broadcast, probes=50).collect()}  # so many that none errs
     tokens = [[*helpers.words((t or "").translate(helpers.LOWER)), ""] for t in every]
-    c = Counter(w for k, ws in enumerate(tokens) if not helpers.held_out(k) for w in ws)
+    training = [k for k in range(len(every)) if not helpers.held_out(k)]
+    c = Counter(w for k in training for w in tokens[k])
     n, v = sum(c.values()), len(c)
+    least = next((x for x in sorted(set(c.values())) if sum(y >= x and len(w.encode()) <= 64 for w, y in c.items()) <= head), None)
+    want = _trigram_scores(tokens, training, {w for w, y in c.items() if y >= least and len(w.encode()) <= 64})
     score = base = 0.0
     for k, ws in enumerate(tokens):
         r = got[k]
         own = sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws)
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (helpers.held_out(k), len(ws), sum(c[w] > 0 for w in ws), n)
         assert r.base_score == pytest.approx(own, rel=1e-9) and r.score <= 0
+        assert r.score == pytest.approx(want[k], rel=1e-6, abs=1e-6), every[k]
+        assert r.score_per_token == pytest.approx(r.score / len(ws))
         score, base = (score + r.score, base + own) if r.held_out else (score, base)
     assert score > base  # held-out texts are likelier than by words alone
 
 
+def test_counts_beside_keys():
+    import numpy as np
+
+    keys, n = np.array([5, 1 << 60 | 7, 1 << 63 | 9, 11], np.uint64), np.array([1, 2, 200_000, 1])
+    once, more = language_model._packed(keys, n)
+    back, counts = language_model._unpacked([once, once], [more])
+    assert dict(zip(back.tolist(), counts.tolist(), strict=True)) == {5: 2, 7: 2, 9: 200_000, 11: 2}
+    assert [len(x) for x in language_model._unpacked([], [])] == [0, 0]
+
+
+def test_what_is_asked_equals_what_is_broadcast(spark, texts, monkeypatch):
+    """With the filter's own errors, and nulls, repeats and long texts."""
+    monkeypatch.setattr(language_model, "SEGMENT", 3000)
+    frame = table(spark, [*helpers.AWKWARD, *texts.values()] * 2, [None, *range(len(texts) + len(helpers.AWKWARD) - 1)] * 2).repartition(3)
+    rows = [sorted((r.doc_id or -1, r.n_tokens, round(r.score, 6)) for r in language_model.score(frame, b).collect()) for b in (1 << 30, 0)]
+    assert rows[0] == rows[1]
+
+
 def test_language_model_of_nothing(spark):
     assert language_model.score(table(spark, [])).count() == 0
     only = language_model.score(table(spark, ["a b"], [next(k for k in range(50) if helpers.held_out(k))])).collect()
