@@ -82,10 +82,22 @@ def glob_prefix(glob: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(glob, r"\*.*$", ""), "/+$", "")
 
 
+#: What a source file ends in, and what a file of declarations ends in, whatever the case.
+SOURCE_FILE, DECLARATIONS = r"(?i)\.(ts|tsx|js|jsx|mjs|cjs|vue)$", r"(?i)\.d\.[cm]?tsx?$"
+#: Paths of tests, whatever the case.
+TEST_FILES = (
+    r"(^|/)__tests__(/|$)",
+    r"\.(test|spec)\.[cm]?[jt]sx?$",
+    r"\.(e2e|integration)\.[cm]?[jt]sx?$",
+    r"(^|/)(e2e|integration)(/|$)",
+    r"(^|/)(test|tests|spec|specs)(/|$)",
+)
+
+
 def is_source_file(path: Column) -> Column:
-    return path.rlike(r"\.(ts|tsx|js|jsx|mjs|cjs|vue)$") & ~path.endswith(".d.ts")
+    return path.rlike(SOURCE_FILE) & ~path.rlike(DECLARATIONS)
 
 
 def is_test_file(path: Column) -> Column:
-    """Paths of tests by folder or ending, whatever the case."""
-    return path.rlike(r"(?i)(\.(test|spec)\.[cm]?[jt]sx?$|(^|/)(__tests__|tests?|spec|e2e)/)")
+    """Whether any pattern of TEST_FILES fits; backslashes count as slashes, and no path is no test."""
+    return F.coalesce(F.replace(path, F.lit("\\"), F.lit("/")).rlike("(?i)" + "|".join(TEST_FILES)), F.lit(False))

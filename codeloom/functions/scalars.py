@@ -6,7 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPECIFIERS = "array<struct<imported:string,local:string,kind:string>>"
-SCOPES = ("dependencies", "devDependencies", "peerDependencies")
+#: The sections of package.json that name dependencies, and the scopes that stand for them.
+SECTIONS = ("dependencies", "devDependencies", "peerDependencies")
+SCOPES = ("dependency", "devDependency", "peerDependency")
 
 
 def ratio(part: Column, whole: Column) -> Column:
@@ -20,8 +22,8 @@ def round_half_up(x: Column) -> Column:
 
 
 def pascal_case(name: Column) -> Column:
-    """A name split at separators and before capitals, each part begun with a capital."""
-    parts = F.split(F.trim(F.regexp_replace(F.regexp_replace(name, "([a-z0-9])([A-Z])", "$1 $2"), "[^A-Za-z0-9]+", " ")), " +")
+    """A name joined at underscores, hyphens, white space and between a small and a capital letter, each part begun with a capital."""
+    parts = F.split(F.regexp_replace(name, "([a-z])([A-Z])", "$1 $2"), r"[_\-\s]+")
     return F.array_join(F.transform(parts, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, F.lit(2), F.length(p)))), "")
 
 
@@ -38,9 +40,39 @@ def without_leading_colon(text: Column) -> Column:
 
 
 def rolling_hash(text: Column) -> Column:
-    """h * 31 + code point, modulo 2**32."""
+    """h * 31 + unit of UTF-16, modulo 2**32; a code point beyond 65,535 is two units."""
     characters = F.filter(F.split(text, ""), lambda c: c != "")
-    return F.aggregate(characters, F.lit(0).cast("long"), lambda h, c: (h * 31 + F.ascii(c)) % 4294967296)
+    on = lambda h, unit: (h * 31 + unit) % 4294967296
+
+    def step(h: Column, c: Column) -> Column:
+        above = F.ascii(c) - 65536
+        pair = on(on(h, 55296 + F.floor(above / 1024)), 56320 + above % 1024)
+        return F.when(above < 0, on(h, F.ascii(c))).otherwise(pair).cast("long")
+
+    return F.aggregate(characters, F.lit(0).cast("long"), step)
+
+
+def fingerprint(fragment: Column, first_file: Column, first_line: Column, second_file: Column, second_line: Column) -> Column:
+    """SHA-1 of a clone's text; without any, of the two places with colons between."""
+    return F.sha1(F.when(F.coalesce(fragment, F.lit("")) != "", fragment).otherwise(F.concat_ws(":", first_file, first_line.cast("string"), second_file, second_line.cast("string"))))
+
+
+def format_delta(x: Column) -> Column:
+    """0, 1 or 2 digits behind the point from 100, from 10 and below; n/a for what is no finite number."""
+    size = F.abs(x)
+    told = F.when(size >= 100, F.format_string("%.0f", x)).when(size >= 10, F.format_string("%.1f", x)).otherwise(F.format_string("%.2f", x))
+    return F.when(_finite(x), told).otherwise("n/a")
+
+
+def format_percent(x: Column) -> Column:
+    """Thousands with a k, no digits behind the point from 100, else one; new for what is no finite number."""
+    size = F.abs(x)
+    told = F.when(size >= 1000, F.format_string("%.1fk%%", x / 1000)).when(size >= 100, F.format_string("%.0f%%", x)).otherwise(F.format_string("%.1f%%", x))
+    return F.when(_finite(x), told).otherwise("new")
+
+
+def _finite(x: Column) -> Column:
+    return F.coalesce(~F.isnan(x) & (F.abs(x) != float("inf")), F.lit(False))
 
 
 def maintainability(volume: Column, complexity: Column, lines: Column) -> Column:
@@ -71,15 +103,17 @@ def delta_direction(key: Column, delta: Column) -> Column:
 RAMP = ((34, 197, 94), (234, 179, 8), (239, 68, 68))
 
 
-def heat(value: Column, most: float) -> Column:
-    """A colour between the ramp's stops, as #rrggbb."""
-    t = F.greatest(F.least(value / F.lit(most), F.lit(1.0)), F.lit(0.0))
+def heat(value: Column, most: Column | float) -> Column:
+    """A colour between the ramp's stops, as rgb(r, g, b); the first one where the value is no finite number or most isn't above 0."""
+    most = F.lit(most).cast("double") if isinstance(most, (int, float)) else most.cast("double")
+    value = value.cast("double")
+    t = F.when(_finite(value) & _finite(most) & (most > 0), F.greatest(F.least(value / F.nullif(most, F.lit(0.0)), F.lit(1.0)), F.lit(0.0))).otherwise(0.0)
 
     def channel(k: int) -> Column:
         a, b, c = (stop[k] for stop in RAMP)
-        return round_half_up(F.when(t < 0.5, a + (b - a) * t * 2).otherwise(b + (c - b) * (t - 0.5) * 2)).cast("int")
+        return round_half_up(F.when(t <= 0.5, a + (b - a) * (t / 0.5)).otherwise(b + (c - b) * ((t - 0.5) / 0.5))).cast("int")
 
-    return F.format_string("#%02x%02x%02x", *(channel(k) for k in range(3)))
+    return F.format_string("rgb(%d, %d, %d)", *(channel(k) for k in range(3)))
 
 
 def specifiers(json: Column) -> Column:
@@ -94,10 +128,16 @@ def specifier_name(s: Column) -> Column:
     return F.when(s["local"].isNull() | (s["local"] == s["imported"]), s["imported"]).otherwise(F.concat(s["imported"], F.lit(" as "), s["local"]))
 
 
-def scope_map(json: Column) -> Column:
-    """A package's dependency scopes; other scopes and malformed JSON are dropped."""
+def package_scopes(json: Column) -> Column:
+    """The dependency sections of a package.json; other sections and malformed JSON are dropped."""
     parsed = F.coalesce(F.from_json(json, "map<string,map<string,string>>"), F.create_map().cast("map<string,map<string,string>>"))
-    return F.map_filter(parsed, lambda k, _: k.isin(*SCOPES))
+    return F.map_filter(parsed, lambda k, _: k.isin(*SECTIONS))
+
+
+def scope_map(json: Column) -> Column:
+    """The scope of each external dependency by name; entries of other values are dropped, malformed JSON and other types give none."""
+    parsed = F.coalesce(F.from_json(json, "map<string,string>"), F.create_map().cast("map<string,string>"))
+    return F.map_filter(parsed, lambda _, v: v.isin(*SCOPES))
 
 
 def type_only(specs: Column) -> Column:
@@ -120,3 +160,17 @@ def severity(raw: Column) -> Column:
     """A severity of any tool as error, warning or info."""
     low = F.lower(raw)
     return F.when(low.isin("error", "2", "critical"), "error").when(low.isin("warn", "warning", "1"), "warning").otherwise("info")
+
+
+def natural_order(name: Column) -> tuple[Column, Column]:
+    """What to sort by: letters whatever their case and accents, each number by its value whatever its length; then the name as it is.
+
+    A number is written as how many digits it has and then these, without zeros
+    in front, so numbers compare by value as texts.
+    """
+    def by_value(t: Column) -> Column:
+        digits = F.regexp_replace(t, "^0+(?=.)", "")
+        return F.when(t.rlike("^[0-9]"), F.concat(F.lpad(F.length(digits).cast("string"), 9, "0"), digits)).otherwise(t)
+
+    parts = F.regexp_extract_all(F.coalesce(name, F.lit("")), F.lit("[0-9]+|[^0-9]+"), F.lit(0))
+    return F.collate(F.array_join(F.transform(parts, by_value), ""), "UNICODE_CI_AI"), F.collate(F.coalesce(name, F.lit("")), "UNICODE")

@@ -219,23 +219,32 @@ def ancestors(parents: DataFrame, most: int = 50) -> DataFrame:
     return out
 
 
-#: Edge kinds, the most telling first.
-PRIORITY = ("extends", "implements", "import", "uses", "export", "dependency", "contains")
+#: Edge kinds and their priorities, the highest most telling.
+PRIORITY = {"contains": 5, "uses": 5, "extends": 4, "implements": 3, "dependency": 2, "import": 1, "devDependency": 0, "peerDependency": 0, "export": 0}
 
 
-def kind_rank(kind: Column) -> Column:
-    return F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, PRIORITY)), kind), F.lit(0)), F.lit(99))
+def kind_priority(kind: Column) -> Column:
+    """0 for no kind or an unknown one."""
+    return F.coalesce(*(F.when(kind == k, p) for k, p in PRIORITY.items()), F.lit(0))
+
+
+def coerced_kind(kind: Column) -> Column:
+    """A known edge kind as it is; any other, or none, is dependency."""
+    return F.when(kind.isin(*PRIORITY), kind).otherwise("dependency")
 
 
 def bundle(edges: DataFrame, at_least: int = 50) -> DataFrame:
-    """src, dst, kind, kinds and n: edges of one pair made one, if there are so many edges at all; hidden ones come last.
+    """src, dst, kind, kinds and n: edges of one pair made one, if there are so many edges at all.
 
-    The number of edges is a scalar that the plan computes itself.
+    edges: src, dst, kind, hidden and, if told, seq, the order in which they came. The
+    kind is that of a visible edge, then of the highest priority, then of the
+    first. The number of edges is a scalar that the plan computes itself.
     """
     many = edges.agg((F.count("*") >= at_least).alias("many"))
     alone = F.monotonically_increasing_id()
     keyed = edges.withColumn("_row", alone).join(F.broadcast(many)).withColumn("_row", F.when(F.col("many"), F.lit(0)).otherwise(F.col("_row")))
-    order = F.struct(F.coalesce("hidden", F.lit(False)), kind_rank(F.col("kind")), F.col("kind"))
+    came = F.col("seq") if "seq" in edges.columns else F.lit(0)
+    order = F.struct(F.coalesce("hidden", F.lit(False)), -kind_priority(F.col("kind")), came, F.col("kind"))
     return keyed.groupBy("src", "dst", "_row").agg(F.min_by("kind", order).alias("kind"), F.sort_array(F.collect_set("kind")).alias("kinds"), F.count("*").alias("n")).drop("_row")
 
 

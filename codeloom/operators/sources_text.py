@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import scalars
 
-TOKENS = r"[A-Za-z_$][A-Za-z0-9_$]*|[0-9]+|[^A-Za-z0-9_$\s]"
+#: The tokens that the volume counts; numbers, brackets, dots and quotes are none.
+TOKENS = r"[a-zA-Z_$][\w$]*|[+\-*/%=<>!&|^~?:,;]"
 #: What makes a branch; else if counts as if, too.
-BRANCHES = (r"\bif\b", r"\belse\s+if\b", r"\bfor\b", r"\bwhile\b", r"\bcase\b", r"\bcatch\b", r"\?", r"&&", r"\|\|")
+BRANCHES = (r"\bif\b", r"\belse\s+if\b", r"\bfor\b", r"\bwhile\b", r"\bcase\b", r"\bcatch\b", r"&&", r"\|\|", r"\?\?")
 
 
 def lines(text: Column) -> Column:
@@ -137,11 +138,27 @@ def clones(modules: DataFrame, size: int = 3, least: int = 20) -> DataFrame:
 
 
 def union_members(type_text: Column) -> Column:
-    """Members of a union type at its top level; parts in brackets, braces or quotes are taken out first."""
-    bare = type_text
-    for _ in range(4):  # innermost first, so four levels deep
-        bare = F.regexp_replace(bare, r"\([^()]*\)|\[[^\[\]]*\]|\{[^{}]*\}|<[^<>]*>|'[^']*'|\"[^\"]*\"", "_")
-    return F.size(F.filter(F.split(bare, r"\|"), lambda p: F.trim(p) != ""))
+    """Members of a union type at its top level, however deep brackets, braces, angles and quotes nest; 0 for no text.
+
+    A walk over the characters: the depth of each kind of bracket, never below
+    0, the quote that is open, and whether a member has begun.
+    """
+    state = "struct<round:int,square:int,curly:int,angle:int,quote:string,escaped:boolean,begun:boolean,n:int>"
+    start = F.struct(*(F.lit(0),) * 4, F.lit(""), F.lit(False), F.lit(False), F.lit(0)).cast(state)
+    kinds = {"round": "()", "square": "[]", "curly": "{}", "angle": "<>"}
+
+    def step(s: Column, c: Column) -> Column:
+        quoted = s["quote"] != ""
+        depth = {k: F.when(quoted, s[k]).when(c == p[0], s[k] + 1).when(c == p[1], F.greatest(s[k] - 1, F.lit(0))).otherwise(s[k]) for k, p in kinds.items()}
+        top = ~quoted & (c == "|") & (s["round"] + s["square"] + s["curly"] + s["angle"] == 0)
+        closes = quoted & (c == s["quote"]) & ~s["escaped"]
+        quote = F.when(closes, "").when(~quoted & c.isin("'", '"', "`"), c).otherwise(s["quote"])
+        begins = ~top & ~s["begun"] & (F.trim(c) != "")
+        escaped = quoted & (s["quote"] != "`") & (c == "\\") & ~s["escaped"]
+        begun = F.when(top, False).otherwise(s["begun"] | begins)
+        return F.struct(*(v.alias(k) for k, v in depth.items()), quote.alias("quote"), escaped.alias("escaped"), begun.alias("begun"), (s["n"] + begins.cast("int")).alias("n")).cast(state)
+
+    return F.aggregate(F.split(type_text, ""), start, step, lambda s: s["n"])
 
 
 def lock_versions(text: DataFrame) -> DataFrame:
@@ -157,6 +174,6 @@ def lock_versions(text: DataFrame) -> DataFrame:
 
 def package_dependencies(packages: DataFrame, locks: DataFrame) -> DataFrame:
     """package_id, scope, name, declared and version from package.json texts; a lock's version wins."""
-    parsed = scalars.scope_map(F.col("json"))
+    parsed = scalars.package_scopes(F.col("json"))
     each = packages.select("package_id", F.explode(parsed).alias("scope", "deps")).select("package_id", "scope", F.explode("deps").alias("name", "declared")).filter("declared <> ''")
     return each.join(locks.select("name", F.col("version").alias("locked")), "name", "left").select("package_id", "scope", "name", "declared", F.coalesce("locked", "declared").alias("version"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions import paths, scalars
+from codeloom.operators import graphs
 from codeloom.plans.bindings import Bound
 from codeloom.plans.registry import query
 
@@ -72,13 +73,15 @@ def external(b: Bound) -> DataFrame:
     return b("imports").select("id", paths.is_external(F.col("source"), flag, package).alias("external"))
 
 
-_TEST = r"'(?i)(\.(test|spec)\.[cm]?[jt]sx?$|(^|/)(__tests__|tests?|spec|e2e)/)'"
-_PATH = "CASE seq % 4 WHEN 0 THEN 'src/Tests/' || name || '.ts' WHEN 1 THEN directory || '/' || name || '.SPEC.tsx' ELSE relative_path END"
+_TEST = " OR ".join(f"regexp_matches(replace(p, '\\', '/'), '(?i){x}')" for x in (r"(^|/)__tests__(/|$)", r"\.(test|spec)\.[cm]?[jt]sx?$", r"\.(e2e|integration)\.[cm]?[jt]sx?$", r"(^|/)(e2e|integration)(/|$)", r"(^|/)(test|tests|spec|specs)(/|$)"))
+_PATH = r"""CASE seq % 12 WHEN 0 THEN concat('src/Tests/', name, '.ts') WHEN 1 THEN concat(directory, '/', name, '.SPEC.tsx') WHEN 2 THEN concat('lib/', name, '.e2e.mjs') WHEN 3 THEN 'src/integration'
+    WHEN 4 THEN concat('a', chr(92), 'specs', chr(92), name, '.ts') WHEN 5 THEN concat('latest/', name, '.ts') WHEN 6 THEN concat('src/', name, '.integration.json') WHEN 7 THEN concat('__TESTS__/', name)
+    WHEN 8 THEN concat('src/', name, '.test.ts.bak') WHEN 9 THEN NULL WHEN 10 THEN concat('e2e/', name, '.ts') ELSE relative_path END"""
 
 
-@query("flt09_test_file", f"SELECT id, regexp_matches({_PATH}, {_TEST}) AS test FROM modules")
+@query("flt09_test_file", f"SELECT id, coalesce({_TEST}, false) AS test FROM (SELECT id, {_PATH} AS p FROM modules)")
 def test_file(b: Bound) -> DataFrame:
-    return b("modules").select("id", paths.is_test_file(F.expr(_PATH)).alias("test"))
+    return b("modules").select("id", paths.is_test_file(F.expr(_PATH.replace("chr(92)", "char(92)"))).alias("test"))
 
 
 @query("flt10_hide_test_files", "SELECT src, dst FROM edges WHERE src % 4 <> 0 AND dst % 4 <> 0")
@@ -94,27 +97,38 @@ def visibility(b: Bound) -> DataFrame:
     return b("view_edges").select("src", "dst", "kind", (~shown).alias("hidden"))
 
 
-@query("flt12_edge_kind_coercion", "SELECT event_id AS id, CASE WHEN event_type IN ('view', 'click') THEN 'dependency' WHEN event_type = 'purchase' THEN 'import' ELSE 'dependency' END AS kind FROM events")
-def coercion(b: Bound) -> DataFrame:
-    from codeloom.operators.graphs import PRIORITY
-
-    raw = F.when(F.col("event_type") == "purchase", "import").otherwise(F.col("event_type"))
-    return b("events").select(F.col("event_id").alias("id"), F.when(raw.isin(*PRIORITY), raw).otherwise("dependency").alias("kind"))
-
+_RAW_KIND = """CASE event_id % 7 WHEN 0 THEN 'devDependency' WHEN 1 THEN 'peerDependency' WHEN 2 THEN event_type WHEN 3 THEN NULL WHEN 4 THEN 'uses' WHEN 5 THEN 'export' ELSE 'Import' END"""
 
-#: Which kinds of nodes an edge of a kind may join.
-EDGE_RULES = (
-    ("import", "module", "module"), ("import", "module", "external"), ("extends", "class", "class"), ("extends", "interface", "interface"),
-    ("implements", "class", "interface"), ("contains", "package", "module"), ("contains", "module", "class"), ("uses", "class", "class"), ("uses", "module", "class"),
-)
-_NODE_KIND = "CASE {c} % 3 WHEN 0 THEN 'module' WHEN 1 THEN 'class' ELSE 'interface' END"
 
-
-@query("flt13_edge_rule_violations", f"""WITH r(kind, a, z) AS (VALUES {", ".join(map(str, EDGE_RULES))}),
-    e AS (SELECT src, dst, kind, {_NODE_KIND.format(c="src")} AS a, {_NODE_KIND.format(c="dst")} AS z FROM view_edges)
-    SELECT src, dst, kind FROM e WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.kind = e.kind AND r.a = e.a AND r.z = e.z)""")
+@query("flt12_edge_kind_coercion", f"SELECT event_id AS id, CASE WHEN event_id % 7 IN (0, 1, 4, 5) THEN {_RAW_KIND} ELSE 'dependency' END AS kind FROM events")
+def coercion(b: Bound) -> DataFrame:
+    return b("events").select(F.col("event_id").alias("id"), graphs.coerced_kind(F.expr(_RAW_KIND)).alias("kind"))
+
+
+#: The kinds of nodes that an edge of a kind may come from, and lead to.
+EDGE_RULES = {
+    "import": (("module",), ("module", "externalPackage")),
+    "extends": (("class", "interface", "module"), ("class", "interface", "module")),
+    "implements": (("class", "module"), ("interface", "module")),
+    "contains": (("module", "class", "interface"), ("class", "interface", "function", "property", "method", "enum", "type")),
+    "dependency": (("package", "module"), ("package", "externalPackage")),
+    "devDependency": (("package", "module"), ("package", "externalPackage")),
+    "peerDependency": (("package", "module"), ("package", "externalPackage")),
+    "export": (("module",), ("module",)),
+    "uses": (("class", "interface", "function", "method"), ("property", "method")),
+}
+_NODE_KIND = "CASE {c} % 10 WHEN 0 THEN 'module' WHEN 1 THEN 'class' WHEN 2 THEN 'interface' WHEN 3 THEN 'package' WHEN 4 THEN 'externalPackage' WHEN 5 THEN 'function' WHEN 6 THEN 'method' WHEN 7 THEN 'property' WHEN 8 THEN 'enum' ELSE 'type' END"
+
+
+@query("flt13_edge_rule_violations", f"""WITH e AS (SELECT src, dst, kind, {_NODE_KIND.format(c="src")} AS a, {_NODE_KIND.format(c="dst")} AS z FROM view_edges)
+    SELECT src, dst, kind FROM e WHERE NOT CASE kind
+        WHEN 'import' THEN a = 'module' AND z IN ('module', 'externalPackage')
+        WHEN 'extends' THEN a IN ('class', 'interface', 'module') AND z IN ('class', 'interface', 'module')
+        WHEN 'implements' THEN a IN ('class', 'module') AND z IN ('interface', 'module')
+        WHEN 'contains' THEN a IN ('module', 'class', 'interface') AND z NOT IN ('module', 'package', 'externalPackage')
+        WHEN 'uses' THEN a IN ('class', 'interface', 'function', 'method') AND z IN ('property', 'method') END""")
 def violations(b: Bound) -> DataFrame:
-    rules = b.spark.createDataFrame(EDGE_RULES, "kind string, a string, z string")
+    rules = b.spark.createDataFrame([(k, a, z) for k, (sources, targets) in EDGE_RULES.items() for a in sources for z in targets], "kind string, a string, z string")
     placed = b("view_edges").withColumn("a", F.expr(_NODE_KIND.format(c="src"))).withColumn("z", F.expr(_NODE_KIND.format(c="dst")))
     return placed.join(F.broadcast(rules), ["kind", "a", "z"], "left_anti").select("src", "dst", "kind")
 

@@ -101,10 +101,12 @@ def collapse_counts(b: Bound) -> DataFrame:
     return graphs.collapse(b("view_edges").select("src", "dst", "kind"), _parents(b), closed)[1]
 
 
-@query("gr13_bundle_parallel_edges", """WITH r AS (SELECT src, dst, kind, n % 7 = 0 AS hidden, CASE kind WHEN 'extends' THEN 1 WHEN 'implements' THEN 2 WHEN 'import' THEN 3 WHEN 'uses' THEN 4 ELSE 7 END AS rank FROM view_edges)
-    SELECT src, dst, arg_min(kind, {'h': hidden, 'r': rank}) AS kind, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds, count(*) AS n FROM r GROUP BY src, dst""")
+@query("gr13_bundle_parallel_edges", """WITH r AS (SELECT src, dst, kind, n, n % 7 = 0 AS hidden,
+           CASE WHEN kind IN ('contains', 'uses') THEN 5 WHEN kind = 'extends' THEN 4 WHEN kind = 'implements' THEN 3 WHEN kind = 'dependency' THEN 2 WHEN kind = 'import' THEN 1 ELSE 0 END AS priority FROM view_edges),
+    f AS (SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY hidden, priority DESC, n, kind) AS place FROM r)
+    SELECT src, dst, max(kind) FILTER (place = 1) AS kind, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds, count(*) AS n FROM f GROUP BY src, dst""")
 def bundle(b: Bound) -> DataFrame:
-    found = graphs.bundle(b("view_edges").select("src", "dst", "kind", (F.col("n") % 7 == 0).alias("hidden")))
+    found = graphs.bundle(b("view_edges").select("src", "dst", "kind", (F.col("n") % 7 == 0).alias("hidden"), F.col("n").alias("seq")))
     return found.select("src", "dst", "kind", F.array_join("kinds", ",").alias("kinds"), "n")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from codeloom.functions import scalars
 from codeloom.operators import metrics, resolve
 from codeloom.plans.bindings import Bound
 from codeloom.plans.registry import query
@@ -25,11 +26,17 @@ def latest(b: Bound) -> DataFrame:
     return metrics.latest(b("orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("created_at")), other_than=5)
 
 
-@query("srt04_natural_order", "SELECT id, row_number() OVER (ORDER BY lower(regexp_replace(name, '[0-9]+', '')), lpad(regexp_extract(name, '[0-9]+'), 12, '0'), name) AS place FROM modules WHERE package_id = 'es'")
+_LABEL = "concat(CASE WHEN seq % 2 = 0 THEN 'Item' ELSE 'item' END, seq % 7, CASE WHEN seq % 5 = 0 THEN '' ELSE concat('part', seq % 40, CASE WHEN seq % 40 < 3 THEN concat(repeat('0', 12), seq % 9) ELSE 'b' END) END)"
+
+
+@query("srt04_natural_order", f"""WITH n AS (SELECT id, package_id, {_LABEL} AS name FROM modules),
+    k AS (SELECT *, array_to_string(list_transform(regexp_extract_all(lower(name), '[0-9]+|[^0-9]+'), lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN lpad(t, 40, '0') ELSE t END), '') AS key FROM n)
+    SELECT id, row_number() OVER (PARTITION BY package_id ORDER BY key, name <> lower(name), id) AS place FROM k""")
 def natural(b: Bound) -> DataFrame:
-    """Names in their letters' order whatever the case, numbers by value."""
-    key = [F.lower(F.regexp_replace("name", "[0-9]+", "")), F.lpad(F.regexp_extract("name", "[0-9]+", 0), 12, "0"), F.col("name")]
-    return b("modules").filter("package_id = 'es'").select("id", F.row_number().over(Window.partitionBy("package_id").orderBy(*key)).cast("long").alias("place"))
+    """Names in their letters' order whatever the case and accents, all numbers in them by value; then small letters first."""
+    named = b("modules").select("id", "package_id", F.expr(_LABEL).alias("name"))
+    order = Window.partitionBy("package_id").orderBy(*scalars.natural_order(F.col("name")), "id")
+    return named.select("id", F.row_number().over(order).cast("long").alias("place"))
 
 
 @query("srt05_stable_multi_key", "SELECT id, row_number() OVER (PARTITION BY package_id ORDER BY relative_path, id) AS place FROM modules")

@@ -76,9 +76,10 @@ def regex_escape(b: Bound) -> DataFrame:
     return b("pages").select("page_id", F.regexp_replace("url", r"([.*+?^${}()|\[\]\\])", r"\\$1").alias("escaped"))
 
 
-@query("fn11_pascal_case", "SELECT p_partkey AS id, list_aggregate(list_transform(string_split(p_name || '_' || lower(p_type), ' '), lambda w: list_aggregate(list_transform(string_split(w, '_'), lambda v: upper(v[1]) || v[2:]), 'string_agg', '')), 'string_agg', '') AS name FROM part")
+@query("fn11_pascal_case", r"""WITH p AS (SELECT p_partkey AS id, p_name || '_' || lower(p_type) || '--a.b  fooBar9Baz_' AS s FROM part)
+    SELECT id, array_to_string(list_transform(regexp_split_to_array(regexp_replace(s, '([a-z])([A-Z])', '\1 \2', 'g'), '[_\-\s]+'), lambda w: upper(w[1]) || w[2:]), '') AS name FROM p""")
 def pascal(b: Bound) -> DataFrame:
-    return b("part").select(F.col("p_partkey").alias("id"), scalars.pascal_case(F.concat_ws("_", "p_name", F.lower("p_type"))).alias("name"))
+    return b("part").select(F.col("p_partkey").alias("id"), scalars.pascal_case(F.concat("p_name", F.lit("_"), F.lower("p_type"), F.lit("--a.b  fooBar9Baz_"))).alias("name"))
 
 
 @query("fn12_collapse_whitespace", r"SELECT doc_id, trim(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g')) AS text FROM documents")
@@ -96,14 +97,18 @@ def strip_colon(b: Bound) -> DataFrame:
     return b("modules").select("id", scalars.without_leading_colon(F.concat(F.lit(":  "), "name")).alias("name"))
 
 
-@query("fn17_rolling_hash", "SELECT id, list_reduce(list_transform(string_split(relative_path, ''), lambda c: ord(c)::BIGINT), lambda h, c: (h * 31 + c) % 4294967296, 0::BIGINT) AS hash FROM modules")
+@query("fn17_rolling_hash", """WITH t AS (SELECT id, CASE WHEN seq % 3 = 0 THEN relative_path || chr(128512) || 'é' ELSE relative_path END AS s FROM modules),
+    u AS (SELECT id, flatten(list_transform(string_split(s, ''), lambda c: CASE WHEN ord(c) < 65536 THEN [ord(c)::BIGINT] ELSE [(55296 + (ord(c) - 65536) // 1024)::BIGINT, (56320 + (ord(c) - 65536) % 1024)::BIGINT] END)) AS units FROM t)
+    SELECT id, list_reduce(units, lambda h, c: (h * 31 + c) % 4294967296, 0::BIGINT) AS hash FROM u""")
 def rolling_hash(b: Bound) -> DataFrame:
-    return b("modules").select("id", scalars.rolling_hash(F.col("relative_path")).alias("hash"))
+    text = F.when(F.col("seq") % 3 == 0, F.concat("relative_path", F.lit("\U0001f600é"))).otherwise(F.col("relative_path"))
+    return b("modules").select("id", scalars.rolling_hash(text).alias("hash"))
 
 
-@query("fn18_fingerprint", "SELECT id, sha1(CASE WHEN seq % 2 = 0 THEN name ELSE relative_path || ':' || line_count END) AS fingerprint FROM modules")
+@query("fn18_fingerprint", "SELECT id, sha1(CASE WHEN seq % 3 = 0 THEN name ELSE relative_path || ':' || line_count || ':' || directory || ':' || seq END) AS fingerprint FROM modules")
 def fingerprint(b: Bound) -> DataFrame:
-    return b("modules").select("id", F.sha1(F.when(F.col("seq") % 2 == 0, F.col("name")).otherwise(F.concat_ws(":", "relative_path", F.col("line_count").cast("string")))).alias("fingerprint"))
+    fragment = F.when(F.col("seq") % 3 == 0, F.col("name")).when(F.col("seq") % 3 == 1, "")
+    return b("modules").select("id", scalars.fingerprint(fragment, F.col("relative_path"), F.col("line_count"), F.col("directory"), F.col("seq")).alias("fingerprint"))
 
 
 @query("fn19_uuid5")
@@ -122,9 +127,11 @@ def maintainability(b: Bound) -> DataFrame:
     return b("modules").select("id", scalars.maintainability(F.col("line_count") * 3.0, F.col("seq") % 30, F.col("line_count")).alias("mi"))
 
 
-@query("fn22_halstead_volume", r"WITH t AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z_]+|[0-9]+|[^A-Za-z0-9_\s]') AS t FROM documents) SELECT doc_id, CASE WHEN len(list_distinct(t)) > 1 THEN len(t) * log2(len(list_distinct(t))) ELSE 0.0 END AS volume FROM t")
+@query("fn22_halstead_volume", r"WITH t AS (SELECT doc_id, regexp_extract_all(text || ' x1.y[0] != \"q\"', '[a-zA-Z_$][\w$]*|[+\-*/%=<>!&|^~?:,;]') AS t FROM documents) SELECT doc_id, CASE WHEN len(list_distinct(t)) > 1 THEN len(t) * log2(len(list_distinct(t))) ELSE 0.0 END AS volume FROM t")
 def halstead(b: Bound) -> DataFrame:
-    return b("documents").select("doc_id", scalars.halstead_volume(F.regexp_extract_all("text", F.lit(r"[A-Za-z_]+|[0-9]+|[^A-Za-z0-9_\s]"), F.lit(0))).alias("volume"))
+    from codeloom.operators.sources_text import TOKENS
+
+    return b("documents").select("doc_id", scalars.halstead_volume(F.regexp_extract_all(F.concat("text", F.lit(' x1.y[0] != "q"')), F.lit(TOKENS), F.lit(0))).alias("volume"))
 
 
 @query("fn23_step_cost", "SELECT dst AS id, 1 + log2(count(*)) AS cost FROM edges GROUP BY dst")
@@ -139,11 +146,14 @@ def percent_delta(b: Bound) -> DataFrame:
     return b("modules").select("id", scalars.percent_delta((F.col("seq") % 7).cast("double"), (F.col("seq") % 5).cast("double")).alias("percent"))
 
 
-@query("fn25_number_format", "SELECT id, CASE WHEN x >= 1000 THEN printf('%.1fk', x / 1000.0) WHEN x >= 100 THEN printf('%.0f', x::DOUBLE) ELSE printf('%.2f', x::DOUBLE) END AS told FROM (SELECT id, line_count AS x FROM modules)")
+_NUMBER = "CASE WHEN seq % 13 = 5 THEN CAST('Infinity' AS DOUBLE) WHEN seq % 17 = 5 THEN CAST('NaN' AS DOUBLE) ELSE (CAST((seq * 377 % 4001 - 2000) * (seq % 3) * (seq % 3) AS DOUBLE) * 7 + 3) / 7 / (1 + seq % 2 * 99) END"
+
+
+@query("fn25_number_format", f"""SELECT id, CASE WHEN NOT isfinite(x) THEN 'n/a' WHEN abs(x) >= 100 THEN printf('%.0f', x) WHEN abs(x) >= 10 THEN printf('%.1f', x) ELSE printf('%.2f', x) END AS delta,
+    CASE WHEN NOT isfinite(x) THEN 'new' WHEN abs(x) >= 1000 THEN printf('%.1fk', x / 1000) || '%' WHEN abs(x) >= 100 THEN printf('%.0f', x) || '%' ELSE printf('%.1f', x) || '%' END AS percent FROM (SELECT id, {_NUMBER} AS x FROM modules)""")
 def number_format(b: Bound) -> DataFrame:
-    x = F.col("line_count")
-    d = x.cast("double")
-    return b("modules").select("id", F.when(x >= 1000, F.format_string("%.1fk", d / 1000)).when(x >= 100, F.format_string("%.0f", d)).otherwise(F.format_string("%.2f", d)).alias("told"))
+    x = F.expr(_NUMBER)
+    return b("modules").select("id", scalars.format_delta(x).alias("delta"), scalars.format_percent(x).alias("percent"))
 
 
 @query("fn26_delta_direction", "SELECT id, CASE WHEN d = 0 THEN 'same' WHEN (k = 'docCoverage' AND d > 0) OR (k <> 'docCoverage' AND d < 0) THEN 'better' ELSE 'worse' END AS direction FROM (SELECT id, seq % 5 - 2 AS d, CASE WHEN seq % 2 = 0 THEN 'docCoverage' ELSE 'size' END AS k FROM modules)")
@@ -152,12 +162,13 @@ def delta_direction(b: Bound) -> DataFrame:
     return b("modules").select("id", scalars.delta_direction(key, F.col("seq") % 5 - 2).alias("direction"))
 
 
-@query("fn27_heat_colour", """WITH t AS (SELECT id, greatest(0.0, least(1.0, line_count / 500.0))::DOUBLE AS t FROM modules),
-    d AS (SELECT id, floor(0.5 + CASE WHEN t < 0.5 THEN 34 + 200 * t * 2 ELSE 234 + 5 * (t - 0.5) * 2 END)::INT AS r, floor(0.5 + CASE WHEN t < 0.5 THEN 197 - 18 * t * 2 ELSE 179 - 111 * (t - 0.5) * 2 END)::INT AS g,
-                 floor(0.5 + CASE WHEN t < 0.5 THEN 94 - 86 * t * 2 ELSE 8 + 60 * (t - 0.5) * 2 END)::INT AS b FROM t)
-    SELECT id, printf('#%02x%02x%02x', r, g, b) AS colour FROM d""")
+@query("fn27_heat_colour", """WITH t AS (SELECT id, CASE WHEN seq % 4 = 0 THEN 0.0 ELSE greatest(0.0, least(1.0, (line_count - 20) / (seq % 4 * 100.0))) END::DOUBLE AS t FROM modules),
+    d AS (SELECT id, floor(0.5 + CASE WHEN t <= 0.5 THEN 34 + 200 * (t / 0.5) ELSE 234 + 5 * ((t - 0.5) / 0.5) END)::INT AS r, floor(0.5 + CASE WHEN t <= 0.5 THEN 197 - 18 * (t / 0.5) ELSE 179 - 111 * ((t - 0.5) / 0.5) END)::INT AS g,
+                 floor(0.5 + CASE WHEN t <= 0.5 THEN 94 - 86 * (t / 0.5) ELSE 8 + 60 * ((t - 0.5) / 0.5) END)::INT AS b FROM t)
+    SELECT id, printf('rgb(%d, %d, %d)', r, g, b) AS colour FROM d""")
 def heat(b: Bound) -> DataFrame:
-    return b("modules").select("id", scalars.heat(F.col("line_count"), 500.0).alias("colour"))
+    """The scale of every fourth module is 0, and some values lie below 0."""
+    return b("modules").select("id", scalars.heat(F.col("line_count") - 20, F.col("seq") % 4 * 100.0).alias("colour"))
 
 
 @query("fn28_safe_json_array", "SELECT id, CASE WHEN specifiers_json = 'not json' THEN 0 ELSE 1 END::BIGINT AS n, CASE WHEN specifiers_json <> 'not json' THEN imported END AS name, CASE WHEN specifiers_json <> 'not json' THEN CASE WHEN is_type_only THEN 'type' ELSE 'value' END END AS kind FROM imports")
@@ -166,11 +177,13 @@ def safe_array(b: Bound) -> DataFrame:
     return b("imports").select("id", F.size(s).cast("long").alias("n"), F.get(s, F.lit(0))["imported"].alias("name"), F.get(s, F.lit(0))["kind"].alias("kind"))
 
 
-@query("fn29_safe_json_map", """SELECT event_id, CASE WHEN event_id % 10 = 3 THEN '' WHEN event_id % 2 = 0 THEN 'dependencies' ELSE '' END AS scopes FROM events""")
+@query("fn29_safe_json_map", """SELECT event_id, CASE WHEN event_id % 10 = 3 THEN '' ELSE CASE event_id % 4 WHEN 0 THEN 'a=dependency,' WHEN 1 THEN 'a=devDependency,' WHEN 2 THEN 'a=peerDependency,' ELSE '' END || 'b=dependency' END AS scopes FROM events""")
 def safe_map(b: Bound) -> DataFrame:
-    scope = F.when(F.col("event_id") % 2 == 0, "dependencies").otherwise("other")
-    json = F.when(F.col("event_id") % 10 == 3, "broken {").otherwise(F.concat(F.lit('{"'), scope, F.lit('": {"a": "1"}, "bundled": {"b": "2"}}')))
-    return b("events").select("event_id", F.array_join(F.sort_array(F.map_keys(scalars.scope_map(json))), ",").alias("scopes"))
+    """Scopes by name; other values, numbers and objects are dropped, and so is malformed JSON."""
+    scope = F.element_at(F.array(*map(F.lit, ("dependency", "devDependency", "peerDependency", "dependencies"))), (F.col("event_id") % 4 + 1).cast("int"))
+    json = F.when(F.col("event_id") % 10 == 3, "broken {").otherwise(F.concat(F.lit('{"a": "'), scope, F.lit('", "b": "dependency", "c": "bundled", "d": {"dependency": "dependency"}, "e": 5}')))
+    told = F.transform(F.map_entries(scalars.scope_map(json)), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return b("events").select("event_id", F.array_join(F.sort_array(told), ",").alias("scopes"))
 
 
 @query("fn30_scope_precedence", "SELECT p_name AS name, min(CASE p_size % 3 WHEN 0 THEN '0 dependency' WHEN 1 THEN '1 peer' ELSE '2 dev' END)[3:] AS scope FROM part GROUP BY p_name")

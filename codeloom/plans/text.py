@@ -9,8 +9,9 @@ from codeloom.functions import paths, scalars
 from codeloom.operators import graphs, pipeline, resolve, sources_text
 from codeloom.plans.bindings import Bound
 from codeloom.plans.registry import query
+from codeloom.sources import files
 
-_TOKENS = r"'[A-Za-z_$][A-Za-z0-9_$]*|[0-9]+|[^A-Za-z0-9_$\s]'"
+_TOKENS = r"'[a-zA-Z_$][\w$]*|[+\-*/%=<>!&|^~?:,;]'"
 _VOLUME = f"CASE WHEN len(list_distinct(regexp_extract_all(text, {_TOKENS}))) > 1 THEN len(regexp_extract_all(text, {_TOKENS})) * log2(len(list_distinct(regexp_extract_all(text, {_TOKENS})))) ELSE 0.0 END"
 
 #: Source text made of a document: an import, an export, comments and its words.
@@ -29,19 +30,21 @@ def discovered(b: Bound) -> DataFrame:
     return b.spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(b.sf_dir).select("path", "length").orderBy("path")
 
 
-@query("src04_walked_files", r"""SELECT p AS path FROM (SELECT CASE seq % 5 WHEN 0 THEN 'node_modules/' || name WHEN 1 THEN '.git/' || name WHEN 2 THEN 'dist/' || name ELSE relative_path END AS p FROM modules) WHERE NOT regexp_matches(p, '(^|/)(\.[^/]*|node_modules|dist)/')""")
+@query("src04_walked_files", r"""SELECT path FROM (SELECT seq, CASE seq % 10 WHEN 0 THEN 'node_modules/' || name WHEN 1 THEN '.git/' || name WHEN 2 THEN 'a/dist/' || name WHEN 3 THEN 'tmp/' || name WHEN 4 THEN 'a/vendor/' || name
+    WHEN 5 THEN 'build/x/' || name WHEN 6 THEN 'out' || name WHEN 7 THEN 'coverage/' || name WHEN 8 THEN 'a/out/' || name ELSE relative_path END AS path FROM modules) WHERE seq % 10 IN (3, 4, 6, 9)""")
 def walked(b: Bound) -> DataFrame:
     """Paths outside hidden and excluded folders."""
-    k = F.col("seq") % 5
-    path = F.when(k == 0, F.concat(F.lit("node_modules/"), "name")).when(k == 1, F.concat(F.lit(".git/"), "name")).when(k == 2, F.concat(F.lit("dist/"), "name")).otherwise(F.col("relative_path"))
-    excluded = r"(^|/)(\.[^/]*|node_modules|dist|build|out|coverage|bower_components|tmp|temp|vendor|lib-cov)/"
-    return b("modules").select(path.alias("path")).filter(~F.col("path").rlike(excluded))
+    folder = F.element_at(F.array(*map(F.lit, ("node_modules/", ".git/", "a/dist/", "tmp/", "a/vendor/", "build/x/", "out", "coverage/", "a/out/"))), (F.col("seq") % 10 + 1).cast("int"))
+    path = F.when(F.col("seq") % 10 == 9, F.col("relative_path")).otherwise(F.concat(folder, "name"))
+    return b("modules").select(path.alias("path")).filter(files.is_walked(F.col("path")))
 
 
-@query("src05_source_predicate", r"SELECT id, CASE WHEN seq % 3 = 0 THEN false ELSE true END AS source FROM modules")
+_FILE = "CASE seq % 9 WHEN 0 THEN concat(name, '.d.ts') WHEN 1 THEN concat(name, '.TSX') WHEN 2 THEN concat(name, '.D.tsx') WHEN 3 THEN concat(name, '.json') WHEN 4 THEN concat(name, '.vue') WHEN 5 THEN concat(name, '.mts') WHEN 6 THEN concat(name, '.d.js') WHEN 7 THEN concat(name, '.Mjs') ELSE relative_path END"
+
+
+@query("src05_source_predicate", "SELECT id, seq % 9 NOT IN (0, 2, 3, 5) AS source FROM modules")
 def source_file(b: Bound) -> DataFrame:
-    path = F.when(F.col("seq") % 3 == 0, F.concat("name", F.lit(".d.ts"))).otherwise(F.col("relative_path"))
-    return b("modules").select("id", paths.is_source_file(path).alias("source"))
+    return b("modules").select("id", paths.is_source_file(F.expr(_FILE)).alias("source"))
 
 
 @query("src06_embedded_scripts", r"SELECT page_id, array_to_string(regexp_extract_all(html, '(?is)<script>(.*?)</script>', 1), chr(10)) AS script FROM pages")
@@ -80,12 +83,13 @@ def config(b: Bound) -> DataFrame:
     return b.spark.createDataFrame(list(merged.items()), "name string, threshold int")
 
 
-@query("src11_report_json", "SELECT conv_id, turn, role FROM conversations")
+@query("src11_report_json", "SELECT CASE WHEN turn % 4 < 3 THEN conv_id END AS conv_id, CASE WHEN turn % 4 < 3 THEN turn END AS turn, CASE WHEN turn % 4 < 3 THEN role || '}{\"' END AS role FROM conversations")
 def reports(b: Bound) -> DataFrame:
-    """Reports of other tools, one JSON object in noisy output."""
-    noisy = F.concat(F.lit("warn: noise\n"), F.to_json(F.struct("conv_id", "turn", "role")), F.lit("\ndone"))
-    body = F.regexp_extract(noisy, r"(?s)(\{.*\})", 1)
-    return b("conversations").select(F.from_json(body, "conv_id long, turn long, role string").alias("r")).select("r.*")
+    """Reports of other tools: the first JSON object of noisy output, with braces in its texts and behind it; one in the noise comes first."""
+    json = F.to_json(F.struct("conv_id", "turn", F.concat("role", F.lit('}{"')).alias("role"), F.struct(F.lit("\\").alias("s")).alias("more")))
+    turn = F.col("turn") % 4
+    noisy = F.concat(F.when(turn == 3, "warn {x}\n").otherwise('it"s noise }\n'), json, F.when(turn == 1, '\nwarn {x} "').when(turn == 2, json).otherwise("\ndone"))
+    return b("conversations").select(F.from_json(files.first_object(noisy), "conv_id long, turn long, role string").alias("r")).select("r.*")
 
 
 @query("ext01_imports", """SELECT 'm' || doc_id AS module_id, './f' || (doc_id % 11) AS source, 'A' || (doc_id % 7) AS imported, 'A' || (doc_id % 7) AS local, 'type' AS kind FROM documents
@@ -154,20 +158,37 @@ def duplication(b: Bound) -> DataFrame:
     return sources_text.clones(b("documents").select(F.concat(F.lit("m"), F.col("doc_id").cast("string")).alias("id"), "text"))
 
 
-@query("an06_inline_unions", "SELECT p_partkey AS id, 4 AS members FROM part WHERE p_size % 3 = 0")
+_TYPE = """CASE p_size % 5 WHEN 0 THEN 'A<B | C> | ''x|y'' | { a: 1 | 2 } | (() => void)' WHEN 1 THEN 'A | B' WHEN 2 THEN concat('A | ', repeat('(a | ', p_size), 'z', repeat(')', p_size), ' | [x | y]')
+    WHEN 3 THEN concat('| X', repeat(' | \"q|\"', p_size)) ELSE 'Map<string, Array<A | B>>' END"""
+_MEMBERS = "CASE p_size % 5 WHEN 0 THEN 4 WHEN 1 THEN 2 WHEN 2 THEN 3 WHEN 3 THEN 1 + p_size ELSE 1 END"
+
+
+def _types(b: Bound) -> DataFrame:
+    """Types that part's rows make, of one to many members."""
+    return b("part").select(F.col("p_partkey").alias("id"), sources_text.union_members(F.expr(_TYPE.replace("''", "\\'"))).alias("members"))
+
+
+@query("an06_inline_unions", f"SELECT p_partkey AS id, {_MEMBERS} AS members FROM part WHERE {_MEMBERS} >= 3")
 def unions(b: Bound) -> DataFrame:
     """Types that are unions of three members or more where they stand."""
-    kind = F.when(F.col("p_size") % 3 == 0, "A<B | C> | 'x|y' | { a: 1 | 2 } | (() => void)").otherwise("A | B")
-    return b("part").select(F.col("p_partkey").alias("id"), sources_text.union_members(kind).alias("members")).filter("members >= 3")
+    return _types(b).filter("members >= 3")
+
+
+_BRANCHES = r"'\bif\b' '\belse\s+if\b' '\bfor\b' '\bwhile\b' '\bcase\b' '\bcatch\b' '&&' '\|\|' '\?\?'".split(" ")
+#: Documents with code behind them that has branches, and marks that are none.
+_CODE = "concat(text, chr(10), CASE doc_id % 4 WHEN 0 THEN 'a ?? b ? c?.d : 1.5' WHEN 1 THEN 'if (x) { for (;;) {} } else if (z && (\"s\" || 7)) {}' WHEN 2 THEN '// while' ELSE 'switch (v) { case 1: } try {} catch (e) { ifs }' END)"
+_BRANCHY = f"SELECT doc_id, {_CODE} AS text FROM documents"
+
 
+def _branchy(b: Bound) -> DataFrame:
+    return b("documents").select("doc_id", F.expr(_CODE).alias("text"))
 
-_BRANCHES = r"'\bif\b' '\belse\s+if\b' '\bfor\b' '\bwhile\b' '\bcase\b' '\bcatch\b' '\?' '&&' '\|\|'".split(" ")
 
 
-@query("an07_complexity", "SELECT doc_id, 1 + " + " + ".join(f"len(regexp_extract_all(text, {p}))" for p in _BRANCHES) + " AS complexity FROM documents")
+@query("an07_complexity", "SELECT doc_id, 1 + " + " + ".join(f"len(regexp_extract_all(text, {p}))" for p in _BRANCHES) + f" AS complexity FROM ({_BRANCHY})")
 def complexity(b: Bound) -> DataFrame:
     """Branches by pattern; nesting needs a syntax tree and is not told."""
-    return b("documents").select("doc_id", sources_text.branch_count(F.col("text")).alias("complexity"))
+    return _branchy(b).select("doc_id", sources_text.branch_count(F.col("text")).alias("complexity"))
 
 
 @query("an08_type_safety", "SELECT doc_id, 1 AS any_count, 0 AS unknown_count, 2 AS as_count, 1 AS non_null_count, 1 AS ignore_count FROM documents")
@@ -203,9 +224,9 @@ def coupling_of_imports(b: Bound) -> DataFrame:
     return graphs.degrees(b("modules"), edges)
 
 
-@query("an12_maintainability", f"""SELECT doc_id, greatest(0.0, least(100.0, 171 - 5.2 * ln(greatest({_VOLUME}, 1.0)) - 0.23 * (1 + """ + " + ".join(f"len(regexp_extract_all(text, {p}))" for p in _BRANCHES) + r""") - 16.2 * ln(greatest(len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\S') AND NOT regexp_matches(x, '^\s*//'))), 1)))) AS mi FROM documents""")
+@query("an12_maintainability", f"""SELECT doc_id, greatest(0.0, least(100.0, 171 - 5.2 * ln(greatest({_VOLUME}, 1.0)) - 0.23 * (1 + """ + " + ".join(f"len(regexp_extract_all(text, {p}))" for p in _BRANCHES) + r""") - 16.2 * ln(greatest(len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\S') AND NOT regexp_matches(x, '^\s*//'))), 1)))) AS mi FROM (""" + _BRANCHY + ")")
 def maintainability(b: Bound) -> DataFrame:
-    return b("documents").select("doc_id", sources_text.maintainability(F.col("text")).alias("mi"))
+    return _branchy(b).select("doc_id", sources_text.maintainability(F.col("text")).alias("mi"))
 
 
 @query("anp_pipeline", "SELECT 'documentation' AS analyzer, count(*) * 5 AS facts FROM documents UNION ALL SELECT 'maintainability', count(*) FROM documents UNION ALL SELECT 'size', count(*) * 5 FROM documents")
@@ -214,7 +235,6 @@ def facts(b: Bound) -> DataFrame:
     return found.groupBy("analyzer").agg(F.count("*").alias("facts"))
 
 
-@query("fn15_union_split", "SELECT p_partkey AS id, CASE WHEN p_size % 3 = 0 THEN 4 ELSE 2 END AS members FROM part")
+@query("fn15_union_split", f"SELECT p_partkey AS id, {_MEMBERS} AS members FROM part")
 def union_split(b: Bound) -> DataFrame:
-    kind = F.when(F.col("p_size") % 3 == 0, "A<B | C> | 'x|y' | { a: 1 | 2 } | (() => void)").otherwise("A | B")
-    return b("part").select(F.col("p_partkey").alias("id"), sources_text.union_members(kind).alias("members"))
+    return _types(b)

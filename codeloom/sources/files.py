@@ -2,13 +2,49 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.functions import paths
 
 #: Folders that are never walked, beside hidden ones.
-EXCLUDED = ("node_modules", "dist", "build", "out", "coverage", "bower_components", "tmp", "temp", "vendor")
+EXCLUDED = ("node_modules", "dist", "build", "coverage", "out")
+
+
+def is_walked(path: Column) -> Column:
+    """Whether a relative path has no hidden or excluded folder in it."""
+    return ~path.rlike(rf"(^|/)(\.[^/]*|{'|'.join(EXCLUDED)})/")
+
+
+def first_object(text: Column) -> Column:
+    """The text from its first brace to the one that closes it, braces in strings not counted; null if none does.
+
+    A walk over the characters, in one expression: level, whether in a string
+    and behind a backslash, characters passed, where the object begins and ends.
+    """
+    state = "struct<depth:int,quoted:boolean,escaped:boolean,at:int,begin:int,end:int>"
+    start = F.struct(F.lit(0), F.lit(False), F.lit(False), F.lit(0), F.lit(0), F.lit(0)).cast(state)
+
+    def step(s: Column, c: Column) -> Column:
+        at, quoted = s["at"] + 1, s["quoted"]
+        code = ~quoted & (s["end"] == 0)
+        inside = code & (s["depth"] > 0)
+        opens, closes = code & (c == "{"), inside & (c == "}")
+        depth = s["depth"] + F.when(opens, 1).when(closes, -1).otherwise(0)
+        flips = (c == '"') & F.when(quoted, ~s["escaped"]).otherwise(inside)
+        return F.struct(
+            depth.alias("depth"),
+            F.when(flips, ~quoted).otherwise(quoted).alias("quoted"),
+            (quoted & (c == "\\") & ~s["escaped"]).alias("escaped"),
+            at.alias("at"),
+            F.when(opens & (s["begin"] == 0), at).otherwise(s["begin"]).alias("begin"),
+            F.when(closes & (depth == 0), at).otherwise(s["end"]).alias("end"),
+        ).cast(state)
+
+    def cut(s: Column) -> Column:
+        return F.when(s["end"] > 0, F.substring(text, s["begin"], s["end"] - s["begin"] + 1))
+
+    return F.aggregate(F.split(text, ""), start, step, cut)
 
 
 def source_files(spark: SparkSession, root: str) -> DataFrame:
@@ -19,11 +55,11 @@ def source_files(spark: SparkSession, root: str) -> DataFrame:
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = root.split("://")[-1].rstrip("/")
     relative = F.regexp_replace("path", rf"^.*\Q{base}\E/", "")
-    walked = ~relative.rlike(rf"(^|/)(\.[^/]*|{'|'.join(EXCLUDED)})/")
+    walked = is_walked(relative)
     return found.select("path", relative.alias("relative_path"), F.decode("content", "UTF-8").alias("text")).filter(walked & paths.is_source_file(F.col("relative_path")))
 
 
 def json_report(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The one JSON object of each report file, whatever noise stands around it; a malformed one gives nulls."""
+    """The first JSON object of each report file, whatever noise stands around it; a malformed one gives nulls."""
     text = spark.read.text(path, wholetext=True)
-    return text.select(F.from_json(F.regexp_extract("value", r"(?s)(\{.*\})", 1), schema).alias("r")).select("r.*")
+    return text.select(F.from_json(first_object(F.col("value")), schema).alias("r")).select("r.*")

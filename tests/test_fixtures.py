@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import paths, scalars
 from codeloom.operators import graphs, metrics, pipeline, resolve, sources_text, tables
+from codeloom.sources import files
 
 
 def graph(spark, text, extra=""):
@@ -89,7 +90,7 @@ def test_bundling_gate(spark):
 
     assert graphs.bundle(edges(49)).count() == 49
     found = graphs.bundle(edges(50)).collect()
-    assert len(found) == 25 and {(r.kind, tuple(r.kinds), r.n) for r in found} == {("import", ("import", "uses"), 2)}
+    assert len(found) == 25 and {(r.kind, tuple(r.kinds), r.n) for r in found} == {("uses", ("import", "uses"), 2)}
 
 
 def test_nested_collapsed_folders_map_to_the_outermost(spark):
@@ -170,7 +171,7 @@ def test_scalars(spark):
     assert value(scalars.uuid5(str(uuid.NAMESPACE_DNS), F.lit("pkg.modülé.Name"))) == str(uuid.uuid5(uuid.NAMESPACE_DNS, "pkg.modülé.Name"))
     assert value(scalars.pascal_case(F.lit("fooBar-baz_qux"))) == "FooBarBazQux"
     assert value(scalars.ratio(F.lit(1), F.lit(0))) == 0 and value(scalars.round_half_up(F.lit(-2.5))) == -2
-    assert value(scalars.heat(F.lit(0.0), 30)) == "#22c55e" and value(scalars.heat(F.lit(99.0), 30)) == "#ef4444"
+    assert value(scalars.heat(F.lit(0.0), 30)) == "rgb(34, 197, 94)" and value(scalars.heat(F.lit(99.0), 30)) == "rgb(239, 68, 68)"
     assert value(scalars.specifiers(F.lit("[oops"))) == [] and value(scalars.type_only(scalars.specifiers(F.lit("[]")))) is False
     assert value(sources_text.union_members(F.lit("A<B|C> | 'x|y' | {a: 1|2}"))) == 3
 
@@ -219,3 +220,29 @@ def test_source_files_are_walked(spark, tmp_path):
     assert found == {"src/a.ts": "// src/a.ts", "src/deep/c.vue": "// src/deep/c.vue"}
     (tmp_path / "report.json").write_text('noise\n{"issues": [{"file": "a"}]}\nmore')
     assert files.json_report(spark, f"file://{tmp_path}/report.json", "issues array<struct<file:string>>").first().issues[0].file == "a"
+
+
+def test_values_that_must_match(spark):
+    """Inputs that tell each rule from its near misses."""
+    one = spark.range(1)
+    value = lambda c: one.select(c.alias("x")).first().x
+    tests = ["src/__tests__", "a/__TESTS__/b", "x.test.ts", "x.spec.mjs", "x.e2e.ts", "x.integration.cts", "e2e/x", "a/integration", "specs/x", "a\\test\\x"]
+    others = ["", None, "latest/x.ts", "x.test.json", "contest.ts", "a/e2e-x/b", "x.tests.ts", "respec/x"]
+    assert [value(paths.is_test_file(F.lit(p))) for p in tests + others] == [True] * len(tests) + [False] * len(others)
+    assert [value(paths.is_source_file(F.lit(p))) for p in ("a.TS", "a.vue", "a.d.ts", "a.D.TSX", "a.d.js", "a.json", "a.mts")] == [True, True, False, False, True, False, False]
+    assert [value(files.is_walked(F.lit(p))) for p in ("tmp/a.ts", "a/vendor/b", "a/out/b", "outer/b", ".nuxt/b", "a/.cache/b", "dist.ts")] == [True, True, False, True, False, False, True]
+    object_of = lambda t: value(files.first_object(F.lit(t)))
+    assert object_of('{"a": 1}\nwarn {x}') == '{"a": 1}' and object_of('x "{"a": "}\\"{"} }') == '{"a": "}\\"{"}' and object_of("none") is None and object_of("{ {}") is None and object_of(None) is None
+    members = lambda t: value(sources_text.union_members(F.lit(t)))
+    assert [members(t) for t in ("A | (a | (b | (c | (d | (e | f)))))", "", "| A", "'a\\'|b' | C", "`${x | y}` | D", "Map<A | B> | C")] == [2, 0, 1, 2, 2, 2]
+    assert value(scalars.pascal_case(F.lit("a.b-c__dE fG"))) == "A.bCDEFG" and value(scalars.rolling_hash(F.lit("\U0001f600"))) == (31 * 0xD83D + 0xDE00) % 2**32
+    told = [(value(scalars.format_delta(F.lit(x))), value(scalars.format_percent(F.lit(x)))) for x in (1234.5, -45.25, 3.14159, float("inf"), float("nan"))]
+    assert told == [("1235", "1.2k%"), ("-45.3", "-45.3%"), ("3.14", "3.1%"), ("n/a", "new"), ("n/a", "new")]
+    assert value(scalars.heat(F.lit(5.0), 0)) == "rgb(34, 197, 94)" and value(scalars.heat(F.lit(15.0), 30)) == "rgb(234, 179, 8)"
+    assert value(scalars.scope_map(F.lit('{"a": "peerDependency", "b": "x", "c": 1}'))) == {"a": "peerDependency"}
+    assert [value(graphs.kind_priority(F.lit(k))) for k in ("contains", "uses", "extends", "implements", "dependency", "import", "export", None)] == [5, 5, 4, 3, 2, 1, 0, 0]
+    assert [value(graphs.coerced_kind(F.lit(k))) for k in ("devDependency", "Import", None)] == ["devDependency", "dependency", "dependency"]
+    assert value(F.size(F.regexp_extract_all(F.lit("a1 = 12 + [b.c] \"q\";"), F.lit(sources_text.TOKENS), F.lit(0)))) == 7 and value(sources_text.branch_count(F.lit("a ?? b ? c?.d : e"))) == 2
+    names = ["x10", "x9", "X2y20", "x2y3", "é1", "e2", "x00000000000000000000010a"]
+    got = [r.n for r in spark.createDataFrame([(n,) for n in names], "n string").orderBy(*scalars.natural_order(F.col("n"))).collect()]
+    assert got == ["é1", "e2", "x2y3", "X2y20", "x9", "x10", "x00000000000000000000010a"]
