@@ -206,16 +206,23 @@ def within(edges: DataFrame, start: DataFrame, depth: int, directed: bool = Fals
     return seen
 
 
-def ancestors(parents: DataFrame, most: int = 50) -> DataFrame:
-    """id, ancestor and distance for every vertex and each folder above it; parents: id, parent."""
+def ancestors(parents: DataFrame, most: int | None = None) -> DataFrame:
+    """id, ancestor and distance for every vertex and each folder above it; parents: id, parent.
+
+    most: steps, if only so many count. Without it walks of any length go to
+    their end; where parents go round in a circle, a walk ends when it comes to
+    a folder again.
+    """
     pairs = settled(parents.filter("parent is not null").select("id", F.col("parent").alias("ancestor"), F.lit(1).alias("distance")))
     out, frontier = pairs, pairs
     up = parents.filter("parent is not null").select(F.col("id").alias("ancestor"), F.col("parent").alias("next"))
-    for _ in range(most):
-        frontier = settled(frontier.join(up, "ancestor").select("id", F.col("next").alias("ancestor"), (F.col("distance") + 1).alias("distance")))
+    step = 1
+    while most is None or step < most:
+        frontier = frontier.join(up, "ancestor").select("id", F.col("next").alias("ancestor"), (F.col("distance") + 1).alias("distance"))
+        frontier = settled(frontier if most else frontier.join(out.select("id", "ancestor"), ["id", "ancestor"], "left_anti"))
         if frontier.isEmpty():
             break
-        out = out.union(frontier)
+        out, step = out.union(frontier), step + 1
     return out
 
 

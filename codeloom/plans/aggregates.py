@@ -38,9 +38,10 @@ def distinct(b: Bound) -> DataFrame:
     return outside.groupBy(F.col("module_id").alias("id")).agg(F.count_distinct("source").alias("n")).filter("n >= 8")
 
 
-@query("agg06_health_score", "SELECT count(*) FILTER (severity = 'error') AS critical, count(*) FILTER (severity = 'warn') AS warning, greatest(0, 100 - 5 * count(*) FILTER (severity = 'error') - 2 * count(*) FILTER (severity = 'warn'))::BIGINT AS health FROM issues WHERE id < 40")
+@query("agg06_health_score", "SELECT entity_id, count(*) FILTER (severity = 'error') AS critical, count(*) FILTER (severity = 'warn') AS warning, greatest(0, 100 - 5 * count(*) FILTER (severity = 'error') - 2 * count(*) FILTER (severity = 'warn'))::BIGINT AS health FROM issues GROUP BY ROLLUP (entity_id)")
 def health(b: Bound) -> DataFrame:
-    counts = b("issues").filter("id < 40").agg(F.count_if(F.col("severity") == "error").alias("critical"), F.count_if(F.col("severity") == "warn").alias("warning"))
+    """Of all findings, with no entity, and of each entity's."""
+    counts = b("issues").rollup("entity_id").agg(F.count_if(F.col("severity") == "error").alias("critical"), F.count_if(F.col("severity") == "warn").alias("warning"))
     return counts.withColumn("health", F.greatest(F.lit(0), 100 - 5 * F.col("critical") - 2 * F.col("warning")).cast("long"))
 
 
@@ -155,12 +156,12 @@ def unused(b: Bound) -> DataFrame:
     return b("exports").groupBy("module_id").agg(F.count("*").alias("unused"), F.max("is_default").alias("dead"))
 
 
-@query("agg25_resolution_statistics", """WITH n AS (SELECT name, count(DISTINCT id) AS n FROM members WHERE id % 40 < 3 GROUP BY name), s AS (SELECT m.kind AS relation, CASE WHEN n = 1 THEN 'resolved' WHEN n > 1 THEN 'ambiguous' ELSE 'unresolved' END AS status FROM members m LEFT JOIN n USING (name))
+@query("agg25_resolution_statistics", """WITH n AS (SELECT name, count(DISTINCT id) AS n FROM symbols GROUP BY name), s AS (SELECT relation, CASE WHEN n = 1 THEN 'resolved' WHEN n > 1 THEN 'ambiguous' ELSE 'unresolved' END AS status FROM calls c LEFT JOIN n ON n.name = c.name)
     SELECT relation, count(*) FILTER (status = 'resolved') AS resolved, count(*) FILTER (status = 'ambiguous') AS ambiguous, count(*) FILTER (status = 'unresolved') AS unresolved FROM s GROUP BY 1""")
 def resolution_statistics(b: Bound) -> DataFrame:
     from codeloom.operators.resolve import unique_name
 
-    found = unique_name(b("members").select("id", "name", F.col("kind").alias("relation")), b("members").filter("id % 40 < 3"))
+    found = unique_name(b("calls").select("id", "name", "relation"), b("symbols"))
     return found.groupBy("relation").pivot("status", ["resolved", "ambiguous", "unresolved"]).count().na.fill(0)
 
 
@@ -175,10 +176,10 @@ def subnodes(b: Bound) -> DataFrame:
     return b("members").groupBy(F.col("parent_id").alias("id")).agg(F.count("*").alias("total"), F.count_if(F.col("visibility") == "public").alias("visible"), F.count_if(F.col("visibility") != "public").alias("hidden"))
 
 
-@query("agg28_cycle_participants", "SELECT DISTINCT unnest([src, dst]) AS id FROM edges WHERE src < 12")
+@query("agg28_cycle_participants", "SELECT DISTINCT unnest([src, dst]) AS id FROM edges")
 def participants(b: Bound) -> DataFrame:
     """Members of all cycles, whose lists come as JSON."""
-    stored = b("edges").filter("src < 12").select(F.to_json(F.array("src", "dst")).alias("participants_json"))
+    stored = b("edges").select(F.to_json(F.array("src", "dst")).alias("participants_json"))
     return stored.select(F.explode(F.from_json("participants_json", "array<int>")).alias("id")).distinct()
 
 

@@ -42,6 +42,13 @@ BINDINGS: dict[str, str] = {
         SELECT o_orderkey AS id, o_custkey AS parent_id, CASE WHEN o_orderstatus = 'O' THEN 'method' ELSE 'property' END AS kind,
                CASE WHEN o_orderstatus = 'P' THEN 'private' ELSE 'public' END AS visibility, o_orderkey % 3 = 0 AS is_async,
                o_orderpriority <> '5-LOW' AS has_explicit_return_type, concat('n', o_orderkey % 700) AS name FROM {orders}""",
+    # Declared symbols and calls of them: some names are unique, some shared, some declared nowhere.
+    "symbols": """
+        SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'O' THEN 'method' ELSE 'property' END AS kind,
+               CASE o_orderkey % 3 WHEN 0 THEN concat('u', o_orderkey) WHEN 1 THEN concat('n', o_orderkey % 700) ELSE concat('t', o_orderkey % 1300) END AS name FROM {orders}""",
+    "calls": """
+        SELECT o_orderkey AS id, o_orderkey % 2 = 0 AS qualified, o_orderstatus AS relation,
+               CASE o_orderkey % 4 WHEN 0 THEN concat('u', o_orderkey) WHEN 1 THEN concat('n', o_orderkey % 900) WHEN 2 THEN concat('t', o_orderkey % 1300) ELSE concat('nowhere', o_orderkey) END AS name FROM {orders}""",
     "parameters": "SELECT l_orderkey AS method_id, l_linenumber AS place, l_quantity AS weight FROM {lineitem}",
     # A symbol reference goes from an order to the one seven numbers on.
     "symbol_references": "SELECT o_orderkey AS id, o_orderkey AS source_id, o_orderkey + 7 AS target_id, CASE WHEN o_orderkey % 2 = 0 THEN 'method' ELSE 'property' END AS access_kind FROM {orders}",
@@ -106,6 +113,7 @@ class Bound:
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark, self.sf_dir = spark, sf_dir
+        self.import_graph: DataFrame | None = None  # once it is settled
 
     @cached_property
     def _made(self) -> dict[str, DataFrame]:

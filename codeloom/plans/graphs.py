@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from codeloom.operators import graphs
 from codeloom.plans.bindings import Bound
-from codeloom.plans.insights import IMPORT_GRAPH, import_graph
+from codeloom.plans.insights import IMPORT_GRAPH, LABELS, import_graph
 from codeloom.plans.registry import query
 
 
@@ -32,17 +32,16 @@ def articulation(b: Bound) -> DataFrame:
     return graphs.articulation_points(b("nodes"), b("acyclic"))
 
 
-@query("gr04_label_propagation")
+@query("gr04_label_propagation", f"WITH {LABELS} SELECT id, label FROM l10")
 def labels(b: Bound) -> DataFrame:
     return graphs.label_propagation(b("nodes"), b("edges"))
 
 
 @query("gr05_recursive_chain", "WITH RECURSIVE c AS (SELECT class_id, parent_id, 1 AS depth FROM extends UNION ALL SELECT c.class_id, e.parent_id, c.depth + 1 FROM c JOIN extends e ON e.class_id = c.parent_id WHERE c.depth < 10) SELECT class_id, parent_id, depth FROM c")
 def chain(b: Bound) -> DataFrame:
-    """The recursion as Spark's own recursive query; its rows stay below Spark's limit as chains are short."""
-    b("extends").createOrReplaceTempView("codeloom_extends")
-    return b.spark.sql("""WITH RECURSIVE c AS (SELECT class_id, parent_id, 1 AS depth FROM codeloom_extends
-        UNION ALL SELECT c.class_id, e.parent_id, c.depth + 1 FROM c JOIN codeloom_extends e ON e.class_id = c.parent_id WHERE c.depth < 10) SELECT class_id, parent_id, depth FROM c""")
+    """Chains of ten steps at most, by a frontier; Spark's own recursive queries stop at a number of rows."""
+    found = graphs.ancestors(b("extends").select(F.col("class_id").alias("id"), F.col("parent_id").alias("parent")), 10)
+    return found.select(F.col("id").alias("class_id"), F.col("ancestor").alias("parent_id"), F.col("distance").alias("depth"))
 
 
 @query("gr06_edge_creation", "SELECT DISTINCT src, dst, kind FROM (SELECT src, dst, 'import' AS kind FROM edges UNION ALL SELECT src, dst, kind FROM view_edges WHERE kind IN ('extends', 'uses')) WHERE src IN (SELECT id FROM nodes) AND dst IN (SELECT id FROM nodes WHERE folder <> 4)")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from codeloom.functions import paths, scalars
 from codeloom.operators import graphs, resolve
 from codeloom.plans.bindings import Bound
-from codeloom.plans.registry import query
+from codeloom.plans.registry import given_sql, query
 
 #: Thresholds of the queries.
 FAN, EXTERNAL, GOD, GOD_CRITICAL, PARAMETERS, PARAMETERS_CRITICAL = 10, 8, 15, 20, 4, 6
@@ -29,7 +29,17 @@ IMPORT_GRAPH = r"""
     graph AS (SELECT DISTINCT src, dst FROM wanted JOIN keyed USING (key) WHERE src <> dst)"""
 
 
+#: Ten rounds in which every vertex takes the label that most neighbours have, the least of several, for the twins.
+LABELS = "ways AS (SELECT src, dst FROM edges WHERE src <> dst UNION SELECT dst, src FROM edges WHERE src <> dst), l0 AS (SELECT id, id AS label FROM nodes)" + "".join(
+    f""", v{k} AS (SELECT w.dst AS id, label, count(*) AS n FROM ways w JOIN l{k} ON l{k}.id = w.src GROUP BY ALL),
+    b{k} AS (SELECT id, label FROM v{k} QUALIFY row_number() OVER (PARTITION BY id ORDER BY n DESC, label) = 1), l{k + 1} AS (SELECT l{k}.id, coalesce(b{k}.label, l{k}.label) AS label FROM l{k} LEFT JOIN b{k} ON b{k}.id = l{k}.id)"""
+    for k in range(10)
+)
+
+
 def import_graph(b: Bound) -> DataFrame:
+    if b.import_graph is not None:
+        return b.import_graph
     return resolve.import_edges(b("imports"), b("modules"))
 
 
@@ -163,7 +173,7 @@ def bridges(b: Bound) -> DataFrame:
     return graphs.articulation_points(b("nodes"), b("acyclic")).withColumn("severity", F.lit("warning"))
 
 
-@query("ins16_cluster_detection")
+@query("ins16_cluster_detection", f"WITH {LABELS} SELECT label, count(*) AS value, 'info' AS severity FROM l10 WHERE (SELECT count(*) FROM nodes) >= 3 GROUP BY label HAVING count(*) > 1")
 def clusters(b: Bound) -> DataFrame:
     """Groups of two or more that label propagation makes, in graphs of three nodes or more; the rule is pinned, so reruns agree."""
     labels = graphs.label_propagation(b("nodes"), b("edges"))
@@ -207,25 +217,48 @@ def async_mismatches(b: Bound) -> DataFrame:
     return b("symbol_references").join(plain, "source_id").join(asynchronous, "target_id").select("source_id", "target_id", F.lit("info").alias("severity")).distinct()
 
 
-#: Each insight's kind and category with the query that finds it; those that give one insight for each row are marked.
+#: Each insight's kind with the query that finds it and its name; of some, every row is an insight of so many entities.
 REPORT = {
-    "circular-imports": (circular_imports, True), "import-fan-in": (fan_in, False), "import-fan-out": (fan_out, False), "heavy-external-dependency": (heavy_external, False),
-    "god-class": (god_class, False), "long-parameter-lists": (long_parameter_lists, False), "module-size": (module_size, False), "deep-inheritance": (deep_inheritance, False),
-    "leaky-encapsulation": (leaky_encapsulation, False), "type-only-dependencies": (type_only, False), "orphaned-modules": (orphans, False), "hub-modules": (hubs, False),
-    "unused-exports": (unused_exports, False), "missing-return-types": (missing_return_types, False), "async-boundary-mismatches": (async_mismatches, False),
-}
+    "circular-imports": (circular_imports, "ins01_circular_imports", True),
+    "import-fan-in": (fan_in, "ins02_import_fan_in", False),
+    "import-fan-out": (fan_out, "ins03_import_fan_out", False),
+    "heavy-external-dependency": (heavy_external, "ins04_heavy_external_dependency", False),
+    "god-class": (god_class, "ins05_god_class", False),
+    "long-parameter-lists": (long_parameter_lists, "ins06_long_parameter_lists", False),
+    "module-size": (module_size, "ins07_module_size", False),
+    "deep-inheritance": (deep_inheritance, "ins08_deep_inheritance", False),
+    "leaky-encapsulation": (leaky_encapsulation, "ins09_leaky_encapsulation", False),
+    "barrel-file-depth": (barrel_depth, "ins10_barrel_file_depth", False),
+    "unexported-entities": (unexported, "ins11_unexported_entities", False),
+    "type-only-dependencies": (type_only, "ins12_type_only_dependencies", False),
+    "orphaned-modules": (orphans, "ins13_orphaned_modules", False),
+    "hub-modules": (hubs, "ins14_hub_modules", False),
+    "bridge-modules": (bridges, "ins15_bridge_modules", False),
+    "cluster-detection": (clusters, "ins16_cluster_detection", True),
+    "unused-exports": (unused_exports, "ins17_unused_exports", False),
+    "interface-segregation-violations": (interface_segregation, "ins18_interface_segregation", False),
+    "missing-return-types": (missing_return_types, "ins19_missing_return_types", False),
+    "async-boundary-mismatches": (async_mismatches, "ins20_async_boundary_mismatches", False),
+}
+_NO_SEVERITY = ("unexported-entities",)  # always info
 
 
 def insights(b: Bound, kinds: list[str] | None = None) -> DataFrame:
-    """kind, severity and entities of every insight; one member that is critical makes its insight critical."""
+    """kind, severity and entities of every insight; one member that is critical makes its insight critical.
+
+    The import graph is made once and kept in the checkpoint folder for all
+    insights that need it.
+    """
+    b.import_graph = graphs.settled(import_graph(b))
     rank = F.max(F.array_position(F.array(*map(F.lit, ("info", "warning", "critical"))), F.col("severity")))
     name = F.element_at(F.array(*map(F.lit, ("info", "warning", "critical"))), rank.cast("int"))
     parts = []
     for kind in kinds or REPORT:
-        f, each = REPORT[kind]
+        f, _, each = REPORT[kind]
         rows = f(b)
-        group = [F.col("component")] if each else []
-        parts.append(rows.groupBy(*group).agg(name.alias("severity"), F.count("*").alias("entities")).filter("entities > 0").select(F.lit(kind).alias("kind"), "severity", "entities"))
+        rows = rows.withColumn("severity", F.lit("info")) if kind in _NO_SEVERITY else rows
+        found = rows.select("severity", F.col("value").cast("long").alias("entities")) if each else rows.agg(name.alias("severity"), F.count("*").alias("entities")).filter("entities > 0")
+        parts.append(found.select(F.lit(kind).alias("kind"), "severity", "entities"))
     return reduce(DataFrame.union, parts)
 
 
@@ -235,23 +268,27 @@ def summary(found: DataFrame) -> DataFrame:
     return found.agg(count("critical").alias("critical"), count("warning").alias("warning"), count("info").alias("info")).withColumn("health", F.greatest(F.lit(0), 100 - 5 * F.col("critical") - 2 * F.col("warning")).cast("long"))
 
 
-_SQL_KINDS = ["god-class", "long-parameter-lists", "module-size", "leaky-encapsulation", "type-only-dependencies", "missing-return-types"]
+def _report_sql() -> str:
+    """The insights' own twins, put together."""
+    parts = []
+    for kind, (_, name, each) in REPORT.items():
+        found = f"(SELECT *{", 'info' AS severity" if kind in _NO_SEVERITY else ''} FROM ({given_sql(name)}))"
+        if each:
+            parts.append(f"SELECT '{kind}' AS kind, severity, value::BIGINT AS entities FROM {found}")
+        else:
+            severity = "CASE WHEN bool_or(severity = 'critical') THEN 'critical' WHEN bool_or(severity = 'warning') THEN 'warning' ELSE 'info' END"
+            parts.append(f"SELECT '{kind}' AS kind, {severity} AS severity, count(*) AS entities FROM {found} HAVING count(*) > 0")
+    return " UNION ALL ".join(parts)
+
+
+@query("insr_report", _report_sql())
+def report(b: Bound) -> DataFrame:
+    """All twenty insights."""
+    return insights(b)
 
 
-@query("insr_report_summary", """
-    WITH i AS (
-      SELECT CASE WHEN max(n) >= 20 THEN 'critical' ELSE 'warning' END AS severity FROM (SELECT count(*) AS n FROM members GROUP BY parent_id) WHERE n >= 15 HAVING count(*) > 0
-      UNION ALL SELECT CASE WHEN max(n) >= 6 THEN 'critical' ELSE 'warning' END FROM (SELECT count(*) AS n FROM parameters GROUP BY method_id) WHERE n >= 4 HAVING count(*) > 0
-      UNION ALL SELECT CASE WHEN max(line_count) > 500 THEN 'critical' ELSE 'warning' END FROM modules WHERE line_count > 300 HAVING count(*) > 0
-      UNION ALL SELECT 'warning' FROM (SELECT parent_id FROM members GROUP BY parent_id HAVING count(*) >= 5 AND count(*) FILTER (visibility = 'public') * 1.0 / count(*) > 0.8) HAVING count(*) > 0
-      UNION ALL SELECT 'info' FROM imports WHERE is_type_only HAVING count(*) > 0
-      UNION ALL SELECT 'info' FROM members WHERE NOT has_explicit_return_type HAVING count(*) > 0)
+@query("insr_report_summary", f"""WITH i AS ({_report_sql()})
     SELECT count(*) FILTER (severity = 'critical') AS critical, count(*) FILTER (severity = 'warning') AS warning, count(*) FILTER (severity = 'info') AS info,
            greatest(0, 100 - 5 * count(*) FILTER (severity = 'critical') - 2 * count(*) FILTER (severity = 'warning'))::BIGINT AS health FROM i""")
 def report_summary(b: Bound) -> DataFrame:
-    return summary(insights(b, _SQL_KINDS))
-
-
-@query("insr_report")
-def report(b: Bound) -> DataFrame:
-    return insights(b)
+    return summary(insights(b))

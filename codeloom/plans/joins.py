@@ -65,10 +65,10 @@ def lookup(b: Bound) -> DataFrame:
     return b("symbol_references").join(named, "target_id", "left").select("id", F.coalesce("name", F.concat(F.lit("member "), F.col("target_id").cast("string"))).alias("name"))
 
 
-@query("jn10_unique_name", """WITH n AS (SELECT name, count(DISTINCT id) AS n, min(id) AS one FROM members WHERE id % 40 < 3 GROUP BY name)
-    SELECT m.id, CASE WHEN n = 1 THEN 'resolved' WHEN n > 1 THEN 'ambiguous' ELSE 'unresolved' END AS status, CASE WHEN n = 1 THEN one END AS target_id FROM members m LEFT JOIN n USING (name)""")
+@query("jn10_unique_name", """WITH n AS (SELECT name, count(DISTINCT id) AS n, min(id) AS one FROM symbols GROUP BY name)
+    SELECT c.id, CASE WHEN n = 1 THEN 'resolved' WHEN n > 1 THEN 'ambiguous' ELSE 'unresolved' END AS status, CASE WHEN n = 1 THEN one END AS target_id FROM calls c LEFT JOIN n ON n.name = c.name""")
 def unique_name(b: Bound) -> DataFrame:
-    return resolve.unique_name(b("members").select("id", "name"), b("members").filter("id % 40 < 3")).select("id", "status", "target_id")
+    return resolve.unique_name(b("calls").select("id", "name"), b("symbols")).select("id", "status", "target_id")
 
 
 @query("jn11_member_resolution", """WITH d AS (SELECT parent_id, name, min(id) AS direct FROM members GROUP BY ALL), a AS (SELECT name, min(id) AS alone FROM members GROUP BY name HAVING count(DISTINCT id) = 1)
@@ -130,12 +130,11 @@ def diff(b: Bound) -> DataFrame:
     return metrics.diff(facts.filter("snapshot = 1998"), facts.filter("snapshot = 1997"))
 
 
-@query("jn18_call_resolution", """WITH f AS (SELECT name, count(DISTINCT id) AS n, min(id) AS one FROM members WHERE kind = 'property' AND id % 50 < 2 GROUP BY name), m AS (SELECT name, count(DISTINCT id) AS n, min(id) AS one FROM members WHERE kind = 'method' AND id % 50 < 3 GROUP BY name),
-    x AS (SELECT c.id, CASE WHEN (c.id % 2 = 0 AND m.n IS NOT NULL) OR f.n IS NULL THEN m.n ELSE f.n END AS n, CASE WHEN (c.id % 2 = 0 AND m.n IS NOT NULL) OR f.n IS NULL THEN m.one ELSE f.one END AS one FROM members c LEFT JOIN f USING (name) LEFT JOIN m USING (name))
+@query("jn18_call_resolution", """WITH f AS (SELECT name, count(DISTINCT id) AS n, min(id) AS one FROM symbols WHERE kind = 'property' GROUP BY name), m AS (SELECT name, count(DISTINCT id) AS n, min(id) AS one FROM symbols WHERE kind = 'method' GROUP BY name),
+    x AS (SELECT c.id, CASE WHEN (c.qualified AND m.n IS NOT NULL) OR f.n IS NULL THEN m.n ELSE f.n END AS n, CASE WHEN (c.qualified AND m.n IS NOT NULL) OR f.n IS NULL THEN m.one ELSE f.one END AS one FROM calls c LEFT JOIN f ON f.name = c.name LEFT JOIN m ON m.name = c.name)
     SELECT id, CASE WHEN n = 1 THEN 'resolved' WHEN n > 1 THEN 'ambiguous' ELSE 'unresolved' END AS status, CASE WHEN n = 1 THEN one END AS target_id FROM x""")
 def calls(b: Bound) -> DataFrame:
-    calls = b("members").select("id", "name", (F.col("id") % 2 == 0).alias("qualified"))
-    return resolve.call_targets(calls, b("members").filter("kind = 'property' and id % 50 < 2"), b("members").filter("kind = 'method' and id % 50 < 3"))
+    return resolve.call_targets(b("calls").select("id", "name", "qualified"), b("symbols").filter("kind = 'property'"), b("symbols").filter("kind = 'method'"))
 
 
 @query("jn19_reclassification", "WITH s AS (SELECT 'pkg' || i AS package, CASE WHEN i % 2 = 0 THEN 'devDependency' ELSE 'dependency' END AS scope FROM range(10) t(i)) SELECT i.id, coalesce(scope, 'import') AS kind FROM imports i LEFT JOIN s ON s.package = split_part(i.source, '/', 1)")

@@ -13,6 +13,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
+_GIVEN: dict[str, str] = {}
 _MODULES = ("insights", "scalars", "filters", "joins", "aggregates", "ordering", "text", "graphs", "sinks", "streams", "entities", "api")
 
 
@@ -27,12 +28,17 @@ def query(name: str, sql: str | None = None) -> Callable[[Callable[[Bound], Data
             raise ValueError(f"{name} is registered twice")
         _QUERIES[name] = lambda spark, sf_dir: f(Bound(spark, sf_dir))
         if sql is not None:
-            _ORACLES[name] = with_clause(sql)
+            _GIVEN[name], _ORACLES[name] = sql, with_clause(sql)
         return f
 
     return put
 
 
+def given_sql(name: str) -> str:
+    """The SQL of a query that is registered already, bindings undefined, to stand in that of others."""
+    return _GIVEN[name]
+
+
 def _load() -> None:
     for module in _MODULES:
         import_module(f"codeloom.plans.{module}")

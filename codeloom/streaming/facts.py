@@ -24,11 +24,22 @@ def counts(events: DataFrame, window: str = "1 day", late: str = "2 hours") -> D
 
 
 def run_once(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """The counts of all files of that name in a folder, read as a stream to its end."""
+    """The counts of all files of that name in a folder, read as a stream to its end.
+
+    Each batch writes the windows that it changed to the shared folder under its
+    number, so a batch that is run again replaces what it wrote; of a window the
+    last batch's counts hold. State of windows that the watermark has passed is
+    dropped, and nothing is gathered in the driver.
+    """
     schema = spark.read.parquet(f"{folder}/{name}").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
-    out = f"codeloom_{uuid.uuid4().hex}"
-    place = f"{checkpoint_folder(spark)}/{out}"
-    query = counts(stream).writeStream.option("checkpointLocation", place).outputMode("complete").format("memory").queryName(out).trigger(availableNow=True).start()
+    place = f"{checkpoint_folder(spark)}/codeloom_{uuid.uuid4().hex}"
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{place}/out/batch={number}")
+
+    query = counts(stream).writeStream.option("checkpointLocation", f"{place}/state").outputMode("update").foreachBatch(put).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(out)
+    told = spark.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in counts(spark.createDataFrame([], schema)).schema)}, batch long").parquet(f"{place}/out")
+    last = told.groupBy("begin", "event_type").agg(F.max_by(F.struct("n", "total"), "batch").alias("last"))
+    return last.select("begin", "event_type", "last.n", "last.total")
