@@ -49,6 +49,23 @@ def _fixpoint(state: DataFrame, step: Callable[[DataFrame], DataFrame], differs:
     return state
 
 
+def _spread(state: DataFrame, ways: DataFrame, message: Column, best: Callable[[Column], Column], pick: Callable[..., Column]) -> DataFrame:
+    """id and value when messages along ways change nothing more; only vertices that changed send any.
+
+    state: id, value; ways: tail, head and what message needs beside the tail's
+    value; best aggregates the messages to a head, pick takes the better of its
+    value and theirs.
+    """
+    state = settled(state.withColumn("changed", F.col("value").isNotNull()))
+    while True:
+        live = state.filter("changed").select(F.col("id").alias("tail"), "value")
+        sent = ways.join(live, "tail").groupBy(F.col("head").alias("id")).agg(best(message).alias("sent"))
+        new = pick("value", "sent")
+        state = settled(state.join(sent, "id", "left").select("id", new.alias("value"), (~new.eqNullSafe(F.col("value"))).alias("changed")))
+        if state.filter("changed").isEmpty():
+            return state.drop("changed")
+
+
 def degrees(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """id, fan_in, fan_out of distinct edges, 0 for those without."""
     ends = edges.select("src", "dst").distinct().select(F.explode(F.array(F.struct(F.col("src").alias("id"), F.lit(0).alias("i"), F.lit(1).alias("o")), F.struct(F.col("dst").alias("id"), F.lit(1).alias("i"), F.lit(0).alias("o")))).alias("e"))
@@ -57,19 +74,33 @@ def degrees(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def reach_least(labels: DataFrame, edges: DataFrame) -> DataFrame:
-    """id and label, where a label is the least of a vertex and of those from which edges lead to it."""
-
-    def step(state: DataFrame) -> DataFrame:
-        sent = edges.join(state.withColumnRenamed("id", "src"), "src").groupBy("dst").agg(F.min("label").alias("sent"))
-        return state.join(sent.withColumnRenamed("dst", "id"), "id", "left").select("id", F.least("label", "sent").alias("label"), F.col("label").alias("old"))
-
-    return _fixpoint(labels, step, ~F.col("label").eqNullSafe(F.col("old")))
+    """id and label, where a label is the least of a vertex and of those from which edges lead to it; rounds grow with the longest way."""
+    ways = edges.select(F.col("src").alias("tail"), F.col("dst").alias("head"))
+    return _spread(labels.select("id", F.col("label").alias("value")), ways, F.col("value"), F.min, F.least).withColumnRenamed("value", "label")
 
 
 def connected(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """id and component (its least id) of an undirected graph."""
-    both = settled(edges.select("src", "dst").union(edges.select("dst", "src")).distinct())
-    return reach_least(settled(vertices.select("id", F.col("id").alias("label"))), both).withColumnRenamed("label", "component")
+    """id and component (its least id) of an undirected graph.
+
+    Stars are contracted: every vertex's neighbours above it, then it and those
+    below it, are linked with the least neighbour, until nothing changes. The
+    rounds grow with the logarithm of the longest way.
+    """
+    links = settled(edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).filter("u <> v").distinct())
+    stamp = None
+    while True:
+        both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        lower = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(lower, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        links = settled(small.union(lower.select("u", F.col("m").alias("v"))).filter("u <> v").distinct())
+        now = tuple(links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if now == stamp:
+            break
+        stamp = now
+    found = links.select(F.col("u").alias("id"), F.col("v").alias("component"))
+    return vertices.select("id").join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
 def strongly_connected(vertices: DataFrame, edges: DataFrame) -> DataFrame:
@@ -138,17 +169,34 @@ def _cut(groups: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"id": sorted(cut)}, dtype=groups["src"].dtype)
 
 
-def articulation_points(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+def articulation_points(vertices: DataFrame, edges: DataFrame, peels: int = 20) -> DataFrame:
     """id of the vertices whose removal splits their component.
 
-    Bridges to single vertices are settled by counting; the rest of each
-    connected component is walked in one task, so a component must fit there.
+    Vertices with one neighbour are settled by counting: such a vertex, and what
+    hung on it, is cut off by its neighbour if that has any other, and can then
+    be left out. This is done up to `peels` times, as long as it takes away a
+    tenth of the edges; the rest of each connected component is walked in one
+    task, so it must fit there.
     """
     ship_code(edges.sparkSession)
-    one = settled(edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).filter("src <> dst").distinct())
-    where = connected(vertices, one).withColumnRenamed("id", "src")
+    left = settled(edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).filter("src <> dst").distinct())
+    ends = F.explode(F.array("src", "dst")).alias("id")
+    several = settled(left.select(ends).groupBy("id").count().filter("count > 1").select("id"))
+    found, n = None, left.count()
+    for _ in range(peels):
+        leaves = left.select(ends).groupBy("id").count().filter("count = 1").select("id")
+        marked = left.join(leaves.withColumn("a", F.lit(1)).withColumnRenamed("id", "src"), "src", "left").join(leaves.withColumn("z", F.lit(1)).withColumnRenamed("id", "dst"), "dst", "left")
+        marked = settled(marked)
+        cut = marked.filter("a = 1").select(F.col("dst").alias("id")).union(marked.filter("z = 1").select(F.col("src").alias("id"))).join(several, "id", "left_semi")
+        found = cut if found is None else found.union(cut)
+        left = settled(marked.filter("a is null and z is null").select("src", "dst"))
+        before, n = n, left.count()
+        if 10 * n > 9 * before:
+            break
+    where = connected(left.select(ends).distinct(), left).withColumnRenamed("id", "src")
     kind = edges.schema["src"].dataType.simpleString()
-    return one.join(where, "src").groupBy("component").applyInPandas(_cut, f"id {kind}")
+    walked = left.join(where, "src").groupBy("component").applyInPandas(_cut, f"id {kind}")
+    return walked if found is None else walked.union(found).distinct()
 
 
 def label_propagation(vertices: DataFrame, edges: DataFrame, rounds: int = 10) -> DataFrame:
@@ -165,13 +213,8 @@ def label_propagation(vertices: DataFrame, edges: DataFrame, rounds: int = 10) -
 
 def layers(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """id and layer of an acyclic graph: 0 without edges out, else one above the highest vertex that it leads to."""
-    rounds = vertices.count()
-
-    def step(state: DataFrame) -> DataFrame:
-        above = edges.join(state.select(F.col("id").alias("dst"), "layer"), "dst").groupBy(F.col("src").alias("id")).agg((F.max("layer") + 1).alias("above"))
-        return state.join(above, "id", "left").select("id", F.coalesce("above", F.lit(0)).alias("layer"), F.col("layer").alias("old"))
-
-    return _fixpoint(vertices.select("id", F.lit(0).alias("layer")), step, F.col("layer") != F.col("old"), rounds + 1)
+    ways = edges.select(F.col("dst").alias("tail"), F.col("src").alias("head")).distinct()
+    return _spread(vertices.select("id", F.lit(0).alias("value")), ways, F.col("value") + 1, F.max, F.greatest).withColumnRenamed("value", "layer")
 
 
 def step_cost(fan_in: Column) -> Column:
@@ -179,16 +222,23 @@ def step_cost(fan_in: Column) -> Column:
 
 
 def weighted_depth(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """id and weight of an acyclic graph: the dearest path out, each step costing 1 + log2 of its target's distinct importers."""
+    """id, weight and next of an acyclic graph: the dearest path out, each step costing 1 + log2 of its target's distinct importers.
+
+    next is the vertex that the path goes on to, the least of several; null where it ends.
+    """
     costs = settled(degrees(vertices, edges).select(F.col("id").alias("dst"), step_cost(F.col("fan_in")).alias("cost")))
-    priced = settled(edges.join(costs, "dst"))
-    rounds = vertices.count()
+    ways = settled(edges.join(costs, "dst").select(F.col("dst").alias("tail"), F.col("src").alias("head"), "cost"))
+    weights = _spread(vertices.select("id", F.lit(0.0).alias("value")), ways, F.col("value") + F.col("cost"), F.max, F.greatest)
+    on = ways.join(weights.select(F.col("id").alias("tail"), "value"), "tail").groupBy(F.col("head").alias("id"))
+    best = on.agg(F.min_by("tail", F.struct(-F.round(F.col("cost") + F.col("value"), 9), F.col("tail"))).alias("next"))
+    return weights.join(best, "id", "left").select("id", F.col("value").alias("weight"), "next")
 
-    def step(state: DataFrame) -> DataFrame:
-        on = priced.join(state.select(F.col("id").alias("dst"), "weight"), "dst").groupBy(F.col("src").alias("id")).agg(F.max(F.col("cost") + F.col("weight")).alias("on"))
-        return state.join(on, "id", "left").select("id", F.coalesce("on", F.lit(0.0)).alias("weight"), F.col("weight").alias("old"))
 
-    return _fixpoint(vertices.select("id", F.lit(0.0).alias("weight")), step, F.col("weight") != F.col("old"), rounds + 1)
+def traces(weighted: DataFrame) -> DataFrame:
+    """id, place and step of every vertex on each vertex's dearest path, itself at place 0; weighted: id, next."""
+    up = weighted.filter("next is not null").select("id", F.col("next").alias("parent"))
+    own = weighted.select("id", F.lit(0).alias("place"), F.col("id").alias("step"))
+    return own.union(ancestors(up).select("id", "distance", "ancestor"))
 
 
 def within(edges: DataFrame, start: DataFrame, depth: int, directed: bool = False) -> DataFrame:
@@ -325,6 +375,32 @@ def back_edges(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.join(a, "src").join(b, "dst").filter("a = b").groupBy("a").applyInPandas(_walk, f"src {kind}, dst {kind}")
 
 
+#: Rows of one layer that a single task may rank.
+LAYER_ROWS = 1_000_000
+
+
+def running(df: DataFrame, group: str, order: list[str], amount: Column, name: str, most: int = LAYER_ROWS) -> DataFrame:
+    """df with the sum of amount over the rows before each, in its group's order; order tells all rows of a group apart.
+
+    A group of more than `most` rows is ranked in parts: rows are dealt by ranges
+    of group and order, summed within each part, and each part begins with the
+    sum of the parts before it.
+    """
+    before = Window.unboundedPreceding, -1
+    df = df.withColumn("_amount", amount)
+    largest = df.groupBy(group).count().agg(F.max("count")).first()[0] or 0
+    if largest <= most:
+        summed = F.sum("_amount").over(Window.partitionBy(group).orderBy(*order).rowsBetween(*before))
+        return df.withColumn(name, F.coalesce(summed, F.lit(0).cast(df.schema["_amount"].dataType))).drop("_amount")
+    dealt = settled(df.repartitionByRange(group, *order).withColumn("_part", F.spark_partition_id()))
+    own = F.sum("_amount").over(Window.partitionBy(group, "_part").orderBy(*order).rowsBetween(*before))
+    sums = dealt.groupBy(group, "_part").agg(F.sum("_amount").alias("_sum"))
+    begun = F.sum("_sum").over(Window.partitionBy(group).orderBy("_part").rowsBetween(*before))
+    begins = sums.select(group, "_part", F.coalesce(begun, F.lit(0)).alias("_begin"))
+    kind = df.schema["_amount"].dataType
+    return dealt.withColumn("_own", F.coalesce(own, F.lit(0))).join(begins, [group, "_part"]).withColumn(name, (F.col("_own") + F.col("_begin")).cast(kind)).drop("_amount", "_part", "_own", "_begin")
+
+
 def order_layers(placed: DataFrame, edges: DataFrame, passes: int = 2) -> DataFrame:
     """id, layer and place: vertices of a layer ordered by the mean place of their neighbours in other layers, nearer ones weighing more.
 
@@ -332,22 +408,22 @@ def order_layers(placed: DataFrame, edges: DataFrame, passes: int = 2) -> DataFr
     go by id. placed: id, layer.
     """
     both = settled(edges.select("src", "dst").union(edges.select("dst", "src")).distinct())
-    rank = Window.partitionBy("layer").orderBy("mean", "id")
-    state = settled(placed.withColumn("place", F.row_number().over(Window.partitionBy("layer").orderBy("id"))))
+    one = F.lit(1).cast("int")
+    state = settled(running(placed.select("id", "layer"), "layer", ["id"], one, "before").select("id", "layer", (F.col("before") + 1).cast("int").alias("place")))
     for _ in range(2 * passes):
         other = state.select(F.col("id").alias("dst"), F.col("layer").alias("to"), F.col("place").alias("at"))
         near = both.join(other, "dst").join(state.select(F.col("id").alias("src"), "layer"), "src").filter("layer <> to").withColumn("w", 1 / F.abs(F.col("layer") - F.col("to")))
-        mean = near.groupBy(F.col("src").alias("id")).agg((F.sum(F.col("w") * F.col("at")) / F.sum("w")).alias("mean"))
-        state = settled(state.join(mean, "id", "left").withColumn("mean", F.coalesce("mean", F.col("place").cast("double"))).withColumn("place", F.row_number().over(rank)).select("id", "layer", "place"))
+        mean = near.groupBy(F.col("src").alias("id")).agg(F.round(F.sum(F.col("w") * F.col("at")) / F.sum("w"), 9).alias("mean"))
+        means = state.join(mean, "id", "left").withColumn("mean", F.coalesce("mean", F.col("place").cast("double"))).select("id", "layer", "mean")
+        state = settled(running(means, "layer", ["mean", "id"], one, "before").select("id", "layer", (F.col("before") + 1).cast("int").alias("place")))
     return state
 
 
 def coordinates(placed: DataFrame, width: float = 300.0, gap: float = 20.0) -> DataFrame:
     """id, x and y: a column for each layer, the highest first, and within it one under the other by place; placed: id, layer, place, height."""
-    column = Window.partitionBy("layer").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     top = placed.agg(F.max("layer").alias("top"))
-    y = F.coalesce(F.sum(F.col("height") + gap).over(column), F.lit(0.0))
-    return placed.join(F.broadcast(top)).select("id", ((F.col("top") - F.col("layer")) * width).alias("x"), y.alias("y"))
+    summed = running(placed, "layer", ["place"], (F.col("height") + gap).cast("double"), "y")
+    return summed.join(F.broadcast(top)).select("id", ((F.col("top") - F.col("layer")) * width).alias("x"), "y")
 
 
 def topological(order: list[str], depends: dict[str, list[str]]) -> list[str]:

@@ -122,12 +122,26 @@ def layers(b: Bound) -> DataFrame:
     return graphs.layers(b("nodes"), b("acyclic"))
 
 
-@query("gr16_weighted_depth", "WITH RECURSIVE c AS (SELECT dst, 1 + log2(count(DISTINCT src)) AS cost FROM acyclic GROUP BY dst), p AS (SELECT id, id AS at, 0.0::DOUBLE AS w FROM nodes UNION ALL SELECT p.id, a.dst, p.w + c.cost FROM p JOIN acyclic a ON a.src = p.at JOIN c ON c.dst = a.dst) SELECT id, max(w) AS weight FROM p GROUP BY id")
+@query("gr16_weighted_depth", """WITH RECURSIVE c AS (SELECT dst, 1 + log2(count(DISTINCT src)) AS cost FROM acyclic GROUP BY dst),
+    p AS (SELECT id, id AS at, 0.0::DOUBLE AS w, [id] AS way FROM nodes UNION ALL SELECT p.id, a.dst, p.w + c.cost, list_append(p.way, a.dst) FROM p JOIN acyclic a ON a.src = p.at JOIN c ON c.dst = a.dst),
+    f AS (SELECT id, round(w, 9) AS weight, array_to_string(way, '>') AS trace, row_number() OVER (PARTITION BY id ORDER BY round(w, 9) DESC, way) AS place FROM p) SELECT id, weight, trace FROM f WHERE place = 1""")
 def weights(b: Bound) -> DataFrame:
-    return graphs.weighted_depth(b("nodes"), b("acyclic"))
+    """The dearest path out of each vertex, with the vertices on it."""
+    weighted = graphs.settled(graphs.weighted_depth(b("nodes"), b("acyclic")))
+    steps = F.sort_array(F.collect_list(F.struct("place", F.col("step").cast("string").alias("step"))))
+    trace = graphs.traces(weighted).groupBy("id").agg(F.array_join(F.transform(steps, lambda s: s["step"]), ">").alias("trace"))
+    return weighted.join(trace, "id").select("id", F.round("weight", 9).alias("weight"), "trace")
 
 
-@query("gr17_barycenter_order")
+_SWEEPS = "".join(
+    f""", m{k} AS (SELECT w.src AS id, round(sum(1.0 / abs(x.layer - y.layer) * y.place) / sum(1.0 / abs(x.layer - y.layer)), 9) AS mean FROM both_ways w JOIN s{k} x ON x.id = w.src JOIN s{k} y ON y.id = w.dst WHERE x.layer <> y.layer GROUP BY w.src),
+    s{k + 1} AS (SELECT s{k}.id, layer, row_number() OVER (PARTITION BY layer ORDER BY coalesce(mean, place::DOUBLE), s{k}.id)::INT AS place FROM s{k} LEFT JOIN m{k} USING (id))"""
+    for k in range(4)
+)
+
+
+@query("gr17_barycenter_order", f"""WITH {_PATHS}, lay AS (SELECT id, max(n)::INT AS layer FROM p GROUP BY id), both_ways AS (SELECT src, dst FROM acyclic UNION SELECT dst, src FROM acyclic),
+    s0 AS (SELECT id, layer, row_number() OVER (PARTITION BY layer ORDER BY id)::INT AS place FROM lay){_SWEEPS} SELECT id, layer, place FROM s4""")
 def order(b: Bound) -> DataFrame:
     return graphs.order_layers(graphs.layers(b("nodes"), b("acyclic")), b("acyclic"))
 

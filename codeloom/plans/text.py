@@ -216,7 +216,11 @@ def coupling(b: Bound) -> DataFrame:
     return found.select("id", F.col("fan_out").alias("efferent"), F.col("fan_in").alias("afferent"), scalars.ratio(F.col("fan_out"), F.col("fan_in") + F.col("fan_out")).alias("instability"))
 
 
-@query("an11_coupling_of_imports")
+@query("an11_coupling_of_imports", r"""WITH w AS (SELECT id, module_id, regexp_replace(replace(regexp_extract(from_path, '^(.+)/[^/]*$', 1) || '/' || source, '/./', '/'), '[^/]+/\.\./', '') AS p FROM imports WHERE source LIKE '.%'),
+    t AS (SELECT id, module_id, unnest(list_transform(['', '.ts', '.tsx', '.js', '.jsx', '.mjs', '.cjs', '.vue', '/index.ts', '/index.tsx', '/index.js', '/index.jsx', '/index.mjs', '/index.cjs', '/index.vue'], lambda e, k: {'path': p || e, 'rank': k})) AS c FROM w),
+    r AS (SELECT t.id, t.module_id AS src, arg_min(m.id, {'rank': c.rank, 'id': m.id}) AS dst FROM t JOIN modules m ON m.relative_path = c.path GROUP BY t.id, t.module_id),
+    g AS (SELECT DISTINCT src, dst FROM r WHERE src <> dst)
+    SELECT m.id, (SELECT count(*) FROM g WHERE g.dst = m.id) AS fan_in, (SELECT count(*) FROM g WHERE g.src = m.id) AS fan_out FROM modules m""")
 def coupling_of_imports(b: Bound) -> DataFrame:
     """The same over relative imports resolved by rank; modules without any are there with zeros."""
     own = b("imports").select("id", F.col("module_id").alias("src"))

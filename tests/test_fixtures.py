@@ -246,3 +246,47 @@ def test_values_that_must_match(spark):
     names = ["x10", "x9", "X2y20", "x2y3", "é1", "e2", "x00000000000000000000010a"]
     got = [r.n for r in spark.createDataFrame([(n,) for n in names], "n string").orderBy(*scalars.natural_order(F.col("n"))).collect()]
     assert got == ["é1", "e2", "x2y3", "X2y20", "x9", "x10", "x00000000000000000000010a"]
+
+
+def test_cut_vertices_and_components_of_a_larger_graph(spark):
+    """Trees hung on cycles, long paths and loops, against removing each vertex in turn."""
+    import random
+
+    rnd = random.Random(4)
+    pairs = [(k, rnd.randrange(k)) for k in range(1, 60)] + [(100 + k, 100 + (k + 1) % 9) for k in range(9)] + [(100, 200), (200, 201), (201, 202), (5, 5)] + [(300 + k, 301 + k) for k in range(40)]
+    pairs += [(rnd.randrange(30), rnd.randrange(30)) for _ in range(25)]
+    ids = sorted({x for p in pairs for x in p} | {999})
+    nodes, edges = spark.createDataFrame([(x,) for x in ids], "id int"), spark.createDataFrame(pairs, "src int, dst int")
+
+    def groups_of(gone=None):
+        up = {x: x for x in ids if x != gone}
+        def root(x):
+            while up[x] != x:
+                x = up[x]
+            return x
+        for a, b in pairs:
+            if gone not in (a, b):
+                a, b = root(a), root(b)
+                up[max(a, b)] = min(a, b)
+        return {x: root(x) for x in up}
+
+    whole = groups_of()
+    assert {r.id: r.component for r in graphs.connected(nodes, edges).collect()} == whole
+    count = len(set(whole.values()))
+    want = {x for x in ids if len(set(groups_of(x).values())) > count}
+    for peels in (0, 20):
+        assert {r.id for r in graphs.articulation_points(nodes, edges, peels).collect()} == want
+
+
+def test_running_sums_in_parts(spark):
+    rows = [(g, k, (k * 7) % 5) for g, n in (("a", 300), ("b", 3), ("c", 1)) for k in range(n)]
+    frame = spark.createDataFrame(rows, "g string, k int, v int")
+    want = {(g, k): sum(v for h, j, v in rows if h == g and j < k) for g, k, _ in rows}
+    for most in (1000, 10):
+        assert {(r.g, r.k): r.before for r in graphs.running(frame, "g", ["k"], F.col("v"), "before", most).collect()} == want
+
+
+def test_ancestors_of_circles_and_long_chains(spark):
+    chain = spark.createDataFrame([(k, k + 1) for k in range(70)] + [(100, 101), (101, 102), (102, 101)], "id int, parent int")
+    got = {(r.id, r.ancestor): r.distance for r in graphs.ancestors(chain).collect()}
+    assert got[0, 70] == 70 and got[100, 102] == 2 and len(got) == 70 * 71 // 2 + 2 + 4
