@@ -152,9 +152,9 @@ class Head:
         found = np.asarray(pc.fill_null(at, -1)).astype(np.int64)
         return np.where(found >= 0, self.counts[found] if len(self.counts) else -1, -1)
 
-    def magnitudes(self, distinct: pa.Array) -> np.ndarray:
-        """0 for words that aren't here, else 1 + floor(log2 of the count)."""
-        n = self.counts_of(distinct)
+    @staticmethod
+    def magnitudes(n: np.ndarray) -> np.ndarray:
+        """0 for the counts of words that aren't here, else 1 + floor(log2 of the count)."""
         return np.where(n > 0, 1 + np.floor(np.log2(np.maximum(n, 1))), 0).astype(np.uint64)
 
 
@@ -243,7 +243,7 @@ def _count_pairs(batches: Iterable[pa.RecordBatch], head, segments: int) -> Iter
     gathered = 0
     for batch in shared.slices(batches):
         tokens = Tokens.of(batch.column("text"))
-        held += pair_keys(tokens, _hashes(tokens.distinct), head.value.magnitudes(tokens.distinct))
+        held += pair_keys(tokens, _hashes(tokens.distinct), Head.magnitudes(head.value.counts_of(tokens.distinct)))
         gathered += len(tokens.codes)
         if gathered >= GATHERED:
             yield from out()
@@ -365,7 +365,7 @@ def _scored(text: pa.Array, model: Model, head: Head, levels: Callable[[np.ndarr
     tokens = Tokens.of(text)
     exact = head.counts_of(tokens.distinct)
     known = exact >= 0
-    hashes, magnitudes = _hashes(tokens.distinct), head.magnitudes(tokens.distinct)
+    hashes, magnitudes = _hashes(tokens.distinct), Head.magnitudes(exact)
 
     def counts(keys: np.ndarray) -> np.ndarray:
         distinct, at = np.unique(keys, return_inverse=True)
@@ -400,7 +400,7 @@ def _scored(text: pa.Array, model: Model, head: Head, levels: Callable[[np.ndarr
 
 
 def _score(batches: Iterable[pa.RecordBatch], model: Model, head, counts) -> Iterator[pa.RecordBatch]:
-    for batch in shared.slices(batches):
+    for batch in shared.slices(batches, size=shared.SLICE_BYTES // 2):
         scored = _scored(batch.column("text"), model, head.value, counts.value.levels)
         yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), *scored], ["row", "doc_id", "score", "n_tokens", "n_known", "base_score", "rest"])
 
@@ -422,9 +422,8 @@ def _ask(batches: Iterable[pa.RecordBatch], head, segments: int) -> Iterator[pa.
         starts = np.flatnonzero(np.concatenate([[len(of) > 0], of[1:] != of[:-1]])).tolist()
         for start, stop in zip(starts, [*starts[1:], len(of)], strict=True):
             tokens = Tokens.of(batch.column("text").slice(start, stop - start))
-            hashes = _hashes(tokens.distinct)
-            rest = word_keys(hashes[head.value.counts_of(tokens.distinct) < 0])
-            keys = np.unique(np.concatenate([rest, *pair_keys(tokens, hashes, head.value.magnitudes(tokens.distinct))]))
+            hashes, exact = _hashes(tokens.distinct), head.value.counts_of(tokens.distinct)
+            keys = np.unique(np.concatenate([word_keys(hashes[exact < 0]), *pair_keys(tokens, hashes, Head.magnitudes(exact))]))
             dealt = list(_dealt(keys, segments))
             for k in range(0, len(dealt), 1 << 13):
                 some = dealt[k : k + (1 << 13)]
