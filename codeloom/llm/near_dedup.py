@@ -352,7 +352,7 @@ def near_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     intersection >= percent * union of their sets. component_id is the smallest
     doc_id that links reach, kept says whether it is the row's own. A text
     without words, or null, has an empty set and is linked with nothing. Rows of
-    one doc_id are one document, linked with itself. A row with a null doc_id
+    one doc_id are one document, whatever their texts, in one component. A row with a null doc_id
     joins its copies (equal sets) only; without any its component_id is null and
     it is kept. Other columns, whatever their names, are left out; an empty
     table gives an empty table.
@@ -393,11 +393,21 @@ def near_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
     named = classes.drop("signature").join(reached, "node", "left").select(*key, F.coalesce("component", "node").alias("component"))
     of = rows.drop("signature").join(named, key, "left")
-    # Rows of one doc_id that have several texts meet in the component of the smallest.
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component"))
-    return of.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
-        "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())
-    )
+    found = of.select("doc_id", "n_shingles", component.alias("component_id"))
+    repeated = rows.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    if not repeated.isEmpty():
+        found = _joined_ids(shared.written(found, "found"), repeated)
+    return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+
+
+def _joined_ids(found: DataFrame, repeated: DataFrame) -> DataFrame:
+    """found with the components of all rows of one doc_id made one, for the doc_ids that are repeated."""
+    again = found.join(repeated, "doc_id").select("doc_id", F.col("component_id").alias("a"))
+    least = again.groupBy("doc_id").agg(F.min("a").alias("b"))
+    merged = shared.components(again.join(least, "doc_id").select("a", "b"), "repeated")
+    merged = merged.select(F.col("id").alias("component_id"), F.col("component").alias("merged"))
+    return found.join(merged, "component_id", "left").select("doc_id", "n_shingles", F.coalesce("merged", "component_id").alias("component_id"))
 
 
 def distinct_documents(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:

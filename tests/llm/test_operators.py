@@ -270,6 +270,28 @@ def test_near_dedup_single_links_of_a_crowded_region(spark, monkeypatch):
     assert got == helpers.near_groups(dict(enumerate(every)), 3, 85)
 
 
+def test_near_dedup_finds_clean_pairs_among_noisy_copies(spark, monkeypatch):
+    """Pairs whose common part a whole crowd shares, while none of the crowd is linked with anything."""
+    rnd = random.Random(1)
+    every, pairs = [], []
+    for t in range(8):
+        base = [f"t{t}w{k}" for k in range(200)]
+        for _ in range(90):
+            own = list(base)
+            for at in rnd.sample(range(200), 12):
+                own[at] = f"x{rnd.random()}"
+            every.append(" ".join(own))
+        near = list(base)
+        for k in range(5):
+            near[10 + 30 * k] = f"y{t}{k}"
+        pairs.append((len(every), len(every) + 1))
+        every += [" ".join(base), " ".join(near)]
+    monkeypatch.setattr(near_dedup, "REGION", 6)
+    monkeypatch.setattr(near_dedup, "UNIT_SHINGLES", 5000)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_components(table(spark, every).repartition(4), 3, 85).collect()}
+    assert [got[a] == got[b] for a, b in pairs] == [True] * 8 and got == helpers.near_groups(dict(enumerate(every)), 3, 85)
+
+
 def test_near_dedup_keeps_texts_that_share_only_a_short_prefix_with_a_crowd(spark, monkeypatch):
     """Every second five values of the last signature are the crowd's, so no two trees' starts in a row are."""
     import numpy as np
@@ -304,6 +326,15 @@ def test_near_dedup_null_ids_and_repeats(spark):
     assert sorted((r.doc_id or -1, r.component_id or -1, r.kept) for r in rows) == [(-1, -1, True), (-1, 5, False), (5, 5, True), (5, 5, True)]
 
 
+def test_near_dedup_links_the_rows_of_one_id(spark):
+    """(5, a) is a copy of (3, a), and (5, b) is like nothing else: 5 is one document with both texts."""
+    a, b = "one text of quite a few words here", "some other words that nothing else has at all"
+    frame = table(spark, [a, a, b, "", b + " x"], [3, 5, 5, 5, 9])
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_components(frame, 3, 85).collect())
+    assert [(i, c, k) for i, _, c, k in got] == [(3, 3, True), (5, 3, False), (5, 3, False), (5, 3, False), (9, 3, False)]
+    assert [r.doc_id for r in near_dedup.distinct_documents(frame, 3, 85).collect()] == [3]
+
+
 def test_components_of_a_long_path(spark):
     path = spark.createDataFrame([(k, k + 1) for k in range(300) if k != 150] + [(9, 9)], "a long, b long")
     got = {r.id: r.component for r in shared.components(path).collect()}
