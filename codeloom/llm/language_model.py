@@ -555,6 +555,7 @@ def score(docs: DataFrame, broadcast_bytes: int = BROADCAST_BYTES, probes: int =
     else:
         parts = shared.written(_asked(rows, segments, n_segments, model, head, probes, schema), "parts")
     head.destroy()
+    shared.drop_written(segments)
     whole = parts.drop("rest") if complete else _with_rest(parts, words, model)
     return whole.select(
         "doc_id",

@@ -287,7 +287,9 @@ def _regions(signed: DataFrame) -> DataFrame:
     kind = signed.schema["node"].dataType.simpleString()
     keyed = shared.written(signed.select("node", "signature").mapInArrow(_keys, f"node {kind}, tree int, group long"), "keys")
     several = keyed.groupBy("group").agg(F.count("*").alias("held"), F.min("node").alias("first")).filter("held > 1")
-    return shared.written(keyed.join(several, "group").select("group", "node", F.lit(1).cast("long").alias("n"), "held", "first"), "regions")
+    regions = shared.written(keyed.join(several, "group").select("group", "node", F.lit(1).cast("long").alias("n"), "held", "first"), "regions")
+    shared.drop_written(keyed)
+    return regions
 
 
 def _block(blocks: Column) -> Column:
@@ -342,7 +344,10 @@ def _groups(signed: DataFrame, percent: int) -> DataFrame:
     if not crowded.isEmpty():
         more = shared.written(links(_against(crowded, reached, REGION)), "more")
         reached = shared.components(reached.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more), "likely")
-    return shared.written(reached.select(F.col("id").alias("node"), F.col("component").alias("group")), "groups")
+    groups = shared.written(reached.select(F.col("id").alias("node"), F.col("component").alias("group")), "groups")
+    for done in (regions, reached):
+        shared.drop_written(done)
+    return groups
 
 
 def near_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:

@@ -149,7 +149,11 @@ def verdicts(rows: DataFrame, policy: str = "v1") -> DataFrame:
 
 
 def ablations(rows: DataFrame, policy: str = "v1") -> DataFrame:
-    """For each rule of a policy: documents that fail it, that fail it alone, and that the policy without it keeps."""
+    """For each rule of a policy: documents that fail it, that fail it alone, and that the policy without it keeps.
+
+    Rows are counted by their bits first, so no more than two to the number of
+    rules go on. An empty ledger gives no rows.
+    """
     mask = POLICIES[policy]
     by = rows.groupBy(F.col("failed").bitwiseAND(F.lit(mask)).alias("failed")).count()
     each = F.explode(F.array(*(F.struct(F.lit(n).alias("rule"), F.lit(b).cast("long").alias("bit")) for n, b in BIT.items() if b & mask))).alias("rule")

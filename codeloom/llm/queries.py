@@ -41,6 +41,11 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(quality.ledger(_documents(spark, sf_dir)))
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the newest policy rejects, and rejects alone, from the ledger of all documents."""
+    return quality.ablations(quality.ledger(_documents(spark, sf_dir)))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.deduplicate(_documents(spark, sf_dir))
 
@@ -58,7 +63,7 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_revisits, op2_source_mixing, op3_token_counts, op4_license_scan, op5_language_model, op6_quality_rules, op7_exact_dedup, op8_sentencepiece, op9_near_dedup, op10_personal_data)
+    f.__name__: f for f in (op1_revisits, op2_source_mixing, op3_token_counts, op4_license_scan, op5_language_model, op6_quality_rules, op7_exact_dedup, op8_sentencepiece, op9_near_dedup, op10_personal_data, quality_ablations)
 }
 
 _WORDS = r"'[^\x20\x09-\x0D]+'"
@@ -125,3 +130,10 @@ ORACLES: dict[str, str] = {
     SELECT *, (failed & 3) <> 0 AS base_failed, failed = 0 AS kept FROM f
     """,
 }
+
+#: Each rule of the ledger by its bit.
+_RULES = "(VALUES ('few_words', 1), ('repeated_windows', 2), ('symbols', 4), ('duplicate_lines', 8), ('shouting', 16), ('long_words', 32)) r(rule, bit)"
+ORACLES["quality_ablations"] = f"""
+    WITH l AS ({ORACLES["op6_quality_rules"]}) SELECT rule, count(*) FILTER (failed & bit <> 0) AS n_failed, count(*) FILTER (failed = bit) AS n_failed_alone,
+           count(*) FILTER ((failed & bit = failed) OR failed = 0) AS n_kept_without FROM l CROSS JOIN {_RULES} GROUP BY rule
+    """
