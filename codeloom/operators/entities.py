@@ -87,3 +87,17 @@ def parameters(listed: Column) -> Column:
     each = F.transform(F.split(bare, ","), lambda p: F.trim(p))
     made = F.transform(each, lambda p: F.struct(F.regexp_extract(p, r"^(?:\.\.\.)?([\w$]+)", 1).alias("name"), p.rlike(r"^[\w$]+\?").alias("is_optional"), p.startswith("...").alias("is_rest")))
     return F.filter(made, lambda p: p["name"] != "")
+
+
+#: Words that look like calls and are none.
+NO_CALLS = ("if", "for", "while", "switch", "catch", "return", "function", "import", "typeof", "await", "super")
+#: A call: what stands before the name, the name, and no body behind the brackets, as a declaration has.
+CALL = r"(?<![\w$.])(?:(new|function)\s+)?((?:[\w$]+\.)*)([\w$]+)\s*\((?![^()]*\)\s*(?::[^{};]*)?\{)"
+
+
+def calls(modules: DataFrame) -> DataFrame:
+    """id, module_id, name and qualified (called as a member) of the calls of each module, each once; constructors are left out."""
+    each = modules.select(F.col("id").alias("module_id"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(CALL), F.lit(0)))).alias("m"))
+    part = lambda k: F.regexp_extract("m", r"^(?:(new|function)\s+)?((?:[\w$]+\.)*)([\w$]+)", k)
+    made = each.select("module_id", part(3).alias("name"), (part(2) != "").alias("qualified"), part(1).alias("word")).filter((F.col("word") == "") & ~F.col("name").isin(*NO_CALLS))
+    return made.select(F.concat_ws(":", "module_id", F.col("qualified").cast("string"), "name").alias("id"), "module_id", "name", "qualified").distinct()

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions import paths
+from codeloom.operators import entities, sources_text
 
 
 def target_path(from_path: Column, source: Column) -> Column:
@@ -35,15 +36,22 @@ def ranked_candidates(imports: DataFrame, modules: DataFrame) -> DataFrame:
 
 
 def package_then_global(imports: DataFrame, modules: DataFrame) -> DataFrame:
-    """id and dst of internal imports: for each candidate the importer's package first, then all packages if one module fits."""
+    """id and dst of internal imports: for each candidate the importer's package first, then all packages if one module fits.
+
+    Each package's paths are tried once, whoever imports them, and one lookup
+    serves both: by package and path, and by path alone under no package's name.
+    """
     own = modules.select(F.col("id").alias("dst"), "package_id", F.explode(paths.variants(F.col("relative_path"))).alias("path"))
-    wanted = imports.filter(paths.is_internal(F.col("source")))
-    tries = wanted.select("id", "package_id", F.posexplode(paths.candidates(target_path(F.col("from_path"), F.col("source")))).alias("rank", "path"))
-    local = own.groupBy("package_id", "path").agg(F.min("dst").alias("dst"))
-    everywhere = own.groupBy("path").agg(F.count_distinct("dst").alias("n"), F.min("dst").alias("dst")).filter("n = 1").drop("n")
-    hits = tries.join(local, ["package_id", "path"]).select("id", (2 * F.col("rank")).alias("rank"), "dst")
-    hits = hits.union(tries.join(everywhere, "path").select("id", (2 * F.col("rank") + 1).alias("rank"), "dst"))
-    return hits.groupBy("id").agg(F.min_by("dst", "rank").alias("dst"))
+    local = own.groupBy("package_id", "path").agg(F.min("dst").alias("dst"), F.count_distinct("dst").alias("n"))
+    everywhere = local.groupBy("path").agg(F.min("dst").alias("dst"), F.sum("n").alias("n")).filter("n = 1")
+    found = local.select(F.struct("package_id").alias("scope"), "path", "dst").union(everywhere.select(F.lit(None).cast("struct<package_id:string>"), "path", "dst"))
+    wanted = imports.filter(paths.is_internal(F.col("source"))).select("id", "package_id", target_path(F.col("from_path"), F.col("source")).alias("target"))
+    tries = wanted.select("package_id", "target").distinct().select("package_id", "target", F.posexplode(paths.candidates(F.col("target"))).alias("rank", "path"))
+    both = F.posexplode(F.array(F.struct("package_id"), F.lit(None).cast("struct<package_id:string>"))).alias("wide", "scope")
+    each = tries.select("package_id", "target", "path", "rank", both)
+    hits = each.join(found, each["path"].eqNullSafe(found["path"]) & each["scope"].eqNullSafe(found["scope"]))
+    best = hits.groupBy("package_id", "target").agg(F.min_by("dst", 2 * F.col("rank") + F.col("wide")).alias("dst"))
+    return wanted.join(best, ["package_id", "target"]).select("id", "dst")
 
 
 def unique_name(references: DataFrame, entities: DataFrame) -> DataFrame:
@@ -74,6 +82,19 @@ def call_targets(calls: DataFrame, functions: DataFrame, methods: DataFrame) ->
     return both.select("id", status.alias("status"), F.when(n == 1, one).alias("target_id"))
 
 
+def call_graph(modules: DataFrame, functions: DataFrame, methods: DataFrame) -> DataFrame:
+    """module_id, name, qualified, status and target_id of every module's calls: resolved, ambiguous, unresolved, or external.
+
+    modules: id, text; functions, methods: id, name. A name that the module
+    imports from a package is external, whatever else is called so.
+    """
+    calls = entities.calls(modules)
+    outside = sources_text.imports(modules).filter(~paths.is_internal(F.col("source"))).select("module_id", F.col("local").alias("name")).distinct().withColumn("outside", F.lit(True))
+    found = call_targets(calls, functions, methods).join(calls, "id").join(outside, ["module_id", "name"], "left")
+    mine = F.col("outside").isNull() | F.col("qualified")
+    return found.select("module_id", "name", "qualified", F.when(mine, F.col("status")).otherwise("external").alias("status"), F.when(mine, F.col("target_id")).alias("target_id"))
+
+
 def suffixes(path: Column) -> Column:
     """A path and what follows each of its slashes: the keys under which a report may name it."""
     parts = F.split(path, "/")

@@ -60,10 +60,35 @@ def maintainability(text: Column) -> Column:
     return scalars.maintainability(volume, branch_count(text), code_lines(text))
 
 
+#: Words of the language, which are no identifiers.
+KEYWORDS = (
+    "abstract any as async await boolean break case catch class const continue debugger declare default delete do else enum export extends false finally for from function get if implements import in "
+    "infer instanceof interface is keyof let module namespace never new null number object of package private protected public readonly return set static string super switch symbol this throw true try "
+    "type typeof undefined unknown var void while with yield"
+).split()
+
+
+def without_strings(text: Column) -> Column:
+    """A text whose quoted parts are empty; each ends on its line."""
+    return F.regexp_replace(text, r"'(?:\\.|[^'\\\n])*'|\"(?:\\.|[^\"\\\n])*\"", "''")
+
+
 def type_safety(text: Column) -> dict[str, Column]:
-    """Counts of loose types, as far as text shows them."""
-    n = lambda pattern: F.regexp_count(text, F.lit(pattern))
-    return {"any_count": n(r"\bany\b"), "unknown_count": n(r"\bunknown\b"), "as_count": n(r"\bas\s+[A-Za-z]"), "non_null_count": n(r"[A-Za-z0-9_)\]]!(?![=!])"), "ignore_count": n(r"@ts-(ignore|expect-error|nocheck)")}
+    """Counts of loose types, as far as text shows them: comments and quoted parts aside, but for what is ignored."""
+    bare = without_comments(without_strings(text))
+    n = lambda pattern: F.regexp_count(bare, F.lit(pattern)).cast("long")
+    any_count, words = n(r"\bany\b"), n(r"[A-Za-z_$][\w$]*")
+    identifiers = words - n(rf"(?<![\w$])(?:{'|'.join(KEYWORDS)})(?![\w$])")
+    return {
+        "any_count": any_count,
+        "unknown_count": n(r"\bunknown\b"),
+        "as_count": n(r"\bas\s+[A-Za-z]"),
+        "angle_count": n(r"(?<![\w$)\]>]\s?)<[A-Za-z_$][\w$.\[\]]*>\s*[\w$({\[]"),
+        "non_null_count": n(r"[A-Za-z0-9_)\]]!(?![=!])"),
+        "ignore_count": F.regexp_count(text, F.lit(r"@ts-(ignore|expect-error)")).cast("long"),
+        "identifiers": identifiers,
+        "any_density": any_count / F.greatest(identifiers, F.lit(1)),
+    }
 
 
 def scripts(html: Column) -> Column:
@@ -172,6 +197,20 @@ def lock_versions(text: DataFrame) -> DataFrame:
     return each.select("file", carried.alias("name"), version.alias("version")).filter("version <> '' and name is not null")
 
 
+def locked_versions(packages: DataFrame) -> DataFrame:
+    """package_id, name and version of each package's lock; packages: package_id, lock_json, yarn_lock (texts or null).
+
+    package-lock.json counts if it can be read, else yarn.lock, else nothing is locked.
+    """
+    parsed = F.from_json("lock_json", "packages map<string,struct<version:string>>")["packages"]
+    read = packages.withColumn("packages", parsed)
+    prefix = "node_modules/"
+    own = read.select("package_id", F.explode("packages").alias("path", "entry")).filter(F.col("path").startswith(prefix) & F.col("entry.version").isNotNull())
+    by_json = own.select("package_id", F.substring("path", len(prefix) + 1, 1 << 30).alias("name"), F.col("entry.version").alias("version"))
+    by_yarn = lock_versions(read.filter("packages is null and yarn_lock is not null").select(F.col("package_id").alias("file"), F.col("yarn_lock").alias("text")))
+    return by_json.union(by_yarn.select("file", "name", "version"))
+
+
 def package_dependencies(packages: DataFrame, locks: DataFrame) -> DataFrame:
     """package_id, scope, name, declared and version from package.json texts; a lock's version wins."""
     parsed = scalars.package_scopes(F.col("json"))

@@ -1,85 +1,101 @@
-"""Entity extraction over source text made for each nation."""
+"""Entity extraction over source text that each document's number shapes: what there is, how it is written and how often."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.operators import entities
+from codeloom.operators import entities, resolve
 from codeloom.plans.bindings import Bound
 from codeloom.plans.registry import query
 
-SOURCE = """export class K%(n)s<T> extends Base implements I1, I2<T> {
-  private count: number = 0;
-  readonly name: string;
-  async load(a: string, b?: number): Promise<void> {
-    if (a) { go(); }
-  }
-  run(...rest: any[]) { return 1; }
-}
-export interface J%(n)s extends P, Q {
-  size: number;
-  grow(by: number): void;
-}
-export async function fn%(n)s(x: number, { y }: O) { return x }
-export type T%(n)s<A, B> = { a: A }
-  | string;
-export enum E%(n)s { A = 1, B }
-"""
+#: Source text by doc_id, in SQL that Spark and DuckDB read alike; ~ stands for the end of a line.
+SOURCE = """replace(concat(
+    'export ', CASE WHEN doc_id % 4 = 0 THEN 'abstract ' ELSE '' END, 'class K', doc_id, CASE WHEN doc_id % 3 = 0 THEN '<T>' ELSE '' END,
+    CASE WHEN doc_id % 2 = 0 THEN concat(' extends Base', doc_id % 5) ELSE '' END, CASE doc_id % 3 WHEN 0 THEN ' implements I1, I2<T>' WHEN 1 THEN ' implements I3' ELSE '' END, ' {~',
+    CASE WHEN doc_id % 5 <> 0 THEN '  private count: number = 0;~' ELSE '' END, '  readonly name', doc_id % 7, ': string;~',
+    CASE WHEN doc_id % 3 <> 1 THEN '  async load(a: string, b?: number): Promise<void> {~    if (a) { go(); }~  }~' ELSE '' END,
+    repeat(concat('  run', doc_id % 6, '(...rest: any[]) { return 1; }~'), CASE WHEN doc_id % 6 = 5 THEN 0 ELSE 1 END), '}~',
+    CASE WHEN doc_id % 4 <> 1 THEN concat('interface J', doc_id, CASE WHEN doc_id % 2 = 1 THEN ' extends P, Q' ELSE '' END, ' {~  size: number;~', CASE WHEN doc_id % 6 = 0 THEN '  grow(by: number): void;~' ELSE '' END, '}~') ELSE '' END,
+    CASE WHEN doc_id % 5 < 3 THEN concat('export ', CASE WHEN doc_id % 2 = 0 THEN 'async ' ELSE '' END, 'function fn', doc_id, '(x: number, { y }: O', repeat(', z?: T', CAST(doc_id % 3 % 2 AS INT)), ') { return x }~') ELSE 'function hidden(x) { return x }~' END,
+    CASE WHEN doc_id % 3 = 0 THEN concat('export type T', doc_id, '<A, B> = { a: A }~  | ', CASE WHEN doc_id % 2 = 0 THEN 'string' ELSE 'null' END, ';~') ELSE 'type Own = 1;~' END,
+    CASE WHEN doc_id % 4 = 2 THEN concat('export enum E', doc_id, ' { A = ', doc_id, ', B }~') ELSE '' END), '~', chr(10))"""
 
 
 def _modules(b: Bound) -> DataFrame:
-    n = F.col("n_nationkey").cast("string")
-    return b("nation").select(F.concat(F.lit("m"), n).alias("id"), F.replace(F.lit(SOURCE), F.lit("%(n)s"), n).alias("text"))
+    return b("documents").select(F.concat(F.lit("m"), F.col("doc_id").cast("string")).alias("id"), "doc_id", F.expr(SOURCE).alias("text"))
 
 
-@query("ext04_classes", "SELECT 'm' || n_nationkey AS module_id, 'K' || n_nationkey AS name, 'Base' AS extends, 'I1,I2' AS implements FROM nation")
+@query("ext04_classes", """SELECT 'm' || doc_id AS module_id, 'K' || doc_id AS name, CASE WHEN doc_id % 2 = 0 THEN 'Base' || (doc_id % 5) END AS extends,
+    CASE doc_id % 3 WHEN 0 THEN 'I1,I2' WHEN 1 THEN 'I3' ELSE '' END AS implements FROM documents""")
 def classes(b: Bound) -> DataFrame:
     return entities.classes(_modules(b)).withColumn("implements", F.array_join("implements", ","))
 
 
-@query("ext05_interfaces", "SELECT 'm' || n_nationkey AS module_id, 'J' || n_nationkey AS name, 'P,Q' AS extends FROM nation")
+@query("ext05_interfaces", "SELECT 'm' || doc_id AS module_id, 'J' || doc_id AS name, CASE WHEN doc_id % 2 = 1 THEN 'P,Q' ELSE '' END AS extends FROM documents WHERE doc_id % 4 <> 1")
 def interfaces(b: Bound) -> DataFrame:
     return entities.interfaces(_modules(b)).withColumn("extends", F.array_join("extends", ","))
 
 
-@query("ext06_methods", """SELECT 'm' || n_nationkey AS module_id, unnest(['K' || n_nationkey, 'K' || n_nationkey, 'J' || n_nationkey]) AS parent, unnest(['load', 'run', 'grow']) AS name,
-    unnest([true, false, false]) AS is_async, unnest(['Promise<void>', NULL, 'void']) AS return_type FROM nation""")
+@query("ext06_methods", """SELECT 'm' || doc_id AS module_id, 'K' || doc_id AS parent, 'load' AS name, true AS is_async, 'Promise<void>' AS return_type FROM documents WHERE doc_id % 3 <> 1
+    UNION ALL SELECT 'm' || doc_id, 'K' || doc_id, 'run' || (doc_id % 6), false, NULL FROM documents WHERE doc_id % 6 <> 5
+    UNION ALL SELECT 'm' || doc_id, 'J' || doc_id, 'grow', false, 'void' FROM documents WHERE doc_id % 4 <> 1 AND doc_id % 6 = 0""")
 def methods(b: Bound) -> DataFrame:
     return entities.methods(_modules(b)).select("module_id", "parent", "name", "is_async", "return_type")
 
 
-@query("ext07_properties", """SELECT 'm' || n_nationkey AS module_id, unnest(['K' || n_nationkey, 'K' || n_nationkey, 'J' || n_nationkey]) AS parent, unnest(['count', 'name', 'size']) AS name,
-    unnest(['private', 'public', 'public']) AS visibility, unnest(['number', 'string', 'number']) AS type FROM nation""")
+@query("ext07_properties", """SELECT 'm' || doc_id AS module_id, 'K' || doc_id AS parent, 'count' AS name, 'private' AS visibility, 'number' AS type FROM documents WHERE doc_id % 5 <> 0
+    UNION ALL SELECT 'm' || doc_id, 'K' || doc_id, 'name' || (doc_id % 7), 'public', 'string' FROM documents UNION ALL SELECT 'm' || doc_id, 'J' || doc_id, 'size', 'public', 'number' FROM documents WHERE doc_id % 4 <> 1""")
 def properties(b: Bound) -> DataFrame:
     return entities.properties(_modules(b)).select("module_id", "parent", "name", "visibility", "type")
 
 
-@query("ext08_parameters", """SELECT 'm' || n_nationkey AS module_id, unnest(['load', 'load', 'run', 'grow']) AS method, unnest([0, 1, 0, 0]) AS place, unnest(['a', 'b', 'rest', 'by']) AS name,
-    unnest([false, true, false, false]) AS is_optional, unnest([false, false, true, false]) AS is_rest FROM nation""")
+@query("ext08_parameters", """SELECT 'm' || doc_id AS module_id, 'load' AS method, unnest([0, 1]) AS place, unnest(['a', 'b']) AS name, unnest([false, true]) AS is_optional, false AS is_rest FROM documents WHERE doc_id % 3 <> 1
+    UNION ALL SELECT 'm' || doc_id, 'run' || (doc_id % 6), 0, 'rest', false, true FROM documents WHERE doc_id % 6 <> 5 UNION ALL SELECT 'm' || doc_id, 'grow', 0, 'by', false, false FROM documents WHERE doc_id % 4 <> 1 AND doc_id % 6 = 0""")
 def parameters(b: Bound) -> DataFrame:
     each = entities.methods(_modules(b)).select("module_id", F.col("name").alias("method"), F.posexplode(entities.parameters(F.col("parameters"))).alias("place", "p"))
     return each.select("module_id", "method", "place", "p.*")
 
 
-@query("ext09_functions", "SELECT 'm' || n_nationkey AS module_id, 'fn' || n_nationkey AS name, true AS is_async, 1 AS parameters FROM nation")
+@query("ext09_functions", "SELECT 'm' || doc_id AS module_id, 'fn' || doc_id AS name, doc_id % 2 = 0 AS is_async, (1 + doc_id % 3 % 2)::INT AS parameters FROM documents WHERE doc_id % 5 < 3")
 def functions(b: Bound) -> DataFrame:
     return entities.functions(_modules(b)).select("module_id", "name", "is_async", F.size(entities.parameters(F.col("parameters"))).alias("parameters"))
 
 
-@query("ext10_type_aliases", """SELECT 'm' || n_nationkey AS module_id, 'T' || n_nationkey AS name, '{ a: A } | string' AS body, '["A","B"]' AS type_parameters_json FROM nation""")
+@query("ext10_type_aliases", """SELECT 'm' || doc_id AS module_id, 'T' || doc_id AS name, '{ a: A } | ' || CASE WHEN doc_id % 2 = 0 THEN 'string' ELSE 'null' END AS body, '["A","B"]' AS type_parameters_json FROM documents WHERE doc_id % 3 = 0""")
 def type_aliases(b: Bound) -> DataFrame:
     return entities.type_aliases(_modules(b))
 
 
-@query("ext11_enums", """SELECT 'm' || n_nationkey AS module_id, 'E' || n_nationkey AS name, '[{"name":"A","value":"1"},{"name":"B"}]' AS members_json FROM nation""")
+@query("ext11_enums", """SELECT 'm' || doc_id AS module_id, 'E' || doc_id AS name, '[{"name":"A","value":"' || doc_id || '"},{"name":"B"}]' AS members_json FROM documents WHERE doc_id % 4 = 2""")
 def enums(b: Bound) -> DataFrame:
     return entities.enums(_modules(b))
 
 
-@query("src10_module_parse", "SELECT 'm' || n_nationkey AS id, n_nationkey % 5 <> 0 AS parsed, CASE WHEN n_nationkey % 5 = 0 THEN 0 ELSE 1 END AS classes FROM nation")
+@query("src10_module_parse", "SELECT 'm' || doc_id AS id, doc_id % 5 <> 0 AS parsed, (doc_id % 5 <> 0)::INT AS classes, (doc_id % 5 <> 0 AND doc_id % 4 <> 1)::INT AS interfaces FROM documents")
 def module_parse(b: Bound) -> DataFrame:
-    """A module row for every file, also for one in which nothing is found."""
-    given = _modules(b).withColumn("text", F.when(F.substring("id", 2, 9).cast("int") % 5 != 0, F.col("text")))
-    found = entities.classes(given).groupBy(F.col("module_id").alias("id")).agg(F.count("*").cast("int").alias("classes"))
-    return given.join(found, "id", "left").select("id", F.col("text").isNotNull().alias("parsed"), F.coalesce("classes", F.lit(0)).alias("classes"))
+    """A module row for every file, also for one that can't be read or in which nothing is found."""
+    given = _modules(b).withColumn("text", F.when(F.col("doc_id") % 5 != 0, F.col("text")))
+    count = lambda found, name: found.groupBy(F.col("module_id").alias("id")).agg(F.count("*").cast("int").alias(name))
+    both = given.join(count(entities.classes(given), "classes"), "id", "left").join(count(entities.interfaces(given), "interfaces"), "id", "left")
+    return both.select("id", F.col("text").isNotNull().alias("parsed"), F.coalesce("classes", F.lit(0)).alias("classes"), F.coalesce("interfaces", F.lit(0)).alias("interfaces"))
+
+
+#: Calls by doc_id, with what is imported from a package, key words, declarations and a constructor, in SQL that both engines read.
+CALLS = """replace(concat('import { ext', doc_id % 3, ' } from "pkg"; ext0(1);~function own(a) { return 1 }~', CASE WHEN doc_id % 2 = 0 THEN concat('fn', doc_id, '(1); fn', doc_id + 1, '(2); fn', doc_id + 1, '(3);~') ELSE '' END,
+    'this.k.load(7); a.run', doc_id % 6, '();~if (x) { new Map(y) }~'), '~', chr(10))"""
+
+
+@query("an09_call_edges", """WITH c AS (SELECT doc_id, 'ext0' AS name, false AS q FROM documents UNION ALL SELECT doc_id, unnest(['fn' || doc_id, 'fn' || (doc_id + 1)]), false FROM documents WHERE doc_id % 2 = 0
+      UNION ALL SELECT doc_id, unnest(['load', 'run' || (doc_id % 6)]), true FROM documents),
+    f AS (SELECT 'fn' || doc_id AS name, count(*) AS n FROM documents WHERE doc_id % 5 < 3 GROUP BY 1),
+    m AS (SELECT name, count(*) AS n FROM (SELECT 'load' AS name FROM documents WHERE doc_id % 3 <> 1 UNION ALL SELECT 'run' || (doc_id % 6) FROM documents WHERE doc_id % 6 <> 5) GROUP BY 1),
+    x AS (SELECT doc_id, c.name, CASE WHEN q THEN coalesce(m.n, f.n) ELSE coalesce(f.n, m.n) END AS n FROM c LEFT JOIN f ON f.name = c.name LEFT JOIN m ON m.name = c.name)
+    SELECT 'm' || doc_id AS module_id, name, CASE WHEN name = 'ext0' AND doc_id % 3 = 0 THEN 'external' WHEN n = 1 THEN 'resolved' WHEN n > 1 THEN 'ambiguous' ELSE 'unresolved' END AS status FROM x""")
+def call_edges(b: Bound) -> DataFrame:
+    """Calls of each module with what they mean among all modules' functions and methods; what a package gives is external."""
+    declared = _modules(b)
+    functions = entities.functions(declared).select(F.concat_ws(":", "module_id", "name").alias("id"), "name")
+    methods = entities.methods(declared).filter("parent_type = 'class'").select(F.concat_ws(":", "module_id", "parent", "name").alias("id"), "name")
+    calling = b("documents").select(F.concat(F.lit("m"), F.col("doc_id").cast("string")).alias("id"), F.expr(CALLS).alias("text"))
+    return resolve.call_graph(calling, functions, methods).select("module_id", "name", "status")

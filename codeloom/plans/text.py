@@ -24,10 +24,14 @@ def _source(b: Bound) -> DataFrame:
 
 
 
-@query("src03_discovered_files")
+@query("src03_discovered_files", """SELECT id, relative_path FROM modules WHERE package_id <> 'de' AND (package_id = 'fr' OR relative_path LIKE 'src/src1/%' OR relative_path LIKE 'src/src/%' OR relative_path LIKE 'src/forum/%')
+    AND NOT (package_id = 'fr' AND relative_path LIKE '%/index.ts')""")
 def discovered(b: Bound) -> DataFrame:
-    """Source files under a folder, however deep, in order of their paths; only Spark opens the folder."""
-    return b.spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(b.sf_dir).select("path", "length").orderBy("path")
+    """Source files below the roots that each package's tsconfig includes; without include all are, and without a tsconfig none."""
+    package = F.col("package_id")
+    config = F.when(package == "fr", '{"exclude": ["**/index.ts"]}').when(package != "de", '// comment\n{"include": ["src/src1**/*", "./src/src/**/*.ts", "src/forum/*"], /* more */ }')
+    configs = b("modules").select("package_id").distinct().withColumn("tsconfig", config)
+    return files.included(b("modules").select("id", "package_id", "relative_path"), configs).select("id", "relative_path")
 
 
 @query("src04_walked_files", r"""SELECT path FROM (SELECT seq, CASE seq % 10 WHEN 0 THEN 'node_modules/' || name WHEN 1 THEN '.git/' || name WHEN 2 THEN 'a/dist/' || name WHEN 3 THEN 'tmp/' || name WHEN 4 THEN 'a/vendor/' || name
@@ -60,12 +64,15 @@ def package_json(b: Bound) -> DataFrame:
     return sources_text.package_dependencies(b("part").select(F.col("p_partkey").alias("package_id"), json.alias("json")), locks)
 
 
-@query("src08_lock_json", "SELECT p_partkey AS id, CASE WHEN p_partkey % 4 <> 0 THEN p_size || '.0.0' END AS version FROM part")
+@query("src08_lock_json", """SELECT p_partkey AS package_id, 'a' AS name, p_size || '.0.0' AS version FROM part WHERE p_partkey % 5 IN (0, 4) UNION ALL SELECT p_partkey, '@s/b', '1.' || p_size FROM part WHERE p_partkey % 5 = 0
+    UNION ALL SELECT p_partkey, 'y' || (p_size % 4), p_size || '.1.0' FROM part WHERE p_partkey % 5 IN (1, 2)""")
 def lock_json(b: Bound) -> DataFrame:
-    """A lock's packages; malformed JSON gives none."""
-    json = F.when(F.col("p_partkey") % 4 == 0, "oops {").otherwise(F.concat(F.lit('{"packages": {"node_modules/a": {"version": "'), F.col("p_size").cast("string"), F.lit('.0.0"}}}')))
-    found = F.from_json(json, "packages map<string,struct<version:string>>")
-    return b("part").select(F.col("p_partkey").alias("id"), F.try_element_at(found["packages"], F.lit("node_modules/a"))["version"].alias("version"))
+    """A package's lock: package-lock.json, else yarn.lock where that is missing or malformed, else nothing."""
+    k, n = F.col("p_partkey") % 5, F.col("p_size").cast("string")
+    plain = F.concat(F.lit('{"packages": {"": {"name": "root"}, "node_modules/a": {"version": "'), n, F.lit('.0.0"}'))
+    json = F.when(k == 0, F.concat(plain, F.lit(', "node_modules/@s/b": {"version": "1.'), n, F.lit('"}}}'))).when(k == 1, "oops {").when(k == 4, F.concat(plain, F.lit("}}")))
+    yarn = F.when(k.isin(0, 1, 2), F.concat(F.lit("y"), (F.col("p_size") % 4).cast("string"), F.lit('@^1:\n  version "'), n, F.lit('.1.0"\n')))
+    return sources_text.locked_versions(b("part").select(F.col("p_partkey").alias("package_id"), json.alias("lock_json"), yarn.alias("yarn_lock")))
 
 
 @query("src09_yarn_lock", "SELECT p_partkey AS file, unnest(['@s/b', 'a' || p_size]) AS name, unnest(['2.0.0', p_size || '.1.0']) AS version FROM part")
@@ -75,12 +82,12 @@ def yarn_lock(b: Bound) -> DataFrame:
     return sources_text.lock_versions(b("part").select(F.col("p_partkey").alias("file"), text.alias("text")))
 
 
-@query("src12_config_merge", "SELECT 'complexity' AS name, 25 AS threshold UNION ALL SELECT 'lines', 300")
+@query("src12_config_merge", """SELECT * FROM (VALUES ('complexity.error', '40'), ('complexity.warning', '20'), ('deep', 'true'), ('layers', '["a","b"]'), ('lines', '300'), ('mode', '"fast"')) t(key, value)""")
 def config(b: Bound) -> DataFrame:
-    """A configuration laid over the defaults field by field; a field of a wrong type falls back."""
-    defaults, given = {"complexity": 20, "lines": 300}, {"complexity": 25, "lines": "many"}
-    merged = {k: given[k] if isinstance(given.get(k), type(v)) else v for k, v in defaults.items()}
-    return b.spark.createDataFrame(list(merged.items()), "name string, threshold int")
+    """A configuration laid over the defaults, sections within sections; a field of a wrong type falls back, an unknown one goes."""
+    defaults = {"complexity": {"warning": 20, "error": 30}, "lines": 300, "deep": False, "layers": [], "mode": "fast"}
+    given = {"complexity": {"error": 40, "warning": "many", "odd": 1}, "lines": [], "deep": True, "layers": ["a", "b"], "unknown": 1, "mode": None}
+    return b.spark.createDataFrame(sorted(files.flat(files.merged_config(defaults, given)).items()), "key string, value string")
 
 
 @query("src11_report_json", "SELECT CASE WHEN turn % 4 < 3 THEN conv_id END AS conv_id, CASE WHEN turn % 4 < 3 THEN turn END AS turn, CASE WHEN turn % 4 < 3 THEN role || '}{\"' END AS role FROM conversations")
@@ -124,11 +131,17 @@ def size(b: Bound) -> DataFrame:
     return b("documents").select("doc_id", *(v.alias(k) for k, v in sources_text.sizes(F.col("text")).items()))
 
 
-@query("an01_size_of_code", "SELECT doc_id, 10 AS physical_lines, 4 AS logical_lines, 4 AS comment_lines, 2 AS blank_lines FROM documents")
+#: Code and comments of both kinds by doc_id, in SQL that both engines read.
+_COMMENTED = """replace(concat(repeat('let a = 1; // tail~', CAST(doc_id % 3 AS INT)), repeat('// line~', CAST(doc_id % 4 AS INT)), repeat('~  ~', CAST(doc_id % 2 AS INT)),
+    CASE WHEN doc_id % 5 = 0 THEN '/* two~lines */ code();~' ELSE '' END, 'end'), '~', chr(10))"""
+
+
+@query("an01_size_of_code", """SELECT doc_id, (doc_id % 3 + doc_id % 4 + 2 * (doc_id % 2) + 2 * (doc_id % 5 = 0)::INT + 1)::INT AS physical_lines, (doc_id % 3 + (doc_id % 5 = 0)::INT + 1)::INT AS logical_lines,
+    (doc_id % 4 + (doc_id % 5 = 0)::INT)::INT AS comment_lines, (2 * (doc_id % 2))::INT AS blank_lines FROM documents""")
 def size_of_code(b: Bound) -> DataFrame:
     """The same over text with comments of both kinds."""
     made = {k: v for k, v in sources_text.sizes(F.col("text")).items() if k != "volume"}
-    return _source(b).select("doc_id", *(v.alias(k) for k, v in made.items()))
+    return b("documents").select("doc_id", F.expr(_COMMENTED).alias("text")).select("doc_id", *(v.alias(k) for k, v in made.items()))
 
 
 @query("an02_unused_code", "SELECT module_id, count(*) AS unused, bool_or(name = 's1') AS dead FROM exports WHERE name NOT IN (SELECT imported FROM imports) GROUP BY 1")
@@ -191,22 +204,29 @@ def complexity(b: Bound) -> DataFrame:
     return _branchy(b).select("doc_id", sources_text.branch_count(F.col("text")).alias("complexity"))
 
 
-@query("an08_type_safety", "SELECT doc_id, 1 AS any_count, 0 AS unknown_count, 2 AS as_count, 1 AS non_null_count, 1 AS ignore_count FROM documents")
+#: Loose types by doc_id, in SQL that both engines read.
+_LOOSE = """replace(concat(repeat('a = c as any; ', CAST(doc_id % 3 AS INT)), repeat('<T>b; ', CAST(doc_id % 2 AS INT)), CASE WHEN doc_id % 5 = 0 THEN 'let u: unknown; ' ELSE '' END, repeat('y!.z; ', CAST(doc_id % 4 AS INT)),
+    'x != "any string"; ', CASE WHEN doc_id % 2 = 0 THEN '// @ts-ignore any~' ELSE '// @ts-expect-error~' END, CASE WHEN doc_id % 6 = 0 THEN '/* p as q */' ELSE '' END), '~', chr(10))"""
+
+
+@query("an08_type_safety", """WITH c AS (SELECT doc_id, doc_id % 3 AS any_count, (doc_id % 5 = 0)::BIGINT AS unknown_count, doc_id % 3 AS as_count, doc_id % 2 AS angle_count, doc_id % 4 AS non_null_count, 1 AS ignore_count,
+           (2 * (doc_id % 3) + 2 * (doc_id % 2) + (doc_id % 5 = 0)::INT + 2 * (doc_id % 4) + 1)::BIGINT AS identifiers FROM documents)
+    SELECT *, any_count / greatest(identifiers, 1)::DOUBLE AS any_density FROM c""")
 def type_safety(b: Bound) -> DataFrame:
-    return _source(b).select("doc_id", *(v.alias(k) for k, v in sources_text.type_safety(F.col("text")).items()))
+    made = sources_text.type_safety(F.col("text"))
+    return b("documents").select("doc_id", F.expr(_LOOSE).alias("text")).select("doc_id", *(v.alias(k) for k, v in made.items()))
 
 
-@query("an09_call_edges", "SELECT n_nationkey AS id, unnest(['a.run', 'go']) AS callee FROM nation")
-def call_edges(b: Bound) -> DataFrame:
-    """Calls by pattern, each callee once; key words that look like calls are left out."""
-    text = F.lit("a.run(x); if (y) { go(1); go(2) }")
-    found = F.array_distinct(F.filter(F.regexp_extract_all(text, F.lit(r"([\w$.]+)\s*\("), F.lit(1)), lambda c: ~c.isin("if", "for", "while", "switch", "catch", "return", "function")))
-    return b("nation").select(F.col("n_nationkey").alias("id"), F.explode(found).alias("callee"))
+#: Exports by doc_id, some with documentation before them, in SQL that both engines read.
+_DOCUMENTED = """replace(concat(repeat('/** about ~ * @throws Error */~export function f(a) {}~', CAST(doc_id % 3 AS INT)), repeat('// no block~export class K {}~', CAST(doc_id % 4 AS INT)),
+    CASE WHEN doc_id % 5 = 0 THEN '/** @deprecated */ export const v = 1;~/** of nothing exported */~const w = 2;~' ELSE '' END), '~', chr(10))"""
 
 
-@query("an10_documentation", "SELECT doc_id, 2 AS exported, 1 AS documented, 0.5::DOUBLE AS coverage, 0 AS throws, 0 AS deprecated FROM documents")
+@query("an10_documentation", """WITH c AS (SELECT doc_id, (doc_id % 3 + doc_id % 4 + (doc_id % 5 = 0)::INT)::BIGINT AS exported, (doc_id % 3 + (doc_id % 5 = 0)::INT)::BIGINT AS documented, doc_id % 3 AS throws, (doc_id % 5 = 0)::BIGINT AS deprecated FROM documents)
+    SELECT *, CASE WHEN exported = 0 THEN 0.0 ELSE documented / exported::DOUBLE END::DOUBLE AS coverage FROM c""")
 def documentation(b: Bound) -> DataFrame:
-    return _source(b).select("doc_id", *(v.alias(k) for k, v in sources_text.doc_coverage(F.col("text")).items()))
+    made = sources_text.doc_coverage(F.col("text"))
+    return b("documents").select("doc_id", F.expr(_DOCUMENTED).alias("text")).select("doc_id", *(v.alias(k) for k, v in made.items()))
 
 
 @query("an11_coupling", """SELECT n.id, count(DISTINCT o.dst) AS efferent, count(DISTINCT i.src) AS afferent, CASE WHEN count(DISTINCT o.dst) + count(DISTINCT i.src) = 0 THEN 0.0 ELSE count(DISTINCT o.dst) * 1.0 / (count(DISTINCT o.dst) + count(DISTINCT i.src)) END::DOUBLE AS instability

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,3 +65,41 @@ def json_report(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The first JSON object of each report file, whatever noise stands around it; a malformed one gives nulls."""
     text = spark.read.text(path, wholetext=True)
     return text.select(F.from_json(first_object(F.col("value")), schema).alias("r")).select("r.*")
+
+
+def included(modules: DataFrame, configs: DataFrame) -> DataFrame:
+    """The modules below the roots that their package's tsconfig includes, but for those that it excludes by ending.
+
+    modules: package_id, relative_path; configs: package_id, tsconfig (JSON with
+    comments and commas too many; null for none). A glob includes what lies
+    in the folder that its part before the first star names; one that begins with **/ excludes what
+    ends in the rest. Without include everything is; without a config nothing.
+    """
+    bare = F.regexp_replace("tsconfig", r"(?s),(?=\s*(?:/\*(?:(?!\*/).)*\*/\s*)*[}\]])", "")
+    parsed = F.from_json(bare, "include array<string>, exclude array<string>", {"allowComments": "true"}).alias("c")
+    clean = lambda g: F.regexp_replace(g, r"^\./", "")
+    read = configs.filter("tsconfig is not null").select("package_id", parsed).select("package_id", F.col("c.include").alias("include"), F.col("c.exclude").alias("exclude"))
+    inside = F.col("include").isNull() | F.exists("include", lambda g: (paths.glob_prefix(clean(g)) == "") | F.startswith("relative_path", F.concat(paths.glob_prefix(clean(g)), F.lit("/"))))
+    ending = lambda g: g.startswith("**/") & F.endswith("relative_path", F.concat(F.lit("/"), F.substring(g, F.lit(4), F.length(g))))
+    outside = F.coalesce(F.exists("exclude", ending), F.lit(False))
+    return modules.join(read, "package_id").filter(inside & ~outside).drop("include", "exclude")
+
+
+def merged_config(defaults: dict, given: dict) -> dict:
+    """defaults with given laid over, section by section; fields of another type than the default's, and unknown ones, are left out."""
+    out = {}
+    for key, value in defaults.items():
+        other = given.get(key)
+        if isinstance(value, dict):
+            out[key] = merged_config(value, other) if isinstance(other, dict) else dict(value)
+        else:
+            out[key] = other if type(other) is type(value) else value
+    return out
+
+
+def flat(config: dict, above: str = "") -> dict[str, str]:
+    """Fields by their path with dots, values as JSON."""
+    out: dict[str, str] = {}
+    for key, value in config.items():
+        out |= flat(value, f"{above}{key}.") if isinstance(value, dict) else {f"{above}{key}": json.dumps(value, separators=(",", ":"))}
+    return out
