@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeloom.operators import graphs
+from codeloom.operators import graphs, model_graph
 from codeloom.plans.bindings import Bound
 from codeloom.plans.insights import IMPORT_GRAPH, LABELS, import_graph
 from codeloom.plans.registry import query
@@ -44,20 +44,64 @@ def chain(b: Bound) -> DataFrame:
     return found.select(F.col("id").alias("class_id"), F.col("ancestor").alias("parent_id"), F.col("distance").alias("depth"))
 
 
-@query("gr06_edge_creation", "SELECT DISTINCT src, dst, kind FROM (SELECT src, dst, 'import' AS kind FROM edges UNION ALL SELECT src, dst, kind FROM view_edges WHERE kind IN ('extends', 'uses')) WHERE src IN (SELECT id FROM nodes) AND dst IN (SELECT id FROM nodes WHERE folder <> 4)")
+def _model(b: Bound) -> dict[str, DataFrame]:
+    """A code model: regions are packages, nations modules, customers classes, suppliers interfaces, orders members."""
+    key = lambda df, **names: df.select(*(F.expr(e).alias(n) for n, e in names.items()))
+    folder = lambda c, name: key(b("nodes"), **{c: "id", name: "folder"})
+    pairs = b("edges").join(folder("src", "a"), "src").join(folder("dst", "z"), "dst").select("a", "z").distinct()
+    suppliers = b("supplier").agg(F.count("*").alias("n"))
+    customers = b("classes").select("id").join(F.broadcast(suppliers))
+    members = key(b("members"), id="id", kind="kind", parent_id="parent_id", parent_type="'class'")
+    end = lambda c, name: members.select(F.col("id").alias(c), F.col("kind").alias(name))
+    return {
+        "packages": key(b("region"), id="r_regionkey"),
+        "modules": key(b("nodes"), id="id", package_id="folder"),
+        "classes": b("classes").select("id", "module_id"),
+        "interfaces": key(b("supplier"), id="s_suppkey", module_id="s_nationkey"),
+        "members": members,
+        "externals": key(b("events").filter("user_id % 17 <> 16"), name="concat('pkg', user_id % 17)").distinct(),
+        "package_dependencies": key(pairs, src="a", dst="z", kind="CASE (a + z) % 3 WHEN 0 THEN 'dependency' WHEN 1 THEN 'devDependency' ELSE 'peerDependency' END"),
+        "imports": b("edges"),
+        "exports": b("acyclic").filter("src % 5 = 0"),
+        "external_imports": key(b("events"), src="event_id % 25", name="concat('pkg', user_id % 17)"),
+        "scopes": b.spark.range(9).select(F.concat(F.lit("pkg"), (2 * F.col("id")).cast("string")).alias("name"), F.lit("devDependency").alias("kind")),
+        "class_extends": key(b("classes").filter("id % 4 = 0"), src="id", dst="id - 25"),
+        "interface_extends": key(b("supplier").filter("s_suppkey % 3 = 0"), src="s_suppkey", dst="s_suppkey + 1"),
+        "implements": key(customers.filter("id % 3 = 0"), src="id", dst="id % n"),
+        "references": key(b("symbol_references"), src="source_id", dst="target_id").join(end("src", "src_kind"), "src").join(end("dst", "dst_kind"), "dst"),
+    }
+
+
+_NODES = """n AS (SELECT 'package:' || r_regionkey AS id, 'package' AS kind, NULL AS parent FROM region UNION ALL SELECT 'module:' || id, 'module', 'package:' || folder FROM nodes
+    UNION ALL SELECT 'class:' || id, 'class', 'module:' || module_id FROM classes UNION ALL SELECT 'interface:' || s_suppkey, 'interface', 'module:' || s_nationkey FROM supplier
+    UNION ALL SELECT kind || ':' || id, kind, 'class:' || parent_id FROM members UNION ALL SELECT DISTINCT 'externalPackage:pkg' || (user_id % 17), 'externalPackage', NULL FROM events WHERE user_id % 17 <> 16)"""
+_EDGES = """e AS (SELECT DISTINCT 'package:' || a.folder AS src, 'package:' || z.folder AS dst, CASE (a.folder + z.folder) % 3 WHEN 0 THEN 'dependency' WHEN 1 THEN 'devDependency' ELSE 'peerDependency' END AS kind
+      FROM edges x JOIN nodes a ON a.id = x.src JOIN nodes z ON z.id = x.dst
+    UNION SELECT 'module:' || src, 'module:' || dst, 'import' FROM edges WHERE src <> dst UNION SELECT 'module:' || src, 'module:' || dst, 'export' FROM acyclic WHERE src % 5 = 0
+    UNION SELECT 'module:' || (event_id % 25), 'externalPackage:pkg' || (user_id % 17), CASE WHEN user_id % 17 % 2 = 0 THEN 'devDependency' ELSE 'import' END FROM events
+    UNION SELECT 'class:' || id, 'class:' || (id - 25), 'extends' FROM classes WHERE id % 4 = 0 UNION SELECT 'interface:' || s_suppkey, 'interface:' || (s_suppkey + 1), 'extends' FROM supplier WHERE s_suppkey % 3 = 0
+    UNION SELECT 'class:' || id, 'interface:' || (id % (SELECT count(*) FROM supplier)), 'implements' FROM classes WHERE id % 3 = 0
+    UNION SELECT a.kind || ':' || a.id, z.kind || ':' || z.id, 'uses' FROM symbol_references r JOIN members a ON a.id = r.source_id JOIN members z ON z.id = r.target_id
+    UNION SELECT parent, id, 'contains' FROM n WHERE kind IN ('class', 'interface', 'method', 'property')),
+    g AS (SELECT * FROM e WHERE src IN (SELECT id FROM n) AND dst IN (SELECT id FROM n))"""
+
+
+@query("gr06_edge_creation", f"WITH {_NODES}, {_EDGES} SELECT src, dst, kind FROM g")
 def edge_creation(b: Bound) -> DataFrame:
-    """Edges of the kinds asked for, each once, whose ends exist."""
-    every = b("edges").select("src", "dst", F.lit("import").alias("kind")).union(b("view_edges").filter(F.col("kind").isin("extends", "uses")).select("src", "dst", "kind"))
-    a, z = b("nodes").select(F.col("id").alias("src")), b("nodes").filter("folder <> 4").select(F.col("id").alias("dst"))
-    return every.distinct().join(a, "src", "left_semi").join(z, "dst", "left_semi").select("src", "dst", "kind")
+    """Edges of all nine kinds, each once, whose ends exist."""
+    model = _model(b)
+    return model_graph.edges(model, model_graph.nodes(model))
 
 
-@query("gr07_node_creation", "SELECT 'package:' || r_regionkey AS id, 'package' AS kind, NULL AS parent FROM region UNION ALL SELECT 'module:' || id, 'module', 'package:' || folder FROM nodes UNION ALL SELECT 'class:' || id, 'class', 'module:' || module_id FROM classes")
+@query("gr06_edges_of_kinds", f"WITH {_NODES}, {_EDGES} SELECT src, dst, kind FROM g WHERE kind IN ('extends', 'peerDependency', 'uses')")
+def edges_of_kinds(b: Bound) -> DataFrame:
+    model = _model(b)
+    return model_graph.edges(model, model_graph.nodes(model), ("extends", "peerDependency", "uses"))
+
+
+@query("gr07_node_creation", f"WITH {_NODES} SELECT id, kind, parent FROM n")
 def node_creation(b: Bound) -> DataFrame:
-    named = lambda kind, c: F.concat(F.lit(f"{kind}:"), F.col(c).cast("string"))
-    packages = b("region").select(named("package", "r_regionkey").alias("id"), F.lit("package").alias("kind"), F.lit(None).cast("string").alias("parent"))
-    modules = b("nodes").select(named("module", "id"), F.lit("module"), named("package", "folder"))
-    return packages.union(modules).union(b("classes").select(named("class", "id"), F.lit("class"), named("module", "module_id")))
+    return model_graph.nodes(_model(b))
 
 
 @query("gr09_cluster_by_folder", "SELECT package_id || ':' || directory AS folder, package_id, count(*) AS modules FROM modules GROUP BY ALL")
@@ -162,6 +206,33 @@ def within(b: Bound) -> DataFrame:
     return graphs.within(b("acyclic"), b("nodes").filter("id = 3"), 3)
 
 
+_TAKEN = "u AS (SELECT src, dst, kind FROM view_edges WHERE kind NOT IN ('contains', 'uses')), w AS (SELECT src AS x, dst AS y FROM u UNION SELECT dst, src FROM u), r AS (SELECT 3 AS id, 0 AS depth UNION SELECT w.y, r.depth + 1 FROM r JOIN w ON w.x = r.id WHERE r.depth < {depth}), d AS (SELECT id, min(depth) AS depth FROM r GROUP BY id)"
+
+
+def _around(b: Bound, depth: int) -> tuple[DataFrame, DataFrame]:
+    return model_graph.traversal(b("view_edges").select("src", "dst", "kind"), b("nodes").filter("id = 3").select("id"), depth, b("nodes").select("id", "folder"))
+
+
+@query("gr19_traversal", f"""WITH RECURSIVE {_TAKEN.format(depth=2)} SELECT d.id, d.depth, EXISTS (SELECT 1 FROM u WHERE u.dst = 3 AND u.src = d.id) AS inbound, EXISTS (SELECT 1 FROM u WHERE u.src = 3 AND u.dst = d.id) AS outbound, n.folder
+    FROM d JOIN nodes n ON n.id = d.id""")
+def traversal(b: Bound) -> DataFrame:
+    """Two steps over edges that aren't contains or uses, with the sides of the start's own neighbours and the folders."""
+    return _around(b, 2)[0]
+
+
+@query("gr19_induced_edges", f"WITH RECURSIVE {_TAKEN.format(depth=1)} SELECT src, dst, kind FROM u WHERE src IN (SELECT id FROM d) AND dst IN (SELECT id FROM d)")
+def induced(b: Bound) -> DataFrame:
+    return _around(b, 1)[1]
+
+
+@query("gr21_balanced_sides", """WITH u AS (SELECT src, dst FROM view_edges WHERE kind NOT IN ('contains', 'uses')), f AS (SELECT id, id IN (SELECT src FROM u WHERE dst = 3) AS i, id IN (SELECT dst FROM u WHERE src = 3) AS o FROM nodes),
+    c AS (SELECT count(*) FILTER (o AND NOT i) - count(*) FILTER (i AND NOT o) AS more FROM f), p AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS k FROM f WHERE i AND o)
+    SELECT f.id, CASE WHEN NOT o THEN 'inbound' WHEN NOT i THEN 'outbound' WHEN k < abs(more) THEN CASE WHEN more >= 0 THEN 'inbound' ELSE 'outbound' END WHEN (k - abs(more)) % 2 = 0 THEN 'inbound' ELSE 'outbound' END AS side
+    FROM f LEFT JOIN p ON p.id = f.id CROSS JOIN c WHERE i OR o""")
+def balanced(b: Bound) -> DataFrame:
+    return model_graph.sides(_around(b, 1)[0])
+
+
 @query("gr20_orphan_flags", "SELECT n.id, NOT EXISTS (SELECT 1 FROM edges e WHERE n.id IN (e.src, e.dst)) AS orphan_global, NOT EXISTS (SELECT 1 FROM acyclic e WHERE n.id IN (e.src, e.dst)) AS orphan_current FROM nodes n")
 def orphan_flags(b: Bound) -> DataFrame:
     total = graphs.degrees(b("nodes"), b("edges")).select("id", (F.col("fan_in") + F.col("fan_out") == 0).alias("orphan_global"))
@@ -201,6 +272,25 @@ def symbol_drilldown(b: Bound) -> DataFrame:
     return b("members").filter("parent_id = 7").select(F.lit("contains").alias("kind"), F.col("parent_id").alias("src"), F.col("id").alias("dst")).union(uses.select(F.lit("uses"), "source_id", "target_id"))
 
 
+@query("gr24_module_focus", f"""WITH {_NODES}, {_EDGES}, h AS (SELECT id FROM n WHERE parent = 'module:7' OR parent IN (SELECT id FROM n WHERE parent = 'module:7'))
+    SELECT src, dst, kind FROM g WHERE (kind = 'contains' AND dst IN (SELECT id FROM h)) OR (kind = 'uses' AND (src IN (SELECT id FROM h) OR dst IN (SELECT id FROM h)))""")
+def module_focus(b: Bound) -> DataFrame:
+    """All symbols of a module with their members, and what uses these or is used by them."""
+    return _focused(b, "module:7")
+
+
+@query("gr24_class_focus", f"""WITH {_NODES}, {_EDGES}, h AS (SELECT id FROM n WHERE parent = 'class:7')
+    SELECT src, dst, kind FROM g WHERE (kind = 'contains' AND (src = 'class:7' OR dst = 'class:7')) OR (kind = 'uses' AND (src IN (SELECT id FROM h) OR dst IN (SELECT id FROM h)))""")
+def class_focus(b: Bound) -> DataFrame:
+    return _focused(b, "class:7")
+
+
+def _focused(b: Bound, focus: str) -> DataFrame:
+    model = _model(b)
+    every = model_graph.nodes(model)
+    return model_graph.drilldown(model_graph.edges(model, every, ("contains", "uses")), every.select("id", "parent"), focus)
+
+
 @query("gr25_topological_order", "SELECT * FROM (VALUES (0, 'size'), (1, 'coupling'), (2, 'maintainability'), (3, 'a'), (4, 'b')) t(place, name)")
 def topological(b: Bound) -> DataFrame:
     order = graphs.topological(["maintainability", "size", "coupling", "a", "b"], {"maintainability": ["size", "coupling"], "a": ["b"], "b": ["a"], "size": ["unknown"]})

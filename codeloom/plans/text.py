@@ -24,10 +24,10 @@ def _source(b: Bound) -> DataFrame:
 
 
 
-@query("src03_discovered_files", """SELECT id, relative_path FROM modules WHERE package_id <> 'de' AND (package_id = 'fr' OR relative_path LIKE 'src/src1/%' OR relative_path LIKE 'src/src/%' OR relative_path LIKE 'src/forum/%')
+@query("src03_discovered_files", """SELECT id, relative_path FROM modules WHERE (package_id IN ('de', 'fr') OR relative_path LIKE 'src/src1/%' OR relative_path LIKE 'src/src/%' OR relative_path LIKE 'src/forum/%')
     AND NOT (package_id = 'fr' AND relative_path LIKE '%/index.ts')""")
 def discovered(b: Bound) -> DataFrame:
-    """Source files below the roots that each package's tsconfig includes; without include all are, and without a tsconfig none."""
+    """Source files below the roots that each package's tsconfig includes; without include, or without a tsconfig, all are."""
     package = F.col("package_id")
     config = F.when(package == "fr", '{"exclude": ["**/index.ts"]}').when(package != "de", '// comment\n{"include": ["src/src1**/*", "./src/src/**/*.ts", "src/forum/*"], /* more */ }')
     configs = b("modules").select("package_id").distinct().withColumn("tsconfig", config)

@@ -73,7 +73,7 @@ def included(modules: DataFrame, configs: DataFrame) -> DataFrame:
     modules: package_id, relative_path; configs: package_id, tsconfig (JSON with
     comments and commas too many; null for none). A glob includes what lies
     in the folder that its part before the first star names; one that begins with **/ excludes what
-    ends in the rest. Without include everything is; without a config nothing.
+    ends in the rest. Without include, or without a config, everything is.
     """
     bare = F.regexp_replace("tsconfig", r"(?s),(?=\s*(?:/\*(?:(?!\*/).)*\*/\s*)*[}\]])", "")
     parsed = F.from_json(bare, "include array<string>, exclude array<string>", {"allowComments": "true"}).alias("c")
@@ -82,7 +82,7 @@ def included(modules: DataFrame, configs: DataFrame) -> DataFrame:
     inside = F.col("include").isNull() | F.exists("include", lambda g: (paths.glob_prefix(clean(g)) == "") | F.startswith("relative_path", F.concat(paths.glob_prefix(clean(g)), F.lit("/"))))
     ending = lambda g: g.startswith("**/") & F.endswith("relative_path", F.concat(F.lit("/"), F.substring(g, F.lit(4), F.length(g))))
     outside = F.coalesce(F.exists("exclude", ending), F.lit(False))
-    return modules.join(read, "package_id").filter(inside & ~outside).drop("include", "exclude")
+    return modules.join(read, "package_id", "left").filter(inside & ~outside).drop("include", "exclude")
 
 
 def merged_config(defaults: dict, given: dict) -> dict:
