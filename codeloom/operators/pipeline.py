@@ -9,10 +9,14 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.operators import sources_text
+from codeloom.functions import scalars
+from codeloom.operators import complexity, entities, graphs, resolve, rules, sources_text
 from codeloom.operators.graphs import topological
 
-Analyzer = Callable[[DataFrame], DataFrame]
+#: What analyzers give, by name: metrics (entity_id, metric_key, metric_value) and rows of other kinds.
+BUCKETS = ("metrics", "findings", "callEdges", "cycles", "duplications", "architecturalViolations", "moduleStats", "entityStats")
+#: From modules (doc_id, text, and relative_path where paths count) to metrics, or to frames by bucket.
+Analyzer = Callable[[DataFrame], "DataFrame | dict[str, DataFrame]"]
 
 
 def _long(df: DataFrame, id_column: str, values: dict) -> DataFrame:
@@ -21,23 +25,85 @@ def _long(df: DataFrame, id_column: str, values: dict) -> DataFrame:
     return df.select(F.col(id_column).cast("string").alias("entity_id"), pairs).select("entity_id", "m.*")
 
 
-#: Analyzers by name: what they depend on, and how they turn documents into facts.
+def _named(modules: DataFrame) -> DataFrame:
+    return modules.select(F.col("doc_id").cast("string").alias("id"), "text")
+
+
+def _complexity(modules: DataFrame) -> DataFrame:
+    found = complexity.functions(_named(modules))
+    entity = F.concat_ws(":", "module_id", "parent", "name")
+    return _long(found.withColumn("entity", entity), "entity", {f"complexity.{k}": F.col(k) for k in ("cyclomatic", "cognitive", "nesting", "lines", "params")})
+
+
+def _duplication(modules: DataFrame) -> dict[str, DataFrame]:
+    found = sources_text.clones(_named(modules), 10)
+    counts = found.groupBy("module_id").agg(F.count("*").alias("n"))
+    return {"metrics": _long(counts, "module_id", {"duplication.fragments": F.col("n")}), "duplications": found}
+
+
+def _rules(modules: DataFrame) -> dict[str, DataFrame]:
+    return {"findings": rules.run_rules({"properties": entities.properties(_named(modules))})}
+
+
+def _calls(modules: DataFrame) -> dict[str, DataFrame]:
+    named = _named(modules)
+    functions = entities.functions(named).select(F.concat_ws(":", "module_id", "name").alias("id"), "name")
+    methods = entities.methods(named).filter("parent_type = 'class'").select(F.concat_ws(":", "module_id", "parent", "name").alias("id"), "name")
+    return {"callEdges": resolve.call_graph(named, functions, methods)}
+
+
+def _imports(modules: DataFrame) -> DataFrame:
+    """The import graph of modules by their relative paths."""
+    placed = modules.select(F.col("doc_id").cast("string").alias("id"), "relative_path", F.col("doc_id").cast("string").alias("seq"))
+    imports = sources_text.imports(_named(modules)).select("module_id", "source").distinct()
+    return resolve.import_edges(imports.join(placed.select(F.col("id").alias("module_id"), F.col("relative_path").alias("from_path")), "module_id"), placed)
+
+
+def _coupling(modules: DataFrame) -> DataFrame:
+    found = graphs.degrees(modules.select(F.col("doc_id").cast("string").alias("id")), _imports(modules))
+    instability = scalars.ratio(F.col("fan_out"), F.col("fan_in") + F.col("fan_out"))
+    return _long(found, "id", {"coupling.afferent": F.col("fan_in"), "coupling.efferent": F.col("fan_out"), "coupling.instability": instability})
+
+
+def _cycles(modules: DataFrame) -> dict[str, DataFrame]:
+    return {"cycles": graphs.strongly_connected(modules.select(F.col("doc_id").cast("string").alias("id")), graphs.settled(_imports(modules)))}
+
+
+#: Analyzers by name: what they depend on, and how they turn modules into facts. Linters run elsewhere; rules.unused_code reads their reports.
 ANALYZERS: dict[str, tuple[list[str], Analyzer]] = {
     "maintainability": (["size"], lambda d: _long(d, "doc_id", {"maintainability.index": sources_text.maintainability(F.col("text"))})),
     "size": ([], lambda d: _long(d, "doc_id", {f"size.{k}": v for k, v in sources_text.sizes(F.col("text")).items()})),
     "type-safety": ([], lambda d: _long(d, "doc_id", {f"typeSafety.{k}": v for k, v in sources_text.type_safety(F.col("text")).items()})),
     "documentation": ([], lambda d: _long(d, "doc_id", {f"documentation.{k}": v for k, v in sources_text.doc_coverage(F.col("text")).items()})),
+    "complexity": ([], _complexity),
+    "duplication": ([], _duplication),
+    "legacy-rules": ([], _rules),
+    "call-graph": ([], _calls),
+    "coupling": ([], _coupling),
+    "dep-cruiser": (["coupling"], _cycles),
 }
 
 
-def run_pipeline(spark: SparkSession, docs: DataFrame, disabled: tuple[str, ...] = (), allowed: tuple[str, ...] = (), analyzers: dict[str, tuple[list[str], Analyzer]] | None = None) -> tuple[DataFrame | None, DataFrame]:
-    """All facts, and name and status of each analyzer: ok, skipped or error. One that fails leaves the others alone.
+def run_pipeline(
+    spark: SparkSession, docs: DataFrame, disabled: tuple[str, ...] = (), allowed: tuple[str, ...] = (), analyzers: dict[str, tuple[list[str], Analyzer]] | None = None
+) -> tuple[DataFrame | None, DataFrame]:
+    """The metrics of run_buckets, and the analyzers' status."""
+    buckets, status = run_buckets(spark, docs, disabled, allowed, analyzers)
+    return buckets.get("metrics"), status
+
+
+def run_buckets(
+    spark: SparkSession, docs: DataFrame, disabled: tuple[str, ...] = (), allowed: tuple[str, ...] = (), analyzers: dict[str, tuple[list[str], Analyzer]] | None = None
+) -> tuple[dict[str, DataFrame], DataFrame]:
+    """All rows by bucket, with the analyzer that gave them, and name and status of each analyzer: ok, skipped or error.
 
-    Planning errors show here; the facts themselves are computed when read.
+    One that fails leaves the others alone. Planning errors show here; the rows
+    themselves are computed when read.
     """
     analyzers = ANALYZERS if analyzers is None else analyzers
     order = topological(list(analyzers), {n: d for n, (d, _) in analyzers.items()})
-    parts, status = [], []
+    parts: dict[str, list[DataFrame]] = {}
+    status = []
     for place, name in enumerate(order):
         began = time.monotonic()
         if name in disabled or (allowed and name not in allowed):
@@ -45,10 +111,16 @@ def run_pipeline(spark: SparkSession, docs: DataFrame, disabled: tuple[str, ...]
             continue
         try:
             made = analyzers[name][1](docs)
-            made.schema  # noqa: B018  plans now
-            parts.append(made.withColumn("analyzer", F.lit(name)))
+            made = made if isinstance(made, dict) else {"metrics": made}
+            if unknown := set(made) - set(BUCKETS):
+                raise ValueError(f"unknown buckets {sorted(unknown)}")
+            told = {bucket: frame.withColumn("analyzer", F.lit(name)) for bucket, frame in made.items()}
+            for frame in told.values():
+                frame.schema  # noqa: B018  plans now
+            for bucket, frame in told.items():
+                parts.setdefault(bucket, []).append(frame)
             status.append((place, name, "ok", time.monotonic() - began))
         except Exception as error:  # noqa: BLE001  one analyzer's failure is its own
             status.append((place, name, f"error: {type(error).__name__}", time.monotonic() - began))
-    facts = reduce(DataFrame.unionByName, parts) if parts else None
-    return facts, spark.createDataFrame(status, "place int, analyzer string, status string, seconds double")
+    joined = {bucket: reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames) for bucket, frames in parts.items()}
+    return joined, spark.createDataFrame(status, "place int, analyzer string, status string, seconds double")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.operators import tables
+from codeloom.operators import entities, rules, tables
 from codeloom.plans.bindings import Bound
 from codeloom.plans.registry import query
 
@@ -77,11 +77,19 @@ def markdown(b: Bound) -> DataFrame:
     return tables.markdown(b("issues").select(F.col("rule_code").alias("kind"), "severity", F.concat(F.lit("m"), F.col("id").cast("string")).alias("entity")), most=5)
 
 
-@query("snk13_refactor_preview", "SELECT id, CASE WHEN seq % 2 = 0 THEN 'type Kind = ' || chr(39) || 'a' || chr(39) || ' | ' || chr(39) || 'b' || chr(39) || ';' || chr(10) || 'x: Kind' ELSE 'x: string' END AS preview FROM modules")
+#: A file by its module's number, in SQL that both engines read; ~ stands for the end of a line.
+_FILE = """replace(concat('interface Other {~  kind: 1 | 2;~}~', CASE WHEN seq % 2 = 0 THEN 'export ' ELSE '' END, 'interface K', seq, ' {~  size: number;~  my_kind', CASE WHEN seq % 3 = 0 THEN '?' ELSE '' END, ': "a" |  "b"',
+    repeat(' | Map<X | Y>', CAST(seq % 4 AS INT)), ';~}~const z = 1;~'), '~', chr(10))"""
+
+
+@query("snk13_refactor_preview", """SELECT id, seq % 4 > 0 AS success, CASE WHEN seq % 4 > 0 THEN replace(concat('interface Other {~  kind: 1 | 2;~}~', e, 'type K', seq, 'MyKind = "a" | "b"', repeat(' | Map<X | Y>', (seq % 4)::INT), ';~',
+      e, 'interface K', seq, ' {~  size: number;~  my_kind', CASE WHEN seq % 3 = 0 THEN '?' ELSE '' END, ': K', seq, 'MyKind;~}~const z = 1;~'), '~', chr(10)) END AS preview
+    FROM (SELECT *, CASE WHEN seq % 2 = 0 THEN 'export ' ELSE '' END AS e FROM modules)""")
 def preview(b: Bound) -> DataFrame:
-    """An inline union becomes a named type above its line; what has none is as it was."""
-    text = F.when(F.col("seq") % 2 == 0, "x: 'a' | 'b'").otherwise("x: string")
-    return b("modules").select("id", F.regexp_replace(text, r"^(\w+): ([^|]+\|.+)$", "type Kind = $2;\n$1: Kind").alias("preview"))
+    """Inline unions of three members or more, as the rule finds them, become named types above their interface; other files give an error."""
+    modules = b("modules").select("id", F.expr(_FILE).alias("text"))
+    findings = rules.run_rules({"properties": entities.properties(modules)}).select(F.col("module_id").alias("id"), "action", "context")
+    return rules.rewrite(modules.join(findings, "id", "left")).select("id", "success", F.col("transformed").alias("preview"))
 
 
 @query("snk14_insert_or_ignore", "SELECT DISTINCT src, dst FROM (SELECT src, dst FROM edges UNION ALL SELECT src, dst FROM acyclic)")

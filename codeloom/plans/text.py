@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions import paths, scalars
-from codeloom.operators import graphs, pipeline, resolve, sources_text
+from codeloom.operators import complexity as walks
+from codeloom.operators import graphs, pipeline, resolve, rules, sources_text
 from codeloom.plans.bindings import Bound
 from codeloom.plans.registry import query
 from codeloom.sources import files
@@ -151,6 +152,31 @@ def unused_code(b: Bound) -> DataFrame:
     return left.groupBy("module_id").agg(F.count("*").alias("unused"), F.max(F.col("name") == "s1").alias("dead"))
 
 
+#: An unused-code report's entry for a module by its number, in SQL that both engines read.
+_ENTRY = """concat('{"file": "x", "exports": [{"name": "e', seq, '", "line": ', seq, ', "col": 1}', repeat(', {"line": 2}', CAST(seq % 2 AS INT)), '], "types": ', CASE WHEN seq % 3 = 0 THEN '[{"name": "T"}]' ELSE '[]' END,
+    ', "unlisted": ', CASE WHEN seq % 5 = 0 THEN '[{"name": "pkg"}]' ELSE 'null' END, ', "odd": [{"name": "no"}], "files": ', CASE seq % 4 WHEN 0 THEN 'true' WHEN 1 THEN '[{"name": "f"}]' WHEN 2 THEN '[]' ELSE 'false' END, '}')"""
+
+
+def _reported(b: Bound) -> tuple[DataFrame, DataFrame]:
+    reports = b("modules").filter("seq % 7 <> 6").select(F.concat(F.lit("./"), "relative_path").alias("file"), F.expr(_ENTRY).alias("entry"))
+    strange = b("modules").filter("seq % 7 = 6").select(F.concat(F.lit("elsewhere/"), "id", F.lit(".js")).alias("file"), F.expr(_ENTRY).alias("entry"))
+    return rules.unused_code(reports.union(strange), b("modules"))
+
+
+@query("an02_report_findings", """WITH m AS (SELECT * FROM modules WHERE seq % 7 <> 6)
+    SELECT id AS module_id, 'knip.unusedExport' AS rule_code, 'warning' AS severity, 'Unused export: e' || seq AS message, seq::INT AS line FROM m UNION ALL SELECT id, 'knip.unusedExport', 'warning', 'Unused export: (anonymous)', 2 FROM m WHERE seq % 2 = 1
+    UNION ALL SELECT id, 'knip.unusedType', 'info', 'Unused type export: T', NULL FROM m WHERE seq % 3 = 0 UNION ALL SELECT id, 'knip.unlistedDependency', 'warning', 'Unlisted dependency: pkg', NULL FROM m WHERE seq % 5 = 0
+    UNION ALL SELECT id, 'knip.unusedFile', 'warning', 'Unused file: ./' || relative_path, NULL FROM m WHERE seq % 4 < 2""")
+def report_findings(b: Bound) -> DataFrame:
+    """Findings of a saved report; fields it doesn't know and files that are no module are left out."""
+    return _reported(b)[0]
+
+
+@query("an02_report_metrics", "SELECT id AS module_id, 1 + seq % 2 + (seq % 3 = 0)::BIGINT AS unused, seq % 4 < 2 AS dead FROM modules WHERE seq % 7 <> 6")
+def report_metrics(b: Bound) -> DataFrame:
+    return _reported(b)[1]
+
+
 @query("an03_lint_findings", "SELECT id, rule_code, CASE severity WHEN 'error' THEN 'error' WHEN 'warn' THEN 'warning' ELSE 'info' END AS severity FROM issues")
 def lint(b: Bound) -> DataFrame:
     return b("issues").select("id", "rule_code", scalars.severity(F.col("severity")).alias("severity"))
@@ -253,12 +279,28 @@ def maintainability(b: Bound) -> DataFrame:
     return _branchy(b).select("doc_id", sources_text.maintainability(F.col("text")).alias("mi"))
 
 
-@query("anp_pipeline", "SELECT 'documentation' AS analyzer, count(*) * 5 AS facts FROM documents UNION ALL SELECT 'maintainability', count(*) FROM documents UNION ALL SELECT 'size', count(*) * 5 FROM documents")
+#: A function by doc_id, in SQL that both engines read; every fourth document has none.
+_FUNCTIONS = """CASE WHEN doc_id % 4 = 3 THEN '' ELSE concat(' ; export async function f', doc_id, '<T>(a: Map<string, T>, b = 1', repeat(', ...c', CAST(doc_id % 2 AS INT)), '): Promise<{ x: T }> { ',
+    repeat('if (a && b) { for (const q of c) {} } else if (b || a && c) {} ', CAST(doc_id % 4 AS INT)), repeat('x = a ? 1 : "if (b)"; ', CAST(doc_id % 3 AS INT)), 'return () => { while (a) { /* if */ } } }') END"""
+
+
+@query("anp_pipeline", """SELECT 'documentation' AS analyzer, count(*) * 5 AS facts FROM documents UNION ALL SELECT 'maintainability', count(*) FROM documents UNION ALL SELECT 'size', count(*) * 5 FROM documents
+    UNION ALL SELECT 'complexity', 5 * count(*) FROM documents WHERE doc_id % 4 < 3 UNION ALL SELECT 'coupling', 3 * count(*) FROM documents""")
 def facts(b: Bound) -> DataFrame:
-    found, _ = pipeline.run_pipeline(b.spark, b("documents"), disabled=("type-safety",))
+    """Metrics of the analyzers over a function for each document; some are switched off."""
+    docs = b("documents").select("doc_id", F.expr(_FUNCTIONS).alias("text"), F.concat(F.lit("src/f"), F.col("doc_id").cast("string"), F.lit(".ts")).alias("relative_path"))
+    found, _ = pipeline.run_pipeline(b.spark, docs, disabled=("type-safety", "dep-cruiser", "call-graph", "legacy-rules", "duplication"))
     return found.groupBy("analyzer").agg(F.count("*").alias("facts"))
 
 
+@query("an07_function_complexity", """SELECT 'm' || doc_id AS module_id, 'f' || doc_id AS name, 1 + 6 * (doc_id % 4) + doc_id % 3 AS cyclomatic, 8 * (doc_id % 4) + 1 * (doc_id % 3) + 3 AS cognitive, 2 AS nesting, 1 AS lines, 2 + doc_id % 2 AS params
+    FROM documents WHERE doc_id % 4 < 3""")
+def function_complexity(b: Bound) -> DataFrame:
+    """McCabe's and cognitive complexity, nesting, lines and parameters of each named function."""
+    modules = b("documents").select(F.concat(F.lit("m"), F.col("doc_id").cast("string")).alias("id"), F.expr(_FUNCTIONS).alias("text"))
+    return walks.functions(modules).drop("parent")
+
+
 @query("fn15_union_split", f"SELECT p_partkey AS id, {_MEMBERS} AS members FROM part")
 def union_split(b: Bound) -> DataFrame:
     return _types(b)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codeloom.functions import paths, scalars
-from codeloom.operators import graphs, metrics, pipeline, resolve, sources_text, tables
+from codeloom.operators import entities, graphs, metrics, pipeline, resolve, rules, sources_text, tables
 from codeloom.sources import files
 
 
@@ -290,3 +290,74 @@ def test_ancestors_of_circles_and_long_chains(spark):
     chain = spark.createDataFrame([(k, k + 1) for k in range(70)] + [(100, 101), (101, 102), (102, 101)], "id int, parent int")
     got = {(r.id, r.ancestor): r.distance for r in graphs.ancestors(chain).collect()}
     assert got[0, 70] == 70 and got[100, 102] == 2 and len(got) == 70 * 71 // 2 + 2 + 4
+
+
+def test_function_complexity():
+    """Cyclomatic, cognitive, nesting, lines and parameters by hand."""
+    from codeloom.operators.complexity import Walk
+
+    told = lambda text: {(f"{r[1]}." if r[1] else "") + r[0]: r[2:] for r in Walk.of(text).run()}
+    assert told("function f(a, b) { if (a && b) { for (;;) { x = 1; } } else if (c) { y(); } return a ? 1 : b ? 2 : 3; }") == {"f": (7, 9, 2, 1, 2)}
+    assert told("const g = async (x?: number, {y}: O = {}) => {\n while (x) { try { go(); } catch (e) { break outer; } } };") == {"g": (3, 4, 2, 2, 2)}
+    assert told("export function h<T>(z: T[]): Map<string, T> { switch (z) { case 1: return 1; case 2: { if (q) r(); } default: return () => { do { t() } while (a || b && c || d) } } }") == {"h": (4, 10, 3, 1, 1)}
+    members = """class K<T> extends B {
+      readonly f = (a) => a ?? 1;
+      get v(): number { return this.n > 1 ? 1 : 2 }
+      async load(a: string, b?: Map<string, number>): Promise<{ a: number }> {
+        const z = items.map((i) => { if (i) { return 1 } return 2 })
+        for await (const q of a) { if (q) continue }
+        return { m(p) { while (p) {} }, k: a || b }
+      }
+    }
+    interface J { a(): void; b?: number }
+    function last() { return `${a ? 1 : 2}` } // if (x) {}"""
+    assert told(members) == {"K.f": (2, 1, 0, 1, 1), "K.v": (2, 1, 1, 1, 0), "K.load": (4, 10, 2, 5, 2), "m": (2, 1, 1, 1, 1), "last": (1, 0, 0, 1, 0)}
+    assert told("}}} ) ] function ok() { if (a) b }") == {"ok": (2, 1, 1, 1, 0)} and told("function bad( { if (") == {} and told("(" * 5000) == {} and told("") == {}
+
+
+def test_rules_and_transforms(spark):
+    text = "export class K {\n  private mode: 'a' | 'b' | null = null;\n  other: A | B;\n}\nclass L {\n  mode: 'a' | 'b' | 'c';\n}\n"
+    modules = spark.createDataFrame([("m", text)], "id string, text string")
+    found = rules.run_rules({"properties": entities.properties(modules)})
+    assert sorted((r.entity_name, r.suggestion) for r in found.collect()) == [("mode", "Extract to type alias 'KMode'"), ("mode", "Extract to type alias 'LMode'")]
+    asked = found.select(F.lit(text).alias("text"), "action", "context").union(spark.createDataFrame([(text, "odd", "{}"), (text, "extract-type-union", "{}"), (text, None, None)], "text string, action string, context string"))
+    got = {(r.action, r.context): r for r in rules.rewrite(asked).collect()}
+    assert [r.error for r in got.values() if not r.success] == ["unknown action odd", "the transform does not apply", "unknown action null"]
+    made = sorted(r.transformed for r in got.values() if r.success)
+    assert made[0] == "export class K {\n  private mode: 'a' | 'b' | null = null;\n  other: A | B;\n}\ntype LMode = 'a' | 'b' | 'c';\nclass L {\n  mode: LMode;\n}\n"
+    assert made[1] == "export type KMode = 'a' | 'b' | null;\nexport class K {\n  private mode: KMode = null;\n  other: A | B;\n}\nclass L {\n  mode: 'a' | 'b' | 'c';\n}\n"
+
+
+def test_adapter_and_command_line(spark, tmp_path):
+    from codeloom.__main__ import main
+    from codeloom.sources.adapter import FolderAdapter
+
+    spark.createDataFrame([(1, "a"), (2, "b")], "id int, name string").write.parquet(f"{tmp_path}/t.parquet")
+    adapter = FolderAdapter(spark, str(tmp_path), ["t"])
+    with pytest.raises(RuntimeError):
+        adapter.query("SELECT * FROM {t}")
+    adapter.init()
+    assert adapter.query("SELECT name FROM {t} WHERE id = :id", {"id": 2}).first().name == "b" and adapter.path() == str(tmp_path)
+
+    def failing(frames):
+        frames["t"] = frames["t"].filter("id = 1")
+        raise KeyError("no")
+
+    with pytest.raises(KeyError):
+        adapter.transaction(failing)
+    assert adapter.query("SELECT count(*) AS n FROM {t}").first().n == 2
+    adapter.transaction(lambda frames: frames.update(t=frames["t"].filter("id = 1")))
+    adapter.init()
+    assert adapter.query("SELECT count(*) AS n FROM {t}").first().n == 1
+    source = tmp_path / "project" / "src"
+    source.mkdir(parents=True)
+    (source / "a.ts").write_text('import { b } from "./b";\nexport function a(x) { if (x) { return b(x); } }\n')
+    (source / "b.ts").write_text('import { a } from "./a";\nexport function b(x) { return a(x); }\n')
+    (tmp_path / "project" / "node_modules").mkdir()
+    (tmp_path / "project" / "node_modules" / "c.ts").write_text("export const c = 1;\n")
+    main(["analyze", str(tmp_path / "project"), "-o", str(tmp_path / "out"), "--disable", "duplication"], spark)
+    read = lambda name: spark.read.parquet(f"{tmp_path}/out/{name}.parquet")
+    assert {r.relative_path for r in read("modules").collect()} == {"src/a.ts", "src/b.ts"}
+    assert {r.id for r in read("cycles").collect()} == {"src/a.ts", "src/b.ts"} and {r.status for r in read("status").collect()} == {"ok", "skipped"}
+    assert {(r.module_id, r.name, r.status) for r in read("callEdges").collect()} == {("src/a.ts", "b", "resolved"), ("src/b.ts", "a", "resolved")}
+    assert read("metrics").filter("metric_key = 'complexity.cyclomatic' and entity_id = 'src/a.ts:a'").first().metric_value == 2
