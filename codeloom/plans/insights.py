@@ -268,7 +268,7 @@ def summary(found: DataFrame) -> DataFrame:
     return found.agg(count("critical").alias("critical"), count("warning").alias("warning"), count("info").alias("info")).withColumn("health", F.greatest(F.lit(0), 100 - 5 * F.col("critical") - 2 * F.col("warning")).cast("long"))
 
 
-def _report_sql() -> str:
+def report_sql() -> str:
     """The insights' own twins, put together."""
     parts = []
     for kind, (_, name, each) in REPORT.items():
@@ -281,13 +281,13 @@ def _report_sql() -> str:
     return " UNION ALL ".join(parts)
 
 
-@query("insr_report", _report_sql())
+@query("insr_report", report_sql())
 def report(b: Bound) -> DataFrame:
     """All twenty insights."""
     return insights(b)
 
 
-@query("insr_report_summary", f"""WITH i AS ({_report_sql()})
+@query("insr_report_summary", f"""WITH i AS ({report_sql()})
     SELECT count(*) FILTER (severity = 'critical') AS critical, count(*) FILTER (severity = 'warning') AS warning, count(*) FILTER (severity = 'info') AS info,
            greatest(0, 100 - 5 * count(*) FILTER (severity = 'critical') - 2 * count(*) FILTER (severity = 'warning'))::BIGINT AS health FROM i""")
 def report_summary(b: Bound) -> DataFrame:

@@ -361,3 +361,23 @@ def test_adapter_and_command_line(spark, tmp_path):
     assert {r.id for r in read("cycles").collect()} == {"src/a.ts", "src/b.ts"} and {r.status for r in read("status").collect()} == {"ok", "skipped"}
     assert {(r.module_id, r.name, r.status) for r in read("callEdges").collect()} == {("src/a.ts", "b", "resolved"), ("src/b.ts", "a", "resolved")}
     assert read("metrics").filter("metric_key = 'complexity.cyclomatic' and entity_id = 'src/a.ts:a'").first().metric_value == 2
+
+
+def test_fetch_cache(spark):
+    from codeloom.sources.cache import FetchCache
+
+    now, asked = [0.0], []
+    held = FetchCache(300, lambda: now[0])
+
+    def route(n):
+        asked.append(n)
+        if n == 1:
+            raise OSError("gone")
+        return spark.range(n)
+
+    first = held.fetch("k", lambda: route(1), lambda: route(2))
+    assert first.count() == 2 and held.fetch("k", lambda: route(3)) is first and asked == [1, 2]
+    now[0] = 301.0
+    assert held.fetch("k", lambda: route(3)).count() == 3
+    with pytest.raises(OSError, match="gone"):
+        held.fetch("other", lambda: route(1))
