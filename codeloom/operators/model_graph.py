@@ -123,3 +123,53 @@ def drilldown(edges: DataFrame, parents: DataFrame, focus: str) -> DataFrame:
     uses = edges.filter("kind = 'uses'")
     ends = [uses.join(inside.select(F.col("id").alias(c)), c, "left_semi").select("src", "dst", "kind") for c in ("src", "dst")]
     return held.select("src", "dst", "kind").union(ends[0].union(ends[1]).distinct())
+
+
+def overview_edges(nodes: DataFrame, edges: DataFrame, collapsed: DataFrame, enabled: tuple[str, ...], at_least: int = 50) -> DataFrame:
+    """src, dst, kind, kinds, n and hidden of what the overview draws.
+
+    nodes: id, folder (or null), test; edges: src, dst, kind; collapsed: folder.
+    Tests and their edges go; edges between folders become trunks with stubs;
+    what lies in a collapsed folder goes to it; contains, uses and the enabled
+    kinds are visible; edges of one pair are bundled, if there are so many.
+    """
+    left = nodes.filter(~F.coalesce("test", F.lit(False)))
+    ends = left.select("id")
+    kept = edges.join(ends.withColumnRenamed("id", "src"), "src", "left_semi").join(ends.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst", "kind")
+    lifted = graphs.lift(kept, left.select("id", "folder"))
+    folder = F.concat(F.lit("folder:"), F.col("folder").cast("string"))
+    parents = left.select(F.col("id").cast("string").alias("id"), folder.alias("parent"))
+    drawn = graphs.collapse(lifted.select("src", "dst", "kind"), parents, collapsed.select(folder.alias("id")))[0]
+    seen = F.col("kind").isNull() | F.col("kind").isin("contains", "uses", *enabled)
+    told = drawn.withColumn("hidden", ~seen)
+    bundled = graphs.bundle(told, at_least)
+    visible = told.groupBy("src", "dst").agg(F.min("hidden").alias("all_hidden"))
+    own = ~(F.col("kind").isNull() | F.col("kind").isin("contains", "uses", *enabled))
+    return bundled.join(visible, ["src", "dst"]).withColumn("hidden", F.when(F.size("kinds") > 1, F.col("all_hidden")).otherwise(own)).drop("all_hidden")
+
+
+def overview_nodes(nodes: DataFrame, edges: DataFrame, drawn: DataFrame, collapsed: DataFrame) -> DataFrame:
+    """id, weight, layer, place, hidden and orphan of the overview's nodes and folders; nodes and edges as for overview_edges.
+
+    Layers, weights and places are those of the graph without back edges. A
+    folder has its nodes' greatest weight and mean place, and its layer among the
+    folders. Nodes of collapsed folders are hidden; orphan tells that no drawn
+    edge ends there.
+    """
+    left = graphs.settled(nodes.filter(~F.coalesce("test", F.lit(False))).select("id", "folder"))
+    ends = left.select("id")
+    kept = graphs.settled(edges.select("src", "dst").distinct().join(ends.withColumnRenamed("id", "src"), "src", "left_semi").join(ends.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst"))
+    straight = graphs.settled(kept.join(graphs.back_edges(left, kept), ["src", "dst"], "left_anti"))
+    placed = graphs.order_layers(graphs.layers(left, straight), straight).join(graphs.weighted_depth(left, straight).select("id", "weight"), "id").join(left, "id")
+    name = F.concat(F.lit("folder:"), F.col("folder").cast("string"))
+    end = lambda c, to: left.select(F.col("id").alias(c), F.col("folder").alias(to))
+    trunks = graphs.settled(kept.join(end("src", "a"), "src").join(end("dst", "z"), "dst").filter("a <> z").select(F.col("a").alias("src"), F.col("z").alias("dst")).distinct())
+    folders = left.filter("folder is not null").select(F.col("folder").alias("id")).distinct()
+    order = trunks.join(graphs.back_edges(folders, trunks), ["src", "dst"], "left_anti")
+    above = graphs.layers(folders, graphs.settled(order)).select(F.col("id").alias("folder"), F.col("layer").cast("long").alias("layer"))
+    rolled = placed.filter("folder is not null").groupBy("folder").agg(F.max("weight").alias("weight"), F.avg("place").alias("place")).join(above, "folder")
+    shut = left.join(collapsed.select("folder"), "folder", "left_semi").select("id").withColumn("shut", F.lit(True))
+    own = placed.join(shut, "id", "left").select(F.col("id").cast("string").alias("id"), "weight", F.col("layer").cast("long").alias("layer"), F.col("place").cast("double").alias("place"), F.col("shut").isNotNull().alias("hidden"))
+    every = own.union(rolled.select(name, "weight", "layer", "place", F.lit(False)))
+    ended = drawn.select(F.explode(F.array("src", "dst")).alias("id")).distinct().withColumn("ended", F.lit(True))
+    return every.join(ended, "id", "left").select("id", "weight", "layer", "place", "hidden", F.col("ended").isNull().alias("orphan"))

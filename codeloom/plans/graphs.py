@@ -304,18 +304,30 @@ def layout(b: Bound) -> DataFrame:
     return graphs.coordinates(placed)
 
 
+def _viewed(b: Bound) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    nodes = b("nodes").select("id", F.nullif("folder", F.lit(4)).alias("folder"), (F.col("id") % 4 == 0).alias("test"))
+    edges, collapsed = b("view_edges").select("src", "dst", "kind"), b.spark.createDataFrame([(2,)], "folder int")
+    return nodes, edges, collapsed, model_graph.overview_edges(nodes, edges, collapsed, ("import",), 30)
+
+
+@query("gr27_overview_edges", """WITH v AS (SELECT id, nullif(folder, 4) AS f FROM nodes WHERE id % 4 <> 0), p AS (SELECT e.src, e.dst, e.kind, a.f, z.f AS t FROM view_edges e JOIN v a ON a.id = e.src JOIN v z ON z.id = e.dst),
+    l AS (SELECT src::VARCHAR AS src, dst::VARCHAR AS dst, kind FROM p WHERE f IS NOT DISTINCT FROM t UNION ALL SELECT coalesce('folder:' || f, src::VARCHAR), coalesce('folder:' || t, dst::VARCHAR), kind FROM p WHERE f IS DISTINCT FROM t
+      UNION ALL SELECT src::VARCHAR, 'folder:' || f, kind FROM p WHERE f IS DISTINCT FROM t AND f IS NOT NULL UNION ALL SELECT 'folder:' || t, dst::VARCHAR, kind FROM p WHERE f IS DISTINCT FROM t AND t IS NOT NULL),
+    c AS (SELECT DISTINCT CASE WHEN src IN (SELECT id::VARCHAR FROM v WHERE f = 2) THEN 'folder:2' ELSE src END AS src, CASE WHEN dst IN (SELECT id::VARCHAR FROM v WHERE f = 2) THEN 'folder:2' ELSE dst END AS dst, kind FROM l),
+    d AS (SELECT *, kind NOT IN ('contains', 'uses', 'import') AS hidden, CASE WHEN kind IN ('contains', 'uses') THEN 5 WHEN kind = 'extends' THEN 4 WHEN kind = 'implements' THEN 3 ELSE 1 END AS priority FROM c WHERE src <> dst),
+    r AS (SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY hidden, priority DESC, kind) AS place FROM d),
+    g AS (SELECT src, dst, max(kind) FILTER (place = 1) AS kind, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds, count(*) AS n, bool_and(hidden) AS hidden FROM r GROUP BY src, dst)
+    SELECT * FROM g WHERE (SELECT count(*) FROM d) >= 30 UNION ALL SELECT src, dst, kind, kind, 1, hidden FROM d WHERE (SELECT count(*) FROM d) < 30""")
+def overview_edges(b: Bound) -> DataFrame:
+    """What the overview draws: without tests, lifted to folders, folder 2 collapsed, hidden kinds marked, bundled."""
+    return _viewed(b)[3].withColumn("kinds", F.array_join("kinds", ","))
+
+
 @query("gr27_overview")
 def overview(b: Bound) -> DataFrame:
-    """The whole projection: edges without cycles, layers, weights and order, folders' means, lifted and bundled edges, flags."""
-    nodes, edges = b("nodes"), graphs.settled(b("edges"))
-    straight = graphs.settled(edges.join(graphs.back_edges(nodes, edges), ["src", "dst"], "left_anti"))
-    placed = graphs.order_layers(graphs.layers(nodes, straight), straight).join(graphs.weighted_depth(nodes, straight), "id")
-    lifted = graphs.lift(b("view_edges").select("src", "dst", "kind"), nodes.select("id", "folder"))
-    ends = graphs.bundle(lifted.withColumn("hidden", F.lit(False)), 50).select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count("*").alias("edges"))
-    folder = placed.join(nodes.select("id", "folder"), "id").groupBy("folder").agg(F.max("weight").alias("weight"), F.floor(F.avg("layer") + 0.5).alias("layer"), F.avg("place").alias("place"))
-    own = placed.select(F.col("id").cast("string").alias("id"), "weight", F.col("layer").cast("long").alias("layer"), F.col("place").cast("double").alias("place"))
-    every = own.union(folder.select(F.concat(F.lit("folder:"), F.col("folder").cast("string")), "weight", "layer", "place"))
-    return every.join(ends, "id", "left").select("id", "weight", "layer", "place", F.coalesce("edges", F.lit(0)).alias("edges"), F.col("edges").isNull().alias("orphan"))
+    """The overview's nodes and folders: layers, weights, places, what a collapsed folder hides and what no edge touches."""
+    nodes, edges, collapsed, drawn = _viewed(b)
+    return model_graph.overview_nodes(nodes, edges, drawn, collapsed)
 
 
 @query("gr_supplier_components", """WITH RECURSIVE e AS (SELECT a.l_suppkey AS src, z.l_suppkey AS dst FROM lineitem a JOIN lineitem z ON z.l_orderkey = a.l_orderkey AND z.l_linenumber = a.l_linenumber + 1 WHERE a.l_suppkey <> z.l_suppkey GROUP BY ALL HAVING count(*) * 7500 >= (SELECT count(*) FROM lineitem)),

@@ -381,3 +381,23 @@ def test_fetch_cache(spark):
     assert held.fetch("k", lambda: route(3)).count() == 3
     with pytest.raises(OSError, match="gone"):
         held.fetch("other", lambda: route(1))
+
+
+def test_overview(spark):
+    """Folders a and b, a test, a cycle, a collapsed folder: each step's part is visible in the result."""
+    from codeloom.operators import model_graph
+
+    nodes = spark.createDataFrame([("x", "a", False), ("y", "a", False), ("z", "b", False), ("w", "b", False), ("t", "a", True), ("free", None, False)], "id string, folder string, test boolean")
+    edges = spark.createDataFrame([("x", "y", "import"), ("y", "x", "import"), ("x", "z", "import"), ("x", "z", "extends"), ("z", "w", "uses"), ("t", "x", "import")], "src string, dst string, kind string")
+    shut = spark.createDataFrame([("b",)], "folder string")
+    drawn = model_graph.overview_edges(nodes, edges, shut, ("import",), 1)
+    got = {(r.src, r.dst): (r.kind, tuple(r.kinds), r.n, r.hidden) for r in drawn.collect()}
+    assert got == {
+        ("x", "y"): ("import", ("import",), 1, False), ("y", "x"): ("import", ("import",), 1, False),
+        ("folder:a", "folder:b"): ("import", ("extends", "import"), 2, False), ("x", "folder:a"): ("import", ("extends", "import"), 2, False),
+    }
+    found = {r.id: r for r in model_graph.overview_nodes(nodes, edges, drawn, shut).collect()}
+    assert set(found) == {"x", "y", "z", "w", "free", "folder:a", "folder:b"}
+    assert {k for k, r in found.items() if r.hidden} == {"z", "w"} and {k for k, r in found.items() if r.orphan} == {"z", "w", "free"}
+    assert [found[k].layer for k in ("w", "z", "free", "folder:b", "folder:a")] == [0, 1, 0, 0, 1] and found["x"].layer != found["y"].layer
+    assert found["folder:a"].weight == max(found["x"].weight, found["y"].weight) > found["z"].weight
