@@ -36,7 +36,7 @@ def _complexity(modules: DataFrame) -> DataFrame:
 
 
 def _duplication(modules: DataFrame) -> dict[str, DataFrame]:
-    found = sources_text.clones(_named(modules), 10)
+    found = sources_text.clones(_named(modules))
     counts = found.groupBy("module_id").agg(F.count("*").alias("n"))
     return {"metrics": _long(counts, "module_id", {"duplication.fragments": F.col("n")}), "duplications": found}
 

@@ -142,20 +142,22 @@ def doc_coverage(text: Column) -> dict[str, Column]:
 
 
 def _runs(size: int) -> str:
-    return "array<struct<" + ",".join(f"l{k}:struct<line:string,at:int>" for k in range(size)) + ">>"
+    return "array<struct<" + ",".join(f"l{k}:struct<line:string,at:int,n:int>" for k in range(size)) + ">>"
 
 
-def clones(modules: DataFrame, size: int = 3, least: int = 20) -> DataFrame:
-    """fragment, module_id, start_line of runs of `size` long lines that stand in two places or more.
+def clones(modules: DataFrame, size: int = 10, tokens: int = 70) -> DataFrame:
+    """fragment, module_id, start_line and places of runs of `size` lines, `tokens` tokens together at least, that stand in two places or more.
 
-    Lines are shingled within a module and grouped by hash: a fragment's places
-    are counted, never paired.
+    Blank lines don't count, nor does space at a line's ends. Lines are shingled
+    within a module and grouped by hash: a fragment's places are counted, never
+    paired.
     """
-    kept = F.filter(F.transform(lines(F.col("text")), lambda x, k: F.struct(F.trim(x).alias("line"), (k + 1).alias("at"))), lambda x: F.length(x["line"]) > least)
+    kept = F.filter(F.transform(lines(F.col("text")), lambda x, k: F.struct(F.trim(x).alias("line"), (k + 1).alias("at"), F.regexp_count(x, F.lit(r"\w+|[^\s\w]")).alias("n"))), lambda x: F.length(x["line"]) > 0)
     # The lists of first, second, ... lines of all runs lie side by side, so each line is touched once for each place.
     beside = F.arrays_zip(*(F.slice("kept", F.lit(k + 1), F.greatest(F.size("kept") - size + 1, F.lit(0))).alias(f"l{k}") for k in range(size)))
     text = lambda x: F.concat_ws("\n", *(x[f"l{k}"]["line"] for k in range(size)))
-    shingled = F.transform("runs", lambda x: F.struct(F.sha1(text(x)).alias("fragment"), x["l0"]["at"].alias("start_line")))
+    enough = lambda x: sum((x[f"l{k}"]["n"] for k in range(1, size)), x["l0"]["n"]) >= tokens
+    shingled = F.transform(F.filter("runs", enough), lambda x: F.struct(F.sha1(text(x)).alias("fragment"), x["l0"]["at"].alias("start_line")))
     modules = modules.select("id", kept.alias("kept")).select("id", beside.cast(_runs(size)).alias("runs"))
     placed = modules.select(F.col("id").alias("module_id"), F.explode(shingled).alias("s")).select("s.fragment", "module_id", "s.start_line")
     several = placed.groupBy("fragment").agg(F.count("*").alias("places")).filter("places > 1")

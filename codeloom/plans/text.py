@@ -190,13 +190,24 @@ def architecture(b: Bound) -> DataFrame:
     return b("edges").join(layer("src", "from_layer"), "src").join(layer("dst", "to_layer"), "dst").join(F.broadcast(rules), ["from_layer", "to_layer"], "left_semi").select("src", "dst", "from_layer", "to_layer")
 
 
-@query("an05_duplication", """WITH l AS (SELECT 'm' || doc_id AS id, list_filter(list_transform(string_split(text, chr(10)), lambda x, k: {'line': trim(x), 'at': k}), lambda x: length(x.line) > 20) AS ls FROM documents),
-    s AS (SELECT id, unnest(generate_series(1, len(ls) - 2)) AS k, ls FROM l WHERE len(ls) >= 3), f AS (SELECT sha1(ls[k].line || chr(10) || ls[k + 1].line || chr(10) || ls[k + 2].line) AS fragment, id AS module_id, ls[k].at AS start_line FROM s)
+@query("an05_duplication", r"""WITH l AS (SELECT 'm' || doc_id AS id, list_filter(list_transform(string_split(text, chr(10)), lambda x, k: {'line': trim(x), 'at': k, 'n': len(regexp_extract_all(x, '\w+|[^\s\w]'))}), lambda x: length(x.line) > 0) AS ls FROM documents),
+    s AS (SELECT id, unnest(generate_series(1, len(ls) - 9)) AS k, ls FROM l WHERE len(ls) >= 10),
+    f AS (SELECT sha1(array_to_string(list_transform(ls[k:k + 9], lambda x: x.line), chr(10))) AS fragment, id AS module_id, ls[k].at AS start_line FROM s WHERE list_sum(list_transform(ls[k:k + 9], lambda x: x.n)) >= 70)
     SELECT fragment, module_id, start_line, count(*) OVER (PARTITION BY fragment) AS places FROM f QUALIFY places > 1""")
 def duplication(b: Bound) -> DataFrame:
+    """Runs of ten lines with seventy tokens that come again."""
     return sources_text.clones(b("documents").select(F.concat(F.lit("m"), F.col("doc_id").cast("string")).alias("id"), "text"))
 
 
+@query("an04_cycles", """WITH RECURSIVE reach AS (SELECT src, dst FROM edges UNION SELECT r.src, e.dst FROM reach r JOIN edges e ON e.src = r.dst),
+    m AS (SELECT a.src AS id, least(a.src, min(a.dst)) AS component FROM reach a JOIN reach z ON z.src = a.dst AND z.dst = a.src WHERE a.src <> a.dst GROUP BY a.src)
+    SELECT component AS cycle, '[' || string_agg(id::VARCHAR, ',' ORDER BY id) || ']' AS participants_json, count(*) AS length FROM m GROUP BY component""")
+def cycles(b: Bound) -> DataFrame:
+    """Import cycles with those that take part, as they are stored."""
+    found = graphs.strongly_connected(b("nodes"), b("edges"))
+    return found.groupBy(F.col("component").alias("cycle")).agg(F.to_json(F.sort_array(F.collect_list("id"))).alias("participants_json"), F.count("*").alias("length"))
+
+
 _TYPE = """CASE p_size % 5 WHEN 0 THEN 'A<B | C> | ''x|y'' | { a: 1 | 2 } | (() => void)' WHEN 1 THEN 'A | B' WHEN 2 THEN concat('A | ', repeat('(a | ', p_size), 'z', repeat(')', p_size), ' | [x | y]')
     WHEN 3 THEN concat('| X', repeat(' | \"q|\"', p_size)) ELSE 'Map<string, Array<A | B>>' END"""
 _MEMBERS = "CASE p_size % 5 WHEN 0 THEN 4 WHEN 1 THEN 2 WHEN 2 THEN 3 WHEN 3 THEN 1 + p_size ELSE 1 END"

@@ -151,7 +151,12 @@ def test_type_safety_counts(spark):
 def test_clones_are_counted_in_places(spark):
     block = "\n".join(f"a line that is long enough number {k}" for k in range(3))
     df = spark.createDataFrame([("x", block), ("y", "other\n" + block), ("z", "short")], "id string, text string")
-    assert {(r.module_id, r.start_line, r.places) for r in sources_text.clones(df).collect()} == {("x", 1, 2), ("y", 2, 2)}
+    assert {(r.module_id, r.start_line, r.places) for r in sources_text.clones(df, 3, 20).collect()} == {("x", 1, 2), ("y", 2, 2)}
+    assert sources_text.clones(df).count() == 0
+    long = "\n\n".join(f"  a line of seven tokens or so {k}" for k in range(11))
+    thin = "\n".join(f"x{k}" for k in range(30))  # fewer than 70 tokens in ten lines
+    df = spark.createDataFrame([("x", long), ("y", long.replace("  a", "a")), ("z", thin), ("w", thin)], "id string, text string")
+    assert {(r.module_id, r.start_line) for r in sources_text.clones(df).collect()} == {("x", 1), ("x", 3), ("y", 1), ("y", 3)}
 
 
 def test_paths(spark):
