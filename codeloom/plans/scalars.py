@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.functions import paths, scalars
+from codeloom.functions import layout, paths, scalars
 from codeloom.plans.bindings import Bound
 from codeloom.plans.registry import query
 
@@ -97,6 +97,15 @@ def strip_colon(b: Bound) -> DataFrame:
     return b("modules").select("id", scalars.without_leading_colon(F.concat(F.lit(":  "), "name")).alias("name"))
 
 
+@query("fn16_object_layout", """SELECT id, CASE seq % 4 WHEN 0 THEN replace('{~   a: ' || seq || ';~   b: {~     c: string, d: [x, y] ~  } ~}', '~', chr(10)) WHEN 1 THEN replace('{~  x' || seq || ': Map<a, b>,~   y: "};" | z ~}', '~', chr(10))
+    WHEN 2 THEN '{' || chr(10) || '}' END AS layout FROM modules""")
+def object_layout(b: Bound) -> DataFrame:
+    """Objects in objects, commas of types, quoted braces, an empty object, and a text that is no object."""
+    n, k = F.col("seq").cast("string"), F.col("seq") % 4
+    text = F.when(k == 0, F.concat(F.lit(" { a: "), n, F.lit("; b: { c: string, d: [x, y] } }"))).when(k == 1, F.concat(F.lit("{x"), n, F.lit(': Map<a, b>, y: "};" | z }'))).when(k == 2, "{}").otherwise("{ a } | { b")
+    return b("modules").select("id", layout.object_layout(b.spark, text).alias("layout"))
+
+
 @query("fn17_rolling_hash", """WITH t AS (SELECT id, CASE WHEN seq % 3 = 0 THEN relative_path || chr(128512) || 'é' ELSE relative_path END AS s FROM modules),
     u AS (SELECT id, flatten(list_transform(string_split(s, ''), lambda c: CASE WHEN ord(c) < 65536 THEN [ord(c)::BIGINT] ELSE [(55296 + (ord(c) - 65536) // 1024)::BIGINT, (56320 + (ord(c) - 65536) % 1024)::BIGINT] END)) AS units FROM t)
     SELECT id, list_reduce(units, lambda h, c: (h * 31 + c) % 4294967296, 0::BIGINT) AS hash FROM u""")
