@@ -75,14 +75,18 @@ ORACLES: dict[str, str] = {
                  regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(bare, '^([^/?]*)', 1)), '^[^@]*@', ''), ':(80|443)$', ''), '^www\.', '') AS host,
                  regexp_replace(regexp_replace(regexp_replace(bare, '^[^/?]*', ''), '\?.*$', ''), '/+$', '') AS path,
                  list_sort(list_filter(string_split(regexp_extract(bare, '\?(.*)$', 1), '&'), lambda p: p <> '' AND NOT starts_with(lower(p), 'utm_'))) AS q FROM u),
-    k AS (SELECT page_id, html, host || path || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS url_key FROM v),
-    r AS (SELECT url_key, page_id AS at, page_id * 2 AS id, '"' || md5(html) || '"' AS tag, html FROM k),
-    x AS (SELECT page_id * 2 + 1 AS record_id, url_key, page_id + 1000 AS ts, '"' || md5(html) || '"' AS tag FROM k),
-    m AS (SELECT x.*, r.id, r.tag AS stored, r.html FROM x ASOF LEFT JOIN r ON x.url_key = r.url_key AND x.ts > r.at),
-    o AS (SELECT *, CASE WHEN id IS NULL THEN 'no_response' WHEN tag = stored THEN 'resolved' ELSE 'etag_differs' END AS outcome FROM m)
+    k AS (SELECT page_id, html, host || path || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS url_key, page_id % 4 AS kind, '"' || md5(html) || '"' AS tag FROM v),
+    r AS (SELECT url_key, page_id AS at, page_id * 2 AS id, CASE WHEN kind = 0 THEN tag END AS tag, CASE WHEN kind < 2 THEN 'second ' || (page_id - 5) END AS modified, CASE WHEN kind <> 3 THEN sha1(html) END AS digest FROM k WHERE page_id % 11 <> 0),
+    x AS (SELECT page_id * 2 + 1 AS record_id, url_key, page_id + 1000 AS ts, CASE WHEN kind = 0 THEN tag END AS new_tag, CASE WHEN kind < 2 THEN CASE WHEN page_id % 8 < 4 THEN 'second ' || (page_id - 5) ELSE 'second 0' END END AS new_modified,
+                 CASE WHEN kind = 2 THEN sha1(html) END AS new_digest FROM k),
+    m AS (SELECT x.*, r.id, r.tag, r.modified, r.digest FROM x ASOF LEFT JOIN r ON x.url_key = r.url_key AND x.ts > r.at),
+    o AS (SELECT *, CASE WHEN id IS NULL THEN 'no_response' WHEN tag IS NOT NULL AND new_tag IS NOT NULL THEN CASE WHEN tag = new_tag THEN 'resolved' ELSE 'etag_differs' END
+                 WHEN modified IS NOT NULL AND new_modified IS NOT NULL THEN CASE WHEN modified = new_modified THEN 'resolved' ELSE 'last_modified_differs' END
+                 WHEN digest IS NOT NULL AND new_digest IS NOT NULL THEN CASE WHEN digest = new_digest THEN 'resolved' ELSE 'digest_differs' END ELSE 'no_validator' END AS outcome FROM m)
     SELECT record_id, url_key, ts, CASE WHEN outcome = 'resolved' THEN id END AS referent_id, outcome,
-           CASE WHEN outcome = 'resolved' THEN 'content-type: text/html' || chr(10) || 'date: second ' || ts || chr(10) || 'etag: W/' || tag END AS headers,
-           CASE WHEN outcome = 'resolved' THEN sha1(html) END AS payload_digest FROM o
+           CASE WHEN outcome = 'resolved' THEN 'content-type: text/html' || chr(10) || 'date: second ' || ts || coalesce(chr(10) || 'etag: ' || coalesce('W/' || new_tag, tag), '')
+             || coalesce(chr(10) || 'last-modified: ' || coalesce(new_modified, modified), '') END AS headers,
+           CASE WHEN outcome = 'resolved' THEN digest END AS payload_digest FROM o
     """,
     "op2_source_mixing": rf"""
     WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, {_WORDS})), 0)::BIGINT AS size FROM documents),

@@ -124,21 +124,33 @@ def resolve(records: DataFrame, parts: int | None = None) -> DataFrame:
 
 
 def captures_of(pages: DataFrame, later: int = 1000) -> DataFrame:
-    """Captures that stand for a table of pages: each page's full response, and a revisit of it `later` seconds on.
-
-    Page page_id is captured at second page_id, with the digest of its html as
-    entity tag. Its revisit names the same tag, a new date and another content
-    type, which must not win.
+    """Captures that stand for a table of pages: each page's response, and a revisit of it `later` seconds on.
+
+    Page page_id is captured at second page_id; every eleventh is not found.
+    Pages differ, by page_id modulo 4, in the validators that response and
+    revisit have: a tag (the digest of the html) and a date of modification, the
+    date alone, the payload digest alone, none. The revisit of every second page
+    with a date names another one. Each revisit has a new date and another
+    content type, which must not win.
     """
+    kind, second = F.col("page_id") % 4, lambda c: F.concat(F.lit("second "), c.cast("string"))
     tag = F.concat(F.lit('"'), F.md5("html"), F.lit('"'))
-    at = lambda shift: F.concat(F.lit("second "), (F.col("page_id") + shift).cast("string"))
-    pair = lambda *kv: F.map_from_arrays(F.array(*map(F.lit, kv[::2])), F.array(*kv[1::2]))
+
+    def headers(**values: Column) -> Column:
+        entries = F.array(*(F.struct(F.lit(k.replace("_", "-")).alias("key"), v.alias("value")) for k, v in values.items()))
+        return F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull()))
+
+    digest = F.when(kind != 3, F.sha1("html"))
     response = pages.select(
-        (F.col("page_id") * 2).alias("record_id"), "url", F.col("page_id").alias("ts"), F.lit("response").alias("kind"), F.lit(200).alias("status"),
-        pair("ETag", tag, "Content-Type", F.lit("text/html"), "Date", at(0)).alias("headers"), F.sha1("html").alias("payload_digest"),
+        (F.col("page_id") * 2).alias("record_id"), "url", F.col("page_id").alias("ts"), F.lit("response").alias("kind"), F.when(F.col("page_id") % 11 == 0, 404).otherwise(200).alias("status"),
+        headers(ETag=F.when(kind == 0, tag), Last_Modified=F.when(kind < 2, second(F.col("page_id") - 5)), Content_Type=F.lit("text/html"), Date=second(F.col("page_id"))).alias("headers"),
+        digest.alias("payload_digest"),
     )
+    modified = F.when(kind < 2, F.when(F.col("page_id") % 8 < 4, second(F.col("page_id") - 5)).otherwise("second 0"))
+    at = F.col("page_id") + later
     revisit = pages.select(
-        (F.col("page_id") * 2 + 1).alias("record_id"), "url", (F.col("page_id") + later).alias("ts"), F.lit("revisit").alias("kind"), F.lit(304).alias("status"),
-        pair("etag", F.concat(F.lit("W/"), tag), "content-type", F.lit("text/plain"), "date", at(later)).alias("headers"), F.lit(None).cast("string").alias("payload_digest"),
+        (F.col("page_id") * 2 + 1).alias("record_id"), "url", at.alias("ts"), F.lit("revisit").alias("kind"), F.lit(304).alias("status"),
+        headers(etag=F.when(kind == 0, F.concat(F.lit("W/"), tag)), last_modified=modified, content_type=F.lit("text/plain"), date=second(at)).alias("headers"),
+        F.when(kind == 2, digest).alias("payload_digest"),
     )
     return response.union(revisit)
