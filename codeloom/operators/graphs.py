@@ -111,14 +111,14 @@ def strongly_connected(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     vertex without edges in and out left is alone and leaves before.
     """
     left = settled(edges.select("src", "dst").filter("src <> dst").distinct())
-    found = None
-    while True:
-        while True:  # trim
+    found, n = None, left.count()
+    while n:
+        while n:  # trim
             kept = settled(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
-            if kept.count() == left.count():
+            before, n, left = n, kept.count(), kept
+            if n == before:
                 break
-            left = kept
-        if left.isEmpty():
+        if not n:
             break
         ids = left.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
         colour = settled(reach_least(ids.select("id", F.col("id").alias("label")), left))
@@ -129,6 +129,7 @@ def strongly_connected(vertices: DataFrame, edges: DataFrame) -> DataFrame:
         found = done if found is None else found.union(done)
         gone = done.select("id")
         left = settled(left.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti"))
+        n = left.count()
     if found is None:
         return vertices.select("id", F.col("id").alias("component")).limit(0)
     several = found.groupBy("component").count().filter("count > 1").select("component")
@@ -379,17 +380,22 @@ def back_edges(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 LAYER_ROWS = 1_000_000
 
 
-def running(df: DataFrame, group: str, order: list[str], amount: Column, name: str, most: int = LAYER_ROWS) -> DataFrame:
+def largest_group(df: DataFrame, group: str) -> int:
+    return df.groupBy(group).count().agg(F.max("count")).first()[0] or 0
+
+
+def running(df: DataFrame, group: str, order: list[str], amount: Column, name: str, most: int = LAYER_ROWS, largest: int | None = None) -> DataFrame:
     """df with the sum of amount over the rows before each, in its group's order; order tells all rows of a group apart.
 
+    largest: rows of the largest group, counted unless given.
+
     A group of more than `most` rows is ranked in parts: rows are dealt by ranges
     of group and order, summed within each part, and each part begins with the
     sum of the parts before it.
     """
     before = Window.unboundedPreceding, -1
     df = df.withColumn("_amount", amount)
-    largest = df.groupBy(group).count().agg(F.max("count")).first()[0] or 0
-    if largest <= most:
+    if (largest_group(df, group) if largest is None else largest) <= most:
         summed = F.sum("_amount").over(Window.partitionBy(group).orderBy(*order).rowsBetween(*before))
         return df.withColumn(name, F.coalesce(summed, F.lit(0).cast(df.schema["_amount"].dataType))).drop("_amount")
     dealt = settled(df.repartitionByRange(group, *order).withColumn("_part", F.spark_partition_id()))
@@ -409,13 +415,15 @@ def order_layers(placed: DataFrame, edges: DataFrame, passes: int = 2) -> DataFr
     """
     both = settled(edges.select("src", "dst").union(edges.select("dst", "src")).distinct())
     one = F.lit(1).cast("int")
-    state = settled(running(placed.select("id", "layer"), "layer", ["id"], one, "before").select("id", "layer", (F.col("before") + 1).cast("int").alias("place")))
+    placed = settled(placed.select("id", "layer"))
+    largest = largest_group(placed, "layer")  # no sweep changes a layer
+    state = settled(running(placed, "layer", ["id"], one, "before", largest=largest).select("id", "layer", (F.col("before") + 1).cast("int").alias("place")))
     for _ in range(2 * passes):
         other = state.select(F.col("id").alias("dst"), F.col("layer").alias("to"), F.col("place").alias("at"))
         near = both.join(other, "dst").join(state.select(F.col("id").alias("src"), "layer"), "src").filter("layer <> to").withColumn("w", 1 / F.abs(F.col("layer") - F.col("to")))
         mean = near.groupBy(F.col("src").alias("id")).agg(F.round(F.sum(F.col("w") * F.col("at")) / F.sum("w"), 9).alias("mean"))
         means = state.join(mean, "id", "left").withColumn("mean", F.coalesce("mean", F.col("place").cast("double"))).select("id", "layer", "mean")
-        state = settled(running(means, "layer", ["mean", "id"], one, "before").select("id", "layer", (F.col("before") + 1).cast("int").alias("place")))
+        state = settled(running(means, "layer", ["mean", "id"], one, "before", largest=largest).select("id", "layer", (F.col("before") + 1).cast("int").alias("place")))
     return state
 
 
