@@ -187,4 +187,5 @@ def participants(b: Bound) -> DataFrame:
 def analyzer_status(b: Bound) -> DataFrame:
     from codeloom.operators.pipeline import run_pipeline
 
-    return run_pipeline(b.spark, b("documents"))[1]
+    modules = b("documents").withColumn("relative_path", F.concat(F.lit("src/f"), F.col("doc_id").cast("string"), F.lit(".ts")))
+    return run_pipeline(b.spark, modules)[1]
