@@ -120,7 +120,8 @@ def fingerprint(b: Bound) -> DataFrame:
     return b("modules").select("id", scalars.fingerprint(fragment, F.col("relative_path"), F.col("line_count"), F.col("directory"), F.col("seq")).alias("fingerprint"))
 
 
-@query("fn19_uuid5")
+@query("fn19_uuid5", """WITH h AS (SELECT id, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode(package_id || '.' || relative_path)) AS h FROM modules)
+    SELECT id, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || substr('89ab', ('0x' || h[17])::INT % 4 + 1, 1) || h[18:20] || '-' || h[21:32] AS uuid FROM h""")
 def uuid5(b: Bound) -> DataFrame:
     return b("modules").select("id", scalars.uuid5("6ba7b810-9dad-11d1-80b4-00c04fd430c8", F.concat_ws(".", "package_id", "relative_path")).alias("uuid"))
 
