@@ -43,7 +43,7 @@ HEAD, HEAD_BYTES = 1 << 19, 64
 #: Bytes of filter that are broadcast.
 BROADCAST_BYTES = 128 << 20
 #: Tokens, at most, that are counted for one segment; tokens that a task gathers before it gives their counts out.
-SEGMENT, GATHERED = 1_000_000, 2_000_000
+SEGMENT, GATHERED = 1_000_000, 1_500_000
 #: Tasks, at most, that segments are dealt to; a task takes one segment after another.
 MOST_TASKS = 20_000
 #: Probes of an entry, with as many bits / ln 2 for each entry: 1 in 64 questions for a missing entry errs.
@@ -241,7 +241,7 @@ def _count_pairs(batches: Iterable[pa.RecordBatch], head, segments: int) -> Iter
         yield from _given_out(keys, n, segments)
 
     gathered = 0
-    for batch in shared.slices(batches):
+    for batch in shared.slices(batches, size=shared.SLICE_BYTES // 2):
         tokens = Tokens.of(batch.column("text"))
         held += pair_keys(tokens, _hashes(tokens.distinct), Head.magnitudes(head.value.counts_of(tokens.distinct)))
         gathered += len(tokens.codes)
