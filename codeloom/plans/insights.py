@@ -29,12 +29,13 @@ IMPORT_GRAPH = r"""
     graph AS (SELECT DISTINCT src, dst FROM wanted JOIN keyed USING (key) WHERE src <> dst)"""
 
 
-#: Ten rounds in which every vertex takes the label that most neighbours have, the least of several, for the twins.
-LABELS = "ways AS (SELECT src, dst FROM edges WHERE src <> dst UNION SELECT dst, src FROM edges WHERE src <> dst), l0 AS (SELECT id, id AS label FROM nodes)" + "".join(
-    f""", v{k} AS (SELECT w.dst AS id, label, count(*) AS n FROM ways w JOIN l{k} ON l{k}.id = w.src GROUP BY ALL),
-    b{k} AS (SELECT id, label FROM v{k} QUALIFY row_number() OVER (PARTITION BY id ORDER BY n DESC, label) = 1), l{k + 1} AS (SELECT l{k}.id, coalesce(b{k}.label, l{k}.label) AS label FROM l{k} LEFT JOIN b{k} ON b{k}.id = l{k}.id)"""
-    for k in range(10)
-)
+def labels_sql(vertices: str, edges: str) -> str:
+    """Ten rounds in which every vertex takes the label that most neighbours have, the least of several, for the twins."""
+    return f"ways AS (SELECT src, dst FROM {edges} WHERE src <> dst UNION SELECT dst, src FROM {edges} WHERE src <> dst), l0 AS (SELECT id, id AS label FROM {vertices})" + "".join(
+        f""", v{k} AS (SELECT w.dst AS id, label, count(*) AS n FROM ways w JOIN l{k} ON l{k}.id = w.src GROUP BY ALL),
+        b{k} AS (SELECT id, label FROM v{k} QUALIFY row_number() OVER (PARTITION BY id ORDER BY n DESC, label) = 1), l{k + 1} AS (SELECT l{k}.id, coalesce(b{k}.label, l{k}.label) AS label FROM l{k} LEFT JOIN b{k} ON b{k}.id = l{k}.id)"""
+        for k in range(10)
+    )
 
 
 def import_graph(b: Bound) -> DataFrame:
@@ -43,13 +44,13 @@ def import_graph(b: Bound) -> DataFrame:
     return resolve.import_edges(b("imports"), b("modules"))
 
 
-@query("ins01_circular_imports", """
-    WITH RECURSIVE reach AS (SELECT src, dst FROM edges UNION SELECT r.src, e.dst FROM reach r JOIN edges e ON e.src = r.dst),
+@query("ins01_circular_imports", f"""
+    WITH RECURSIVE {IMPORT_GRAPH}, reach AS (SELECT src, dst FROM graph UNION SELECT r.src, e.dst FROM reach r JOIN graph e ON e.src = r.dst),
     mutual AS (SELECT a.src AS id, least(a.src, min(a.dst)) AS component FROM reach a JOIN reach z ON z.src = a.dst AND z.dst = a.src WHERE a.src <> a.dst GROUP BY a.src)
     SELECT component, count(*) AS value, 'critical' AS severity FROM mutual GROUP BY component""")
 def circular_imports(b: Bound) -> DataFrame:
     """A strongly connected component of two modules or more is an insight of its own; its size is the value."""
-    scc = graphs.strongly_connected(b("nodes"), b("edges"))
+    scc = graphs.strongly_connected(b("modules"), import_graph(b))
     return scc.groupBy("component").agg(F.count("*").alias("value"), F.lit("critical").alias("severity"))
 
 
@@ -163,21 +164,19 @@ def hubs(b: Bound) -> DataFrame:
     return ends.groupBy("id").agg(F.count("*").alias("value"), F.lit("info").alias("severity")).filter(F.col("value") >= HUB)
 
 
-@query("ins15_bridge_modules", """
-    WITH RECURSIVE u AS (SELECT DISTINCT least(src, dst) AS x, greatest(src, dst) AS y FROM acyclic), b AS (SELECT x, y FROM u UNION ALL SELECT y, x FROM u),
-    v AS (SELECT DISTINCT x FROM b),
-    reach AS (SELECT v.x AS gone, b.x, b.y FROM v, b WHERE b.x <> v.x AND b.y <> v.x UNION SELECT r.gone, r.x, b.y FROM reach r JOIN b ON b.x = r.y WHERE b.y <> r.gone),
-    near AS (SELECT a.x AS gone, a.y AS p, z.y AS q FROM b a JOIN b z ON z.x = a.x AND a.y < z.y)
-    SELECT DISTINCT gone AS id, 'warning' AS severity FROM near n WHERE NOT EXISTS (SELECT 1 FROM reach r WHERE r.gone = n.gone AND r.x = n.p AND r.y = n.q)""")
+@query("ins15_bridge_modules", f"""
+    WITH RECURSIVE {IMPORT_GRAPH}, b AS (SELECT src AS x, dst AS y FROM graph UNION SELECT dst, src FROM graph), start AS (SELECT x AS gone, min(y) AS y FROM b GROUP BY x),
+    reach AS (SELECT gone, y FROM start UNION SELECT r.gone, b.y FROM reach r JOIN b ON b.x = r.y WHERE b.y <> r.gone)
+    SELECT DISTINCT b.x AS id, 'warning' AS severity FROM b WHERE NOT EXISTS (SELECT 1 FROM reach r WHERE r.gone = b.x AND r.y = b.y)""")
 def bridges(b: Bound) -> DataFrame:
-    return graphs.articulation_points(b("nodes"), b("acyclic")).withColumn("severity", F.lit("warning"))
+    return graphs.articulation_points(b("modules"), import_graph(b)).withColumn("severity", F.lit("warning"))
 
 
-@query("ins16_cluster_detection", f"WITH {LABELS} SELECT label, count(*) AS value, 'info' AS severity FROM l10 WHERE (SELECT count(*) FROM nodes) >= 3 GROUP BY label HAVING count(*) > 1")
+@query("ins16_cluster_detection", f"WITH {IMPORT_GRAPH}, {labels_sql('modules', 'graph')} SELECT label, count(*) AS value, 'info' AS severity FROM l10 WHERE (SELECT count(*) FROM modules) >= 3 GROUP BY label HAVING count(*) > 1")
 def clusters(b: Bound) -> DataFrame:
     """Groups of two or more that label propagation makes, in graphs of three nodes or more; the rule is pinned, so reruns agree."""
-    labels = graphs.label_propagation(b("nodes"), b("edges"))
-    enough = b("nodes").agg((F.count("*") >= CLUSTER_NODES).alias("enough"))
+    labels = graphs.label_propagation(b("modules"), import_graph(b))
+    enough = b("modules").agg((F.count("*") >= CLUSTER_NODES).alias("enough"))
     return labels.join(F.broadcast(enough)).filter("enough").groupBy("label").agg(F.count("*").alias("value")).filter("value > 1").withColumn("severity", F.lit("info"))
 
 
