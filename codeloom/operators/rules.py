@@ -132,3 +132,21 @@ def unused_code(reports: DataFrame, modules: DataFrame) -> tuple[DataFrame, Data
     files = dead.select("module_id", F.lit("knip.unusedFile").alias("rule_code"), F.lit("warning").alias("severity"), F.concat(F.lit("Unused file: "), "path").alias("message"), F.lit(None).cast("int").alias("line"))
     counted = each.filter(F.col("field").isin(*UNUSED_EXPORTS)).select("module_id", F.lit(1).alias("n"), F.lit(False).alias("d")).union(dead.select("module_id", F.lit(0), F.lit(True)))
     return findings.union(files), counted.groupBy("module_id").agg(F.sum("n").alias("unused"), F.max("d").alias("dead"))
+
+
+_MESSAGES = "array<struct<ruleId:string,severity:int,message:string,line:int,column:int>>"
+
+
+def lint_findings(reports: DataFrame, modules: DataFrame) -> DataFrame:
+    """module_id, rule_code, severity, message, line and col of a linter's saved results.
+
+    reports: file (a module's relative path) and messages (a JSON list of
+    ruleId, severity, message, line and column); modules: id, relative_path.
+    Severity 2 is an error, 1 a warning, any other info; a message without a
+    rule is of an unknown one. Other files and malformed lists have no findings.
+    """
+    placed = reports.join(modules.select(F.col("id").alias("module_id"), F.col("relative_path").alias("file")), "file")
+    each = placed.select("module_id", F.explode(F.from_json("messages", _MESSAGES)).alias("m"))
+    severity = F.when(F.col("m.severity") == 2, "error").when(F.col("m.severity") == 1, "warning").otherwise("info")
+    code = F.concat(F.lit("eslint."), F.coalesce("m.ruleId", F.lit("unknown")))
+    return each.select("module_id", code.alias("rule_code"), severity.alias("severity"), "m.message", "m.line", F.col("m.column").alias("col"))

@@ -182,6 +182,19 @@ def lint(b: Bound) -> DataFrame:
     return b("issues").select("id", "rule_code", scalars.severity(F.col("severity")).alias("severity"))
 
 
+#: A linter's messages for a module by its number, in SQL that both engines read.
+_LINT = """CASE WHEN seq % 11 = 10 THEN 'no json' ELSE concat('[{"ruleId": "no-', seq % 5, '", "severity": ', seq % 3, ', "message": "said ', seq, '", "line": ', seq, ', "column": 2, "odd": {}}', repeat(', {"ruleId": null, "severity": 2, "message": "broken"}', CAST(seq % 2 AS INT)), ']') END"""
+
+
+@query("an03_report_findings", """WITH m AS (SELECT * FROM modules WHERE seq % 11 <> 10 AND seq % 7 <> 3)
+    SELECT id AS module_id, 'eslint.no-' || (seq % 5) AS rule_code, CASE seq % 3 WHEN 2 THEN 'error' WHEN 1 THEN 'warning' ELSE 'info' END AS severity, 'said ' || seq AS message, seq::INT AS line, 2 AS col FROM m
+    UNION ALL SELECT id, 'eslint.unknown', 'error', 'broken', NULL, NULL FROM m WHERE seq % 2 = 1""")
+def lint_report(b: Bound) -> DataFrame:
+    """Findings of a linter's saved results; files that are no module and malformed lists have none."""
+    file = F.when(F.col("seq") % 7 == 3, F.concat(F.lit("elsewhere/"), "name")).otherwise(F.col("relative_path"))
+    return rules.lint_findings(b("modules").select(file.alias("file"), F.expr(_LINT).alias("messages")), b("modules"))
+
+
 @query("an04_architecture", "SELECT e.src, e.dst, a.folder AS from_layer, z.folder AS to_layer FROM edges e JOIN nodes a ON a.id = e.src JOIN nodes z ON z.id = e.dst WHERE (a.folder, z.folder) IN ((0, 1), (2, 1), (3, 4))")
 def architecture(b: Bound) -> DataFrame:
     """Edges between layers that a rule forbids."""
