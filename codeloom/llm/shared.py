@@ -50,14 +50,19 @@ def _clear() -> None:
             return
 
 
+def own_folder(spark: SparkSession, path: str) -> None:
+    """path is deleted when Python ends."""
+    if not _written:
+        atexit.register(_clear)
+    _written.append((spark, path))
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """df, written to the shared folder and read again: later stages start there, whichever executors are lost."""
     spark = df.sparkSession
-    if not _written:
-        atexit.register(_clear)
     path = f"{shared_folder(spark)}/codeloom-{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.append((spark, path))
+    own_folder(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
