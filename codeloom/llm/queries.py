@@ -1,4 +1,4 @@
-"""The queries op1 to op10 over the driver's tables, and their SQL twins where SQL can say the same."""
+"""The queries op1 to op13 over the driver's tables, and their SQL twins where SQL can say the same."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import exact_dedup, language_model, licenses, mixing, near_dedup, personal_data, pieces, quality, revisits, token_counts
+from codeloom.llm import exact_dedup, filter_audit, language_model, late_sessions, licenses, line_dedup, mixing, near_dedup, personal_data, pieces, quality, revisits, token_counts
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,8 +62,20 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data.find(_documents(spark, sf_dir))
 
 
+def op11_late_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return late_sessions.of_conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.without_repeats(_documents(spark, sf_dir)).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.interactions(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_revisits, op2_source_mixing, op3_token_counts, op4_license_scan, op5_language_model, op6_quality_rules, op7_exact_dedup, op8_sentencepiece, op9_near_dedup, op10_personal_data, quality_ablations)
+    f.__name__: f for f in (op1_revisits, op2_source_mixing, op3_token_counts, op4_license_scan, op5_language_model, op6_quality_rules, op7_exact_dedup, op8_sentencepiece, op9_near_dedup, op10_personal_data, op11_late_sessions, op12_line_dedup, op13_filter_audit, quality_ablations)
 }
 
 _WORDS = r"'[^\x20\x09-\x0D]+'"
@@ -141,3 +153,52 @@ ORACLES["quality_ablations"] = f"""
     WITH l AS ({ORACLES["op6_quality_rules"]}) SELECT rule, count(*) FILTER (failed & bit <> 0) AS n_failed, count(*) FILTER (failed = bit) AS n_failed_alone,
            count(*) FILTER ((failed & bit = failed) OR failed = 0) AS n_kept_without FROM l CROSS JOIN {_RULES} GROUP BY rule
     """
+
+ORACLES["op12_line_dedup"] = r"""
+    WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+    l AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS place FROM d),
+    k AS (SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+    g AS (SELECT key, min(doc_id) AS keeper FROM k WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) > 1),
+    m AS (SELECT doc_id, line, place, keeper IS NOT NULL AND keeper <> doc_id AS lost FROM k LEFT JOIN g USING (key))
+    SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (lost)::BIGINT AS n_dropped,
+           sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT lost), '')) AS kept_sha256 FROM m GROUP BY doc_id
+    """
+
+ORACLES["op13_filter_audit"] = r"""
+    WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+    w AS (SELECT *, regexp_extract_all(text, '[^ 	-]+') AS words, min(doc_id) OVER (PARTITION BY text) AS least FROM d),
+    f AS (SELECT doc_id, part, len(words) < 200 AS a, 100 * len(list_distinct(words)) < 50 * len(words) AS b,
+                 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text) AS c, regexp_matches(text, '[#$%&*|]') AS d, coalesce(doc_id > least, false) AS e FROM w),
+    l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+    m AS (SELECT part, (CASE WHEN a THEN 'A' ELSE '' END || CASE WHEN b THEN 'B' ELSE '' END || CASE WHEN c THEN 'C' ELSE '' END || CASE WHEN d THEN 'D' ELSE '' END || CASE WHEN e THEN 'E' ELSE '' END) AS fails,
+                 count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f LEFT JOIN l USING (doc_id) GROUP BY ALL),
+    c AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS letter),
+    o AS (SELECT p.letter || q.letter || r.letter || s.letter || t.letter AS filter_order FROM c p, c q, c r, c s, c t
+          WHERE len(list_distinct([p.letter, q.letter, r.letter, s.letter, t.letter])) = 5),
+    x AS (SELECT part, filter_order, step, filter_order[step:step] AS own, n, good, toxic,
+                 contains(fails, filter_order[step:step]) AS failing, length(translate(filter_order[1:step - 1], fails, '')) < step - 1 AS gone, fails
+          FROM m, o, range(1, 6) s(step)),
+    y AS (SELECT part, filter_order, step::INT AS step, own, sum(n) FILTER (NOT failing AND NOT gone) AS kept, sum(n) FILTER (failing AND NOT gone) AS removed, sum(n) FILTER (failing AND gone) AS redundant,
+                 sum(n) FILTER (fails = own) AS unique_fails, sum(good) FILTER (failing AND NOT gone) AS good_lost, sum(toxic) FILTER (failing AND NOT gone) AS toxic_lost
+          FROM x GROUP BY part, filter_order, step, own)
+    SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails,
+           coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost, coalesce(sum(removed) OVER (PARTITION BY part, own), 0)::BIGINT AS shapley FROM y
+    """
+
+_CRC = """list_reduce([4294967295::BIGINT] || list_transform(string_split({0}, ''), lambda c: ascii(c)::BIGINT),
+    lambda acc, b: list_reduce([xor(acc, b)] || [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda v, z: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END))"""
+ORACLES["op11_late_sessions"] = f"""
+    WITH r AS (SELECT conv_id, turn, xor({_CRC.format("conv_id::VARCHAR")}, 4294967295) AS c, xor({_CRC.format("conv_id::VARCHAR || ':' || turn::VARCHAR")}, 4294967295) AS h
+               FROM conversations WHERE turn IS NOT NULL AND conv_id IS NOT NULL),
+    a AS (SELECT 2 * floor(conv_id / 8)::BIGINT + c % 2 AS user, (c // 2) % 7200 + 300 * turn + h % 600 AS at_s, h, h // 600 AS g FROM r),
+    e AS (SELECT user, at_s, h, at_s // 1800 + CASE WHEN g % 5 = 0 THEN g % 4 ELSE 0 END AS batch FROM a),
+    s AS (SELECT e.*, b.batch AS now, row_number() OVER (PARTITION BY user, b.batch ORDER BY at_s) AS place,
+                 coalesce(at_s - lag(at_s) OVER (PARTITION BY user, b.batch ORDER BY at_s) > 240, true)::INT AS begins
+          FROM e JOIN (SELECT DISTINCT user, batch FROM e) b USING (user) WHERE e.batch <= b.batch),
+    i AS (SELECT *, sum(begins) OVER (PARTITION BY user, now ORDER BY place) AS part FROM s),
+    v AS (SELECT user, now AS batch, min(at_s) AS start_s, max(at_s) AS end_s, count(*) AS n_events, count(*) FILTER (batch = now) AS n_new, sum(h) AS h_sum
+          FROM i GROUP BY user, now, part HAVING count(*) FILTER (batch = now) > 0),
+    t AS (SELECT v.user, v.batch, v.start_s, min({{'b': w.batch, 's': w.start_s}}) AS by FROM v JOIN v w ON w.user = v.user AND w.batch > v.batch AND w.start_s <= v.start_s AND w.end_s >= v.end_s GROUP BY ALL)
+    SELECT v.user, v.batch, v.start_s, v.end_s, v.n_events, v.n_new, (SELECT count(*) FROM t WHERE t.user = v.user AND t.by.b = v.batch AND t.by.s = v.start_s)::BIGINT AS n_retracted,
+           v.h_sum::BIGINT AS h_sum, t.by.b AS retracted_batch, t.by.s AS retracted_start_s FROM v LEFT JOIN t ON t.user = v.user AND t.batch = v.batch AND t.start_s = v.start_s
+    """
