@@ -49,15 +49,20 @@ def _fixpoint(state: DataFrame, step: Callable[[DataFrame], DataFrame], differs:
     return state
 
 
-def _spread(state: DataFrame, ways: DataFrame, message: Column, best: Callable[[Column], Column], pick: Callable[..., Column]) -> DataFrame:
+def _spread(state: DataFrame, ways: DataFrame, message: Column, best: Callable[[Column], Column], pick: Callable[..., Column], acyclic: bool = False) -> DataFrame:
     """id and value when messages along ways change nothing more; only vertices that changed send any.
 
     state: id, value; ways: tail, head and what message needs beside the tail's
     value; best aggregates the messages to a head, pick takes the better of its
-    value and theirs.
+    value and theirs. acyclic: values only settle if ways go round nowhere, so
+    as many rounds as vertices are an error.
     """
     state = settled(state.withColumn("changed", F.col("value").isNotNull()))
+    most, rounds = state.count() if acyclic else None, 0
     while True:
+        if most is not None and rounds > most:
+            raise ValueError("the graph has a cycle; take its back edges out first")
+        rounds += 1
         live = state.filter("changed").select(F.col("id").alias("tail"), "value")
         sent = ways.join(live, "tail").groupBy(F.col("head").alias("id")).agg(best(message).alias("sent"))
         new = pick("value", "sent")
@@ -201,21 +206,44 @@ def articulation_points(vertices: DataFrame, edges: DataFrame, peels: int = 20)
 
 
 def label_propagation(vertices: DataFrame, edges: DataFrame, rounds: int = 10) -> DataFrame:
-    """id and label after some rounds in which all vertices take the label that most neighbours have, the least of several."""
-    both = settled(edges.select("src", "dst").union(edges.select("dst", "src")).filter("src <> dst").distinct())
-
-    def step(state: DataFrame) -> DataFrame:
-        votes = both.join(state.select(F.col("id").alias("src"), "label"), "src").groupBy("dst", "label").count()
-        best = votes.groupBy(F.col("dst").alias("id")).agg(F.min_by("label", F.struct(-F.col("count"), F.col("label"))).alias("best"))
-        return state.join(best, "id", "left").select("id", F.coalesce("best", "label").alias("label"), F.col("label").alias("old"))
-
-    return _fixpoint(vertices.select("id", F.col("id").alias("label")), step, F.col("label") != F.col("old"), rounds)
+    """id and label (its least id) of the communities of an undirected graph; rounds: sweeps at most.
+
+    In a sweep every vertex in turn takes the label that most neighbours have,
+    the least of several. Turns go by a digest of the id, and a vertex sees new
+    labels of the neighbours before it and old ones of those after it, as if
+    they were visited one after the other: the new labels of a sweep are
+    computed for all vertices at once, and again from these until none differs,
+    which is when nothing that a vertex sees before its turn moves any more.
+    Every step makes more neighbours agree, or as many on a lesser label, so
+    sweeps settle and don't oscillate. At the end a community whose members
+    don't hang together is split into its connected parts.
+    """
+    turn = lambda c: F.struct(F.md5(F.col(c).cast("string")), F.col(c))
+    both = edges.select("src", "dst").union(edges.select("dst", "src")).filter("src <> dst").distinct()
+    both = settled(both.withColumn("earlier", turn("src") < turn("dst")))
+    state = settled(vertices.select("id", F.col("id").alias("label"), F.col("id").alias("new")))
+    for _ in range(rounds):
+        while True:
+            seen = both.join(state.select(F.col("id").alias("src"), "label", "new"), "src")
+            votes = seen.groupBy("dst", F.when(F.col("earlier"), F.col("new")).otherwise(F.col("label")).alias("vote")).count()
+            best = votes.groupBy(F.col("dst").alias("id")).agg(F.min_by("vote", F.struct(-F.col("count"), F.col("vote"))).alias("best"))
+            took = F.coalesce("best", "label")
+            state = settled(state.join(best, "id", "left").select("id", "label", took.alias("new"), (took != F.col("new")).alias("moved")))
+            if state.filter("moved").isEmpty():
+                break
+        if state.filter("new <> label").isEmpty():
+            break
+        state = state.select("id", F.col("new").alias("label"), "new")
+    labels = state.select("id", F.col("new").alias("label"))
+    a, b = labels.select(F.col("id").alias("src"), F.col("label").alias("a")), labels.select(F.col("id").alias("dst"), F.col("label").alias("b"))
+    within_one = both.filter("earlier").join(a, "src").join(b, "dst").filter("a = b").select("src", "dst")
+    return connected(vertices, within_one).withColumnRenamed("component", "label")
 
 
 def layers(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """id and layer of an acyclic graph: 0 without edges out, else one above the highest vertex that it leads to."""
+    """id and layer of an acyclic graph: 0 without edges out, else one above the highest vertex that it leads to; a cycle is an error."""
     ways = edges.select(F.col("dst").alias("tail"), F.col("src").alias("head")).distinct()
-    return _spread(vertices.select("id", F.lit(0).alias("value")), ways, F.col("value") + 1, F.max, F.greatest).withColumnRenamed("value", "layer")
+    return _spread(vertices.select("id", F.lit(0).alias("value")), ways, F.col("value") + 1, F.max, F.greatest, acyclic=True).withColumnRenamed("value", "layer")
 
 
 def step_cost(fan_in: Column) -> Column:
@@ -225,11 +253,11 @@ def step_cost(fan_in: Column) -> Column:
 def weighted_depth(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """id, weight and next of an acyclic graph: the dearest path out, each step costing 1 + log2 of its target's distinct importers.
 
-    next is the vertex that the path goes on to, the least of several; null where it ends.
+    next is the vertex that the path goes on to, the least of several; null where it ends. A cycle is an error.
     """
     costs = settled(degrees(vertices, edges).select(F.col("id").alias("dst"), step_cost(F.col("fan_in")).alias("cost")))
     ways = settled(edges.join(costs, "dst").select(F.col("dst").alias("tail"), F.col("src").alias("head"), "cost"))
-    weights = _spread(vertices.select("id", F.lit(0.0).alias("value")), ways, F.col("value") + F.col("cost"), F.max, F.greatest)
+    weights = _spread(vertices.select("id", F.lit(0.0).alias("value")), ways, F.col("value") + F.col("cost"), F.max, F.greatest, acyclic=True)
     on = ways.join(weights.select(F.col("id").alias("tail"), "value"), "tail").groupBy(F.col("head").alias("id"))
     best = on.agg(F.min_by("tail", F.struct(-F.round(F.col("cost") + F.col("value"), 9), F.col("tail"))).alias("next"))
     return weights.join(best, "id", "left").select("id", F.col("value").alias("weight"), "next")
@@ -314,8 +342,8 @@ def lift(edges: DataFrame, folders: DataFrame) -> DataFrame:
     """
     a, b = folders.select(F.col("id").alias("src"), F.col("folder").alias("f")), folders.select(F.col("id").alias("dst"), F.col("folder").alias("t"))
     placed = edges.join(a, "src", "left").join(b, "dst", "left")
-    crossing = placed.filter(F.coalesce(F.col("f") != F.col("t"), F.col("f").isNotNull() | F.col("t").isNotNull()))
-    inside = placed.join(crossing.select("src", "dst", "kind"), ["src", "dst", "kind"], "left_anti")
+    crosses = F.coalesce(F.col("f") != F.col("t"), F.col("f").isNotNull() | F.col("t").isNotNull())
+    crossing, inside = placed.filter(crosses), placed.filter(~crosses)
     text = lambda c: F.col(c).cast("string")
     name = lambda c: F.concat(F.lit("folder:"), text(c))
     trunk = crossing.groupBy(F.coalesce(name("f"), text("src")).alias("src"), F.coalesce(name("t"), text("dst")).alias("dst"), "kind").agg(F.count("*").alias("n")).withColumn("role", F.lit("trunk"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from codeloom.operators import graphs, model_graph
 from codeloom.plans.bindings import Bound
-from codeloom.plans.insights import IMPORT_GRAPH, import_graph, labels_sql
+from codeloom.plans.insights import IMPORT_GRAPH, communities_sql, import_graph
 from codeloom.plans.registry import query
 
 
@@ -32,7 +32,7 @@ def articulation(b: Bound) -> DataFrame:
     return graphs.articulation_points(b("nodes"), b("acyclic"))
 
 
-@query("gr04_label_propagation", f"WITH {labels_sql('nodes', 'edges')} SELECT id, label FROM l10")
+@query("gr04_label_propagation", f"WITH RECURSIVE {communities_sql('edges')} SELECT n.id, coalesce(label, n.id) AS label FROM nodes n LEFT JOIN community USING (id)")
 def labels(b: Bound) -> DataFrame:
     return graphs.label_propagation(b("nodes"), b("edges"))
 

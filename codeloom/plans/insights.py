@@ -29,13 +29,26 @@ IMPORT_GRAPH = r"""
     graph AS (SELECT DISTINCT src, dst FROM wanted JOIN keyed USING (key) WHERE src <> dst)"""
 
 
-def labels_sql(vertices: str, edges: str) -> str:
-    """Ten rounds in which every vertex takes the label that most neighbours have, the least of several, for the twins."""
-    return f"ways AS (SELECT src, dst FROM {edges} WHERE src <> dst UNION SELECT dst, src FROM {edges} WHERE src <> dst), l0 AS (SELECT id, id AS label FROM {vertices})" + "".join(
-        f""", v{k} AS (SELECT w.dst AS id, label, count(*) AS n FROM ways w JOIN l{k} ON l{k}.id = w.src GROUP BY ALL),
-        b{k} AS (SELECT id, label FROM v{k} QUALIFY row_number() OVER (PARTITION BY id ORDER BY n DESC, label) = 1), l{k + 1} AS (SELECT l{k}.id, coalesce(b{k}.label, l{k}.label) AS label FROM l{k} LEFT JOIN b{k} ON b{k}.id = l{k}.id)"""
-        for k in range(10)
-    )
+def communities_sql(edges: str) -> str:
+    """community (id, label) of the vertices with edges, for the twins.
+
+    One vertex after the other, in the order of digests, in place, in a list of
+    labels; then the least vertex that a way within one label leads to.
+    """
+    return f"""
+    ways AS (SELECT src, dst FROM {edges} WHERE src <> dst UNION SELECT dst, src FROM {edges} WHERE src <> dst),
+    turns AS (SELECT id, row_number() OVER (ORDER BY md5(id::VARCHAR), id) AS turn FROM (SELECT DISTINCT src AS id FROM ways)),
+    near AS (SELECT a.turn, list(z.turn) AS near FROM ways JOIN turns a ON a.id = src JOIN turns z ON z.id = dst GROUP BY a.turn),
+    whole AS (SELECT list(id ORDER BY turn) AS ids, list(near ORDER BY turn) AS near, count(*) AS n FROM turns JOIN near USING (turn)),
+    visits AS (
+      SELECT 0::BIGINT AS k, 0::BIGINT AS quiet, ids AS labels FROM whole WHERE n > 0
+      UNION ALL
+      SELECT k + 1, CASE WHEN best = labels[spot] THEN quiet + 1 ELSE 0 END, list_concat(list_concat(labels[1:spot - 1], [best]), labels[spot + 1:n])
+      FROM (SELECT k, quiet, labels, n, k % n + 1 AS spot, (SELECT u.label FROM (SELECT unnest(list_transform(near[k % n + 1], lambda p: labels[p])) AS label) u GROUP BY u.label ORDER BY count(*) DESC, u.label LIMIT 1) AS best
+            FROM visits, whole WHERE k < 10 * n AND quiet < n)),
+    settled AS (SELECT unnest(ids) AS id, unnest(arg_max(labels, k)) AS label FROM visits, whole GROUP BY ids),
+    hang AS (SELECT id, id AS other, label FROM settled UNION SELECT h.id, w.dst, h.label FROM hang h JOIN ways w ON w.src = h.other JOIN settled s ON s.id = w.dst AND s.label = h.label),
+    community AS (SELECT id, min(other) AS label FROM hang GROUP BY id)"""
 
 
 def import_graph(b: Bound) -> DataFrame:
@@ -172,7 +185,7 @@ def bridges(b: Bound) -> DataFrame:
     return graphs.articulation_points(b("modules"), import_graph(b)).withColumn("severity", F.lit("warning"))
 
 
-@query("ins16_cluster_detection", f"WITH {IMPORT_GRAPH}, {labels_sql('modules', 'graph')} SELECT label, count(*) AS value, 'info' AS severity FROM l10 WHERE (SELECT count(*) FROM modules) >= 3 GROUP BY label HAVING count(*) > 1")
+@query("ins16_cluster_detection", f"WITH RECURSIVE {IMPORT_GRAPH}, {communities_sql('graph')} SELECT label, count(*) AS value, 'info' AS severity FROM community WHERE (SELECT count(*) FROM modules) >= 3 GROUP BY label HAVING count(*) > 1")
 def clusters(b: Bound) -> DataFrame:
     """Groups of two or more that label propagation makes, in graphs of three nodes or more; the rule is pinned, so reruns agree."""
     labels = graphs.label_propagation(b("modules"), import_graph(b))
