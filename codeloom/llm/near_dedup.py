@@ -1,15 +1,21 @@
 """MinHash near-dedup with an LSH forest.
 
 A text's set of word shingles gets one signature of TREES * DEPTH minimum
-hashes. Each tree is the order of all signatures read from another start, so
-texts with a long common prefix are neighbours in it. Neighbours with DEPTH
-equal values at least are candidates. A region of more than REGION texts is
-dealt to blocks, with its least text in each, and what the blocks and the other
-regions link is put together. Then the texts that are outside the region's
-largest group meet all of the region, block against block; two texts inside are
-joined already. So no candidates are left out at any size, and no task holds more
-than two blocks. For two texts of similarity 0.85 the chance that no tree brings
-them together is (1 - 0.85**5)**32, below 1e-8; for 0.8 it is 3e-6.
+hashes. Each tree of the forest is a sorted order of all signatures, read from
+another start: rows are dealt by ranges of that order and sorted, and the values
+that a row has in common with its neighbour, from the start on, are its longest
+common prefix. Rows that share DEPTH values with a neighbour are candidates; a
+region is a stretch of the order in which all do. DEPTH is the floor: for two
+texts of similarity 0.85 the chance that no tree brings them into one region is
+(1 - 0.85**5)**32, below 1e-8; for 0.8 it is 3e-6.
+
+A region of up to REGION texts is compared as it is. A more crowded one takes a
+depth of its own: where a stretch is too long it is cut at the shortest common
+prefixes, one value deeper each time, down to DEEP values more, so the closest
+texts stay together and are linked first. Then the texts that are outside the
+region's largest group meet all of the region, block against block, so the floor
+holds in crowds too; two texts inside are joined already. No candidates are left
+out at any size, and no task holds more than two blocks.
 
 Within a region the candidates' signatures are compared and a spanning forest
 of likely links is given out, never all pairs. Those forests' components hold
@@ -38,6 +44,8 @@ from pyspark.sql import functions as F
 from codeloom.llm import shared
 
 TREES, DEPTH = 32, 5
+#: Values beyond DEPTH that the order of a tree tells apart, a byte of each.
+DEEP = 15
 #: Texts of a region that are compared in one block.
 REGION = 2000
 #: Shingles that are compared in one task, all texts of a component together.
@@ -120,27 +128,89 @@ def _turn(tree: int) -> np.ndarray:
     return np.roll(np.arange(TREES * DEPTH), -tree * DEPTH)
 
 
+def _low_bytes(values: np.ndarray) -> np.ndarray:
+    """A byte for each value, which equal values share."""
+    return np.ascontiguousarray(((values * np.uint32(2654435761)) >> np.uint32(24)).astype(np.uint8))
+
+
+def _binary(rows: np.ndarray) -> pa.Array:
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(rows.shape[1]), len(rows), [None, pa.py_buffer(rows)]).cast(pa.binary())
+
+
 def _keys(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each text's region in every tree."""
+    """Each text's place in every tree's order: group, the tree and its first DEPTH values, then deep, the values after these."""
     for batch in batches:
         for part in (batch.slice(k, 4_000) for k in range(0, batch.num_rows, 4_000)):
             whole = _matrix(part)
             for tree in range(TREES):
+                turn = _turn(tree)
                 key = np.full(part.num_rows, tree + 1, np.uint64)
                 with np.errstate(over="ignore"):
-                    for k in _turn(tree)[:DEPTH]:
+                    for k in turn[:DEPTH]:
                         key = shared.mixed(key * np.uint64(0x9E3779B97F4A7C15) + whole[:, k])
-                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(np.full(part.num_rows, tree, np.int32)), pa.array(key.astype(np.int64))], ["node", "tree", "group"])
+                group = (key >> np.uint64(TREES.bit_length())) | np.uint64(tree << (64 - TREES.bit_length()))
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(group.view(np.int64)), _binary(_low_bytes(whole[:, turn[DEPTH : DEPTH + DEEP]]))], ["node", "group", "deep"])
+
+
+def _stretches(deep: np.ndarray, most: int) -> np.ndarray:
+    """A number for each row of one region in order: stretches of up to `most` rows, cut at the shortest common prefixes."""
+    n = len(deep)
+    same = deep[1:] == deep[:-1]
+    prefix = np.concatenate([[-1], np.where(same.all(axis=1), DEEP, np.argmin(same, axis=1))]) if n > 1 else np.full(n, -1)
+    begins = prefix < 0
+    for depth in range(1, DEEP + 1):
+        number = np.cumsum(begins) - 1
+        long = np.bincount(number)[number] > most
+        if not long.any():
+            break
+        begins |= long & (prefix < depth)
+    number = np.cumsum(begins) - 1
+    # Rows that all these values don't tell apart are cut as they stand.
+    starts = np.flatnonzero(begins)
+    begins |= (np.arange(n) - starts[number]) % most == 0
+    return np.cumsum(begins) - 1
+
+
+def _neighbours(batches: Iterable[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """The rows with a neighbour in their region, and stretch, the first node of their stretch of it; from a range of the trees' orders.
+
+    The first and the last region of the range may go on outside it, and come
+    whole, whatever they hold here.
+    """
+    names = ["node", "group", "stretch"]
+
+    def given(node: np.ndarray, group: np.ndarray, stretch: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(node), pa.array(group), pa.array(stretch)], names)
+
+    held, first = None, True
+    for table in _whole_groups(batches, "group"):
+        table = table.combine_chunks()
+        node, group = np.asarray(table["node"]), np.asarray(table["group"])
+        starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        sizes = np.diff(np.append(starts, len(group)))
+        stretch = np.repeat(node[starts], sizes)
+        for a, n in zip(starts[sizes > most].tolist(), sizes[sizes > most].tolist(), strict=True):
+            deep = np.frombuffer(b"".join(table["deep"].slice(a, n).to_pylist()), np.uint8).reshape(n, DEEP)
+            number = _stretches(deep, most)
+            stretch[a : a + n] = node[a : a + n][np.flatnonzero(np.diff(number, prepend=-1))[number]]
+        held = None
+        keep = np.repeat(sizes > 1, sizes)
+        if first:
+            keep[: sizes[0]] = True
+            first = False
+        # A last region of one row waits: it goes if another table follows.
+        if sizes[-1] == 1 and not keep[-1]:
+            held = node[-1:], group[-1:], stretch[-1:]
+        yield given(node[keep], group[keep], stretch[keep])
+    if held is not None:
+        yield given(*held)
 
 
 def _small(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The rows with a small form of the signature, a byte for each value."""
-    width = TREES * DEPTH
     for batch in batches:
         for part in (batch.slice(k, 4_000) for k in range(0, batch.num_rows, 4_000)):
-            small = np.ascontiguousarray(((_matrix(part) * np.uint32(2654435761)) >> np.uint32(24)).astype(np.uint8))
-            made = pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), part.num_rows, [None, pa.py_buffer(small)]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("node", "unit", "asked", "closed")), made], ["node", "unit", "asked", "closed", "small"])
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("node", "unit", "asked", "closed")), _binary(_low_bytes(_matrix(part)))], ["node", "unit", "asked", "closed", "small"])
 
 
 def _whole_groups(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
@@ -283,15 +353,28 @@ def linked(text: pa.Array, size: int, percent: int, asked: np.ndarray | None = N
 
 
 def _regions(signed: DataFrame) -> DataFrame:
-    """group (the region), node, n, held and first of the texts that share a region of a tree."""
+    """group (the region), node, stretch, n, held and first of the texts that share a region of a tree."""
     kind = signed.schema["node"].dataType.simpleString()
-    keyed = shared.written(signed.select("node", "signature").mapInArrow(_keys, f"node {kind}, tree int, group long"), "keys")
-    several = keyed.groupBy("group").agg(F.count("*").alias("held"), F.min("node").alias("first")).filter("held > 1")
-    regions = shared.written(keyed.join(several, "group").select("group", "node", F.lit(1).cast("long").alias("n"), "held", "first"), "regions")
+    keyed = shared.written(signed.select("node", "signature").mapInArrow(_keys, f"node {kind}, group long, deep binary"), "keys")
+    order = keyed.repartitionByRange("group", "deep").sortWithinPartitions("group", "deep", "node")
+    near = shared.written(order.mapInArrow(partial(_neighbours, most=REGION), f"node {kind}, group long, stretch {kind}"), "neighbours")
     shared.drop_written(keyed)
+    # What few regions lie across two ranges is put together here.
+    several = near.groupBy("group").agg(F.count("*").alias("held"), F.min("node").alias("first")).filter("held > 1")
+    regions = shared.written(near.join(several, "group").select("group", "node", "stretch", F.lit(1).cast("long").alias("n"), "held", "first"), "regions")
+    shared.drop_written(near)
     return regions
 
 
+def _in_order(regions: DataFrame) -> DataFrame:
+    """Units of a first pass: each region, or each stretch of a crowded one, with the region's first node in each."""
+    whole = F.col("held") <= REGION
+    name = F.concat_ws("-", F.col("group").cast("string"), F.col("stretch").cast("string"))
+    own = regions.filter(whole | (F.col("node") != F.col("first"))).select("node", F.when(whole, F.col("group").cast("string")).otherwise(name).alias("unit"))
+    stretches = regions.filter(~whole).groupBy("group", "stretch").agg(F.min("first").alias("node")).select("node", name.alias("unit"))
+    return own.union(stretches).select("node", "unit", F.lit(True).alias("asked"), F.lit(False).alias("closed"))
+
+
 def _block(blocks: Column) -> Column:
     """The block of a group's so many to which a node is dealt."""
     return F.pmod(F.xxhash64("group", "node"), blocks)
@@ -339,7 +422,7 @@ def _groups(signed: DataFrame, percent: int) -> DataFrame:
         return ordered.mapInArrow(partial(_likely, least=_least_equal(percent / 100)), f"a {kind}, b {kind}")
 
     regions = _regions(signed)
-    reached = shared.components(links(_dealt(regions, REGION)), "likely")
+    reached = shared.components(links(_in_order(regions)), "likely")
     crowded = regions.filter(F.col("held") > REGION)
     if not crowded.isEmpty():
         more = shared.written(links(_against(crowded, reached, REGION)), "more")
