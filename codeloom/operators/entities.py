@@ -1,7 +1,8 @@
-"""Entities of source text by patterns: classes, interfaces, members, functions, types and enums.
+"""Entities of source text: classes, interfaces, members, functions, types, enums and calls, with where each stands.
 
-Approximate where a syntax tree would be needed: a body ends at the first line
-that begins with a closing brace, and entities in strings count as well.
+A scan (`shapes`) tells the stretches of declarations, functions and calls; what
+belongs to what is the innermost stretch around it. Every function here takes
+modules (id, text), or what `scanned` made of them once for several.
 """
 
 from __future__ import annotations
@@ -9,95 +10,89 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.functions import scalars
+from codeloom.operators import shapes
 
-CLASS = r"(?s)(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+(\w+)(?:<[^>{]*>)?(?:\s+extends\s+([\w.]+)(?:<[^>{]*>)?)?(?:\s+implements\s+([\w\s,.<>]+?))?\s*\{(.*?)\n\}"
-INTERFACE = r"(?s)interface\s+(\w+)(?:<[^>{]*>)?(?:\s+extends\s+([\w\s,.<>]+?))?\s*\{(.*?)\n\}"
-METHOD = r"(?m)^\s+(?:(public|private|protected)\s+)?(?:static\s+)?(async\s+)?([\w$]+)\s*\(([^()]*)\)\s*(?::\s*([^{;]+?))?\s*[{;]"
-PROPERTY = r"(?m)^\s+(?:(public|private|protected)\s+)?(?:static\s+)?(?:readonly\s+)?([\w$]+)[?!]?\s*:\s*([^;=({]+?)\s*(?:=[^;]*)?;"
-FUNCTION = r"export\s+(?:default\s+)?(async\s+)?function\s+(\w+)\s*(?:<[^>]*>)?\(([^()]*)\)"
-TYPE = r"export\s+type\s+(\w+)(<[^>=]*>)?\s*=\s*([^;]+);"
-ENUM = r"export\s+(?:const\s+)?enum\s+(\w+)\s*\{([^}]*)\}"
 
+def scanned(modules: DataFrame) -> DataFrame:
+    """The shapes of modules; shapes stay as they are."""
+    return modules if "kind" in modules.columns else shapes.shapes(modules)
 
-def _found(modules: DataFrame, pattern: str, **parts: int) -> DataFrame:
-    """module_id, and the groups named in parts, of every match; empty groups are null."""
-    each = modules.select(F.col("id").alias("module_id"), F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias("m"))
-    return each.select("module_id", *(F.nullif(F.trim(F.regexp_extract("m", pattern, k)), F.lit("")).alias(name) for name, k in parts.items()))
 
+def _of(modules: DataFrame, *kinds: str) -> DataFrame:
+    return scanned(modules).filter(F.col("kind").isin(*kinds))
 
-def names(listed: Column) -> Column:
-    """The names of a list with commas, without type arguments."""
-    return F.filter(F.transform(F.split(F.coalesce(listed, F.lit("")), ","), lambda x: F.regexp_extract(F.trim(x), r"^([\w.]+)", 1)), lambda x: x != "")
+
+def _has(word: str) -> Column:
+    return F.array_contains("mods", word)
 
 
 def classes(modules: DataFrame) -> DataFrame:
-    return _found(modules, CLASS, name=1, extends=2, implements=3).withColumn("implements", names(F.col("implements")))
+    return _of(modules, "class").select("module_id", "name", "extends", F.col("others").alias("implements"))
 
 
 def interfaces(modules: DataFrame) -> DataFrame:
-    return _found(modules, INTERFACE, name=1, extends=2).withColumn("extends", names(F.col("extends")))
+    return _of(modules, "interface").select("module_id", "name", F.col("others").alias("extends"))
+
+
+def members(modules: DataFrame, *kinds: str) -> DataFrame:
+    """Shapes of members with parent and parent_type, the class or interface in whose body they stand."""
+    found = scanned(modules)
+    around = found.filter(F.col("kind").isin("class", "interface")).select("module_id", "begin", "stop", "kind", "name")
+    placed = shapes.innermost(found.filter(F.col("kind").isin(*kinds)), around, ["name", "kind"])
+    return placed.withColumnRenamed("in_name", "parent").withColumnRenamed("in_kind", "parent_type")
 
 
-def _bodies(modules: DataFrame) -> DataFrame:
-    own = _found(modules, CLASS, parent=1, body=4).withColumn("parent_type", F.lit("class"))
-    return own.unionByName(_found(modules, INTERFACE, parent=1, body=3).withColumn("parent_type", F.lit("interface"))).withColumn("body", F.concat(F.lit("\n "), F.coalesce("body", F.lit("")), F.lit("\n")))
+def visibility() -> Column:
+    """What is written, public if nothing is."""
+    return F.when(_has("private"), "private").when(_has("protected"), "protected").otherwise("public").alias("visibility")
 
 
 def methods(modules: DataFrame) -> DataFrame:
-    """Members with a body or a signature; visibility is what is written, public if nothing is."""
-    each = _bodies(modules).select("module_id", "parent", "parent_type", F.explode(F.regexp_extract_all("body", F.lit(METHOD), F.lit(0))).alias("m"))
-    part = lambda k: F.nullif(F.trim(F.regexp_extract("m", METHOD, k)), F.lit(""))
-    made = each.select(
-        "module_id", "parent", "parent_type", part(3).alias("name"), F.coalesce(part(1), F.lit("public")).alias("visibility"), part(2).isNotNull().alias("is_async"),
-        part(4).alias("parameters"), part(5).alias("return_type"),
+    """Members with a body or a signature, and those whose value or type is a function."""
+    made = members(modules, "method")
+    return made.select(
+        "module_id", "parent", "parent_type", "name", visibility(), _has("async").alias("is_async"), _has("static").alias("is_static"),
+        "params", "n_params", F.col("type").alias("return_type"), "line", "last_line", "documented",
     )
-    return made.filter(~F.col("name").isin("if", "for", "while", "switch", "catch", "return", "function"))
 
 
 def properties(modules: DataFrame) -> DataFrame:
-    each = _bodies(modules).select("module_id", "parent", "parent_type", F.posexplode(F.regexp_extract_all("body", F.lit(PROPERTY), F.lit(0))).alias("place", "m"))
-    part = lambda k: F.nullif(F.trim(F.regexp_extract("m", PROPERTY, k)), F.lit(""))
-    return each.select("module_id", "parent", "parent_type", "place", part(2).alias("name"), F.coalesce(part(1), F.lit("public")).alias("visibility"), part(3).alias("type"))
+    """Members that are no functions; place counts them within their parent."""
+    made = members(modules, "property")
+    by = ("module_id", "parent", "parent_type")
+    listed = made.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("begin", "name", visibility(), "type"))).alias("listed"))
+    return listed.select(*by, F.posexplode("listed").alias("place", "p")).select(*by, "place", "p.name", "p.visibility", "p.type")
 
 
 def functions(modules: DataFrame) -> DataFrame:
     """Exported functions, each name once for a module."""
-    return _found(modules, FUNCTION, is_async=1, name=2, parameters=3).withColumn("is_async", F.col("is_async").isNotNull()).dropDuplicates(["module_id", "name"])
+    made = _of(modules, "function").filter(_has("export"))
+    first = made.groupBy("module_id", "name").agg(F.min_by(F.struct(_has("async").alias("is_async"), "params", "n_params", F.col("type").alias("return_type"), "line", "last_line", "documented"), "begin").alias("f"))
+    return first.select("module_id", "name", "f.*")
 
 
 def type_aliases(modules: DataFrame) -> DataFrame:
     """Exported types: their body in one line and their parameters as JSON."""
-    made = _found(modules, TYPE, name=1, parameters=2, body=3)
-    inner = F.regexp_replace(F.coalesce("parameters", F.lit("")), "[<>]", "")
-    return made.select("module_id", "name", scalars.collapse_space(F.col("body")).alias("body"), F.to_json(names(inner)).alias("type_parameters_json"))
+    made = _of(modules, "type").filter(_has("export"))
+    return made.select("module_id", "name", "body", F.to_json("others").alias("type_parameters_json"))
 
 
 def enums(modules: DataFrame) -> DataFrame:
     """Exported enums with their members and values as JSON."""
-    made = _found(modules, ENUM, name=1, body=2)
-    entries = F.filter(F.split(F.coalesce("body", F.lit("")), ","), lambda e: F.trim(e) != "")
-    members = F.transform(entries, lambda e: F.struct(F.regexp_extract(F.trim(e), r"^(\w+)", 1).alias("name"), F.nullif(F.trim(F.regexp_extract(e, r"=(.*)$", 1)), F.lit("")).alias("value")))
+    made = _of(modules, "enum").filter(_has("export"))
+    members = F.transform("others", lambda e: F.struct(F.regexp_extract(e, r"^['\"]?([\w$-]+)", 1).alias("name"), F.nullif(F.trim(F.regexp_extract(e, r"=(.*)$", 1)), F.lit("")).alias("value")))
     return made.select("module_id", "name", F.to_json(members).alias("members_json"))
 
 
-def parameters(listed: Column) -> Column:
-    """name, is_optional and is_rest of parameters that are plain names, in order; patterns are left out."""
-    bare = F.regexp_replace(F.coalesce(listed, F.lit("")), r"\{[^}]*\}|\[[^\]]*\]", "")
-    each = F.transform(F.split(bare, ","), lambda p: F.trim(p))
-    made = F.transform(each, lambda p: F.struct(F.regexp_extract(p, r"^(?:\.\.\.)?([\w$]+)", 1).alias("name"), p.rlike(r"^[\w$]+\?").alias("is_optional"), p.startswith("...").alias("is_rest")))
-    return F.filter(made, lambda p: p["name"] != "")
-
-
-#: Words that look like calls and are none.
-NO_CALLS = ("if", "for", "while", "switch", "catch", "return", "function", "import", "typeof", "await", "super")
-#: A call: what stands before the name, the name, and no body behind the brackets, as a declaration has.
-CALL = r"(?<![\w$.])(?:(new|function)\s+)?((?:[\w$]+\.)*)([\w$]+)\s*\((?![^()]*\)\s*(?::[^{};]*)?\{)"
-
-
 def calls(modules: DataFrame) -> DataFrame:
     """id, module_id, name and qualified (called as a member) of the calls of each module, each once; constructors are left out."""
-    each = modules.select(F.col("id").alias("module_id"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(CALL), F.lit(0)))).alias("m"))
-    part = lambda k: F.regexp_extract("m", r"^(?:(new|function)\s+)?((?:[\w$]+\.)*)([\w$]+)", k)
-    made = each.select("module_id", part(3).alias("name"), (part(2) != "").alias("qualified"), part(1).alias("word")).filter((F.col("word") == "") & ~F.col("name").isin(*NO_CALLS))
-    return made.select(F.concat_ws(":", "module_id", F.col("qualified").cast("string"), "name").alias("id"), "module_id", "name", "qualified").distinct()
+    made = _of(modules, "call").select("module_id", "name", F.col("type").isNotNull().alias("qualified")).distinct()
+    return made.select(F.concat_ws(":", "module_id", F.col("qualified").cast("string"), "name").alias("id"), "module_id", "name", "qualified")
+
+
+def call_sites(modules: DataFrame) -> DataFrame:
+    """module_id, line, name, qualifier, is_awaited and the innermost function around each call: in_kind, in_name, in_async; null outside all functions."""
+    found = scanned(modules)
+    around = found.filter(F.col("kind").isin("function", "method", "closure")).select("module_id", "begin", "stop", "kind", "name", _has("async").alias("async"))
+    placed = shapes.innermost(found.filter("kind = 'call'").select("module_id", "begin", "line", "name", F.col("type").alias("qualifier"), _has("await").alias("is_awaited")), around, ["kind", "name", "async"])
+    return placed.drop("begin")

@@ -6,8 +6,10 @@ short and a lost executor costs one round.
 
 from __future__ import annotations
 
+import atexit
 import tempfile
-from collections.abc import Callable, Iterator
+import uuid
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -30,10 +32,32 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return folder
 
 
+_kept: list[tuple[SparkSession, str]] = []
+
+
+def _clear() -> None:
+    for spark, path in _kept:
+        try:
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:  # noqa: BLE001  the session has ended; what is left is the folder's owner's to clear
+            return
+
+
 def settled(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the checkpoint folder."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint()
+    """df, computed once, as a table in the checkpoint folder that goes when Python ends.
+
+    What reads it starts from columns of known size, and from none of the
+    conditions that the planner has gathered about df, which grow with each
+    round of a loop.
+    """
+    spark = df.sparkSession
+    if not _kept:
+        atexit.register(_clear)
+    path = f"{checkpoint_folder(spark)}/codeloom-graph-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _kept.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def _fixpoint(state: DataFrame, step: Callable[[DataFrame], DataFrame], differs: Column, most: int | None = None) -> DataFrame:
@@ -141,70 +165,6 @@ def strongly_connected(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     return found.join(several, "component", "left_semi").select("id", "component")
 
 
-def _cut(groups: pd.DataFrame) -> pd.DataFrame:
-    """Articulation points of one undirected component, by low links without recursion."""
-    near: dict = {}
-    for a, b in zip(groups["src"], groups["dst"], strict=True):
-        near.setdefault(a, set()).add(b)
-        near.setdefault(b, set()).add(a)
-    order: dict = {}
-    low: dict = {}
-    cut = set()
-    root = min(near)
-    order[root] = low[root] = 0
-    stack: list[tuple[object, object, Iterator]] = [(root, None, iter(sorted(near[root])))]
-    children = 0
-    while stack:
-        v, parent, rest = stack[-1]
-        w = next(rest, None)
-        if w is None:
-            stack.pop()
-            if stack:
-                up = stack[-1][0]
-                low[up] = min(low[up], low[v])
-                if up != root and low[v] >= order[up]:
-                    cut.add(up)
-        elif w not in order:
-            order[w] = low[w] = len(order)
-            children += v == root
-            stack.append((w, v, iter(sorted(near[w]))))
-        elif w != parent:
-            low[v] = min(low[v], order[w])
-    if children > 1:
-        cut.add(root)
-    return pd.DataFrame({"id": sorted(cut)}, dtype=groups["src"].dtype)
-
-
-def articulation_points(vertices: DataFrame, edges: DataFrame, peels: int = 20) -> DataFrame:
-    """id of the vertices whose removal splits their component.
-
-    Vertices with one neighbour are settled by counting: such a vertex, and what
-    hung on it, is cut off by its neighbour if that has any other, and can then
-    be left out. This is done up to `peels` times, as long as it takes away a
-    tenth of the edges; the rest of each connected component is walked in one
-    task, so it must fit there.
-    """
-    ship_code(edges.sparkSession)
-    left = settled(edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).filter("src <> dst").distinct())
-    ends = F.explode(F.array("src", "dst")).alias("id")
-    several = settled(left.select(ends).groupBy("id").count().filter("count > 1").select("id"))
-    found, n = None, left.count()
-    for _ in range(peels):
-        leaves = left.select(ends).groupBy("id").count().filter("count = 1").select("id")
-        marked = left.join(leaves.withColumn("a", F.lit(1)).withColumnRenamed("id", "src"), "src", "left").join(leaves.withColumn("z", F.lit(1)).withColumnRenamed("id", "dst"), "dst", "left")
-        marked = settled(marked)
-        cut = marked.filter("a = 1").select(F.col("dst").alias("id")).union(marked.filter("z = 1").select(F.col("src").alias("id"))).join(several, "id", "left_semi")
-        found = cut if found is None else found.union(cut)
-        left = settled(marked.filter("a is null and z is null").select("src", "dst"))
-        before, n = n, left.count()
-        if 10 * n > 9 * before:
-            break
-    where = connected(left.select(ends).distinct(), left).withColumnRenamed("id", "src")
-    kind = edges.schema["src"].dataType.simpleString()
-    walked = left.join(where, "src").groupBy("component").applyInPandas(_cut, f"id {kind}")
-    return walked if found is None else walked.union(found).distinct()
-
-
 def label_propagation(vertices: DataFrame, edges: DataFrame, rounds: int = 10) -> DataFrame:
     """id and label (its least id) of the communities of an undirected graph; rounds: sweeps at most.
 
@@ -435,24 +395,44 @@ def running(df: DataFrame, group: str, order: list[str], amount: Column, name: s
     return dealt.withColumn("_own", F.coalesce(own, F.lit(0))).join(begins, [group, "_part"]).withColumn(name, (F.col("_own") + F.col("_begin")).cast(kind)).drop("_amount", "_part", "_own", "_begin")
 
 
+#: A layer whose largest degree is so many times its mean is ordered from its middle outwards.
+CENTRAL = 2
+
+
 def order_layers(placed: DataFrame, edges: DataFrame, passes: int = 2) -> DataFrame:
     """id, layer and place: vertices of a layer ordered by the mean place of their neighbours in other layers, nearer ones weighing more.
 
-    Every sweep averages over both directions and ranks within each layer; ties
-    go by id. placed: id, layer.
+    A pass sweeps once with the neighbours in lower layers and once with those
+    in higher ones; a sweep takes all places as the one before has left them, so
+    it is one step for all layers. A vertex without such neighbours counts as
+    where it is; ties go by id. Then layers of three vertices or more with a
+    clear centre are ordered anew: the vertex of most neighbours in the middle,
+    the others by turns behind and before it. placed: id, layer.
     """
-    both = settled(edges.select("src", "dst").union(edges.select("dst", "src")).distinct())
+    both = settled(edges.select("src", "dst").union(edges.select("dst", "src")).filter("src <> dst").distinct())
     one = F.lit(1).cast("int")
     placed = settled(placed.select("id", "layer"))
     largest = largest_group(placed, "layer")  # no sweep changes a layer
     state = settled(running(placed, "layer", ["id"], one, "before", largest=largest).select("id", "layer", (F.col("before") + 1).cast("int").alias("place")))
-    for _ in range(2 * passes):
+    for side in ("layer > to", "layer < to") * passes:
         other = state.select(F.col("id").alias("dst"), F.col("layer").alias("to"), F.col("place").alias("at"))
-        near = both.join(other, "dst").join(state.select(F.col("id").alias("src"), "layer"), "src").filter("layer <> to").withColumn("w", 1 / F.abs(F.col("layer") - F.col("to")))
+        near = both.join(other, "dst").join(state.select(F.col("id").alias("src"), "layer"), "src").filter(side).withColumn("w", 1 / F.abs(F.col("layer") - F.col("to")))
         mean = near.groupBy(F.col("src").alias("id")).agg(F.round(F.sum(F.col("w") * F.col("at")) / F.sum("w"), 9).alias("mean"))
         means = state.join(mean, "id", "left").withColumn("mean", F.coalesce("mean", F.col("place").cast("double"))).select("id", "layer", "mean")
         state = settled(running(means, "layer", ["mean", "id"], one, "before", largest=largest).select("id", "layer", (F.col("before") + 1).cast("int").alias("place")))
-    return state
+    return _from_the_middle(state, both, largest)
+
+
+def _from_the_middle(state: DataFrame, both: DataFrame, largest: int) -> DataFrame:
+    """state with the places of layers with a clear centre dealt from their middle outwards."""
+    degree = both.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("degree"))
+    known = state.join(degree, "id", "left").withColumn("fewer", -F.coalesce("degree", F.lit(0)))
+    clear = known.groupBy("layer").agg(F.count("*").alias("n"), F.min("fewer").alias("most"), F.sum("fewer").alias("all"))
+    clear = clear.filter((F.col("n") > 2) & (F.col("all") < 0) & (F.col("most") * F.col("n") <= CENTRAL * F.col("all"))).select("layer", "n")
+    ranked = running(known.select("id", "layer", "place", "fewer"), "layer", ["fewer", "place"], F.lit(1).cast("int"), "rank", largest=largest)
+    middle, offset = F.floor((F.col("n") - 1) / 2), F.ceil(F.col("rank") / 2)
+    dealt = middle + F.when(F.col("rank") % 2 == 1, offset).otherwise(-offset) + 1
+    return ranked.join(clear, "layer", "left").select("id", "layer", F.coalesce(dealt, F.col("place")).cast("int").alias("place"))
 
 
 def coordinates(placed: DataFrame, width: float = 300.0, gap: float = 20.0) -> DataFrame:

@@ -36,9 +36,8 @@ def _complexity(modules: DataFrame) -> DataFrame:
 
 
 def _duplication(modules: DataFrame) -> dict[str, DataFrame]:
-    found = sources_text.clones(_named(modules))
-    counts = found.groupBy("module_id").agg(F.count("*").alias("n"))
-    return {"metrics": _long(counts, "module_id", {"duplication.fragments": F.col("n")}), "duplications": found}
+    found = sources_text.clone_pairs(_named(modules))
+    return {"metrics": _long(sources_text.duplicated_lines(found), "module_id", {"duplication.duplicatedLineCount": F.col("lines")}), "duplications": found}
 
 
 def _rules(modules: DataFrame) -> dict[str, DataFrame]:
@@ -47,9 +46,9 @@ def _rules(modules: DataFrame) -> dict[str, DataFrame]:
 
 def _calls(modules: DataFrame) -> dict[str, DataFrame]:
     named = _named(modules)
-    functions = entities.functions(named).select(F.concat_ws(":", "module_id", "name").alias("id"), "name")
-    methods = entities.methods(named).filter("parent_type = 'class'").select(F.concat_ws(":", "module_id", "parent", "name").alias("id"), "name")
-    return {"callEdges": resolve.call_graph(named, functions, methods)}
+    functions = entities.functions(named).select(F.concat_ws(":", "module_id", "name").alias("id"), "module_id", "name")
+    methods = entities.methods(named).filter("parent_type = 'class'").select(F.concat_ws(":", "module_id", "parent", "name").alias("id"), "module_id", "name")
+    return {"callEdges": resolve.call_edges(named, functions, methods)}
 
 
 def _imports(modules: DataFrame) -> DataFrame:

@@ -82,6 +82,11 @@ def call_targets(calls: DataFrame, functions: DataFrame, methods: DataFrame) ->
     return both.select("id", status.alias("status"), F.when(n == 1, one).alias("target_id"))
 
 
+def _outside(modules: DataFrame) -> DataFrame:
+    """module_id and name of what each module imports from packages."""
+    return sources_text.imports(modules).filter(~paths.is_internal(F.col("source"))).select("module_id", F.col("local").alias("name")).distinct().withColumn("outside", F.lit(True))
+
+
 def call_graph(modules: DataFrame, functions: DataFrame, methods: DataFrame) -> DataFrame:
     """module_id, name, qualified, status and target_id of every module's calls: resolved, ambiguous, unresolved, or external.
 
@@ -89,12 +94,40 @@ def call_graph(modules: DataFrame, functions: DataFrame, methods: DataFrame) ->
     imports from a package is external, whatever else is called so.
     """
     calls = entities.calls(modules)
-    outside = sources_text.imports(modules).filter(~paths.is_internal(F.col("source"))).select("module_id", F.col("local").alias("name")).distinct().withColumn("outside", F.lit(True))
-    found = call_targets(calls, functions, methods).join(calls, "id").join(outside, ["module_id", "name"], "left")
+    found = call_targets(calls, functions, methods).join(calls, "id").join(_outside(modules), ["module_id", "name"], "left")
     mine = F.col("outside").isNull() | F.col("qualified")
     return found.select("module_id", "name", "qualified", F.when(mine, F.col("status")).otherwise("external").alias("status"), F.when(mine, F.col("target_id")).alias("target_id"))
 
 
+def call_edges(modules: DataFrame, functions: DataFrame, methods: DataFrame) -> DataFrame:
+    """A row for each call that stands in a known function: who calls, what, where, and what it means.
+
+    module_id, source_id, source_type, name, qualifier, line, is_awaited,
+    is_async, status and target_id. functions and methods: id, module_id, name.
+    The caller is the innermost function around the call, if that has a name and
+    its module has one such method, or one such function and else one such
+    method; other calls are left out, and of several calls of a name in one line
+    by one caller the first stays. is_async: awaited, or called in an async
+    function.
+    """
+    sites = entities.call_sites(modules).filter("in_name is not null")
+    one = lambda df, kind: df.groupBy("module_id", F.col("name").alias("in_name")).agg(F.min("id").alias(f"{kind}_id"), F.count_distinct("id").alias("n")).filter("n = 1").drop("n")
+    known = sites.join(one(methods, "method"), ["module_id", "in_name"], "left").join(one(functions, "function"), ["module_id", "in_name"], "left")
+    own = F.when(F.col("in_kind") != "method", F.col("function_id"))
+    named = known.withColumn("source_id", F.coalesce(own, "method_id")).filter("source_id is not null").withColumn("source_type", F.when(own.isNotNull(), "function").otherwise("method"))
+    first = named.groupBy("module_id", "source_id", "source_type", "name", "line").agg(
+        F.min_by(F.struct("qualifier", "is_awaited", (F.col("is_awaited") | F.col("in_async")).alias("is_async")), F.struct(F.coalesce("qualifier", F.lit("")), "is_awaited")).alias("call")
+    )
+    each = first.select("module_id", "source_id", "source_type", "name", "line", "call.*").withColumn("qualified", F.col("qualifier").isNotNull())
+    wanted = each.select("name", "qualified").distinct().withColumn("id", F.concat_ws(":", F.col("qualified").cast("string"), "name"))
+    targets = call_targets(wanted, functions.select("id", "name"), methods.select("id", "name")).join(wanted, "id").select("name", "qualified", "status", "target_id")
+    found = each.join(targets, ["name", "qualified"]).join(_outside(modules), ["module_id", "name"], "left")
+    mine = F.col("outside").isNull() | F.col("qualified")
+    return found.select(
+        "module_id", "source_id", "source_type", "name", "qualifier", "line", "is_awaited", "is_async", F.when(mine, F.col("status")).otherwise("external").alias("status"), F.when(mine, F.col("target_id")).alias("target_id")
+    )
+
+
 def suffixes(path: Column) -> Column:
     """A path and what follows each of its slashes: the keys under which a report may name it."""
     parts = F.split(path, "/")

@@ -6,7 +6,7 @@ patterns; what needs a syntax tree is approximate and says so.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions import scalars
@@ -164,6 +164,50 @@ def clones(modules: DataFrame, size: int = 10, tokens: int = 70) -> DataFrame:
     return placed.join(several, "fragment").select("fragment", "module_id", "start_line", "places")
 
 
+def _windows(modules: DataFrame, size: int) -> DataFrame:
+    """fragment, module_id, place (among lines that aren't blank), from and to (lines), own (tokens of the first line) and tokens of all runs of `size` lines."""
+    kept = F.filter(F.transform(lines(F.col("text")), lambda x, k: F.struct(F.trim(x).alias("line"), (k + 1).alias("at"), F.regexp_count(x, F.lit(r"\w+|[^\s\w]")).alias("n"))), lambda x: F.length(x["line"]) > 0)
+    beside = F.arrays_zip(*(F.slice("kept", F.lit(k + 1), F.greatest(F.size("kept") - size + 1, F.lit(0))).alias(f"l{k}") for k in range(size)))
+    text = lambda x: F.concat_ws("\n", *(x[f"l{k}"]["line"] for k in range(size)))
+    each = lambda x, k: F.struct(
+        F.sha1(text(x)).alias("fragment"), k.alias("place"), x["l0"]["at"].alias("from"), x[f"l{size - 1}"]["at"].alias("to"), x["l0"]["n"].alias("own"), sum((x[f"l{k}"]["n"] for k in range(1, size)), x["l0"]["n"]).alias("tokens")
+    )
+    runs = modules.select("id", kept.alias("kept")).select("id", beside.cast(_runs(size)).alias("runs"))
+    return runs.select(F.col("id").alias("module_id"), F.explode(F.transform("runs", each)).alias("w")).select("module_id", "w.*")
+
+
+def clone_pairs(modules: DataFrame, size: int = 10, tokens: int = 70) -> DataFrame:
+    """Maximal stretches that stand again: a row for each, with the place where its text stood first.
+
+    fingerprint, first_module, first_start, first_end, second_module,
+    second_start, second_end, lines (of the first place) and tokens. Seeds are
+    equal runs of `size` lines, blank ones and space at ends left out; each is
+    paired with the first place of its text, in order of modules and lines, so a
+    text of many places makes as many pairs and not their square. Seeds that
+    follow each other in both modules lie on one diagonal and are one clone; it
+    counts if it has so many tokens.
+    """
+    seeds = _windows(modules, size)
+    first = seeds.groupBy("fragment").agg(F.min(F.struct("module_id", "place", "from", "to")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("fragment", "first")
+    met = seeds.join(first, "fragment").filter((F.col("module_id") != F.col("first.module_id")) | (F.col("place") != F.col("first.place")))
+    met = met.withColumn("diagonal", F.col("place") - F.col("first.place"))
+    line = ["module_id", F.col("first.module_id"), "diagonal"]
+    islands = met.withColumn("island", F.col("place") - F.row_number().over(Window.partitionBy(*line).orderBy("place")))
+    whole = islands.groupBy("module_id", F.col("first.module_id").alias("first_module"), "diagonal", "island").agg(
+        F.min("first.from").alias("first_start"), F.max("first.to").alias("first_end"), F.min("from").alias("second_start"), F.max("to").alias("second_end"),
+        (F.sum("own") + F.max_by(F.col("tokens") - F.col("own"), "place")).alias("tokens"),
+        F.sha1(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "fragment"))), lambda x: x["fragment"]), "")).alias("fingerprint"),
+    )
+    counted = whole.filter(F.col("tokens") >= tokens).withColumn("lines", F.col("first_end") - F.col("first_start") + 1)
+    return counted.select("fingerprint", "first_module", "first_start", "first_end", F.col("module_id").alias("second_module"), "second_start", "second_end", "lines", "tokens")
+
+
+def duplicated_lines(pairs: DataFrame) -> DataFrame:
+    """module_id and lines: those of all clones that a module takes part in, once where both places are its own."""
+    sides = F.array_distinct(F.array("first_module", "second_module"))
+    return pairs.select(F.explode(sides).alias("module_id"), "lines").groupBy("module_id").agg(F.sum("lines").alias("lines"))
+
+
 def union_members(type_text: Column) -> Column:
     """Members of a union type at its top level, however deep brackets, braces, angles and quotes nest; 0 for no text.
 

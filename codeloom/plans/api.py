@@ -107,16 +107,23 @@ def cached(b: Bound) -> DataFrame:
     return held.fetch("graph", lambda: b("summary"), lambda: b("modules").groupBy("package_id").agg(F.count("*").alias("modules")))
 
 
-@query("snk08_transaction", "SELECT n_nationkey AS id FROM nation WHERE n_regionkey <> 2")
+@query("snk08_transaction", "SELECT n_nationkey AS id, n_regionkey AS region, count(*) OVER (PARTITION BY n_regionkey) AS nations, 2 AS version FROM nation WHERE n_regionkey <> 2")
 def transaction(b: Bound) -> DataFrame:
-    """A table's rows put in place of the old ones at once: staged beside them, then renamed."""
-    from codeloom.operators import tables
+    """Two tables, written as one version and changed as another; a writer that began at the first is turned away."""
     from codeloom.operators.graphs import checkpoint_folder
+    from codeloom.sources.versions import Conflict, VersionedTables
 
+    store = VersionedTables(b.spark, f"{checkpoint_folder(b.spark)}/codeloom-nation-{uuid.uuid4().hex}")
     rows = b("nation").select(F.col("n_nationkey").alias("id"), F.col("n_regionkey").alias("region"))
-    path = f"{checkpoint_folder(b.spark)}/codeloom-nation-{uuid.uuid4().hex}"
-    kept = tables.delete(tables.replace(rows, path), b.spark.createDataFrame([(2,)], "region int"), "region")
-    return tables.replace(kept, path).select("id")
+    counts = lambda df: df.groupBy("region").agg(F.count("*").alias("nations"))
+    first = store.commit({"nations": rows, "regions": counts(rows)}, store.version())
+    kept = store.read("nations").filter("region <> 2")
+    store.commit({"nations": kept, "regions": counts(kept)}, first)
+    try:
+        store.commit({"nations": rows}, first)
+    except Conflict:
+        pass
+    return store.read("nations").join(store.read("regions"), "region").withColumn("version", F.lit(store.version()))
 
 
 @query("snk11_json_export", "SELECT 'r' || i AS kind, (SELECT count(*) FROM issues WHERE rule_code = 'r' || i) AS n FROM range(12) t(i) WHERE n > 0")

@@ -53,13 +53,13 @@ def properties(b: Bound) -> DataFrame:
 @query("ext08_parameters", """SELECT 'm' || doc_id AS module_id, 'load' AS method, unnest([0, 1]) AS place, unnest(['a', 'b']) AS name, unnest([false, true]) AS is_optional, false AS is_rest FROM documents WHERE doc_id % 3 <> 1
     UNION ALL SELECT 'm' || doc_id, 'run' || (doc_id % 6), 0, 'rest', false, true FROM documents WHERE doc_id % 6 <> 5 UNION ALL SELECT 'm' || doc_id, 'grow', 0, 'by', false, false FROM documents WHERE doc_id % 4 <> 1 AND doc_id % 6 = 0""")
 def parameters(b: Bound) -> DataFrame:
-    each = entities.methods(_modules(b)).select("module_id", F.col("name").alias("method"), F.posexplode(entities.parameters(F.col("parameters"))).alias("place", "p"))
-    return each.select("module_id", "method", "place", "p.*")
+    each = entities.methods(_modules(b)).select("module_id", F.col("name").alias("method"), F.posexplode("params").alias("place", "p"))
+    return each.select("module_id", "method", "place", "p.name", "p.is_optional", "p.is_rest")
 
 
 @query("ext09_functions", "SELECT 'm' || doc_id AS module_id, 'fn' || doc_id AS name, doc_id % 2 = 0 AS is_async, (1 + doc_id % 3 % 2)::INT AS parameters FROM documents WHERE doc_id % 5 < 3")
 def functions(b: Bound) -> DataFrame:
-    return entities.functions(_modules(b)).select("module_id", "name", "is_async", F.size(entities.parameters(F.col("parameters"))).alias("parameters"))
+    return entities.functions(_modules(b)).select("module_id", "name", "is_async", F.size("params").alias("parameters"))
 
 
 @query("ext10_type_aliases", """SELECT 'm' || doc_id AS module_id, 'T' || doc_id AS name, '{ a: A } | ' || CASE WHEN doc_id % 2 = 0 THEN 'string' ELSE 'null' END AS body, '["A","B"]' AS type_parameters_json FROM documents WHERE doc_id % 3 = 0""")
@@ -77,7 +77,8 @@ def module_parse(b: Bound) -> DataFrame:
     """A module row for every file, also for one that can't be read or in which nothing is found."""
     given = _modules(b).withColumn("text", F.when(F.col("doc_id") % 5 != 0, F.col("text")))
     count = lambda found, name: found.groupBy(F.col("module_id").alias("id")).agg(F.count("*").cast("int").alias(name))
-    both = given.join(count(entities.classes(given), "classes"), "id", "left").join(count(entities.interfaces(given), "interfaces"), "id", "left")
+    shapes = entities.scanned(given.select("id", "text"))
+    both = given.join(count(entities.classes(shapes), "classes"), "id", "left").join(count(entities.interfaces(shapes), "interfaces"), "id", "left")
     return both.select("id", F.col("text").isNotNull().alias("parsed"), F.coalesce("classes", F.lit(0)).alias("classes"), F.coalesce("interfaces", F.lit(0)).alias("interfaces"))
 
 
@@ -99,3 +100,21 @@ def call_edges(b: Bound) -> DataFrame:
     methods = entities.methods(declared).filter("parent_type = 'class'").select(F.concat_ws(":", "module_id", "parent", "name").alias("id"), "name")
     calling = b("documents").select(F.concat(F.lit("m"), F.col("doc_id").cast("string")).alias("id"), F.expr(CALLS).alias("text"))
     return resolve.call_graph(calling, functions, methods).select("module_id", "name", "status")
+
+
+#: Functions that call by doc_id: methods, nested and nameless functions, objects' methods, strings that look like code.
+CALLERS = """replace(concat('import { ext', doc_id % 3, ' } from "pkg";~class K', doc_id, ' { async run', doc_id % 6, '(a: T) { await this.k.load(7); ext0(a); } }~',
+    'export ', CASE WHEN doc_id % 2 = 0 THEN 'async ' ELSE '' END, 'function fn', doc_id, '(x) {~  const s = "} nothing(1) {"; // gone(2)~  one', doc_id % 2, '(x); one', doc_id % 2, '(x);~',
+    '  list.map((y) => lost(y));~  const load = (z) => { two(`a ${three(z)} }`); };~  return { m() { four(); } };~}~fn', doc_id, '(0);~'), '~', chr(10))"""
+
+
+@query("an09_callers", """WITH e AS (
+      SELECT doc_id, 'K' || doc_id || '.run' || (doc_id % 6) AS source, 'method' AS source_type, unnest(['load', 'ext0']) AS name, unnest(['this.k', NULL]) AS qualifier, 2 AS line, unnest([true, false]) AS is_awaited, true AS is_async FROM documents
+      UNION ALL SELECT doc_id, 'fn' || doc_id, 'function', unnest(['one' || (doc_id % 2), 'map']), unnest([NULL, 'list']), unnest([5, 6]), false, doc_id % 2 = 0 FROM documents)
+    SELECT 'm' || doc_id AS module_id, 'm' || doc_id || ':' || source AS source_id, source_type, name, qualifier, line, is_awaited, is_async,
+           CASE WHEN name = 'ext0' AND doc_id % 3 = 0 THEN 'external' ELSE 'unresolved' END AS status, NULL::VARCHAR AS target_id FROM e""")
+def callers(b: Bound) -> DataFrame:
+    """Calls with the function that makes them, line and status: nested functions' own calls aren't their surroundings'."""
+    given = b("documents").select(F.concat(F.lit("m"), F.col("doc_id").cast("string")).alias("id"), F.expr(CALLERS).alias("text"))
+    named = lambda df, *parts: df.select(F.concat(F.col("module_id"), F.lit(":"), F.concat_ws(".", *parts)).alias("id"), "module_id", "name")
+    return resolve.call_edges(given, named(entities.functions(given), "name"), named(entities.methods(given), "parent", "name"))

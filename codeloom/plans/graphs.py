@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeloom.operators import graphs, model_graph
+from codeloom.operators import blocks, graphs, model_graph
 from codeloom.plans.bindings import Bound
 from codeloom.plans.insights import IMPORT_GRAPH, communities_sql, import_graph
 from codeloom.plans.registry import query
@@ -29,7 +29,7 @@ def scc(b: Bound) -> DataFrame:
     reach AS (SELECT v.x AS gone, b.x, b.y FROM v, b WHERE b.x <> v.x AND b.y <> v.x UNION SELECT r.gone, r.x, b.y FROM reach r JOIN b ON b.x = r.y WHERE b.y <> r.gone)
     SELECT DISTINCT a.x AS id FROM b a JOIN b z ON z.x = a.x AND a.y < z.y WHERE NOT EXISTS (SELECT 1 FROM reach r WHERE r.gone = a.x AND r.x = a.y AND r.y = z.y)""")
 def articulation(b: Bound) -> DataFrame:
-    return graphs.articulation_points(b("nodes"), b("acyclic"))
+    return blocks.articulation_points(b("nodes"), b("acyclic"))
 
 
 @query("gr04_label_propagation", f"WITH RECURSIVE {communities_sql('edges')} SELECT n.id, coalesce(label, n.id) AS label FROM nodes n LEFT JOIN community USING (id)")
@@ -178,14 +178,17 @@ def weights(b: Bound) -> DataFrame:
 
 
 _SWEEPS = "".join(
-    f""", m{k} AS (SELECT w.src AS id, round(sum(1.0 / abs(x.layer - y.layer) * y.place) / sum(1.0 / abs(x.layer - y.layer)), 9) AS mean FROM both_ways w JOIN s{k} x ON x.id = w.src JOIN s{k} y ON y.id = w.dst WHERE x.layer <> y.layer GROUP BY w.src),
+    f""", m{k} AS (SELECT w.src AS id, round(sum(1.0 / abs(x.layer - y.layer) * y.place) / sum(1.0 / abs(x.layer - y.layer)), 9) AS mean FROM both_ways w JOIN s{k} x ON x.id = w.src JOIN s{k} y ON y.id = w.dst WHERE x.layer {'<' if k % 2 else '>'} y.layer GROUP BY w.src),
     s{k + 1} AS (SELECT s{k}.id, layer, row_number() OVER (PARTITION BY layer ORDER BY coalesce(mean, place::DOUBLE), s{k}.id)::INT AS place FROM s{k} LEFT JOIN m{k} USING (id))"""
     for k in range(4)
 )
 
 
 @query("gr17_barycenter_order", f"""WITH {_PATHS}, lay AS (SELECT id, max(n)::INT AS layer FROM p GROUP BY id), both_ways AS (SELECT src, dst FROM acyclic UNION SELECT dst, src FROM acyclic),
-    s0 AS (SELECT id, layer, row_number() OVER (PARTITION BY layer ORDER BY id)::INT AS place FROM lay){_SWEEPS} SELECT id, layer, place FROM s4""")
+    s0 AS (SELECT id, layer, row_number() OVER (PARTITION BY layer ORDER BY id)::INT AS place FROM lay){_SWEEPS},
+    d AS (SELECT s4.*, (SELECT count(*) FROM both_ways w WHERE w.src = s4.id) AS degree FROM s4),
+    r AS (SELECT *, row_number() OVER (PARTITION BY layer ORDER BY degree DESC, place) - 1 AS rank, count(*) OVER (PARTITION BY layer) AS n, max(degree) OVER (PARTITION BY layer) AS most, avg(degree) OVER (PARTITION BY layer) AS mean FROM d)
+    SELECT id, layer, CASE WHEN n > 2 AND mean > 0 AND most >= 2 * mean THEN (n - 1) // 2 + CASE WHEN rank % 2 = 1 THEN (rank + 1) // 2 ELSE -(rank // 2) END + 1 ELSE place END::INT AS place FROM r""")
 def order(b: Bound) -> DataFrame:
     return graphs.order_layers(graphs.layers(b("nodes"), b("acyclic")), b("acyclic"))
 

@@ -182,7 +182,7 @@ def hubs(b: Bound) -> DataFrame:
     reach AS (SELECT gone, y FROM start UNION SELECT r.gone, b.y FROM reach r JOIN b ON b.x = r.y WHERE b.y <> r.gone)
     SELECT DISTINCT b.x AS id, 'warning' AS severity FROM b WHERE NOT EXISTS (SELECT 1 FROM reach r WHERE r.gone = b.x AND r.y = b.y)""")
 def bridges(b: Bound) -> DataFrame:
-    return graphs.articulation_points(b("modules"), import_graph(b)).withColumn("severity", F.lit("warning"))
+    return blocks.articulation_points(b("modules"), import_graph(b)).withColumn("severity", F.lit("warning"))
 
 
 @query("ins16_cluster_detection", f"WITH RECURSIVE {IMPORT_GRAPH}, {communities_sql('graph')} SELECT label, count(*) AS value, 'info' AS severity FROM community WHERE (SELECT count(*) FROM modules) >= 3 GROUP BY label HAVING count(*) > 1")

@@ -212,6 +212,27 @@ def duplication(b: Bound) -> DataFrame:
     return sources_text.clones(b("documents").select(F.concat(F.lit("m"), F.col("doc_id").cast("string")).alias("id"), "text"))
 
 
+_CLONES = r"""l AS (SELECT 'm' || doc_id AS id, list_filter(list_transform(string_split(text, chr(10)), lambda x, k: {'line': trim(x), 'at': k, 'n': len(regexp_extract_all(x, '\w+|[^\s\w]'))}), lambda x: length(x.line) > 0) AS ls FROM documents),
+    s AS (SELECT id, unnest(generate_series(1, len(ls) - 9)) AS k, ls FROM l WHERE len(ls) >= 10),
+    f AS (SELECT sha1(array_to_string(list_transform(ls[k:k + 9], lambda x: x.line), chr(10))) AS fragment, id, k, ls FROM s),
+    w AS (SELECT *, first_value(id) OVER o AS fid, first_value(k) OVER o AS fk, count(*) OVER (PARTITION BY fragment) AS places FROM f WINDOW o AS (PARTITION BY fragment ORDER BY id, k)),
+    x AS (SELECT *, k - row_number() OVER (PARTITION BY id, fid, k - fk ORDER BY k) AS island FROM w WHERE places > 1 AND (id <> fid OR k <> fk)),
+    g AS (SELECT id, fid, k - fk AS diagonal, min(k) AS a, max(k) + 9 AS z, any_value(ls) AS ls, sha1(string_agg(fragment, '' ORDER BY k)) AS fingerprint FROM x GROUP BY id, fid, diagonal, island),
+    c AS (SELECT fingerprint, fid AS first_module, b.ls[a - diagonal].at AS first_start, b.ls[z - diagonal].at AS first_end, g.id AS second_module, g.ls[a].at AS second_start, g.ls[z].at AS second_end,
+                 b.ls[z - diagonal].at - b.ls[a - diagonal].at + 1 AS lines, list_sum(list_transform(g.ls[a:z], lambda x: x.n))::BIGINT AS tokens FROM g JOIN l b ON b.id = fid)"""
+
+
+@query("an05_clone_pairs", f"WITH {_CLONES} SELECT * FROM c WHERE tokens >= 70")
+def clone_pairs(b: Bound) -> DataFrame:
+    """Maximal stretches that stand again, with lines and tokens."""
+    return sources_text.clone_pairs(b("documents").select(F.concat(F.lit("m"), F.col("doc_id").cast("string")).alias("id"), "text"))
+
+
+@query("an05_duplicated_lines", f"WITH {_CLONES}, e AS (SELECT first_module AS module_id, lines FROM c WHERE tokens >= 70 UNION ALL SELECT second_module, lines FROM c WHERE tokens >= 70 AND second_module <> first_module) SELECT module_id, sum(lines)::BIGINT AS lines FROM e GROUP BY module_id")
+def duplicated_lines(b: Bound) -> DataFrame:
+    return sources_text.duplicated_lines(clone_pairs(b))
+
+
 @query("an04_cycles", """WITH RECURSIVE reach AS (SELECT src, dst FROM edges UNION SELECT r.src, e.dst FROM reach r JOIN edges e ON e.src = r.dst),
     m AS (SELECT a.src AS id, least(a.src, min(a.dst)) AS component FROM reach a JOIN reach z ON z.src = a.dst AND z.dst = a.src WHERE a.src <> a.dst GROUP BY a.src)
     SELECT component AS cycle, '[' || string_agg(id::VARCHAR, ',' ORDER BY id) || ']' AS participants_json, count(*) AS length FROM m GROUP BY component""")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codeloom.functions import paths, scalars
-from codeloom.operators import entities, graphs, metrics, pipeline, resolve, rules, sources_text, tables
+from codeloom.operators import blocks, entities, graphs, metrics, pipeline, resolve, rules, sources_text, tables
 from codeloom.sources import files
 
 
@@ -43,7 +43,7 @@ def test_strongly_connected(spark, edges, extra, want):
 
 @pytest.mark.parametrize(("edges", "want"), [("AB BC CA CD DE EF FD", "CD"), ("AB BC", "B"), ("AB BC CA", ""), ("AB AC AD", "A"), ("AB BC CD DA", ""), ("AB BA", "")])
 def test_articulation_points(spark, edges, want):
-    assert {r.id for r in graphs.articulation_points(*graph(spark, edges)).collect()} == set(want)
+    assert {r.id for r in blocks.articulation_points(*graph(spark, edges)).collect()} == set(want)
 
 
 def test_layers_and_weights_of_a_diamond(spark):
@@ -159,6 +159,25 @@ def test_clones_are_counted_in_places(spark):
     assert {(r.module_id, r.start_line) for r in sources_text.clones(df).collect()} == {("x", 1), ("x", 3), ("y", 1), ("y", 3)}
 
 
+def test_clone_pairs_are_maximal(spark):
+    """A module shares a stretch of twelve lines with one and one of twenty with another; a third place pairs with the first."""
+    stretch = lambda name, n: "\n".join(f"  {name} line of some tokens number {k};" for k in range(n))
+    own = lambda name, n: "\n".join(f"own {name} {k}" for k in range(n))
+    texts = {
+        "alpha": "\n".join([own("a", 9), stretch("one", 12), own("b", 5), stretch("two", 20)]),
+        "beta": "\n".join([own("c", 39), stretch("one", 12).replace("  one", "one"), own("d", 3)]),
+        "gamma": "\n".join([own("e", 4), stretch("two", 20)]),
+        "thin": "\n".join(["x"] * 12),
+    }
+    frame = spark.createDataFrame(list(texts.items()), "id string, text string")
+    pairs = sources_text.clone_pairs(frame)
+    got = sorted((r.first_module, r.first_start, r.first_end, r.second_module, r.second_start, r.second_end, r.lines, r.tokens) for r in pairs.collect())
+    assert got == [("alpha", 10, 21, "beta", 40, 51, 12, 96), ("alpha", 27, 46, "gamma", 5, 24, 20, 160)]
+    assert {r.module_id: r.lines for r in sources_text.duplicated_lines(pairs).collect()} == {"alpha": 32, "beta": 12, "gamma": 20}
+    again = spark.createDataFrame([(k, stretch("one", 15)) for k in ("p", "q", "r")] + [("s", stretch("one", 15) + "\n\n" + stretch("one", 15)), ("n", None)], "id string, text string")
+    assert sorted((r.first_module, r.second_module, r.second_start, r.lines) for r in sources_text.clone_pairs(again).collect()) == [("p", "q", 1, 15), ("p", "r", 1, 15), ("p", "s", 1, 15), ("p", "s", 17, 15)]
+
+
 def test_paths(spark):
     one = spark.range(1)
     value = lambda c: one.select(c.alias("x")).first().x
@@ -279,8 +298,7 @@ def test_cut_vertices_and_components_of_a_larger_graph(spark):
     assert {r.id: r.component for r in graphs.connected(nodes, edges).collect()} == whole
     count = len(set(whole.values()))
     want = {x for x in ids if len(set(groups_of(x).values())) > count}
-    for peels in (0, 20):
-        assert {r.id for r in graphs.articulation_points(nodes, edges, peels).collect()} == want
+    assert {r.id for r in blocks.articulation_points(nodes, edges).collect()} == want
 
 
 def test_running_sums_in_parts(spark):
