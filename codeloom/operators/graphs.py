@@ -47,9 +47,10 @@ def _clear() -> None:
 def settled(df: DataFrame) -> DataFrame:
     """df, computed once, as a table in the checkpoint folder that goes when Python ends.
 
-    What reads it starts from columns of known size, and from none of the
-    conditions that the planner has gathered about df, which grow with each
-    round of a loop.
+    What reads it starts from columns of known size. A checkpointed plan would
+    hand on the planner's conditions and its guess of the size, which is a
+    product over all joins of all rounds before: planning would soon take longer
+    than the rounds.
     """
     spark = df.sparkSession
     if not _kept:

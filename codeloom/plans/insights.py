@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions import paths, scalars
-from codeloom.operators import graphs, resolve
+from codeloom.operators import blocks, graphs, resolve
 from codeloom.plans.bindings import Bound
 from codeloom.plans.registry import given_sql, query
 
