@@ -224,11 +224,54 @@ def weighted_depth(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     return weights.join(best, "id", "left").select("id", F.col("value").alias("weight"), "next")
 
 
-def traces(weighted: DataFrame) -> DataFrame:
-    """id, place and step of every vertex on each vertex's dearest path, itself at place 0; weighted: id, next."""
-    up = weighted.filter("next is not null").select("id", F.col("next").alias("parent"))
-    own = weighted.select("id", F.lit(0).alias("place"), F.col("id").alias("step"))
-    return own.union(ancestors(up).select("id", "distance", "ancestor"))
+def traces(weighted: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """id, place and step of every vertex on the dearest paths of the asked vertices (id), themselves at place 0; weighted: id, next.
+
+    A table of jumps knows the vertex that lies 1, 2, 4, ... steps on, and each
+    round makes the paths found so far twice as long by one jump. So only asked
+    vertices have rows, and the rounds grow with the logarithm of the longest
+    path. Without asked all vertices are, whose paths together may be as many
+    as the square of the vertices.
+    """
+    jumps = settled(weighted.filter("next is not null").select("id", "next"))
+    found = (weighted if asked is None else asked).select("id", F.lit(0).alias("place"), F.col("id").alias("step")).distinct()
+    reach = 1
+    while True:
+        further = settled(found.join(jumps.withColumnRenamed("id", "step"), "step").select("id", (F.col("place") + reach).alias("place"), F.col("next").alias("step")))
+        if further.isEmpty():
+            return found
+        found, reach = settled(found.union(further)), 2 * reach
+        jumps = settled(jumps.join(jumps.select(F.col("id").alias("next"), F.col("next").alias("far")), "next").select("id", F.col("far").alias("next")))
+
+
+def below(parents: DataFrame, top: DataFrame) -> DataFrame:
+    """id of top (id) and of all that lies under it, at any depth; parents: id, parent. Only what is found is walked, a level in each round."""
+    found = frontier = settled(top.select("id").distinct())
+    while True:
+        frontier = settled(parents.join(frontier.select(F.col("id").alias("parent")), "parent", "left_semi").select("id").join(found, "id", "left_anti"))
+        if frontier.isEmpty():
+            return found
+        found = settled(found.union(frontier).distinct())
+
+
+def outermost(parents: DataFrame, marked: DataFrame) -> DataFrame:
+    """id and to, the outermost of the marked (id) among its ancestors, of those that have any; parents: id, parent.
+
+    Every vertex knows an ancestor and the outermost marked one up to there;
+    each round it goes on from that ancestor by what that one knows, so the
+    rounds grow with the logarithm of the depth and no pairs of all ancestors
+    are made. In a circle of parents it is one of those in it.
+    """
+    mark = marked.select(F.col("id").alias("parent"), F.col("id").alias("to")).distinct()
+    state = settled(parents.filter("parent is not null").join(mark, "parent", "left").select("id", F.col("parent").alias("up"), "to"))
+    reach, most = 1, state.count()
+    while reach < 2 * most:
+        above = state.select(F.col("id").alias("up"), F.col("up").alias("further"), F.col("to").alias("beyond"))
+        following = settled(state.join(above, "up", "left").select("id", F.col("further").alias("up"), F.coalesce("beyond", "to").alias("to")))
+        state, reach = following, 2 * reach
+        if state.filter("up is not null").isEmpty():
+            break
+    return state.filter("to is not null").select("id", "to")
 
 
 def within(edges: DataFrame, start: DataFrame, depth: int, directed: bool = False) -> DataFrame:
@@ -316,8 +359,7 @@ def lift(edges: DataFrame, folders: DataFrame) -> DataFrame:
 
 def collapse(edges: DataFrame, parents: DataFrame, collapsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Edges with the ends moved to their outermost collapsed folder, each once, and the number of those at each such folder."""
-    above = ancestors(parents).join(collapsed.select(F.col("id").alias("ancestor")), "ancestor", "left_semi")
-    moved = above.groupBy("id").agg(F.max_by("ancestor", "distance").alias("to"))
+    moved = settled(outermost(parents, collapsed))
     a, b = moved.select(F.col("id").alias("src"), F.col("to").alias("a")), moved.select(F.col("id").alias("dst"), F.col("to").alias("b"))
     mapped = edges.join(a, "src", "left").join(b, "dst", "left").select(F.coalesce("a", "src").alias("src"), F.coalesce("b", "dst").alias("dst"), "kind", (F.col("a").isNotNull() | F.col("b").isNotNull()).alias("lifted"))
     once = settled(mapped.filter("src <> dst").groupBy("src", "dst", "kind").agg(F.max("lifted").alias("lifted")))

@@ -116,8 +116,7 @@ def drilldown(edges: DataFrame, parents: DataFrame, focus: str) -> DataFrame:
     parents: id, parent. A module shows all that it holds, at any depth; a
     symbol itself and its members, with what uses or is used by these.
     """
-    above = graphs.ancestors(parents).filter(F.col("ancestor") == focus).select("id")
-    inside = graphs.settled(above.union(parents.filter(F.col("id") == focus).select("id")).distinct())
+    inside = graphs.below(parents, parents.filter(F.col("id") == focus))
     held = edges.filter("kind = 'contains'").join(inside.select(F.col("id").alias("dst")), "dst", "left_semi")
     held = held if focus.startswith("module:") else held.filter((F.col("src") == focus) | (F.col("dst") == focus))
     uses = edges.filter("kind = 'uses'")

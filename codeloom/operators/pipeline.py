@@ -94,32 +94,37 @@ def run_pipeline(
 def run_buckets(
     spark: SparkSession, docs: DataFrame, disabled: tuple[str, ...] = (), allowed: tuple[str, ...] = (), analyzers: dict[str, tuple[list[str], Analyzer]] | None = None
 ) -> tuple[dict[str, DataFrame], DataFrame]:
-    """All rows by bucket, with the analyzer that gave them, and name and status of each analyzer: ok, skipped or error.
+    """All rows by bucket, with the analyzer that gave them, and the status of each analyzer's buckets.
 
-    One that fails leaves the others alone. Planning errors show here; the rows
-    themselves are computed when read.
+    Status: place, analyzer, bucket, status (ok, skipped or error) and seconds.
+    Each bucket is computed and kept here, within its own try and with its own
+    time: one that fails, when it is planned or when its rows are made, leaves
+    all others alone. An analyzer that is skipped, or fails before it names its
+    buckets, has one row without a bucket.
     """
     analyzers = ANALYZERS if analyzers is None else analyzers
     order = topological(list(analyzers), {n: d for n, (d, _) in analyzers.items()})
     parts: dict[str, list[DataFrame]] = {}
     status = []
     for place, name in enumerate(order):
-        began = time.monotonic()
         if name in disabled or (allowed and name not in allowed):
-            status.append((place, name, "skipped", 0.0))
+            status.append((place, name, None, "skipped", 0.0))
             continue
+        began = time.monotonic()
         try:
             made = analyzers[name][1](docs)
             made = made if isinstance(made, dict) else {"metrics": made}
             if unknown := set(made) - set(BUCKETS):
                 raise ValueError(f"unknown buckets {sorted(unknown)}")
-            told = {bucket: frame.withColumn("analyzer", F.lit(name)) for bucket, frame in made.items()}
-            for frame in told.values():
-                frame.schema  # noqa: B018  plans now
-            for bucket, frame in told.items():
-                parts.setdefault(bucket, []).append(frame)
-            status.append((place, name, "ok", time.monotonic() - began))
         except Exception as error:  # noqa: BLE001  one analyzer's failure is its own
-            status.append((place, name, f"error: {type(error).__name__}", time.monotonic() - began))
-    joined = {bucket: reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames) for bucket, frames in parts.items()}
-    return joined, spark.createDataFrame(status, "place int, analyzer string, status string, seconds double")
+            status.append((place, name, None, f"error: {type(error).__name__}", time.monotonic() - began))
+            continue
+        for bucket, frame in made.items():
+            try:
+                parts.setdefault(bucket, []).append(graphs.settled(frame.withColumn("analyzer", F.lit(name))))
+                status.append((place, name, bucket, "ok", time.monotonic() - began))
+            except Exception as error:  # noqa: BLE001  and one bucket's too
+                status.append((place, name, bucket, f"error: {type(error).__name__}", time.monotonic() - began))
+            began = time.monotonic()
+    joined = {bucket: reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames) for bucket, frames in parts.items() if frames}
+    return joined, spark.createDataFrame(status, "place int, analyzer string, bucket string, status string, seconds double")

@@ -223,10 +223,17 @@ def test_metric_diff(spark):
 
 def test_pipeline_isolates_failures(spark):
     docs = spark.createDataFrame([(1, "let a = 1")], "doc_id int, text string")
-    made = {"good": ([], pipeline.ANALYZERS["size"][1]), "bad": ([], lambda d: d.select("missing")), "off": ([], lambda d: d)}
+    late = lambda d: d.select(F.raise_error(F.lit("lost")).alias("x"))  # noqa: E731  fails when its rows are made
+    made = {
+        "good": ([], pipeline.ANALYZERS["size"][1]), "bad": ([], lambda d: d.select("missing")), "off": ([], lambda d: d), "late": ([], late),
+        "half": ([], lambda d: {"findings": d.select("doc_id"), "cycles": late(d)}), "odd": ([], lambda d: {"nothing": d}),
+    }
     facts, status = pipeline.run_pipeline(spark, docs, disabled=("off",), analyzers=made)
-    assert {r.analyzer: r.status.split(":")[0] for r in status.collect()} == {"good": "ok", "bad": "error", "off": "skipped"}
-    assert facts.count() == 5
+    got = {(r.analyzer, r.bucket): r.status.split(":")[0] for r in status.collect()}
+    assert got == {("good", "metrics"): "ok", ("bad", None): "error", ("off", None): "skipped", ("late", "metrics"): "error", ("half", "findings"): "ok", ("half", "cycles"): "error", ("odd", None): "error"}
+    assert facts.count() == 5 and all(r.seconds > 0 for r in status.collect() if r.bucket)
+    buckets, _ = pipeline.run_buckets(spark, docs, disabled=("off",), analyzers=made)
+    assert set(buckets) == {"metrics", "findings"} and buckets["findings"].count() == 1
 
 
 def test_yarn_lock_and_scripts(spark):

@@ -151,3 +151,35 @@ def test_order_within_layers(spark):
         placed = spark.createDataFrame(list(layers.items()), "id int, layer int")
         assert {r.id: r.place for r in graphs.order_layers(placed, edges).collect()} == ordered(pairs, layers)
     assert ordered(hub, {x: 1 if x < 10 else 0 if x < 200 else 2 for p in hub for x in p})[100] == 3
+
+
+def test_traces_of_asked_vertices(spark):
+    """A long chain: only what is asked has a path, and paths are whole."""
+    chain = spark.createDataFrame([(k, k + 1) for k in range(300)] + [(300, None), (400, 290)], "id int, next int")
+    got = {}
+    for r in graphs.traces(chain, spark.createDataFrame([(3,), (299,), (300,), (400,), (3,)], "id int")).collect():
+        got.setdefault(r.id, {})[r.place] = r.step
+    want = {3: list(range(3, 301)), 299: [299, 300], 300: [300], 400: [400, *range(290, 301)]}
+    assert got == {k: dict(enumerate(v)) for k, v in want.items()}
+    few = spark.createDataFrame([(1, 2), (2, None), (3, 2)], "id int, next int")
+    assert sorted((r.id, r.place, r.step) for r in graphs.traces(few).collect()) == [(1, 0, 1), (1, 1, 2), (2, 0, 2), (3, 0, 3), (3, 1, 2)]
+
+
+def test_what_lies_below_and_outermost(spark):
+    rnd = random.Random(9)
+    parents = [(k, rnd.randrange(k) if k % 20 else None) for k in range(1, 120)] + [(500, 501), (501, 502), (502, 500)]
+    up = dict(parents)
+    frame = spark.createDataFrame(parents, "id int, parent int")
+    marked = rnd.sample(range(120), 25)
+
+    def above(x):
+        out = []
+        while (x := up.get(x)) is not None and x not in out and len(out) < 500:
+            out.append(x)
+        return out
+
+    got = {r.id: r.to for r in graphs.outermost(frame, spark.createDataFrame([(k,) for k in marked], "id int")).collect()}
+    assert got == {x: [a for a in above(x) if a in marked][-1] for x, _ in parents if x < 500 and any(a in marked for a in above(x))}
+    for top in (1, 20, 40, 501):
+        found = {r.id for r in graphs.below(frame, spark.createDataFrame([(top,)], "id int")).collect()}
+        assert found == {top} | {x for x, _ in parents if top in above(x)}
