@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -95,3 +97,23 @@ def preview(b: Bound) -> DataFrame:
 @query("snk14_insert_or_ignore", "SELECT DISTINCT src, dst FROM (SELECT src, dst FROM edges UNION ALL SELECT src, dst FROM acyclic)")
 def insert_or_ignore(b: Bound) -> DataFrame:
     return tables.insert(b("edges"), b("acyclic").withColumn("seq", F.lit(0)), ["src", "dst"], "seq")
+
+
+#: Modules that import by doc_id, before and after an edit of a part: other imports, other paths, modules that go and come.
+_MODULES = """SELECT concat('m', doc_id) AS id, doc_id AS seq, concat('src/', {path}, doc_id, '.ts') AS relative_path,
+    concat('import a from "./f', doc_id * 7 % (doc_id + 11), '";', chr(10), 'import b from "pkg";', chr(10), 'import c from "./g', {target}, '";') AS text FROM {{documents}} WHERE {kept}"""
+_BEFORE = _MODULES.format(path="'f'", target="doc_id * 3 % (doc_id + 5)", kept="doc_id % 60 <> 9")
+_AFTER = _MODULES.format(path="CASE WHEN doc_id % 90 = 5 THEN 'g' ELSE 'f' END", target="CASE WHEN doc_id % 50 = 1 THEN doc_id % 90 * 90 + 5 ELSE doc_id * 3 % (doc_id + 5) END", kept="doc_id % 70 <> 3")
+
+
+@query("snk01_incremental_imports", f"""WITH m AS ({_AFTER.replace("{documents}", "documents")}), k AS (SELECT id, substr(relative_path, 1, length(relative_path) - 3) AS key FROM m),
+    w AS (SELECT id AS src, 'src/' || substr(unnest(regexp_extract_all(text, '\./[fg][0-9]+')), 3) AS key FROM m) SELECT DISTINCT src, k.id AS dst FROM w JOIN k USING (key) WHERE src <> k.id""")
+def incremental_imports(b: Bound) -> DataFrame:
+    """The import graph after an edit, from the graph before it and what the edit touches."""
+    from codeloom.operators import incremental
+    from codeloom.operators.graphs import checkpoint_folder
+    from codeloom.sources.versions import VersionedTables
+
+    store = VersionedTables(b.spark, f"{checkpoint_folder(b.spark)}/codeloom-imports-{uuid.uuid4().hex}")
+    incremental.refresh(store, b.spark.sql(_BEFORE, documents=b("documents")))
+    return incremental.refresh(store, b.spark.sql(_AFTER, documents=b("documents"))).edges
