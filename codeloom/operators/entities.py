@@ -64,6 +64,17 @@ def properties(modules: DataFrame) -> DataFrame:
     return listed.select(*by, F.posexplode("listed").alias("place", "p")).select(*by, "place", "p.name", "p.visibility", "p.type")
 
 
+def implicit_any(modules: DataFrame) -> DataFrame:
+    """module_id, parent, method and parameter of what classes' methods take without a type, a default or a rest that would tell one.
+
+    Constructors, accessors, functions in properties and patterns don't count;
+    of methods of one name in a class the parameters are put together.
+    """
+    own = members(modules, "method").filter((F.col("parent_type") == "class") & (F.col("name") != "constructor") & ~F.arrays_overlap("mods", F.array(F.lit("get"), F.lit("set"), F.lit("value"))))
+    each = own.select("module_id", "parent", F.col("name").alias("method"), F.explode("params").alias("p"))
+    return each.filter("p.type is null and not p.has_default and not p.is_rest").select("module_id", "parent", "method", F.col("p.name").alias("parameter")).distinct()
+
+
 def functions(modules: DataFrame) -> DataFrame:
     """Exported functions, each name once for a module."""
     made = _of(modules, "function").filter(_has("export"))

@@ -40,6 +40,13 @@ def _duplication(modules: DataFrame) -> dict[str, DataFrame]:
     return {"metrics": _long(sources_text.duplicated_lines(found), "module_id", {"duplication.duplicatedLineCount": F.col("lines")}), "duplications": found}
 
 
+def _type_safety(modules: DataFrame) -> dict[str, DataFrame]:
+    """Counts of loose types, and patches of the parameters that are any without saying so."""
+    loose = entities.implicit_any(_named(modules))
+    patches = loose.select(F.concat_ws(":", "module_id", "parent", "method", "parameter").alias("entity_id"), F.lit("parameter").alias("entity_type"), F.lit(True).alias("is_implicit_any"))
+    return {"metrics": _long(modules, "doc_id", {f"typeSafety.{k}": v for k, v in sources_text.type_safety(F.col("text")).items()}), "entityStats": patches}
+
+
 def _rules(modules: DataFrame) -> dict[str, DataFrame]:
     return {"findings": rules.run_rules({"properties": entities.properties(_named(modules))})}
 
@@ -72,7 +79,7 @@ def _cycles(modules: DataFrame) -> dict[str, DataFrame]:
 ANALYZERS: dict[str, tuple[list[str], Analyzer]] = {
     "maintainability": (["size"], lambda d: _long(d, "doc_id", {"maintainability.index": sources_text.maintainability(F.col("text"))})),
     "size": ([], lambda d: _long(d, "doc_id", {f"size.{k}": v for k, v in sources_text.sizes(F.col("text")).items()})),
-    "type-safety": ([], lambda d: _long(d, "doc_id", {f"typeSafety.{k}": v for k, v in sources_text.type_safety(F.col("text")).items()})),
+    "type-safety": ([], _type_safety),
     "documentation": ([], lambda d: _long(d, "doc_id", {f"documentation.{k}": v for k, v in sources_text.doc_coverage(F.col("text")).items()})),
     "complexity": ([], _complexity),
     "duplication": ([], _duplication),

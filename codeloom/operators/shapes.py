@@ -23,7 +23,7 @@ from codeloom.workers import ship_code
 
 SHAPE = (
     "kind string, name string, begin long, stop long, line int, last_line int, mods array<string>, extends string, others array<string>, "
-    "params array<struct<name:string,type:string,is_optional:boolean,is_rest:boolean>>, n_params int, type string, body string, documented boolean"
+    "params array<struct<name:string,type:string,is_optional:boolean,is_rest:boolean,has_default:boolean>>, n_params int, type string, body string, documented boolean"
 )
 
 _QUOTED = re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|'(?:\\.|[^'\\\n])*'?|\"(?:\\.|[^\"\\\n])*\"?|[`{}]|/(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[*])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])*/", re.S)
@@ -175,8 +175,9 @@ class Source:
             n += 1
             m = re.match(r"\s*(?:@[\w$.]+(?:\([^()]*\))?\s*)*(?:(?:public|private|protected|readonly|override)\s+)*(\.\.\.)?\s*([A-Za-z_$][\w$]*)\s*(\?)?\s*(:)?", self.bare[k:end])
             if m:
-                typed = self.text[k + m.end() : self.until(k + m.end(), "=", end, lines=False)].strip() if m[4] else None
-                found.append({"name": m[2], "type": _flat(typed), "is_optional": bool(m[3]), "is_rest": bool(m[1])})
+                value = self.until(k + m.end(), "=", end, lines=False)
+                typed = self.text[k + m.end() : value].strip() if m[4] else None
+                found.append({"name": m[2], "type": _flat(typed), "is_optional": bool(m[3]), "is_rest": bool(m[1]), "has_default": value < end})
             k = end + 1
         return found, n
 
@@ -307,7 +308,7 @@ class Source:
             if function:
                 at = self.bare.find("(", k, end)
                 params, n = self.parameters(at) if at >= 0 else ([], 0)
-                yield self.shape("method", name, begin, end, said, params=params, n_params=n, type=_flat(typed.rpartition("=>")[2]) if typed else None)
+                yield self.shape("method", name, begin, end, [*said, "value"], params=params, n_params=n, type=_flat(typed.rpartition("=>")[2]) if typed else None)
             else:
                 yield self.shape("property", name, begin, end, said, type=typed)
             k = end + (self.bare[end : end + 1] in (";", ","))
@@ -368,6 +369,8 @@ def shapes(modules: DataFrame) -> DataFrame:
 
     kind is class, interface, enum, type, function, method, property, closure
     (a function without a declaration) or call. begin and stop are code points.
+    mods are the words before a name; a method that is a property with a
+    function as its value or type has "value" among them.
     """
     ship_code(modules.sparkSession)
     kind = modules.schema["id"].dataType.simpleString()

@@ -183,7 +183,7 @@ def participants(b: Bound) -> DataFrame:
     return stored.select(F.explode(F.from_json("participants_json", "array<int>")).alias("id")).distinct()
 
 
-@query("agg29_analyzer_status", """SELECT analyzer, bucket, status, timed FROM (VALUES ('size', 'metrics', 'ok', true), ('maintainability', 'metrics', 'ok', true), ('type-safety', 'metrics', 'ok', true), ('documentation', 'metrics', 'ok', true),
+@query("agg29_analyzer_status", """SELECT analyzer, bucket, status, timed FROM (VALUES ('size', 'metrics', 'ok', true), ('maintainability', 'metrics', 'ok', true), ('type-safety', 'metrics', 'ok', true), ('type-safety', 'entityStats', 'ok', true), ('documentation', 'metrics', 'ok', true),
     ('complexity', 'metrics', 'ok', true), ('duplication', 'metrics', 'ok', true), ('duplication', 'duplications', 'ok', true), ('legacy-rules', 'findings', 'ok', true), ('call-graph', 'callEdges', 'ok', true),
     ('coupling', 'metrics', 'ok', true), ('dep-cruiser', 'cycles', 'ok', true)) t(analyzer, bucket, status, timed)""")
 def analyzer_status(b: Bound) -> DataFrame:

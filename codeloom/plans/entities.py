@@ -118,3 +118,14 @@ def callers(b: Bound) -> DataFrame:
     given = b("documents").select(F.concat(F.lit("m"), F.col("doc_id").cast("string")).alias("id"), F.expr(CALLERS).alias("text"))
     named = lambda df, *parts: df.select(F.concat(F.col("module_id"), F.lit(":"), F.concat_ws(".", *parts)).alias("id"), "module_id", "name")
     return resolve.call_edges(given, named(entities.functions(given), "name"), named(entities.methods(given), "parent", "name"))
+
+
+#: Methods by doc_id whose parameters have a type, a default, a rest, or nothing.
+UNTYPED = """concat('class K', doc_id, ' { m', doc_id % 4, '(a, b: string, c = 1, ...d) { return (w) => w; } constructor(x) { } set v(y) { } n = (z) => z; ', CASE WHEN doc_id % 2 = 0 THEN 'k(e?, { p }, f?: any) { } ' ELSE '' END,
+    '} interface I { m(h); } function q(r) { }')"""
+
+
+@query("an08_implicit_any", """SELECT 'm' || doc_id AS module_id, 'K' || doc_id AS parent, 'm' || (doc_id % 4) AS method, 'a' AS parameter FROM documents UNION ALL SELECT 'm' || doc_id, 'K' || doc_id, 'k', 'e' FROM documents WHERE doc_id % 2 = 0""")
+def implicit_any(b: Bound) -> DataFrame:
+    """Parameters of classes' methods that are any without saying so."""
+    return entities.implicit_any(b("documents").select(F.concat(F.lit("m"), F.col("doc_id").cast("string")).alias("id"), F.expr(UNTYPED).alias("text")))
