@@ -10,6 +10,8 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from typing import TypeVar
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -32,6 +34,8 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return folder
 
 
+T = TypeVar("T")
+
 _kept: list[tuple[SparkSession, str]] = []
 
 
@@ -61,6 +65,12 @@ def settled(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def together(*parts: Callable[[], T]) -> list[T]:
+    """What parts return, called at the same time: loops of small jobs that don't need each other share the cluster."""
+    with ThreadPoolExecutor(max(len(parts), 1)) as pool:
+        return [f.result() for f in [pool.submit(p) for p in parts]]
+
+
 def _fixpoint(state: DataFrame, step: Callable[[DataFrame], DataFrame], differs: Column, most: int | None = None) -> DataFrame:
     """Applies step, which gives the new columns beside old_*, until differs holds for no row."""
     rounds = 0
@@ -74,6 +84,10 @@ def _fixpoint(state: DataFrame, step: Callable[[DataFrame], DataFrame], differs:
     return state
 
 
+#: Steps of a spread that one job takes.
+STEPS = 3
+
+
 def _spread(state: DataFrame, ways: DataFrame, message: Column, best: Callable[[Column], Column], pick: Callable[..., Column], acyclic: bool = False) -> DataFrame:
     """id and value when messages along ways change nothing more; only vertices that changed send any.
 
@@ -87,11 +101,12 @@ def _spread(state: DataFrame, ways: DataFrame, message: Column, best: Callable[[
     while True:
         if most is not None and rounds > most:
             raise ValueError("the graph has a cycle; take its back edges out first")
-        rounds += 1
-        live = state.filter("changed").select(F.col("id").alias("tail"), "value")
-        sent = ways.join(live, "tail").groupBy(F.col("head").alias("id")).agg(best(message).alias("sent"))
-        new = pick("value", "sent")
-        state = settled(state.join(sent, "id", "left").select("id", new.alias("value"), (~new.eqNullSafe(F.col("value"))).alias("changed")))
+        for _ in range(STEPS):
+            live = state.filter("changed").select(F.col("id").alias("tail"), "value")
+            sent = ways.join(live, "tail").groupBy(F.col("head").alias("id")).agg(best(message).alias("sent"))
+            new = pick("value", "sent")
+            state = state.join(sent, "id", "left").select("id", new.alias("value"), (~new.eqNullSafe(F.col("value"))).alias("changed"))
+        state, rounds = settled(state), rounds + STEPS
         if state.filter("changed").isEmpty():
             return state.drop("changed")
 

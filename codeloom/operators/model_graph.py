@@ -158,14 +158,21 @@ def overview_nodes(nodes: DataFrame, edges: DataFrame, drawn: DataFrame, collaps
     left = graphs.settled(nodes.filter(~F.coalesce("test", F.lit(False))).select("id", "folder"))
     ends = left.select("id")
     kept = graphs.settled(edges.select("src", "dst").distinct().join(ends.withColumnRenamed("id", "src"), "src", "left_semi").join(ends.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst"))
-    straight = graphs.settled(kept.join(graphs.back_edges(left, kept), ["src", "dst"], "left_anti"))
-    placed = graphs.order_layers(graphs.layers(left, straight), straight).join(graphs.weighted_depth(left, straight).select("id", "weight"), "id").join(left, "id")
     name = F.concat(F.lit("folder:"), F.col("folder").cast("string"))
     end = lambda c, to: left.select(F.col("id").alias(c), F.col("folder").alias(to))
-    trunks = graphs.settled(kept.join(end("src", "a"), "src").join(end("dst", "z"), "dst").filter("a <> z").select(F.col("a").alias("src"), F.col("z").alias("dst")).distinct())
     folders = left.filter("folder is not null").select(F.col("folder").alias("id")).distinct()
-    order = trunks.join(graphs.back_edges(folders, trunks), ["src", "dst"], "left_anti")
-    above = graphs.layers(folders, graphs.settled(order)).select(F.col("id").alias("folder"), F.col("layer").cast("long").alias("layer"))
+
+    def folder_layers() -> DataFrame:
+        trunks = graphs.settled(kept.join(end("src", "a"), "src").join(end("dst", "z"), "dst").filter("a <> z").select(F.col("a").alias("src"), F.col("z").alias("dst")).distinct())
+        order = trunks.join(graphs.back_edges(folders, trunks), ["src", "dst"], "left_anti")
+        return graphs.layers(folders, graphs.settled(order)).select(F.col("id").alias("folder"), F.col("layer").cast("long").alias("layer"))
+
+    def straight_edges() -> DataFrame:
+        return graphs.settled(kept.join(graphs.back_edges(left, kept), ["src", "dst"], "left_anti"))
+
+    straight, above = graphs.together(straight_edges, folder_layers)
+    ordered, weights = graphs.together(lambda: graphs.order_layers(graphs.layers(left, straight), straight), lambda: graphs.weighted_depth(left, straight).select("id", "weight"))
+    placed = ordered.join(weights, "id").join(left, "id")
     rolled = placed.filter("folder is not null").groupBy("folder").agg(F.max("weight").alias("weight"), F.avg("place").alias("place")).join(above, "folder")
     shut = left.join(collapsed.select("folder"), "folder", "left_semi").select("id").withColumn("shut", F.lit(True))
     own = placed.join(shut, "id", "left").select(F.col("id").cast("string").alias("id"), "weight", F.col("layer").cast("long").alias("layer"), F.col("place").cast("double").alias("place"), F.col("shut").isNotNull().alias("hidden"))

@@ -114,11 +114,16 @@ class Bound:
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark, self.sf_dir = spark, sf_dir
         self.import_graph: DataFrame | None = None  # once it is settled
+        self.degrees: DataFrame | None = None  # likewise
 
     @cached_property
     def _made(self) -> dict[str, DataFrame]:
         return {}
 
+    def keep(self, name: str, frame: DataFrame) -> None:
+        """frame stands for a binding from now on."""
+        self._made[name] = frame
+
     def __call__(self, name: str) -> DataFrame:
         if name not in self._made:
             if name in TABLES:

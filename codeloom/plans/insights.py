@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -51,6 +51,11 @@ def communities_sql(edges: str) -> str:
     community AS (SELECT id, min(other) AS label FROM hang GROUP BY id)"""
 
 
+def _degrees(b: Bound) -> DataFrame:
+    """id, fan_in and fan_out of every module."""
+    return graphs.degrees(b("modules"), import_graph(b)) if b.degrees is None else b.degrees
+
+
 def import_graph(b: Bound) -> DataFrame:
     if b.import_graph is not None:
         return b.import_graph
@@ -69,12 +74,12 @@ def circular_imports(b: Bound) -> DataFrame:
 
 @query("ins02_import_fan_in", f"WITH {IMPORT_GRAPH} SELECT dst AS id, count(*) AS value, 'warning' AS severity FROM graph GROUP BY dst HAVING count(*) >= 10")
 def fan_in(b: Bound) -> DataFrame:
-    return import_graph(b).groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("value"), F.lit("warning").alias("severity")).filter(F.col("value") >= FAN)
+    return _degrees(b).select("id", F.col("fan_in").alias("value"), F.lit("warning").alias("severity")).filter(F.col("value") >= FAN)
 
 
 @query("ins03_import_fan_out", f"WITH {IMPORT_GRAPH} SELECT src AS id, count(*) AS value, 'warning' AS severity FROM graph GROUP BY src HAVING count(*) >= 10")
 def fan_out(b: Bound) -> DataFrame:
-    return import_graph(b).groupBy(F.col("src").alias("id")).agg(F.count("*").alias("value"), F.lit("warning").alias("severity")).filter(F.col("value") >= FAN)
+    return _degrees(b).select("id", F.col("fan_out").alias("value"), F.lit("warning").alias("severity")).filter(F.col("value") >= FAN)
 
 
 _EXTERNAL = """CASE WHEN source LIKE '.%' OR source LIKE '/%' OR source LIKE '@/%' OR source LIKE 'src/%' OR source = '' THEN NULL
@@ -166,15 +171,13 @@ def type_only(b: Bound) -> DataFrame:
 
 @query("ins13_orphaned_modules", f"WITH {IMPORT_GRAPH} SELECT id, 'warning' AS severity FROM modules WHERE id NOT IN (SELECT src FROM graph) AND id NOT IN (SELECT dst FROM graph)")
 def orphans(b: Bound) -> DataFrame:
-    linked = import_graph(b).select(F.explode(F.array("src", "dst")).alias("id"))
-    return b("modules").select("id").join(linked, "id", "left_anti").withColumn("severity", F.lit("warning"))
+    return _degrees(b).filter("fan_in = 0 and fan_out = 0").select("id", F.lit("warning").alias("severity"))
 
 
 @query("ins14_hub_modules", f"""WITH {IMPORT_GRAPH}, ends AS (SELECT src AS id FROM graph UNION ALL SELECT dst FROM graph)
     SELECT id, count(*) AS value, 'info' AS severity FROM ends GROUP BY id HAVING count(*) >= 15""")
 def hubs(b: Bound) -> DataFrame:
-    ends = import_graph(b).select(F.explode(F.array("src", "dst")).alias("id"))
-    return ends.groupBy("id").agg(F.count("*").alias("value"), F.lit("info").alias("severity")).filter(F.col("value") >= HUB)
+    return _degrees(b).select("id", (F.col("fan_in") + F.col("fan_out")).alias("value"), F.lit("info").alias("severity")).filter(F.col("value") >= HUB)
 
 
 @query("ins15_bridge_modules", f"""
@@ -258,16 +261,18 @@ _NO_SEVERITY = ("unexported-entities",)  # always info
 def insights(b: Bound, kinds: list[str] | None = None) -> DataFrame:
     """kind, severity and entities of every insight; one member that is critical makes its insight critical.
 
-    The import graph is made once and kept in the checkpoint folder for all
-    insights that need it.
+    The imports, their graph and its degrees are made once and kept in the
+    checkpoint folder for all insights that need them. Insights that loop do so
+    at the same time.
     """
+    b.keep("imports", graphs.settled(b("imports")))
     b.import_graph = graphs.settled(import_graph(b))
+    b.degrees = graphs.settled(graphs.degrees(b("modules"), b.import_graph))
     rank = F.max(F.array_position(F.array(*map(F.lit, ("info", "warning", "critical"))), F.col("severity")))
     name = F.element_at(F.array(*map(F.lit, ("info", "warning", "critical"))), rank.cast("int"))
-    parts = []
-    for kind in kinds or REPORT:
-        f, _, each = REPORT[kind]
-        rows = f(b)
+    parts, wanted = [], list(kinds or REPORT)
+    for kind, rows in zip(wanted, graphs.together(*(partial(REPORT[k][0], b) for k in wanted)), strict=True):
+        each = REPORT[kind][2]
         rows = rows.withColumn("severity", F.lit("info")) if kind in _NO_SEVERITY else rows
         found = rows.select("severity", F.col("value").cast("long").alias("entities")) if each else rows.agg(name.alias("severity"), F.count("*").alias("entities")).filter("entities > 0")
         parts.append(found.select(F.lit(kind).alias("kind"), "severity", "entities"))
