@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
-from functools import lru_cache, partial
+from functools import lru_cache, partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from codeloom.llm import shared
 
 SHINGLE, BANDS, CONTAINMENT = 5, 64, 0.8
-#: Characters of templates that may be sent to every worker.
+#: Characters of templates that are sent to every worker at once; more are looked for in parts.
 MOST_TEMPLATES = 4 << 20
 
 #: Public license notices.
@@ -259,20 +259,34 @@ def _scan(batches: Iterable[pa.RecordBatch], templates: tuple[tuple[str, str], .
         )
 
 
+def _parts(templates: dict[str, str], most: int) -> list[tuple[tuple[str, str], ...]]:
+    """The templates in parts of up to `most` characters; a longer one is a part of its own."""
+    out: list[list[tuple[str, str]]] = []
+    held = most
+    for name, text in templates.items():
+        if held + len(text) > most or not out:
+            out.append([])
+            held = 0
+        out[-1].append((name, text))
+        held += len(text)
+    return [tuple(p) for p in out]
+
+
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, containment: float = CONTAINMENT) -> DataFrame:
     """doc_id, license, containment, first_word, last_word and n_windows for each text and template that it contains.
 
-    templates: notices by name, five words each at least, MOST_TEMPLATES
-    characters together at most. Of a text's windows the one with the largest
+    templates: notices by name, five words each at least. A worker holds
+    MOST_TEMPLATES characters of them at a time: where there are more, all texts
+    are scanned once for each part, and as no template's matches depend on
+    another, the rows are the same. Of a text's windows the one with the largest
     share counts, the first of equals. Null, empty and shorter texts have no
     row; a null doc_id stays null; repeated rows give repeated results; other
     columns, whatever their names, are left out; an empty table gives an empty
     table.
     """
     shared.ready_workers(docs.sparkSession)
-    chosen = tuple((templates or TEMPLATES).items())
-    if sum(len(t) for _, t in chosen) > MOST_TEMPLATES:
-        raise ValueError("the templates are too large to be sent to every worker")
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, license string, containment double, first_word long, last_word long, n_windows long"
-    return docs.select("doc_id", "text").mapInArrow(partial(_scan, templates=chosen, containment=containment), schema)
+    texts = docs.select("doc_id", "text")
+    each = (texts.mapInArrow(partial(_scan, templates=part, containment=containment), schema) for part in _parts(templates or TEMPLATES, MOST_TEMPLATES))
+    return reduce(DataFrame.union, each)
