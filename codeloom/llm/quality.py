@@ -2,9 +2,10 @@
 
 Measurements of every text are taken once. Each rule is evaluated once and its
 failure is a bit of the document's `failed` number, kept beside the
-measurements. A policy is a versioned mask of rules: a document passes if it
-fails none of them, so a new policy, or a count of what each rule alone
-rejects, needs the ledger only and no text.
+measurements; `stored` keeps these rows in the shared folder. A policy is a
+versioned mask of rules: a document passes if it fails none of them, so a new
+policy, or a count of what each rule alone rejects, needs the stored ledger only
+and no text, and its rows say which policy was applied.
 """
 
 from __future__ import annotations
@@ -142,14 +143,20 @@ def ledger(docs: DataFrame) -> DataFrame:
     return found.withColumn("failed", failed_bits())
 
 
+def stored(docs: DataFrame) -> DataFrame:
+    """The ledger of docs, written once: policies and ablations read it, and no text again."""
+    return shared.written(ledger(docs), "ledger")
+
+
 def verdicts(rows: DataFrame, policy: str = "v1") -> DataFrame:
-    """A ledger with base_failed, and kept: no rule of the policy failed."""
+    """A ledger with base_failed, kept (no rule of the policy failed) and policy."""
     failed = F.col("failed")
+    rows = rows.withColumn("policy", F.lit(policy))
     return rows.withColumn("base_failed", failed.bitwiseAND(F.lit(BASE)) != 0).withColumn("kept", failed.bitwiseAND(F.lit(POLICIES[policy] | BASE)) == 0)
 
 
 def ablations(rows: DataFrame, policy: str = "v1") -> DataFrame:
-    """For each rule of a policy: documents that fail it, that fail it alone, and that the policy without it keeps.
+    """For each rule of a policy, which is named: documents that fail it, that fail it alone, and that the policy without it keeps.
 
     Rows are counted by their bits first, so no more than two to the number of
     rules go on. An empty ledger gives no rows.
@@ -166,6 +173,7 @@ def ablations(rows: DataFrame, policy: str = "v1") -> DataFrame:
             F.coalesce(F.sum(F.when(failed == bit, n)), F.lit(0)).alias("n_failed_alone"),
             F.coalesce(F.sum(F.when(failed.bitwiseAND(F.bitwise_not(bit)) == 0, n)), F.lit(0)).alias("n_kept_without"),
         )
+        .withColumn("policy", F.lit(policy))
     )
 
 

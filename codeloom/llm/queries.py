@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -38,12 +39,13 @@ def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.verdicts(quality.ledger(_documents(spark, sf_dir)))
+    return quality.verdicts(quality.stored(_documents(spark, sf_dir)))
 
 
 def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What each rule of the newest policy rejects, and rejects alone, from the ledger of all documents."""
-    return quality.ablations(quality.ledger(_documents(spark, sf_dir)))
+    """What each rule of every policy rejects, and rejects alone, from one stored ledger of all documents."""
+    rows = quality.stored(_documents(spark, sf_dir))
+    return reduce(DataFrame.union, (quality.ablations(rows, policy) for policy in quality.POLICIES))
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,15 +145,16 @@ ORACLES: dict[str, str] = {
     f AS (SELECT *, ((n_words < 10)::BIGINT + 2 * (100 * n_repeat_words > 20 * n_words)::BIGINT + 4 * (20 * n_symbols > word_chars)::BIGINT
                  + 8 * (2 * n_dup_lines > n_lines)::BIGINT + 16 * (20 * n_exclamations > word_chars)::BIGINT
                  + 32 * (word_chars > 40 * n_words)::BIGINT)::BIGINT AS failed FROM a)
-    SELECT *, (failed & 3) <> 0 AS base_failed, failed = 0 AS kept FROM f
+    SELECT *, (failed & 3) <> 0 AS base_failed, failed = 0 AS kept, 'v1' AS policy FROM f
     """,
 }
 
 #: Each rule of the ledger by its bit.
 _RULES = "(VALUES ('few_words', 1), ('repeated_windows', 2), ('symbols', 4), ('duplicate_lines', 8), ('shouting', 16), ('long_words', 32)) r(rule, bit)"
 ORACLES["quality_ablations"] = f"""
-    WITH l AS ({ORACLES["op6_quality_rules"]}) SELECT rule, count(*) FILTER (failed & bit <> 0) AS n_failed, count(*) FILTER (failed = bit) AS n_failed_alone,
-           count(*) FILTER ((failed & bit = failed) OR failed = 0) AS n_kept_without FROM l CROSS JOIN {_RULES} GROUP BY rule
+    WITH l AS ({ORACLES["op6_quality_rules"]}), m AS (SELECT p.policy, failed & mask AS failed, mask FROM l CROSS JOIN (VALUES ('base', 3), ('v1', 63)) p(policy, mask))
+    SELECT policy, rule, count(*) FILTER (failed & bit <> 0) AS n_failed, count(*) FILTER (failed = bit) AS n_failed_alone,
+           count(*) FILTER ((failed & bit = failed) OR failed = 0) AS n_kept_without FROM m JOIN {_RULES} ON mask & bit <> 0 GROUP BY policy, rule
     """
 
 ORACLES["op12_line_dedup"] = r"""
@@ -166,7 +169,8 @@ ORACLES["op12_line_dedup"] = r"""
 
 ORACLES["op13_filter_audit"] = r"""
     WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
-    w AS (SELECT *, regexp_extract_all(text, '[^ 	-]+') AS words, min(doc_id) OVER (PARTITION BY text) AS least FROM d),
+    w AS (SELECT *, regexp_extract_all(text, '[^ 	-
+]+') AS words, min(doc_id) OVER (PARTITION BY text) AS least FROM d),
     f AS (SELECT doc_id, part, len(words) < 200 AS a, 100 * len(list_distinct(words)) < 50 * len(words) AS b,
                  100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text) AS c, regexp_matches(text, '[#$%&*|]') AS d, coalesce(doc_id > least, false) AS e FROM w),
     l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),

@@ -83,6 +83,17 @@ def test_token_counts_of_long_words():
     assert token_counts.pieces_of("a" * 200 + "1" + "b" * 200, 100) == ["a" * 200, "1" + "b" * 200] or token_counts.pieces_of("a" * 200 + "1" + "b" * 200, 100) == ["a" * 200, "1", "b" * 200]
 
 
+def test_templates_in_parts(spark, texts, monkeypatch):
+    """More templates than a worker holds at once give the same rows."""
+    every = [*texts.values()][:60] + list(licenses.TEMPLATES.values()) + ["x " * 30 + t for t in licenses.TEMPLATES.values()]
+    docs = table(spark, every)
+    whole = sorted(map(tuple, licenses.scan(docs).collect()))
+    monkeypatch.setattr(licenses, "MOST_TEMPLATES", 900)
+    parts = licenses._parts(licenses.TEMPLATES, 900)
+    assert len(parts) > 3 and [p for part in parts for p in part] == list(licenses.TEMPLATES.items())
+    assert sorted(map(tuple, licenses.scan(docs).collect())) == whole and len(whole) >= 2 * len(licenses.TEMPLATES)
+
+
 # SentencePiece
 
 
@@ -146,6 +157,16 @@ def test_quality_ledger(spark, texts):
     assert {r.doc_id for r in kept.collect()} == {k for k, t in enumerate(every) if helpers.good(t)}
 
 
+def test_ledger_is_stored_and_policies_are_named(spark, texts):
+    """One stored ledger serves every policy; its rows say which was applied."""
+    rows = quality.stored(table(spark, [*helpers.AWKWARD, "! " * 40 + "words of a text that shouts but is long enough to stay otherwise"]))
+    assert rows.inputFiles()
+    for policy, mask in quality.POLICIES.items():
+        for r in quality.verdicts(rows, policy).collect():
+            assert r.policy == policy and r.kept == (r.failed & (mask | quality.BASE) == 0)
+        assert {r.rule for r in quality.ablations(rows, policy).collect()} == {n for n, b in quality.BIT.items() if b & mask}
+
+
 def test_ablations(spark, texts):
     rows = quality.ledger(table(spark, list(texts.values())))
     failed = [r.failed for r in rows.collect()]
