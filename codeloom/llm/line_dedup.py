@@ -12,9 +12,10 @@ lines, so shards grow in number, not in size.
 
 Documents probe the arrays: their lines' hashes go to the shards in blocks, a
 task reads a shard's row and then streams the blocks behind it, and only those
-lines that a document loses are given back. No line meets another line, and a
-line that a third of all documents share is one slot, which each block asks for
-its own documents.
+lines that a document loses are given back. No line meets another line. A line
+that a third of all documents share is one slot that all their blocks ask: the
+row of a shard that is asked more than BUSY times for each of SHARD_KEYS keys is
+given to several tasks, and blocks are dealt to these by document.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ from codeloom.llm import shared
 
 #: Distinct lines that a shard holds about.
 SHARD_KEYS = 1 << 20
+#: Times that a task looks up SHARD_KEYS keys, about.
+BUSY = 8
 #: Places in a level for each key that comes to it.
 SPARSE = 2
 INDEX = "levels binary, bits binary, prints binary, counts binary, keepers binary"
@@ -170,16 +173,17 @@ def _index(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """BLOCK for each shard that a batch of lines asks."""
+    """BLOCK for each shard, and task that has it, which a batch of lines asks."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        order = np.argsort(np.asarray(batch.column("shard")), kind="stable")
-        rows = batch.take(pa.array(order))
-        starts = list(_groups(np.asarray(rows.column("shard"))))
-        offsets = pa.array([*(a for _, a, _ in starts), rows.num_rows], pa.int32())
+        shard, copy = (np.asarray(batch.column(c)).astype(np.int64) for c in ("shard", "copy"))
+        order = np.lexsort((copy, shard))
+        rows, shard, copy = batch.take(pa.array(order)), shard[order], copy[order]
+        starts = np.flatnonzero(np.concatenate([[True], (shard[1:] != shard[:-1]) | (copy[1:] != copy[:-1])]))
+        offsets = pa.array(np.append(starts, len(shard)), pa.int32())
         lists = [pa.ListArray.from_arrays(offsets, rows.column(c)) for c in ("first", "second", "doc")]
-        yield pa.RecordBatch.from_arrays([pa.array([s for s, _, _ in starts], pa.int64()), *lists], ["shard", "first", "second", "doc"])
+        yield pa.RecordBatch.from_arrays([pa.array(shard[starts]), pa.array(copy[starts]), *lists], ["shard", "copy", "first", "second", "doc"])
 
 
 def _probe(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,14 +245,20 @@ def lost_lines(docs: DataFrame, at_least: int = 10, shard_keys: int = SHARD_KEYS
     by = lines.groupBy("first", "second").agg(F.count("*").alias("held"), F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last"), F.max(F.col("doc_id").isNull()).alias("unknown"))
     several = F.coalesce(F.col("doc_id") != F.col("last"), F.lit(False)) | (F.col("unknown") & F.col("doc_id").isNotNull())
     number = F.coalesce(_number(docs), F.lit(0))
-    keys = shared.written(by.select("first", "second", F.when(several, F.least("held", F.lit(255))).otherwise(1).cast("int").alias("n"), number.alias("keeper")), "keys")
+    keys = shared.written(by.select("first", "second", F.when(several, F.least("held", F.lit(255))).otherwise(1).cast("int").alias("n"), number.alias("keeper"), "held"), "keys")
     shards = max(1, -(-keys.count() // shard_keys))
     shard = F.pmod(F.shiftrightunsigned("first", 1), F.lit(shards)).alias("shard")
     dealt = keys.select("*", shard).repartition("shard").sortWithinPartitions("shard")
     index = shared.written(dealt.select("shard", "first", "second", "n", "keeper").mapInArrow(_index, f"shard bigint, {INDEX}"), "index")
-    blocks = lines.select(shard, "first", "second", "doc").mapInArrow(_blocks, f"shard bigint, {BLOCK}")
-    both = index.withColumn("asks", F.lit(0)).unionByName(blocks.withColumn("asks", F.lit(1)), allowMissingColumns=True)
-    found = both.repartition("shard").sortWithinPartitions("shard", "asks").mapInArrow(_probe, "doc bigint, first bigint")
+    # Shards that are asked more often than others, by lines that many documents hold: few, as what they are asked adds up to all lines.
+    tasks = F.ceil(F.sum("held") / F.lit(BUSY * shard_keys)).cast("long")
+    busy = shared.written(keys.groupBy(shard).agg(tasks.alias("tasks")).filter("tasks > 1"), "busy")
+    own = F.coalesce("tasks", F.lit(1).cast("long"))
+    asked = lines.select(shard, "first", "second", "doc").join(busy, "shard", "left").withColumn("copy", F.pmod(F.xxhash64("doc"), own))
+    blocks = asked.select("shard", "copy", "first", "second", "doc").mapInArrow(_blocks, f"shard bigint, copy bigint, {BLOCK}")
+    copies = index.join(busy, "shard", "left").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), own - 1))).drop("tasks")
+    both = copies.withColumn("asks", F.lit(0)).unionByName(blocks.withColumn("asks", F.lit(1)), allowMissingColumns=True)
+    found = both.repartition("shard", "copy").sortWithinPartitions("shard", "copy", "asks").mapInArrow(_probe, "doc bigint, first bigint")
     return shared.written(found, "lost")
 
 
