@@ -144,7 +144,8 @@ def changelog(cells: DataFrame, gap: int = GAP, open_from: tuple[int, int] | Non
     query = changes.writeStream.format("parquet").outputMode("append").option("path", f"{root}/changes").option("checkpointLocation", f"{root}/checkpoint").start()
     try:
         for k, arrival in enumerate(arrivals):
-            files.rename(hadoop.Path(f"{root}/staged/arrival={arrival}"), hadoop.Path(f"{root}/arrived/{k:06d}"))
+            if not files.rename(hadoop.Path(f"{root}/staged/arrival={arrival}"), hadoop.Path(f"{root}/arrived/{k:06d}")):
+                raise OSError(f"batch {arrival} could not be put in its place")
             query.processAllAvailable()
     finally:
         query.stop()
