@@ -1,8 +1,9 @@
 """Token counts: batch encoding in Arrow functions that return lengths only.
 
-White space never joins two tokens of the tokenizer read here (its
-pre-tokenizer drops it and its special tokens hold none), so the ends of words
-are safe boundaries: a text's count is the sum of its words' counts. Long texts
+Where a tokenizer's pre-tokenizer drops white space and its special tokens hold
+none, the ends of words are safe boundaries: a text's count is the sum of its
+words' counts. `parts_at_space` reads off the file whether that holds; with any
+other tokenizer texts are encoded whole, which is always right. Long texts
 are thus split without a change of the result, and a word that comes again in
 a slice or was just seen is not encoded again. A long word is split further:
 after a Latin letter before a digit or one of some marks, and after a digit
@@ -14,6 +15,7 @@ the function.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterable, Iterator
@@ -36,6 +38,24 @@ LONG_WORD = 1 << 14
 _SAFE = re.compile(r"(?<=[A-Za-z])(?=[0-9,.;:()\[\]{}\"!?])|(?<=[0-9])(?=[A-Za-z])")
 
 
+#: Normal forms that look at no white space but to even it out, and a pattern that takes letters, digits one by one and marks, apart.
+PLAIN_FORMS = ({"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"})
+PARTING = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+
+@lru_cache(maxsize=2)
+def parts_at_space(path: str) -> bool:
+    """Whether no token of a tokenizers file reaches over white space or over a boundary of `pieces_of`."""
+    with open(path, encoding="utf-8") as file:
+        told = json.load(file)
+    forms, before = told.get("normalizer") or {}, told.get("pre_tokenizer") or {}
+    forms = forms.get("normalizers", [forms] if forms else [])
+    first = (before.get("pretokenizers") or [before])[0]
+    parted = first.get("type") == "Split" and first.get("pattern") == {"Regex": PARTING} and (first.get("behavior"), first.get("invert")) == ("Removed", True)
+    words = all(not re.search(r"\s", t["content"]) and not _SAFE.search(t["content"]) and not any(t.get(k) for k in ("lstrip", "rstrip", "single_word", "normalized")) for t in told.get("added_tokens", []))
+    return parted and words and all(f in PLAIN_FORMS for f in forms)
+
+
 @lru_cache(maxsize=2)
 def _tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -89,13 +109,22 @@ def word_lengths(path: str, distinct: pa.Array) -> np.ndarray:
     return out
 
 
+def text_lengths(path: str, text: pa.Array) -> np.ndarray:
+    """Tokens of each whole text, in byte-balanced batches."""
+    tokenizer, _ = _tokenizer(path)
+    return np.fromiter((len(e) for batch in _by_bytes(text.to_pylist(), BATCH_BYTES) for e in tokenizer.encode_batch(batch, add_special_tokens=False)), np.int64, len(text))
+
+
 def _count(batches: Iterable[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     for batch in shared.slices(batches):
         text = pc.fill_null(batch.column("text"), "")
-        offsets, codes, distinct = shared.words(text)
-        each = word_lengths(path, distinct)
+        if parts_at_space(path):
+            offsets, codes, distinct = shared.words(text)
+            counts = shared.sums(word_lengths(path, distinct)[codes], offsets)
+        else:
+            counts = text_lengths(path, text)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(np.asarray(pc.binary_length(text)).astype(np.int64)), pa.array(shared.sums(each[codes], offsets))],
+            [batch.column("doc_id"), pa.array(np.asarray(pc.binary_length(text)).astype(np.int64)), pa.array(counts)],
             ["doc_id", "n_bytes", "n_tokens"],
         )
 
@@ -103,7 +132,8 @@ def _count(batches: Iterable[pa.RecordBatch], path: str) -> Iterator[pa.RecordBa
 def count_tokens(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
     """doc_id, n_bytes (UTF-8), n_tokens and over_limit of every row, repeated rows too.
 
-    path: a tokenizers .json file that each worker can open. A null or empty
+    path: a tokenizers .json file that each worker can open, of any tokenizer;
+    texts are split where that is safe, else encoded whole. A null or empty
     text has 0 bytes and 0 tokens; a null doc_id stays null; other columns,
     whatever their names, are left out; an empty table gives an empty table.
     """

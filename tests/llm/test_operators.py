@@ -94,6 +94,18 @@ def test_templates_in_parts(spark, texts, monkeypatch):
     assert sorted(map(tuple, licenses.scan(docs).collect())) == whole and len(whole) >= 2 * len(licenses.TEMPLATES)
 
 
+def test_token_counts_of_another_tokenizer(spark, texts):
+    """One whose tokens hold white space is told from the file, and texts are encoded whole."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert token_counts.parts_at_space(public_tokenizers.path("word_bpe_49k.json")) and not token_counts.parts_at_space(path)
+    own = Tokenizer.from_file(path)
+    every = [*helpers.AWKWARD, *[*texts.values()][:40], *fuzz(100, "aA bé's1<|endoftext|>  \n\t中", 60, 1)]
+    got = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(table(spark, every), path).collect()}
+    assert got == {k: len(own.encode(t or "", add_special_tokens=False)) for k, t in enumerate(every)}
+
+
 # SentencePiece
 
 
