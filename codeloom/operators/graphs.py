@@ -307,20 +307,31 @@ def within(edges: DataFrame, start: DataFrame, depth: int, directed: bool = Fals
 def ancestors(parents: DataFrame, most: int | None = None) -> DataFrame:
     """id, ancestor and distance for every vertex and each folder above it; parents: id, parent.
 
-    most: steps, if only so many count. Without it walks of any length go to
-    their end; where parents go round in a circle, a walk ends when it comes to
-    a folder again.
+    most: steps, if only so many count, each way of walking them for itself.
+    Without it each ancestor comes once, with the shortest distance; where
+    parents go round in a circle, a folder is an ancestor of itself. Then the
+    steps that pairs know are doubled each round by pairs of exactly so many
+    steps, so the rounds grow with the logarithm of the depth.
     """
     pairs = settled(parents.filter("parent is not null").select("id", F.col("parent").alias("ancestor"), F.lit(1).alias("distance")))
-    out, frontier = pairs, pairs
-    up = parents.filter("parent is not null").select(F.col("id").alias("ancestor"), F.col("parent").alias("next"))
-    step = 1
-    while most is None or step < most:
-        frontier = frontier.join(up, "ancestor").select("id", F.col("next").alias("ancestor"), (F.col("distance") + 1).alias("distance"))
-        frontier = settled(frontier if most else frontier.join(out.select("id", "ancestor"), ["id", "ancestor"], "left_anti"))
-        if frontier.isEmpty():
-            break
-        out, step = out.union(frontier), step + 1
+    if most is not None:
+        out, frontier = pairs, pairs
+        up = parents.filter("parent is not null").select(F.col("id").alias("ancestor"), F.col("parent").alias("next"))
+        for _ in range(1, most):
+            frontier = settled(frontier.join(up, "ancestor").select("id", F.col("next").alias("ancestor"), (F.col("distance") + 1).alias("distance")))
+            if frontier.isEmpty():
+                break
+            out = out.union(frontier)
+        return out
+    out, jumps, n = settled(pairs.distinct()), settled(pairs.select("id", F.col("ancestor").alias("to")).distinct()), 0
+    reach = 1
+    while (now := out.count()) > n:
+        n = now
+        onward = out.select(F.col("id").alias("to"), "ancestor", (F.col("distance") + reach).alias("distance"))
+        further = jumps.join(onward, "to").select("id", "ancestor", "distance")
+        out = settled(out.union(further).groupBy("id", "ancestor").agg(F.min("distance").alias("distance")))
+        jumps = settled(jumps.join(jumps.select(F.col("id").alias("to"), F.col("to").alias("far")), "to").select("id", F.col("far").alias("to")).distinct())
+        reach *= 2
     return out
 
 

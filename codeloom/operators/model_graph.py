@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.operators import graphs
@@ -102,11 +102,10 @@ def sides(found: DataFrame) -> DataFrame:
     """
     near = found.filter("inbound or outbound")
     counts = near.agg((F.count_if(F.col("outbound") & ~F.col("inbound")) - F.count_if(F.col("inbound") & ~F.col("outbound"))).alias("more_out"))
-    both = F.col("inbound") & F.col("outbound")
-    place = F.row_number().over(Window.partitionBy(both).orderBy("id")) - 1
+    both = F.col("both")
     lead, at = F.abs("more_out"), F.col("place")
     dealt = F.when(at < lead, F.when(F.col("more_out") >= 0, "inbound").otherwise("outbound")).when((at - lead) % 2 == 0, "inbound").otherwise("outbound")
-    numbered = near.withColumn("place", place).join(F.broadcast(counts))
+    numbered = graphs.running(near.withColumn("both", F.col("inbound") & F.col("outbound")), "both", ["id"], F.lit(1), "place").join(F.broadcast(counts))
     return numbered.select("id", F.when(both, dealt).when(F.col("inbound"), "inbound").otherwise("outbound").alias("side"))
 
 

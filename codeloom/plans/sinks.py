@@ -106,7 +106,7 @@ _BEFORE = _MODULES.format(path="'f'", target="doc_id * 3 % (doc_id + 5)", kept="
 _AFTER = _MODULES.format(path="CASE WHEN doc_id % 90 = 5 THEN 'g' ELSE 'f' END", target="CASE WHEN doc_id % 50 = 1 THEN doc_id % 90 * 90 + 5 ELSE doc_id * 3 % (doc_id + 5) END", kept="doc_id % 70 <> 3")
 
 
-@query("snk01_incremental_imports", f"""WITH m AS ({_AFTER.replace("{documents}", "documents")}), k AS (SELECT id, substr(relative_path, 1, length(relative_path) - 3) AS key FROM m),
+@query("snk01_incremental_imports", rf"""WITH m AS ({_AFTER.replace("{documents}", "documents")}), k AS (SELECT id, substr(relative_path, 1, length(relative_path) - 3) AS key FROM m),
     w AS (SELECT id AS src, 'src/' || substr(unnest(regexp_extract_all(text, '\./[fg][0-9]+')), 3) AS key FROM m) SELECT DISTINCT src, k.id AS dst FROM w JOIN k USING (key) WHERE src <> k.id""")
 def incremental_imports(b: Bound) -> DataFrame:
     """The import graph after an edit, from the graph before it and what the edit touches."""
