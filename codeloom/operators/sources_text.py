@@ -6,10 +6,14 @@ patterns; what needs a syntax tree is approximate and says so.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions import scalars
+from codeloom.workers import ship_code
 
 #: The tokens that the volume counts; numbers, brackets, dots and quotes are none.
 TOKENS = r"[a-zA-Z_$][\w$]*|[+\-*/%=<>!&|^~?:,;]"
@@ -208,28 +212,43 @@ def duplicated_lines(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(sides).alias("module_id"), "lines").groupBy("module_id").agg(F.sum("lines").alias("lines"))
 
 
+#: A quoted part, to its end or the text's; a bracket or a bar; what stands between them, space left out.
+_TYPE_PART = re.compile(r"""(?:'(?:[^'\\]|\\.)*+(?:'|\\?\Z)|"(?:[^"\\]|\\.)*+(?:"|\\?\Z)|`[^`]*+`?)|[()\[\]{}<>|]|[^ '"`()\[\]{}<>|]+""", re.S)
+_TYPE_CLOSE = {")": "(", "]": "[", "}": "{", ">": "<"}
+
+
+def _members_of(text: str) -> int:
+    depth, total, begun, n = dict.fromkeys("([{<", 0), 0, False, 0
+    for part in _TYPE_PART.findall(text):
+        if part == "|" and not total:
+            begun = False
+            continue
+        n, begun = n + (not begun), True
+        if part in depth:
+            depth[part] += 1
+            total += 1
+        elif depth.get(opened := _TYPE_CLOSE.get(part, "")):
+            depth[opened] -= 1
+            total -= 1
+    return n
+
+
 def union_members(type_text: Column) -> Column:
-    """Members of a union type at its top level, however deep brackets, braces, angles and quotes nest; 0 for no text.
+    """Members of a union type at its top level, however deep brackets, braces, angles and quotes nest; 0 for an empty text.
 
-    A walk over the characters: the depth of each kind of bracket, never below
-    0, the quote that is open, and whether a member has begun.
+    An Arrow function walks over quoted parts, brackets and bars, once for each
+    text that a batch holds: the depth of each kind of bracket, never below 0,
+    and whether a member has begun. It counts as not deterministic so that a
+    filter on it isn't computed a second time below the column.
     """
-    state = "struct<round:int,square:int,curly:int,angle:int,quote:string,escaped:boolean,begun:boolean,n:int>"
-    start = F.struct(*(F.lit(0),) * 4, F.lit(""), F.lit(False), F.lit(False), F.lit(0)).cast(state)
-    kinds = {"round": "()", "square": "[]", "curly": "{}", "angle": "<>"}
-
-    def step(s: Column, c: Column) -> Column:
-        quoted = s["quote"] != ""
-        depth = {k: F.when(quoted, s[k]).when(c == p[0], s[k] + 1).when(c == p[1], F.greatest(s[k] - 1, F.lit(0))).otherwise(s[k]) for k, p in kinds.items()}
-        top = ~quoted & (c == "|") & (s["round"] + s["square"] + s["curly"] + s["angle"] == 0)
-        closes = quoted & (c == s["quote"]) & ~s["escaped"]
-        quote = F.when(closes, "").when(~quoted & c.isin("'", '"', "`"), c).otherwise(s["quote"])
-        begins = ~top & ~s["begun"] & (F.trim(c) != "")
-        escaped = quoted & (s["quote"] != "`") & (c == "\\") & ~s["escaped"]
-        begun = F.when(top, False).otherwise(s["begun"] | begins)
-        return F.struct(*(v.alias(k) for k, v in depth.items()), quote.alias("quote"), escaped.alias("escaped"), begun.alias("begun"), (s["n"] + begins.cast("int")).alias("n")).cast(state)
-
-    return F.aggregate(F.split(type_text, ""), start, step, lambda s: s["n"])
+    ship_code(SparkSession.active())
+
+    @F.arrow_udf("int")
+    def members(texts: pa.Array) -> pa.Array:
+        each = texts.dictionary_encode()
+        return pa.array([_members_of(t) for t in each.dictionary.to_pylist()], pa.int32()).take(each.indices)
+
+    return members.asNondeterministic()(type_text)
 
 
 def lock_versions(text: DataFrame) -> DataFrame:

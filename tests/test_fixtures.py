@@ -431,3 +431,14 @@ def test_overview(spark):
     assert {k for k, r in found.items() if r.hidden} == {"z", "w"} and {k for k, r in found.items() if r.orphan} == {"z", "w", "free"}
     assert [found[k].layer for k in ("w", "z", "free", "folder:b", "folder:a")] == [0, 1, 0, 0, 1] and found["x"].layer != found["y"].layer
     assert found["folder:a"].weight == max(found["x"].weight, found["y"].weight) > found["z"].weight
+
+
+def test_union_members_are_counted_once_for_a_filter_too(spark):
+    """A filter on the count reads the column: the walk isn't made a second time below it."""
+    texts = ["A | 'b|\\'c' | \"d", "'open | x\\", "| `a|\\` | B", "(a | b)) | c", "a => b | c", " | ", "", None, *(f"T{k} | (" + "[x | " * 300 + "y" + "]" * 300 + ") | Z" for k in range(50))]
+    made = spark.createDataFrame([(t,) for t in texts], "t string").select("t", sources_text.union_members(F.col("t")).alias("n"))
+    assert [r.n for r in made.collect()] == [3, 1, 2, 2, 2, 0, 0, None] + [3] * 50
+    large = made.filter("n >= 3")
+    assert large.count() == 51
+    plan = large._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "lambdafunction" not in plan
