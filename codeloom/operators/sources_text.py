@@ -233,20 +233,24 @@ def _members_of(text: str) -> int:
     return n
 
 
+def members_of_all(texts: pa.Array) -> pa.Array:
+    """The count for each text of a batch; equal texts are walked once."""
+    each = texts.dictionary_encode()
+    return pa.array([_members_of(t) for t in each.dictionary.to_pylist()], pa.int32()).take(each.indices)
+
+
 def union_members(type_text: Column) -> Column:
     """Members of a union type at its top level, however deep brackets, braces, angles and quotes nest; 0 for an empty text.
 
-    An Arrow function walks over quoted parts, brackets and bars, once for each
-    text that a batch holds: the depth of each kind of bracket, never below 0,
-    and whether a member has begun. It counts as not deterministic so that a
+    An Arrow function walks over quoted parts, brackets and bars: the depth of
+    each kind of bracket, never below 0, and whether a member has begun. It counts as not deterministic so that a
     filter on it isn't computed a second time below the column.
     """
     ship_code(SparkSession.active())
 
     @F.arrow_udf("int")
     def members(texts: pa.Array) -> pa.Array:
-        each = texts.dictionary_encode()
-        return pa.array([_members_of(t) for t in each.dictionary.to_pylist()], pa.int32()).take(each.indices)
+        return members_of_all(texts)
 
     return members.asNondeterministic()(type_text)
 

@@ -442,3 +442,13 @@ def test_union_members_are_counted_once_for_a_filter_too(spark):
     assert large.count() == 51
     plan = large._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1 and "lambdafunction" not in plan
+
+
+def test_split_unions_are_walked_by_one_arrow_function():
+    """Long types that all differ: the walk's work grows with the text, and a batch's equal texts are walked once."""
+    import pyarrow as pa
+
+    made = [sources_text._members_of(f"T{k} | (a | " + "(b | " * k + ")" * (k + 1) + " | 'x|y'") for k in range(300)]
+    assert made == [3] * 300
+    walked = sources_text.members_of_all(pa.array(["A | B", None, "A | B", "", "A"]))
+    assert walked.to_pylist() == [2, None, 2, 0, 1] and walked.type == pa.int32()
