@@ -13,13 +13,17 @@ from pyspark.sql import functions as F
 from codeloom.operators import shapes
 
 
-def scanned(modules: DataFrame) -> DataFrame:
-    """The shapes of modules; shapes stay as they are."""
-    return modules if "kind" in modules.columns else shapes.shapes(modules)
+#: The kinds that functions, methods, calls and what stands around them are made of.
+CALLING = ("class", "interface", "method", "function", "closure", "call")
+
+
+def scanned(modules: DataFrame, *kinds: str) -> DataFrame:
+    """The shapes of modules, of these kinds if any are given; shapes stay as they are."""
+    return modules if "kind" in modules.columns else shapes.shapes(modules, *kinds)
 
 
 def _of(modules: DataFrame, *kinds: str) -> DataFrame:
-    return scanned(modules).filter(F.col("kind").isin(*kinds))
+    return scanned(modules, *kinds).filter(F.col("kind").isin(*kinds))
 
 
 def _has(word: str) -> Column:
@@ -36,9 +40,9 @@ def interfaces(modules: DataFrame) -> DataFrame:
 
 def members(modules: DataFrame, *kinds: str) -> DataFrame:
     """Shapes of members with parent and parent_type, the class or interface in whose body they stand."""
-    found = scanned(modules)
-    around = found.filter(F.col("kind").isin("class", "interface")).select("module_id", "begin", "stop", "kind", "name")
-    placed = shapes.innermost(found.filter(F.col("kind").isin(*kinds)), around, ["name", "kind"])
+    found = scanned(modules, "class", "interface", *kinds)
+    held = [c for c in found.columns if c != "module_id"]
+    placed = shapes.within(found, F.col("kind").isin(*kinds), held, F.col("kind").isin("class", "interface"), ["name", "kind"])
     return placed.withColumnRenamed("in_name", "parent").withColumnRenamed("in_kind", "parent_type")
 
 
@@ -103,7 +107,6 @@ def calls(modules: DataFrame) -> DataFrame:
 
 def call_sites(modules: DataFrame) -> DataFrame:
     """module_id, line, name, qualifier, is_awaited and the innermost function around each call: in_kind, in_name, in_async; null outside all functions."""
-    found = scanned(modules)
-    around = found.filter(F.col("kind").isin("function", "method", "closure")).select("module_id", "begin", "stop", "kind", "name", _has("async").alias("async"))
-    placed = shapes.innermost(found.filter("kind = 'call'").select("module_id", "begin", "line", "name", F.col("type").alias("qualifier"), _has("await").alias("is_awaited")), around, ["kind", "name", "async"])
-    return placed.drop("begin")
+    surrounding = ("function", "method", "closure")
+    found = scanned(modules, *surrounding, "call").select("module_id", "kind", "name", "begin", "stop", "line", F.col("type").alias("qualifier"), _has("await").alias("is_awaited"), _has("async").alias("async"))
+    return shapes.within(found, F.col("kind") == "call", ["line", "name", "qualifier", "is_awaited"], F.col("kind").isin(*surrounding), ["kind", "name", "async"])
