@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions import paths
-from codeloom.operators import entities, sources_text
+from codeloom.operators import entities, graphs, sources_text
 
 
 def target_path(from_path: Column, source: Column) -> Column:
@@ -70,7 +70,12 @@ def member(usages: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def call_targets(calls: DataFrame, functions: DataFrame, methods: DataFrame) -> DataFrame:
-    """calls (id, name, qualified) with status and target_id: methods first for qualified calls, else functions first."""
+    """id, status and target_id of calls (id, name, qualified): methods first for qualified calls, else functions first."""
+    return _targeted(calls, functions, methods).select("id", "status", "target_id")
+
+
+def _targeted(calls: DataFrame, functions: DataFrame, methods: DataFrame) -> DataFrame:
+    """calls (name, qualified and more) with status and target_id."""
 
     def counted(entities: DataFrame, as_: str) -> DataFrame:
         return entities.groupBy("name").agg(F.count_distinct("id").alias(f"{as_}_n"), F.min("id").alias(f"{as_}_id"))
@@ -79,7 +84,7 @@ def call_targets(calls: DataFrame, functions: DataFrame, methods: DataFrame) ->
     prefer = F.col("qualified") & F.col("m_n").isNotNull() | F.col("f_n").isNull()
     n, one = F.when(prefer, F.col("m_n")).otherwise(F.col("f_n")), F.when(prefer, F.col("m_id")).otherwise(F.col("f_id"))
     status = F.when(n == 1, "resolved").when(n > 1, "ambiguous").otherwise("unresolved")
-    return both.select("id", status.alias("status"), F.when(n == 1, one).alias("target_id"))
+    return both.select(*calls.columns, status.alias("status"), F.when(n == 1, one).alias("target_id"))
 
 
 def _outside(modules: DataFrame) -> DataFrame:
@@ -94,23 +99,24 @@ def call_graph(modules: DataFrame, functions: DataFrame, methods: DataFrame) ->
     imports from a package is external, whatever else is called so.
     """
     calls = entities.calls(modules)
-    found = call_targets(calls, functions, methods).join(calls, "id").join(_outside(modules), ["module_id", "name"], "left")
+    found = _targeted(calls, functions, methods).join(_outside(modules), ["module_id", "name"], "left")
     mine = F.col("outside").isNull() | F.col("qualified")
     return found.select("module_id", "name", "qualified", F.when(mine, F.col("status")).otherwise("external").alias("status"), F.when(mine, F.col("target_id")).alias("target_id"))
 
 
-def call_edges(modules: DataFrame, functions: DataFrame, methods: DataFrame) -> DataFrame:
+def call_edges(modules: DataFrame, functions: DataFrame, methods: DataFrame, scanned: DataFrame | None = None) -> DataFrame:
     """A row for each call that stands in a known function: who calls, what, where, and what it means.
 
     module_id, source_id, source_type, name, qualifier, line, is_awaited,
     is_async, status and target_id. functions and methods: id, module_id, name.
+    scanned: the modules' shapes, if they are made already.
     The caller is the innermost function around the call, if that has a name and
     its module has one such method, or one such function and else one such
     method; other calls are left out, and of several calls of a name in one line
     by one caller the first stays. is_async: awaited, or called in an async
     function.
     """
-    sites = entities.call_sites(modules).filter("in_name is not null")
+    sites = entities.call_sites(modules if scanned is None else scanned).filter("in_name is not null")
     one = lambda df, kind: df.groupBy("module_id", F.col("name").alias("in_name")).agg(F.min("id").alias(f"{kind}_id"), F.count_distinct("id").alias("n")).filter("n = 1").drop("n")
     known = sites.join(one(methods, "method"), ["module_id", "in_name"], "left").join(one(functions, "function"), ["module_id", "in_name"], "left")
     own = F.when(F.col("in_kind") != "method", F.col("function_id"))
@@ -118,9 +124,9 @@ def call_edges(modules: DataFrame, functions: DataFrame, methods: DataFrame) ->
     first = named.groupBy("module_id", "source_id", "source_type", "name", "line").agg(
         F.min_by(F.struct("qualifier", "is_awaited", (F.col("is_awaited") | F.col("in_async")).alias("is_async")), F.struct(F.coalesce("qualifier", F.lit("")), "is_awaited")).alias("call")
     )
-    each = first.select("module_id", "source_id", "source_type", "name", "line", "call.*").withColumn("qualified", F.col("qualifier").isNotNull())
-    wanted = each.select("name", "qualified").distinct().withColumn("id", F.concat_ws(":", F.col("qualified").cast("string"), "name"))
-    targets = call_targets(wanted, functions.select("id", "name"), methods.select("id", "name")).join(wanted, "id").select("name", "qualified", "status", "target_id")
+    # The calls are asked for their names and joined with what these mean, but placed once.
+    each = graphs.settled(first.select("module_id", "source_id", "source_type", "name", "line", "call.*").withColumn("qualified", F.col("qualifier").isNotNull()))
+    targets = _targeted(each.select("name", "qualified").distinct(), functions.select("id", "name"), methods.select("id", "name"))
     found = each.join(targets, ["name", "qualified"]).join(_outside(modules), ["module_id", "name"], "left")
     mine = F.col("outside").isNull() | F.col("qualified")
     return found.select(

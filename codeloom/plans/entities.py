@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.operators import entities, resolve
+from codeloom.operators import entities, graphs, resolve
 from codeloom.plans.bindings import Bound
 from codeloom.plans.registry import query
 
@@ -76,9 +76,9 @@ def enums(b: Bound) -> DataFrame:
 def module_parse(b: Bound) -> DataFrame:
     """A module row for every file, also for one that can't be read or in which nothing is found."""
     given = _modules(b).withColumn("text", F.when(F.col("doc_id") % 5 != 0, F.col("text")))
-    count = lambda found, name: found.groupBy(F.col("module_id").alias("id")).agg(F.count("*").cast("int").alias(name))
-    shapes = entities.scanned(given.select("id", "text"))
-    both = given.join(count(entities.classes(shapes), "classes"), "id", "left").join(count(entities.interfaces(shapes), "interfaces"), "id", "left")
+    count = lambda kind: F.count_if(F.col("kind") == kind).cast("int")
+    found = entities.scanned(given, "class", "interface").groupBy(F.col("module_id").alias("id")).agg(count("class").alias("classes"), count("interface").alias("interfaces"))
+    both = given.join(found, "id", "left")
     return both.select("id", F.col("text").isNotNull().alias("parsed"), F.coalesce("classes", F.lit(0)).alias("classes"), F.coalesce("interfaces", F.lit(0)).alias("interfaces"))
 
 
@@ -95,7 +95,7 @@ CALLS = """replace(concat('import { ext', doc_id % 3, ' } from "pkg"; ext0(1);~f
     SELECT 'm' || doc_id AS module_id, name, CASE WHEN name = 'ext0' AND doc_id % 3 = 0 THEN 'external' WHEN n = 1 THEN 'resolved' WHEN n > 1 THEN 'ambiguous' ELSE 'unresolved' END AS status FROM x""")
 def call_edges(b: Bound) -> DataFrame:
     """Calls of each module with what they mean among all modules' functions and methods; what a package gives is external."""
-    declared = _modules(b)
+    declared = graphs.settled(entities.scanned(_modules(b), "class", "interface", "method", "function"))
     functions = entities.functions(declared).select(F.concat_ws(":", "module_id", "name").alias("id"), "name")
     methods = entities.methods(declared).filter("parent_type = 'class'").select(F.concat_ws(":", "module_id", "parent", "name").alias("id"), "name")
     calling = b("documents").select(F.concat(F.lit("m"), F.col("doc_id").cast("string")).alias("id"), F.expr(CALLS).alias("text"))
@@ -117,7 +117,8 @@ def callers(b: Bound) -> DataFrame:
     """Calls with the function that makes them, line and status: nested functions' own calls aren't their surroundings'."""
     given = b("documents").select(F.concat(F.lit("m"), F.col("doc_id").cast("string")).alias("id"), F.expr(CALLERS).alias("text"))
     named = lambda df, *parts: df.select(F.concat(F.col("module_id"), F.lit(":"), F.concat_ws(".", *parts)).alias("id"), "module_id", "name")
-    return resolve.call_edges(given, named(entities.functions(given), "name"), named(entities.methods(given), "parent", "name"))
+    shapes = graphs.settled(entities.scanned(given, *entities.CALLING))
+    return resolve.call_edges(given, named(entities.functions(shapes), "name"), named(entities.methods(shapes), "parent", "name"), shapes)
 
 
 #: Methods by doc_id whose parameters have a type, a default, a rest, or nothing.

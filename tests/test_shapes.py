@@ -1,6 +1,6 @@
 """Declarations, members and calls of source text of real shape."""
 
-from codeloom.operators import entities, resolve, shapes
+from codeloom.operators import entities, graphs, resolve, shapes
 
 TEXT = '''import { x } from "class A {";
 /** doc of A */
@@ -121,3 +121,32 @@ def test_long_texts_are_scanned_in_linear_time():
     """Many lines of one expression, many arrows, deep brackets, an open quote."""
     for text in ("const a = [\n" + "  f(1),\n" * 20_000 + "];", "x => y => z;\n" * 20_000, "(" * 20_000 + ")" * 20_000, "class A {\n" + "  m(): void { go(); }\n" * 20_000 + "}", "'" + "a" * 100_000, "`${" * 5_000, "/" * 50_000, "<" * 5_000):
         assert sum(1 for _ in shapes.Source(text).shapes()) >= 0
+
+
+def scans(frame):
+    return frame._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow")
+
+
+def test_calls_are_scanned_and_placed_once(spark):
+    """Functions, methods and calls share a scan, however often their joins need them."""
+    given = modules(spark, TEXT, "export function go() { deep(); }")
+    shared = graphs.settled(entities.scanned(given, *entities.CALLING))
+    named = lambda df, *parts: df.selectExpr(f"concat_ws('.', module_id, {', '.join(parts)}) AS id", "module_id", "name")
+    sides = lambda x: (named(entities.functions(x), "name"), named(entities.methods(x), "parent", "name"))
+    one, each = resolve.call_edges(given, *sides(shared), shared), resolve.call_edges(given, *sides(given))
+    assert scans(one) == 0 and sorted(map(str, one.collect())) == sorted(map(str, each.collect())) != []
+    assert scans(resolve.call_graph(given, *sides(shared))) == 1
+
+
+def test_members_are_scanned_once(spark):
+    given = modules(spark, TEXT)
+    assert [scans(f(given)) for f in (entities.properties, entities.methods, entities.implicit_any, entities.call_sites)] == [1] * 4
+
+
+def test_some_kinds_are_those_of_all(spark):
+    """A scan for some kinds gives them as the scan for all does; texts without their marks are left out."""
+    given = modules(spark, TEXT, "plain words, and (some) more", "const f = x => x", "type T = 1", None, "")
+    whole = [tuple(r) for r in shapes.shapes(given).collect()]
+    assert {r[1] for r in whole} == shapes.KINDS
+    for kinds in (*((k,) for k in shapes.KINDS), ("class", "property"), entities.CALLING):
+        assert [tuple(r) for r in shapes.shapes(given, *kinds).collect()] == [r for r in whole if r[1] in kinds]
