@@ -22,6 +22,11 @@ def scanned(modules: DataFrame, *kinds: str) -> DataFrame:
     return modules if "kind" in modules.columns else shapes.shapes(modules, *kinds)
 
 
+def calling(modules: DataFrame) -> DataFrame:
+    """The shapes of functions, methods and the calls in them; a text that can hold no function is left out."""
+    return scanned(modules.filter(shapes.may_hold(F.col("text"), "function", "method", "closure")), *CALLING)
+
+
 def _of(modules: DataFrame, *kinds: str) -> DataFrame:
     return scanned(modules, *kinds).filter(F.col("kind").isin(*kinds))
 

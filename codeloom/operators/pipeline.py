@@ -6,7 +6,7 @@ import time
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.functions import scalars
@@ -20,9 +20,22 @@ Analyzer = Callable[[DataFrame], "DataFrame | dict[str, DataFrame]"]
 
 
 def _long(df: DataFrame, id_column: str, values: dict) -> DataFrame:
-    """One row for each entity and metric."""
-    pairs = F.explode(F.array(*(F.struct(F.lit(k).alias("metric_key"), v.cast("double").alias("metric_value")) for k, v in values.items()))).alias("m")
-    return df.select(F.col(id_column).cast("string").alias("entity_id"), pairs).select("entity_id", "m.*")
+    """One row for each entity and metric; the values are columns before they become rows, so that what they share is found once."""
+    beside = df.select(F.col(id_column).cast("string").alias("entity_id"), *(v.cast("double").alias(f"v{i}") for i, v in enumerate(values.values())))
+    pairs = F.explode(F.array(*(F.struct(F.lit(k).alias("metric_key"), F.col(f"v{i}").alias("metric_value")) for i, k in enumerate(values)))).alias("m")
+    return beside.select("entity_id", pairs).select("entity_id", "m.*")
+
+
+def _counted(modules: DataFrame, bare: Column, values: Callable[[Column, Column], dict[str, Column]], derived: dict[str, Column], prefix: str) -> DataFrame:
+    """Metrics of texts and of what is left of each (bare), which is made once; derived: values that follow from the others by name."""
+    counts = values(F.col("text"), F.col("bare"))
+    each = modules.select("doc_id", "text", bare.alias("bare")).select("doc_id", *(v.alias(k) for k, v in counts.items() if k not in derived))
+    return _long(each, "doc_id", {f"{prefix}.{k}": derived.get(k, F.col(k)) for k in counts})
+
+
+def _size(modules: DataFrame) -> DataFrame:
+    derived = {"comment_lines": F.col("physical_lines") - F.col("logical_lines") - F.col("blank_lines")}
+    return _counted(modules, sources_text.without_comments(F.col("text")), sources_text.sizes, derived, "size")
 
 
 def _named(modules: DataFrame) -> DataFrame:
@@ -36,7 +49,7 @@ def _complexity(modules: DataFrame) -> DataFrame:
 
 
 def _duplication(modules: DataFrame) -> dict[str, DataFrame]:
-    found = sources_text.clone_pairs(_named(modules))
+    found = graphs.settled(sources_text.clone_pairs(_named(modules)))
     return {"metrics": _long(sources_text.duplicated_lines(found), "module_id", {"duplication.duplicatedLineCount": F.col("lines")}), "duplications": found}
 
 
@@ -44,7 +57,9 @@ def _type_safety(modules: DataFrame) -> dict[str, DataFrame]:
     """Counts of loose types, and patches of the parameters that are any without saying so."""
     loose = entities.implicit_any(_named(modules))
     patches = loose.select(F.concat_ws(":", "module_id", "parent", "method", "parameter").alias("entity_id"), F.lit("parameter").alias("entity_type"), F.lit(True).alias("is_implicit_any"))
-    return {"metrics": _long(modules, "doc_id", {f"typeSafety.{k}": v for k, v in sources_text.type_safety(F.col("text")).items()}), "entityStats": patches}
+    derived = {"any_density": F.col("any_count") / F.greatest("identifiers", F.lit(1))}
+    bare = sources_text.without_comments(sources_text.without_strings(F.col("text")))
+    return {"metrics": _counted(modules, bare, sources_text.type_safety, derived, "typeSafety"), "entityStats": patches}
 
 
 def _rules(modules: DataFrame) -> dict[str, DataFrame]:
@@ -53,9 +68,10 @@ def _rules(modules: DataFrame) -> dict[str, DataFrame]:
 
 def _calls(modules: DataFrame) -> dict[str, DataFrame]:
     named = _named(modules)
-    functions = entities.functions(named).select(F.concat_ws(":", "module_id", "name").alias("id"), "module_id", "name")
-    methods = entities.methods(named).filter("parent_type = 'class'").select(F.concat_ws(":", "module_id", "parent", "name").alias("id"), "module_id", "name")
-    return {"callEdges": resolve.call_edges(named, functions, methods)}
+    shapes = graphs.settled(entities.calling(named))
+    functions = entities.functions(shapes).select(F.concat_ws(":", "module_id", "name").alias("id"), "module_id", "name")
+    methods = entities.methods(shapes).filter("parent_type = 'class'").select(F.concat_ws(":", "module_id", "parent", "name").alias("id"), "module_id", "name")
+    return {"callEdges": resolve.call_edges(named, functions, methods, shapes)}
 
 
 def _imports(modules: DataFrame) -> DataFrame:
@@ -78,7 +94,7 @@ def _cycles(modules: DataFrame) -> dict[str, DataFrame]:
 #: Analyzers by name: what they depend on, and how they turn modules into facts. Linters run elsewhere; rules.unused_code reads their reports.
 ANALYZERS: dict[str, tuple[list[str], Analyzer]] = {
     "maintainability": (["size"], lambda d: _long(d, "doc_id", {"maintainability.index": sources_text.maintainability(F.col("text"))})),
-    "size": ([], lambda d: _long(d, "doc_id", {f"size.{k}": v for k, v in sources_text.sizes(F.col("text")).items()})),
+    "size": ([], _size),
     "type-safety": ([], _type_safety),
     "documentation": ([], lambda d: _long(d, "doc_id", {f"documentation.{k}": v for k, v in sources_text.doc_coverage(F.col("text")).items()})),
     "complexity": ([], _complexity),

@@ -32,9 +32,9 @@ def without_comments(text: Column) -> Column:
     return F.regexp_replace(bare, r"//[^\n]*", "")
 
 
-def sizes(text: Column) -> dict[str, Column]:
-    """Physical, logical, comment and blank lines, and the Halstead volume."""
-    each, bare = lines(text), lines(without_comments(text))
+def sizes(text: Column, bare: Column | None = None) -> dict[str, Column]:
+    """Physical, logical, comment and blank lines, and the Halstead volume; bare: the text without comments, if it is a column already."""
+    each, bare = lines(text), lines(without_comments(text) if bare is None else bare)
     blank = lambda x: F.regexp_replace(x, r"\s", "") == ""
     n_blank = F.size(F.filter(each, blank))
     logical = F.size(F.filter(bare, lambda x: ~blank(x)))
@@ -77,9 +77,9 @@ def without_strings(text: Column) -> Column:
     return F.regexp_replace(text, r"'(?:\\.|[^'\\\n])*'|\"(?:\\.|[^\"\\\n])*\"", "''")
 
 
-def type_safety(text: Column) -> dict[str, Column]:
-    """Counts of loose types, as far as text shows them: comments and quoted parts aside, but for what is ignored."""
-    bare = without_comments(without_strings(text))
+def type_safety(text: Column, bare: Column | None = None) -> dict[str, Column]:
+    """Counts of loose types, as far as text shows them: comments and quoted parts aside, but for what is ignored; bare: the text without these, if it is a column already."""
+    bare = without_comments(without_strings(text)) if bare is None else bare
     n = lambda pattern: F.regexp_count(bare, F.lit(pattern)).cast("long")
     any_count, words = n(r"\bany\b"), n(r"[A-Za-z_$][\w$]*")
     identifiers = words - n(rf"(?<![\w$])(?:{'|'.join(KEYWORDS)})(?![\w$])")

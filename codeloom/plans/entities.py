@@ -117,7 +117,7 @@ def callers(b: Bound) -> DataFrame:
     """Calls with the function that makes them, line and status: nested functions' own calls aren't their surroundings'."""
     given = b("documents").select(F.concat(F.lit("m"), F.col("doc_id").cast("string")).alias("id"), F.expr(CALLERS).alias("text"))
     named = lambda df, *parts: df.select(F.concat(F.col("module_id"), F.lit(":"), F.concat_ws(".", *parts)).alias("id"), "module_id", "name")
-    shapes = graphs.settled(entities.scanned(given, *entities.CALLING))
+    shapes = graphs.settled(entities.calling(given))
     return resolve.call_edges(given, named(entities.functions(shapes), "name"), named(entities.methods(shapes), "parent", "name"), shapes)
 
 

@@ -452,3 +452,24 @@ def test_split_unions_are_walked_by_one_arrow_function():
     assert made == [3] * 300
     walked = sources_text.members_of_all(pa.array(["A | B", None, "A | B", "", "A"]))
     assert walked.to_pylist() == [2, None, 2, 0, 1] and walked.type == pa.int32()
+
+
+def test_metrics_of_texts_strip_comments_once(spark):
+    """Counts of one text are columns of what is left of it, which is made once, and equal those made alone."""
+    texts = ["/* a\n b */ let x: any = y as any; // any\nz!.q", "'any' /* any */ <T>b\n\n// c", "", None, "plain words"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    for name, prefix, counts in (("size", "size", sources_text.sizes), ("type-safety", "typeSafety", sources_text.type_safety)):
+        made = pipeline.ANALYZERS[name][1](docs)
+        metrics = made["metrics"] if isinstance(made, dict) else made
+        alone = docs.select("doc_id", *(v.cast("double").alias(k) for k, v in counts(F.col("text")).items())).collect()
+        want = {(str(r.doc_id), f"{prefix}.{k}"): r[k] for r in alone for k in counts(F.col("text"))}
+        assert {(r.entity_id, r.metric_key): r.metric_value for r in metrics.collect()} == want
+        assert metrics._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") == 1
+
+
+def test_texts_without_functions_are_not_walked(spark):
+    from codeloom.operators import complexity
+
+    given = spark.createDataFrame([("a", "some (plain) words"), ("b", "const f = x => x"), ("c", "function g(a) { if (a) {} }"), ("d", None)], "id string, text string")
+    assert sorted((r.module_id, r.name) for r in complexity.functions(given).collect()) == [("b", "f"), ("c", "g")]
+    assert "Contains" in complexity.functions(given)._jdf.queryExecution().optimizedPlan().toString()
