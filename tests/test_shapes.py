@@ -150,3 +150,9 @@ def test_some_kinds_are_those_of_all(spark):
     assert {r[1] for r in whole} == shapes.KINDS
     for kinds in (*((k,) for k in shapes.KINDS), ("class", "property"), entities.CALLING):
         assert [tuple(r) for r in shapes.shapes(given, *kinds).collect()] == [r for r in whole if r[1] in kinds]
+
+
+def test_module_parse_scans_once(spark):
+    from codeloom.plans import registry
+
+    assert scans(registry.queries()["src10_module_parse"](spark, "/root/testdata/sf0.001")) == 1
