@@ -14,12 +14,13 @@ magnitude of the first word's count. After two words that were seen together c
 times, twice or more, the triple's count n gives (n + PRIOR * p) / (c + PRIOR)
 with p that of the last word alone; triples seen once count as unseen.
 
-The filter is broadcast while it stays below BROADCAST_BYTES. Beyond it, it stays
-where it is: slices of the texts ask its segments for the counts they need, the
-answers go back to the slices, and so each text is moved once, whatever the
-filter's size. Exact word counts are broadcast for at most HEAD words of at most
-HEAD_BYTES bytes, the most frequent ones; base_score joins the counts of the
-others.
+The filter is broadcast while it stays below BROADCAST_BYTES. Beyond it, no one
+holds it: slices of the texts send each segment their distinct keys with how
+often they learn from them, 0 too. A segment is built from these, tells the level
+of each key right away, a byte in the place of its key, and is dropped. The
+levels meet the texts of their slice, so keys and each text are moved once.
+Exact word counts are broadcast for at most HEAD words of at most HEAD_BYTES
+bytes, the most frequent ones; base_score joins the counts of the others.
 """
 
 from __future__ import annotations
@@ -40,8 +41,10 @@ from codeloom.llm import shared
 
 #: Words whose exact counts are broadcast, and the bytes of the longest.
 HEAD, HEAD_BYTES = 1 << 19, 64
-#: Bytes of filter that are broadcast.
-BROADCAST_BYTES = 128 << 20
+#: Bytes of filter that are broadcast, and about how many a training token takes (up to 2.7, if most pairs occur twice).
+BROADCAST_BYTES, TOKEN_BYTES = 128 << 20, 1.0
+#: Bytes of text, with END_BYTES for each end, that ask the segments together.
+ASKED_BYTES, END_BYTES = 8 << 20, 8
 #: Tokens, at most, that are counted for one segment; tokens that a task gathers before it gives their counts out.
 SEGMENT, GATHERED = 1_000_000, 1_500_000
 #: Tasks, at most, that segments are dealt to; a task takes one segment after another.
@@ -179,10 +182,10 @@ def segment_of(keys: np.ndarray, segments: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(segments) >> np.uint64(32)).astype(np.int64)
 
 
-def _probes(keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+def _probes(keys: np.ndarray, level: int | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where the probes of keys at a level begin, and by what they go on; a segment knows a key's low KEY_BITS only."""
     with np.errstate(over="ignore"):
-        begin = shared.mixed((keys & np.uint64((1 << KEY_BITS) - 1)) + np.uint64(level) * np.uint64(0xD6E8FEB86659FD93))
+        begin = shared.mixed((keys & np.uint64((1 << KEY_BITS) - 1)) + np.asarray(level).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
     return begin, shared.mixed(begin) | np.uint64(1)
 
 
@@ -274,52 +277,60 @@ def _rest_words(batches: Iterable[pa.RecordBatch], segments: int) -> Iterator[pa
             yield from _given_out(keys[order], n[order], segments)
 
 
-_STATS = "segment int, n_bits long, bits binary, tag array<int>, types array<long>, once array<long>, twice array<long>, tokens array<long>"
+_TAGS = "tag array<int>, types array<long>, once array<long>, twice array<long>, tokens array<long>"
+_STATS = f"segment int, n_bits long, bits binary, {_TAGS}"
 
 
-def _build(batches: Iterable[pa.RecordBatch], probes: int) -> Iterator[pa.RecordBatch]:
-    """A row for each segment, from rows in order of segment: its bits and, for each tag of pairs, counts of counts."""
+def _entered(found: np.ndarray, counts: np.ndarray, probes: int) -> tuple[np.ndarray, np.ndarray, list[pa.Array]]:
+    """A segment's bits, a byte for each; the levels up to which its keys are entered; for each tag of pairs, counts of counts."""
+    tags = (found & np.uint64((1 << TAG_BITS) - 1)).astype(np.int64)
+    pairs = tags < TRIPLE
+    stats = [np.bincount(tags[pairs], weights=w[pairs], minlength=64).astype(np.int64) for w in (np.ones(len(tags)), counts == 1, counts == 2, counts)]
+    # A triple is entered by how often it came again.
+    entered = np.where(tags == TRIPLE, counts - 1, counts)
+    levels = np.where(entered > 0, level_of(np.maximum(entered, 1)), 0)
+    n_bits = np.uint64(max(64, int(levels.sum() * probes / np.log(2))))
+    flags = np.zeros(int(n_bits), bool)
+    for level in range(1, int(levels.max(initial=0)) + 1):
+        place, step = _probes(found[levels >= level], level)
+        for _ in range(probes):
+            flags[place % n_bits] = True
+            place += step
+    some = np.flatnonzero(stats[0])
+    return flags, levels, [pa.array([some.astype(np.int32)])] + [pa.array([s[some]]) for s in stats]
+
+
+def _groups(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """The rows of each key, from rows in order of key."""
     from codeloom.llm.near_dedup import _whole_groups
 
-    for table in _whole_groups(batches, "segment"):
+    for table in _whole_groups(batches, key):
         table = table.combine_chunks()
-        segments = np.asarray(table["segment"])
-        starts = np.flatnonzero(np.concatenate([[True], segments[1:] != segments[:-1]])).tolist()
-        for start, stop in zip(starts, [*starts[1:], len(segments)], strict=True):
-            part = table.slice(start, stop - start)
-            found, counts = _unpacked(part["once"].to_pylist(), part["more"].to_pylist())
-            tags = (found & np.uint64((1 << TAG_BITS) - 1)).astype(np.int64)
-            pairs = tags < TRIPLE
-            stats = [np.bincount(tags[pairs], weights=w[pairs], minlength=64).astype(np.int64) for w in (np.ones(len(tags)), counts == 1, counts == 2, counts)]
-            # A triple is entered by how often it came again.
-            entered = np.where(tags == TRIPLE, counts - 1, counts)
-            found, entered = found[entered > 0], entered[entered > 0]
-            levels = level_of(entered)
-            n_bits = np.uint64(max(64, int(levels.sum() * probes / np.log(2))))
-            flags = np.zeros(int(n_bits), bool)
-            for level in range(1, int(levels.max(initial=0)) + 1):
-                place, step = _probes(found[levels >= level], level)
-                for _ in range(probes):
-                    flags[place % n_bits] = True
-                    place += step
-            some = np.flatnonzero(stats[0])
-            lists = [pa.array([some.astype(np.int32)])] + [pa.array([s[some]]) for s in stats]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([int(segments[start])], pa.int32()), pa.array([int(n_bits)]), pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary()), *lists],
-                ["segment", "n_bits", "bits", "tag", "types", "once", "twice", "tokens"],
-            )
+        of = np.asarray(table[key])
+        starts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])).tolist()
+        for start, stop in zip(starts, [*starts[1:], len(of)], strict=True):
+            yield table.slice(start, stop - start)
+
+
+def _build(batches: Iterable[pa.RecordBatch], probes: int) -> Iterator[pa.RecordBatch]:
+    """A row for each segment, from rows in order of segment: its bits and, for each tag of pairs, counts of counts."""
+    for part in _groups(batches, "segment"):
+        flags, _, lists = _entered(*_unpacked(part["once"].to_pylist(), part["more"].to_pylist()), probes)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([part["segment"][0].as_py()], pa.int32()), pa.array([len(flags)]), pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary()), *lists],
+            ["segment", "n_bits", "bits", "tag", "types", "once", "twice", "tokens"],
+        )
 
 
 class Filter:
-    """Some segments, ready to be probed."""
+    """All segments, ready to be probed."""
 
-    def __init__(self, segments: int, rows: pa.Table, probes: int, first: int = 0, last: int | None = None) -> None:
-        """rows: segment, n_bits and bits; first, last: the segments that are asked for, all unless given."""
+    def __init__(self, segments: int, rows: pa.Table, probes: int) -> None:
+        """rows: segment, n_bits and bits."""
         rows = rows.sort_by("segment").combine_chunks()
-        here = (segments if last is None else last + 1) - first
-        self.segments, self.first, self.probes = segments, first, probes
-        self.n_bits, self.begin = np.zeros(here, np.uint64), np.zeros(here, np.int64)
-        at, sizes = np.asarray(rows["segment"]) - first, np.asarray(pc.binary_length(rows["bits"])).astype(np.int64)
+        self.segments, self.probes = segments, probes
+        self.n_bits, self.begin = np.zeros(segments, np.uint64), np.zeros(segments, np.int64)
+        at, sizes = np.asarray(rows["segment"]), np.asarray(pc.binary_length(rows["bits"])).astype(np.int64)
         self.n_bits[at] = np.asarray(rows["n_bits"]).astype(np.uint64)
         self.begin[at] = np.cumsum(sizes) - sizes
         bits = pa.chunked_array(rows["bits"].chunks).combine_chunks().cast(pa.large_binary()) if len(at) else None
@@ -328,7 +339,7 @@ class Filter:
     def levels(self, keys: np.ndarray) -> np.ndarray:
         """The level of each key; 0 where it was never entered."""
         out = np.zeros(len(keys), np.int64)
-        segment = segment_of(keys, self.segments) - self.first
+        segment = segment_of(keys, self.segments)
         left, level = np.flatnonzero(self.n_bits[segment]), 0
         while len(left):
             level += 1
@@ -358,24 +369,38 @@ class Model:
 
 
 _SCORED = "score double, n_tokens long, n_known long, base_score double, rest array<string>"
+_NAMES = ["row", "doc_id", "score", "n_tokens", "n_known", "base_score", "rest"]
 
 
-def _scored(text: pa.Array, model: Model, head: Head, levels: Callable[[np.ndarray], np.ndarray]) -> list[pa.Array]:
-    """The columns of _SCORED for each text; levels gives the filter's level of each of some sorted keys."""
-    tokens = Tokens.of(text)
-    exact = head.counts_of(tokens.distinct)
-    known = exact >= 0
-    hashes, magnitudes = _hashes(tokens.distinct), Head.magnitudes(exact)
+@dataclass
+class Read:
+    """The tokens of some texts, their words' counts in the head, and the keys of all else that their scores need."""
 
-    def counts(keys: np.ndarray) -> np.ndarray:
-        distinct, at = np.unique(keys, return_inverse=True)
-        return count_of(levels(distinct))[at]
+    tokens: Tokens
+    exact: np.ndarray
+    pairs: np.ndarray
+    triples: np.ndarray
+    words: np.ndarray  # of those that the head has not; none if it has all
+
+    @staticmethod
+    def of(text: pa.Array, head: Head, complete: bool) -> Read:
+        tokens = Tokens.of(text)
+        exact, hashes = head.counts_of(tokens.distinct), _hashes(tokens.distinct)
+        return Read(tokens, exact, *pair_keys(tokens, hashes, Head.magnitudes(exact)), word_keys(hashes[exact < 0]) if not complete else np.zeros(0, np.uint64))
 
-    one = exact.astype(float)
-    one[~known] = 0 if model.complete else counts(word_keys(hashes[~known]))
-    pairs, triples = pair_keys(tokens, hashes, magnitudes)
+    @staticmethod
+    def each(text: pa.Array, head: Head, complete: bool) -> list[Read]:
+        """The same of many texts, some after the other."""
+        return [Read.of(b.column("text"), head, complete) for b in shared.slices([pa.RecordBatch.from_arrays([text], ["text"])], size=shared.SLICE_BYTES // 2)]
+
+
+def _scored(read: Read, model: Model, words: np.ndarray, pairs: np.ndarray, triples: Callable[[np.ndarray], np.ndarray]) -> list[pa.Array]:
+    """The columns of _SCORED for each text, from the counts of words and pairs; triples gives those at some places."""
+    tokens, known = read.tokens, read.exact >= 0
+    one = read.exact.astype(float)
+    one[~known] = 0 if model.complete else words
     history, word = tokens.before(), tokens.codes
-    tag, size, two = magnitudes[history].astype(np.int64), one[history], counts(pairs)
+    tag, size, two = Head.magnitudes(read.exact)[history].astype(np.int64), one[history], pairs
     lower = 10.0 ** model.base(one)[word]
     p = np.maximum(two - model.discount[tag], 0) / np.maximum(np.maximum(size, two), 1) + np.where(size > 0, model.share[tag], 1.0) * lower
     p = np.minimum(p, 1.0)
@@ -383,7 +408,7 @@ def _scored(text: pa.Array, model: Model, head: Head, levels: Callable[[np.ndarr
     inner = np.flatnonzero(~tokens.first())
     times = two[inner - 1]
     often = np.flatnonzero(times >= 2)
-    again = counts(triples[often])
+    again = triples(often)
     three = np.minimum(np.where(again > 0, again + 1, 0), times[often])
     at = inner[often]
     p[at] = (three + PRIOR * p[at]) / (times[often] + PRIOR)
@@ -393,93 +418,212 @@ def _scored(text: pa.Array, model: Model, head: Head, levels: Callable[[np.ndarr
     return [
         pa.array(shared.sums(np.log10(p), tokens.offsets)),
         pa.array(np.diff(tokens.offsets)),
-        pa.array(shared.sums((exact > 0)[word].astype(np.int64), tokens.offsets)),
-        pa.array(shared.sums(np.where(later, 0.0, model.base(np.where(known, exact, 0))[word]), tokens.offsets)),
+        pa.array(shared.sums((read.exact > 0)[word].astype(np.int64), tokens.offsets)),
+        pa.array(shared.sums(np.where(later, 0.0, model.base(np.where(known, read.exact, 0))[word]), tokens.offsets)),
         pa.ListArray.from_arrays(pa.array(ends, pa.int32()), tokens.distinct.take(pa.array(word[later]))),
     ]
 
 
 def _score(batches: Iterable[pa.RecordBatch], model: Model, head, counts) -> Iterator[pa.RecordBatch]:
+    def counted(keys: np.ndarray) -> np.ndarray:
+        distinct, at = np.unique(keys, return_inverse=True)
+        return count_of(counts.value.levels(distinct))[at]
+
     for batch in shared.slices(batches, size=shared.SLICE_BYTES // 2):
-        scored = _scored(batch.column("text"), model, head.value, counts.value.levels)
-        yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), *scored], ["row", "doc_id", "score", "n_tokens", "n_known", "base_score", "rest"])
+        read = Read.of(batch.column("text"), head.value, model.complete)
+        scored = _scored(read, model, counted(read.words), counted(read.pairs), lambda some, triples=read.triples: counted(triples[some]))
+        yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), *scored], _NAMES)
 
 
 # Where the filter is larger than what may be broadcast
 
 
-def _cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     """The rows with the number of their slice, which is that of its first row."""
-    for batch in shared.slices(batches):
-        first = np.full(batch.num_rows, batch.column("row")[0].as_py())
-        yield pa.RecordBatch.from_arrays([pa.array(first), *(batch.column(c) for c in ("row", "doc_id", "text"))], ["slice", "row", "doc_id", "text"])
+    first, left = -1, 0
+    for batch in batches:
+        rows, n = np.asarray(batch.column("row")), batch.num_rows
+        ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column("text")), 0)).astype(np.int64) + END_BYTES)
+        of, begin = np.empty(n, np.int64), 0
+        while begin < n:
+            if left <= 0:
+                first, left = rows[begin], size
+            done = ends[begin - 1] if begin else 0
+            end = max(begin + 1, int(np.searchsorted(ends, done + left, side="right")))
+            of[begin:end] = first
+            left = left - (ends[end - 1] - done) if end == n else 0
+            begin = end
+        yield pa.RecordBatch.from_arrays([pa.array(of), *batch.columns], ["slice", *batch.schema.names])
 
 
-def _ask(batches: Iterable[pa.RecordBatch], head, segments: int) -> Iterator[pa.RecordBatch]:
-    """The keys that each slice needs, a row for each segment."""
-    for batch in batches:
-        of = np.asarray(batch.column("slice"))
-        starts = np.flatnonzero(np.concatenate([[len(of) > 0], of[1:] != of[:-1]])).tolist()
-        for start, stop in zip(starts, [*starts[1:], len(of)], strict=True):
-            tokens = Tokens.of(batch.column("text").slice(start, stop - start))
-            hashes, exact = _hashes(tokens.distinct), head.value.counts_of(tokens.distinct)
-            keys = np.unique(np.concatenate([word_keys(hashes[exact < 0]), *pair_keys(tokens, hashes, Head.magnitudes(exact))]))
-            dealt = list(_dealt(keys, segments))
-            for k in range(0, len(dealt), 1 << 13):
-                some = dealt[k : k + (1 << 13)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([s for s, _ in some], pa.int32()), pa.array([int(of[start])] * len(some)), pa.array([keys[part].tobytes() for _, part in some], pa.binary())], ["segment", "slice", "keys"]
-                )
-
-
-def _answer(batches: Iterable[pa.RecordBatch], segments: int, probes: int) -> Iterator[pa.RecordBatch]:
-    """Levels of the keys that slices ask for, from rows in order of segment, each segment's bits first."""
-    counts: Filter | None = None
-    for batch in batches:
-        slices, keys_of, levels = [], [], []
-        for k, (segment, n_bits) in enumerate(zip(batch.column("segment").to_pylist(), batch.column("n_bits").to_pylist(), strict=True)):
-            if n_bits is not None:
-                own = pa.table({"segment": pa.array([segment]), "n_bits": pa.array([n_bits]), "bits": batch.column("bits").slice(k, 1)})
-                counts = Filter(segments, own, probes, segment, segment)
-                continue
-            raw = batch.column("keys")[k].as_py()
-            keys = np.frombuffer(raw, np.uint64)
-            held = counts is not None and counts.first == segment
-            slices.append(batch.column("slice")[k].as_py())
-            keys_of.append(raw)
-            levels.append((counts.levels(keys) if held else np.zeros(len(keys), np.int64)).astype(np.uint8).tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(slices, pa.int64()), pa.array(keys_of, pa.binary()), pa.array(levels, pa.binary())], ["slice", "keys", "levels"])
-
-
-def _score_answered(batches: Iterable[pa.RecordBatch], model: Model, head) -> Iterator[pa.RecordBatch]:
-    """Scores of the texts of each slice, from rows in order of slice: texts and answers."""
-    from codeloom.llm.near_dedup import _whole_groups
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in order; the order of all; where in it each distinct one begins."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    starts = np.flatnonzero(np.concatenate([[len(keys) > 0], ordered[1:] != ordered[:-1]]))
+    return ordered[starts], order, starts
 
-    for table in _whole_groups(batches, "slice"):
-        table = table.combine_chunks()
-        of = np.asarray(table["slice"])
-        starts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])).tolist()
-        for start, stop in zip(starts, [*starts[1:], len(of)], strict=True):
-            part = table.slice(start, stop - start)
-            rows, told = part.filter(pc.is_null(part["keys"])), part.filter(pc.is_valid(part["keys"]))
-            keys, levels = (np.frombuffer(b"".join(told[c].to_pylist()), t) for c, t in (("keys", np.uint64), ("levels", np.uint8)))
-            order = np.argsort(keys)
-            keys, levels = keys[order], levels[order].astype(np.int64)
-            found = lambda asked, keys=keys, levels=levels: levels[np.searchsorted(keys, asked)]
-            scored = _scored(rows["text"].combine_chunks(), model, head.value, found)
-            yield pa.RecordBatch.from_arrays([rows["row"].combine_chunks(), rows["doc_id"].combine_chunks(), *scored], ["row", "doc_id", "score", "n_tokens", "n_known", "base_score", "rest"])
+
+def _spread(values: np.ndarray, order: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The values of distinct keys for all keys, in their own order."""
+    out = np.empty(len(order), values.dtype)
+    out[order] = np.repeat(values, np.diff(np.append(starts, len(order))))
+    return out
+
+
+def _binary(data: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """The bytes of data between each two bounds."""
+    own = np.ascontiguousarray(data[bounds[0] : bounds[-1]]).view(np.uint8)
+    width = data.dtype.itemsize * (data.shape[1] if data.ndim > 1 else 1)
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(((bounds - bounds[0]) * width).astype(np.int32)), pa.py_buffer(own)])
+
+
+def _placed(each: list[Read], segments: int) -> np.ndarray:
+    """All keys, as numbers whose order is that of segments and then, in up to 2**16 of them, of what a segment knows of a key."""
+    keys = np.concatenate([k for read in each for k in (read.pairs, read.triples, read.words)])
+    if segments > 1 << (64 - KEY_BITS):
+        return keys
+    return segment_of(keys, segments).astype(np.uint64) << np.uint64(KEY_BITS) | keys & np.uint64((1 << KEY_BITS) - 1)
+
+
+def _segment_of_placed(placed: np.ndarray, segments: int) -> np.ndarray:
+    return segment_of(placed, segments) if segments > 1 << (64 - KEY_BITS) else (placed >> np.uint64(KEY_BITS)).astype(np.int64)
 
 
-def _asked(rows: DataFrame, segments: DataFrame, n_segments: int, model: Model, head, probes: int, schema: str) -> DataFrame:
-    """Scores of rows (row, doc_id, text) by questions to the segments and answers to the slices."""
+def _few(bounds: np.ndarray) -> Iterator[slice]:
+    """Ranges of rows that have some 2**17 keys; a row's keys are between two bounds."""
+    begin = 0
+    while begin < len(bounds) - 1:
+        end = max(begin + 1, int(np.searchsorted(bounds, bounds[begin] + (1 << 17), side="right")) - 1)
+        yield slice(begin, end)
+        begin = end
+
+
+_ASKED = "segment int, slice long, part long, keys binary, high binary, n binary, more binary"
+_TOLD = f"segment int, slice long, part long, levels binary, {_TAGS}"
+
+
+def _learnt(each: list[Read], held: np.ndarray) -> Iterator[np.ndarray]:
+    """How often each key of each is learnt from, where some of the texts are held out."""
+    begin = 0
+    for read in each:
+        tokens = read.tokens
+        end = begin + len(tokens.offsets) - 1
+        learnt = np.repeat(~held[begin:end], np.diff(tokens.offsets))
+        yield learnt
+        yield learnt[~tokens.first()]
+        if len(read.words):
+            yield np.bincount(tokens.codes[learnt], minlength=len(tokens.distinct))[read.exact < 0]
+        begin = end
+
+
+def _ask(batches: Iterable[pa.RecordBatch], head, complete: bool, segments: int) -> Iterator[pa.RecordBatch]:
+    """The keys of each slice, a row for each segment: five bytes of each, a sixth as the difference from the key before, a byte of its count.
+
+    Keys are in order, so that the sixth are mostly 0 or 1, which Spark's codec
+    packs. Counts of 255 and more stand apart. A slice of which several tasks read a part asks in as many parts, by
+    their first rows.
+    """
+    for part in _groups(batches, "slice"):
+        each = Read.each(part["text"].combine_chunks(), head.value, complete)
+        keys, order, starts = _distinct(_placed(each, segments))
+        n = np.add.reduceat(np.concatenate([*_learnt(each, np.asarray(part["held"]))]).astype(np.int64)[order], starts)
+        del each, order
+        segment = _segment_of_placed(keys, segments)
+        bounds = np.append(np.flatnonzero(np.concatenate([[True], segment[1:] != segment[:-1]])), len(keys))
+        large = n >= 255
+        ends, counts = np.concatenate([[0], np.cumsum(large)])[bounds], n[large]
+        low, small = keys.view(np.uint8).reshape(-1, 8), np.minimum(n, 255).astype(np.uint8)
+        high = np.diff(low[:, 5], prepend=np.uint8(0))
+        high[bounds[:-1]] = low[bounds[:-1], 5]
+        low = np.ascontiguousarray(low[:, :5])
+        for some in _few(bounds):
+            own, apart = bounds[some.start : some.stop + 1], ends[some.start : some.stop + 1]
+            same = [pa.array(np.full(len(own) - 1, part[c][0].as_py(), np.int64)) for c in ("slice", "row")]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(segment[own[:-1]].astype(np.int32)), *same, _binary(low, own), _binary(high, own), _binary(small, own), _binary(counts, apart)],
+                ["segment", "slice", "part", "keys", "high", "n", "more"],
+            )
+
+
+def _tell(batches: Iterable[pa.RecordBatch], probes: int) -> Iterator[pa.RecordBatch]:
+    """The levels of what slices ask, from rows in order of segment, and for each segment a row with its counts of counts."""
+    for part in _groups(batches, "segment"):
+        keys, high, small, more = (np.frombuffer(b"".join(part[c].to_pylist()), t) for c, t in (("keys", np.uint8), ("high", np.uint8), ("n", np.uint8), ("more", np.int64)))
+        n = small.astype(np.int64)
+        n[small == 255] = more
+        bounds = np.concatenate([[0], np.cumsum(np.asarray(pc.binary_length(part["n"])).astype(np.int64))])
+        low, total = np.zeros((len(n), 8), np.uint8), np.cumsum(high, dtype=np.uint8)
+        low[:, :5] = keys.reshape(-1, 5)
+        low[:, 5] = total - np.repeat(np.append(np.uint8(0), total)[bounds[:-1]], np.diff(bounds))
+        found, order, starts = _distinct(low.view(np.uint64).ravel())
+        counts = np.add.reduceat(n[order], starts)
+        learnt = np.flatnonzero(counts)
+        flags, entered, lists = _entered(found[learnt], counts[learnt], probes)
+        # All levels up to the one a key is entered at are there; those above it may be by chance.
+        levels, left, n_bits = np.zeros(len(found), np.int64), np.arange(len(found)), np.uint64(len(flags))
+        levels[learnt] = entered
+        while len(left):
+            place, step = _probes(found[left], levels[left] + 1)
+            for _ in range(probes):
+                hit = flags[place % n_bits]
+                left, step = left[hit], step[hit]
+                place = place[hit] + step
+            levels[left] += 1
+        told = _spread(levels.astype(np.uint8), order, starts)
+        whole = [part[c].combine_chunks() for c in ("segment", "slice", "part")]
+        null = lambda kind, rows=1: pa.nulls(rows, kind)
+        names = ["segment", "slice", "part", "levels", "tag", "types", "once", "twice", "tokens"]
+        yield pa.RecordBatch.from_arrays([whole[0].slice(0, 1), null(pa.int64()), null(pa.int64()), null(pa.binary()), *lists], names)
+        for some in _few(bounds):
+            rows = some.stop - some.start
+            yield pa.RecordBatch.from_arrays(
+                [*(w.slice(some.start, rows) for w in whole), _binary(told, bounds[some.start : some.stop + 1]), *(null(x.type, rows) for x in lists)], names
+            )
+
+
+def _score_told(batches: Iterable[pa.RecordBatch], model: Model, head, segments: int) -> Iterator[pa.RecordBatch]:
+    """Scores of the texts of each slice, from rows in order of slice: texts and levels."""
+    for part in _groups(batches, "slice"):
+        texts = part.filter(pc.is_null(part["levels"])).sort_by("row").combine_chunks()
+        told = part.filter(pc.is_valid(part["levels"])).sort_by([("part", "ascending"), ("segment", "ascending")]).combine_chunks()
+        of = np.asarray(told["part"])
+        starts = np.flatnonzero(np.concatenate([[len(of) > 0], of[1:] != of[:-1]])).tolist()
+        begins = np.searchsorted(np.asarray(texts["row"]), of[starts]).tolist()
+        if begins[:1] != [0]:
+            raise RuntimeError("the levels of a slice's first texts are missing")
+        for start, stop, begin, end in zip(starts, [*starts[1:], len(of)], begins, [*begins[1:], texts.num_rows], strict=True):
+            own = texts.slice(begin, end - begin).combine_chunks()
+            each = Read.each(own["text"].combine_chunks(), head.value, model.complete)
+            keys, order, spans = _distinct(_placed(each, segments))
+            levels = np.frombuffer(b"".join(told["levels"].slice(start, stop - start).to_pylist()), np.uint8)
+            if len(levels) != len(keys):
+                raise RuntimeError(f"{len(keys)} keys were asked for, and the levels of {len(levels)} came back")
+            levels, at, row = _spread(levels, order, spans), 0, 0
+            del keys, order, spans
+            for read in each:
+                pairs, triples, words = (count_of(x) for x in np.split(levels[at : at + sum(map(len, (read.pairs, read.triples, read.words)))], np.cumsum([len(read.pairs), len(read.triples)])))
+                scored = _scored(read, model, words, pairs, lambda some, triples=triples: triples[some])
+                rows = own.slice(row, len(scored[0]))
+                yield pa.RecordBatch.from_arrays([rows["row"].combine_chunks(), rows["doc_id"].combine_chunks(), *scored], _NAMES)
+                at, row = at + len(read.pairs) + len(read.triples) + len(read.words), row + len(scored[0])
+
+
+def _asked(rows: DataFrame, n_segments: int, sizes: tuple[int, int, bool], head, probes: int, schema: str) -> tuple[Model, DataFrame]:
+    """The model, and scores of rows (row, doc_id, text), by what slices ask of segments; sizes: the model's first three."""
     kind = rows.schema["doc_id"].dataType.simpleString()
-    sliced = shared.written(rows.mapInArrow(_cut, f"slice long, row long, doc_id {kind}, text string"), "slices")
-    asked = sliced.mapInArrow(partial(_ask, head=head, segments=n_segments), "segment int, slice long, keys binary")
-    both = asked.unionByName(segments.select("segment", "n_bits", "bits"), allowMissingColumns=True)
-    ordered = both.repartition(min(n_segments, MOST_TASKS), "segment").sortWithinPartitions("segment", F.col("n_bits").isNull())
-    answers = ordered.mapInArrow(partial(_answer, segments=n_segments, probes=probes), "slice long, keys binary, levels binary")
-    met = sliced.unionByName(answers, allowMissingColumns=True).repartition("slice").sortWithinPartitions("slice")
-    return met.mapInArrow(partial(_score_answered, model=model, head=head), schema)
+    cut = rows.withColumn("held", held_out(F.col("doc_id"))).mapInArrow(partial(_cut, size=ASKED_BYTES), f"slice long, row long, doc_id {kind}, text string, held boolean")
+    sliced = shared.written(cut, "slices", "zstd")
+    asked = sliced.select("slice", "row", "held", "text").mapInArrow(partial(_ask, head=head, complete=sizes[2], segments=n_segments), _ASKED)
+    dealt = asked.repartition(min(n_segments, MOST_TASKS), "segment").sortWithinPartitions("segment")
+    told = shared.written(dealt.mapInArrow(partial(_tell, probes=probes), _TOLD), "levels", "zstd")
+    model = Model(*sizes, *_shares(told.filter("slice IS NULL")))
+    levels = told.filter("slice IS NOT NULL").select("slice", "part", "segment", "levels")
+    met = sliced.drop("held").unionByName(levels, allowMissingColumns=True).repartition("slice").sortWithinPartitions("slice")
+    parts = shared.written(met.mapInArrow(partial(_score_told, model=model, head=head, segments=n_segments), schema), "parts")
+    shared.drop_written(sliced)
+    shared.drop_written(told)
+    return model, parts
 
 
 def _head(words: DataFrame) -> tuple[Head, bool, Column]:
@@ -532,30 +676,32 @@ def score(docs: DataFrame, broadcast_bytes: int = BROADCAST_BYTES, probes: int =
     shared.ready_workers(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
     training = docs.filter(~held_out(F.col("doc_id"))).select("text")
-    words = shared.written(training.mapInArrow(_count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    with shared.shuffles_dropped(spark):
+        words = shared.written(training.mapInArrow(_count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
     n_tokens, n_words = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     exact, complete, among = _head(words)
     head = spark.sparkContext.broadcast(exact)
 
-    n_segments = 1 + int(n_tokens) // SEGMENT
-    counted = training.mapInArrow(partial(_count_pairs, head=head, segments=n_segments), _COUNTED)
-    if not complete:
-        counted = counted.union(words.filter(~among).mapInArrow(partial(_rest_words, segments=n_segments), _COUNTED))
-    dealt = counted.repartition(min(n_segments, MOST_TASKS), "segment").sortWithinPartitions("segment")
-    segments = shared.written(dealt.mapInArrow(partial(_build, probes=probes), _STATS), "segments")
-    model = Model(int(n_tokens), int(n_words), complete, *_shares(segments))
-
+    n_segments, sizes = 1 + int(n_tokens) // SEGMENT, (int(n_tokens), int(n_words), complete)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     schema = f"row long, doc_id {kind}, {_SCORED}"
-    held = segments.agg(F.coalesce(F.sum(F.octet_length("bits")), F.lit(0))).first()[0]
-    if held <= broadcast_bytes:
-        counts = spark.sparkContext.broadcast(Filter(n_segments, segments.select("segment", "n_bits", "bits").toArrow(), probes))
-        parts = shared.written(rows.mapInArrow(partial(_score, model=model, head=head, counts=counts), schema), "parts")
-        counts.destroy()  # workers would keep it else
-    else:
-        parts = shared.written(_asked(rows, segments, n_segments, model, head, probes, schema), "parts")
+    parts = None
+    if n_tokens * TOKEN_BYTES <= broadcast_bytes:
+        counted = training.mapInArrow(partial(_count_pairs, head=head, segments=n_segments), _COUNTED)
+        if not complete:
+            counted = counted.union(words.filter(~among).mapInArrow(partial(_rest_words, segments=n_segments), _COUNTED))
+        dealt = counted.repartition(min(n_segments, MOST_TASKS), "segment").sortWithinPartitions("segment")
+        segments = shared.written(dealt.mapInArrow(partial(_build, probes=probes), _STATS), "segments")
+        if segments.agg(F.coalesce(F.sum(F.octet_length("bits")), F.lit(0))).first()[0] <= broadcast_bytes:
+            model = Model(*sizes, *_shares(segments))
+            counts = spark.sparkContext.broadcast(Filter(n_segments, segments.select("segment", "n_bits", "bits").toArrow(), probes))
+            parts = shared.written(rows.mapInArrow(partial(_score, model=model, head=head, counts=counts), schema), "parts")
+            counts.destroy()  # workers would keep it else
+        shared.drop_written(segments)
+    if parts is None:
+        with shared.shuffles_dropped(spark):
+            model, parts = _asked(rows, n_segments, sizes, head, probes, schema)
     head.destroy()
-    shared.drop_written(segments)
     whole = parts.drop("rest") if complete else _with_rest(parts, words, model)
     return whole.select(
         "doc_id",

@@ -7,6 +7,7 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -57,11 +58,23 @@ def own_folder(spark: SparkSession, path: str) -> None:
     _written.append((spark, path))
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Within, a query's shuffle files go when it has ended, not when the driver next collects its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def written(df: DataFrame, what: str, compression: str | None = None) -> DataFrame:
     """df, written to the shared folder and read again: later stages start there, whichever executors are lost."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/codeloom-{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     own_folder(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 

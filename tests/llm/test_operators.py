@@ -509,6 +509,73 @@ def test_what_is_asked_equals_what_is_broadcast(spark, texts, monkeypatch):
     assert rows[0] == rows[1]
 
 
+def test_what_is_asked_in_parts_and_by_a_filter_found_too_large(spark, texts, monkeypatch):
+    """Slices that several tasks read ask in parts; a filter that turns out too large to broadcast is asked."""
+    monkeypatch.setattr(language_model, "SEGMENT", 3000)
+    frame = table(spark, [*helpers.AWKWARD, *texts.values()] * 2).repartition(2)
+    rows = lambda bound: sorted((r.doc_id, r.n_tokens, round(r.base_score, 6), round(r.score, 6)) for r in language_model.score(frame, bound).collect())
+    want = rows(1 << 30)
+    names = {"parquet.block.size": "20000", "parquet.page.size": "5000", "spark.sql.files.maxPartitionBytes": "30000", "spark.sql.files.openCostInBytes": "0"}
+    before = {name: spark.conf.get(name, None) for name in names}
+    try:
+        for name, value in names.items():
+            spark.conf.set(name, value)
+        assert rows(0) == want
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+    monkeypatch.setattr(language_model, "TOKEN_BYTES", 0)
+    assert rows(0) == want
+
+
+@pytest.mark.parametrize(("segments", "n_texts"), [(3, 120), (1 << 17, 6)])
+def test_segments_tell_what_the_filter_tells(texts, monkeypatch, segments, n_texts):
+    """Levels of all keys, of texts held out too, by as many probes whatever the number of slices."""
+    from types import SimpleNamespace
+
+    import numpy as np
+
+    probed, probes = [], language_model._probes
+    monkeypatch.setattr(language_model, "_probes", lambda keys, level: (probed.append(len(keys)), probes(keys, level))[1])
+    every = ["to be or not to be " * 200, *texts.values(), "to be or not to be " * 9][-n_texts:]
+    every[0] = "to be or not to be " * 200
+    head = SimpleNamespace(value=language_model.Head(pa.array(["the", "to"]), np.array([500, 300])))
+
+    def run(slices):
+        of = np.sort(np.arange(len(every)) % slices)
+        rows = pa.RecordBatch.from_pydict({"slice": of, "row": np.arange(len(every)), "held": [helpers.held_out(k) for k in range(len(every))], "text": pa.array(every)})
+        asked = pa.Table.from_batches(language_model._ask([rows], head, False, segments)).sort_by("segment")
+        probed.clear()
+        told = pa.Table.from_batches(language_model._tell(asked.to_batches(), 6))
+        return {(r["slice"], r["segment"]): r["levels"] for r in told.to_pylist() if r["slice"] is not None}, told.filter(pa.compute.is_null(told["slice"])).num_rows, len(probed), of
+
+    levels, stats, calls, of = run(n_texts // 2)
+    counts = Counter()
+    for k, text in enumerate(every):
+        if not helpers.held_out(k):
+            read = language_model.Read.of(pa.array([text]), head.value, False)
+            counts.update([*read.pairs.tolist(), *read.triples.tolist()])
+            counts.update(dict(zip(read.words.tolist(), np.bincount(read.tokens.codes)[read.exact < 0].tolist(), strict=True)))
+    keys = np.sort(np.array(list(counts), np.uint64))
+    given = pa.Table.from_batches(language_model._given_out(keys, np.array([counts[k] for k in keys.tolist()]), segments))
+    filter = language_model.Filter(segments, pa.Table.from_batches(language_model._build(given.to_batches(), 6)), 6)
+    for k in range(n_texts // 2):
+        each = language_model.Read.each(pa.array([t for t, s in zip(every, of, strict=True) if s == k]), head.value, False)
+        all_keys = np.concatenate([x for r in each for x in (r.pairs, r.triples, r.words)])
+        placed, order, starts = language_model._distinct(language_model._placed(each, segments))
+        mine = b"".join(levels[k, s] for s in sorted(s for j, s in levels if j == k))
+        assert len(mine) == len(placed)
+        assert (language_model._spread(np.frombuffer(mine, np.uint8), order, starts) == filter.levels(all_keys)).all()
+    assert max(counts.values()) > 255 and stats == len({s for _, s in levels})
+    assert calls <= run(1)[2] * 1.1
+
+
+def test_cut_slices():
+    rows = [pa.RecordBatch.from_pydict({"row": pa.array(range(k, k + 5)), "text": pa.array(["x" * 12, None, "", "x" * 90, "x" * 12])}) for k in (0, 5, 10)]
+    assert pa.Table.from_batches(language_model._cut(rows, 100))["slice"].to_pylist() == [0, 0, 0, 3, 4, 4, 4, 4, 8, 9, 9, 9, 9, 13, 14]
+    assert [len(x) for x in ([*language_model._cut([], 5)], [*language_model._cut([rows[0].slice(0, 0)], 5)][0])] == [0, 0]
+
+
 def test_language_model_of_nothing(spark):
     assert language_model.score(table(spark, [])).count() == 0
     only = language_model.score(table(spark, ["a b"], [next(k for k in range(50) if helpers.held_out(k))])).collect()
